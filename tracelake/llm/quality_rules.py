@@ -14,10 +14,11 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATOR, let, words_of, written
+from .common import let, words_of, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 WHITE = " \t\n\x0b\x0c\r"
 WINDOW = 8
 
@@ -49,75 +50,86 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Counts of every whole text, one narrow row a document."""
     t = F.coalesce(F.col(text), F.lit(""))
-    ends = F.regexp_count(t, F.lit(r"[.?]+(?=[\x20\x09-\x0D]|$)"))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, WHITE, "") != "")
-    return docs.select(
-        F.col(key),
-        t.alias("_t"),
-        words_of(t).alias("_w"),
-        lines.alias("_l"),
-        ends.cast("long").alias("n_ends"),
-    ).select(
+    marked = F.regexp_count(t, F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|$)"))
+    return docs.select(F.col(key), t.alias("_t"), words_of(t).alias("_w"), lines.alias("_l"), marked.cast("long").alias("n_marked")).select(
         key,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", WHITE, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        count(SYMBOLS).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        "n_ends",
-        (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", ""))).cast("long").alias("n_upper"),
-        (F.length("_t") - F.length(F.translate("_t", "!", ""))).cast("long").alias("n_shouts"),
+        "n_marked",
+        F.size(F.filter("_w", lambda w: F.length(F.translate(w, SYMBOLS + ".,!?", "")) == 0)).cast("long").alias("n_bare"),
+        count(".?").alias("n_ends"),
+        count(CAPITALS).alias("n_upper"),
+        count("!").alias("n_shouts"),
     )
 
 
+def count(chars: str) -> Column:
+    return (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
+
+
 def rules() -> dict[str, tuple[Column, Column]]:
     """Each rule's good and bad votes over :func:`features`; where neither holds it abstains."""
     c, n = F.col, F.greatest(F.col("n_words"), F.lit(1))
     return {
         "length": (c("n_words") >= 50, c("n_words") < 20),
-        "word_size": ((c("word_chars") >= 3 * n) & (c("word_chars") <= 8 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 12 * n)),
         "symbols": (100 * c("n_symbols") <= 2 * n, 10 * c("n_symbols") > n),
-        "dup_lines": (c("n_dup_lines") == 0, 10 * c("n_dup_lines") > 3 * c("n_lines")),
-        "repeats": (100 * c("n_repeat_words") <= 5 * n, 10 * c("n_repeat_words") > 2 * n),
+        "marked_words": (100 * c("n_marked") <= n, 100 * c("n_marked") > 8 * n),
+        "bare_words": (c("n_bare") * 50 <= n, c("n_bare") * 10 > n),
         "capitals": (10 * c("n_upper") <= c("word_chars"), 10 * c("n_upper") > 4 * c("word_chars")),
-        "sentences": ((c("n_ends") * 60 >= n) & (c("n_shouts") * 10 <= n), (c("n_ends") * 200 < n) | (c("n_shouts") * 3 > n)),
+        "shouts": (20 * c("n_shouts") <= n, 10 * c("n_shouts") > 3 * n),
+        "repetition": ((c("n_dup_lines") == 0) & (20 * c("n_repeat_words") <= n), (10 * c("n_dup_lines") > 3 * c("n_lines")) | (5 * c("n_repeat_words") > n)),
+        "sentences": ((c("n_ends") * 60 >= n) & (c("n_ends") * 2 <= n), (c("n_ends") * 200 < n) | (c("n_ends") > n)),
     }
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = 30) -> dict:
-    """EM over ``patterns(<names> 1/0/null, rows)``, which holds at most 3^rules rows. Returns prior and accuracies.
+def fit(patterns: DataFrame, names: list[str], rounds: int = 30, weight: float = 0.02) -> dict:
+    """EM over ``patterns(<names> 1/0/null, rows)``, which holds at most 3^rules rows, in one expression. Returns prior and accuracies.
 
     ``right[1][r]`` is the chance that rule ``r`` votes good on a good document, ``right[0][r]`` that it votes bad on a bad one.
-    Beta(8, 2)-like counts keep rare votes from running to certainty.
+    Pseudo-counts worth ``weight`` of all rows hold them near 0.97 and 0.4, so that one kind of fault, of which several
+    rules see the same sign, doesn't become the only kind.
     """
-    model = {"prior": 0.85, "right": {1: {r: 0.95 for r in names}, 0: {r: 0.5 for r in names}}}
-    for _ in range(rounds):
-        p = posterior(model)
-        sums = [F.sum(F.col("rows")).alias("n"), F.sum(F.col("rows") * p).alias("g")]
-        for r in names:
-            v = F.col(r)
-            sums += [
-                F.sum(F.when(v.isNotNull(), F.col("rows") * p)).alias(f"g_{r}"),
-                F.sum(F.when(v == 1, F.col("rows") * p)).alias(f"gg_{r}"),
-                F.sum(F.when(v.isNotNull(), F.col("rows") * (1 - p))).alias(f"b_{r}"),
-                F.sum(F.when(v == 0, F.col("rows") * (1 - p))).alias(f"bb_{r}"),
-            ]
-        s = patterns.agg(*sums).first()
-        if not s["n"]:
-            break
-        new = {
-            "prior": round(((s["g"] or 0) + 8) / (s["n"] + 10), 9),
-            "right": {
-                1: {r: round(((s[f"gg_{r}"] or 0) + 19) / ((s[f"g_{r}"] or 0) + 20), 9) for r in names},
-                0: {r: round(((s[f"bb_{r}"] or 0) + 5) / ((s[f"b_{r}"] or 0) + 10), 9) for r in names},
-            },
-        }
-        moved = abs(new["prior"] - model["prior"]) + sum(abs(new["right"][k][r] - model["right"][k][r]) for k in (0, 1) for r in names)
-        model = new
-        if moved < 1e-6:
-            break
-    return model
+    m = len(names)
+    every = patterns.agg(F.collect_list(F.struct(F.array(*(F.col(r).cast("int") for r in names)).alias("v"), F.col("rows").cast("double").alias("rows"))).alias("all"), F.coalesce(F.sum("rows"), F.lit(0)).cast("double").alias("n"))
+
+    def total(items: Column, what) -> Column:
+        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + what(x))
+
+    def step(model: Column) -> Column:
+        def odds(p: Column) -> Column:
+            by_rule = F.transform(
+                p["v"],
+                lambda v, r: F.when(v == 1, F.log(F.get(model["good"], r) / (1 - F.get(model["bad"], r)))).when(v == 0, F.log((1 - F.get(model["good"], r)) / F.get(model["bad"], r))).otherwise(F.lit(0.0)),
+            )
+            return F.log(model["prior"] / (1 - model["prior"])) + total(by_rule, lambda x: x)
+
+        def update(judged: Column) -> Column:
+            w, every_rule = F.lit(weight) * F.col("n") + 1, F.sequence(F.lit(0), F.lit(m - 1))
+
+            def share(r: Column, vote: int, of: str, mean: float) -> Column:
+                hit = total(judged, lambda x: F.when(F.get(x["v"], r) == vote, x[of]).otherwise(F.lit(0.0)))
+                voted = total(judged, lambda x: F.when(F.get(x["v"], r).isNotNull(), x[of]).otherwise(F.lit(0.0)))
+                return (hit + mean * w) / (voted + w)
+
+            return F.struct(
+                ((total(judged, lambda x: x["g"]) + 0.85 * w) / (F.col("n") + w)).alias("prior"),
+                F.transform(every_rule, lambda r: share(r, 1, "g", 0.97)).alias("good"),
+                F.transform(every_rule, lambda r: share(r, 0, "b", 0.4)).alias("bad"),
+            )
+
+        def judge_one(p: Column) -> Column:
+            return let(1 / (1 + F.exp(-odds(p))), lambda q: F.struct(p["v"].alias("v"), (p["rows"] * q).alias("g"), (p["rows"] * (1 - q)).alias("b")))
+
+        return let(F.transform(F.col("all"), judge_one), update)
+
+    start = F.struct(F.lit(0.85).alias("prior"), F.array_repeat(F.lit(0.97), m).alias("good"), F.array_repeat(F.lit(0.4), m).alias("bad"))
+    found = every.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda acc, _: step(acc)).alias("model")).first()["model"]
+    return {"prior": round(found["prior"], 9), "right": {1: {r: round(x, 9) for r, x in zip(names, found["good"], strict=True)}, 0: {r: round(x, 9) for r, x in zip(names, found["bad"], strict=True)}}}
 
 
 def posterior(model: dict) -> Column:
