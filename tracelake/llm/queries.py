@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .exact_substrings import op8_exact_substrings
+from .jaccard_join import op3_jaccard_join
 from .packing import op4_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op1_quality_rules
+from .warc import op9_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_exact_substrings": op8_exact_substrings,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
