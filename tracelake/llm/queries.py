@@ -6,6 +6,7 @@ from .decontamination import op7_decontamination
 from .exact_substrings import op8_exact_substrings
 from .jaccard_join import op3_jaccard_join
 from .packing import op4_packing
+from .passages import op10_fuzzy_passages
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op1_quality_rules
 from .warc import op9_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_exact_substrings": op8_exact_substrings,
     "op9_warc": op9_warc,
+    "op10_fuzzy_passages": op10_fuzzy_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
