@@ -1 +1,10 @@
-"""tracelake: agent-session and LLM-usage analytics as Spark DataFrame operators."""
+"""tracelake: agent-session and LLM-usage analytics as Spark DataFrame operators.
+
+Functions that run in tasks are shipped by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
