@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontamination import op7_decontamination
 from .exact_substrings import op8_exact_substrings
 from .jaccard_join import op3_jaccard_join
+from .licenses import op6_license_scan
 from .packing import op4_packing
 from .passages import op10_fuzzy_passages
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op1_quality_rules
+from .tool_calls import op5_tool_calls
 from .warc import op9_warc
 
 QUERIES = {
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
+    "op5_tool_calls": op5_tool_calls,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_exact_substrings": op8_exact_substrings,
     "op9_warc": op9_warc,
