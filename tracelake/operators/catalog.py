@@ -89,8 +89,8 @@ def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
     glob = F.col("text").rlike(r"[*?\[]")
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"([.+(){}^$|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
     globs = rest.filter(glob).withColumn("pattern", pattern)
-    many = globs.join(names, F.col("full").rlike(F.col("pattern")) | F.col("name").rlike(F.col("pattern"))).select("ref", "level", "provider", "model", F.lit("glob").alias("how"))
-    like = rest.filter(~glob & (F.col("text") != "")).join(names, F.contains("full", "text"))
+    many = globs.join(names, F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("name"), F.col("pattern"))).select("ref", "level", "provider", "model", F.lit("glob").alias("how"))
+    like = rest.filter(~glob & (F.col("text") != "")).join(names, F.contains(F.col("full"), F.col("text")))
     best = W.partitionBy("ref").orderBy(F.desc(is_alias(F.col("name"))), F.desc("model"), F.asc("provider"))
     like = like.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("ref", "level", "provider", "model", F.lit("contains").alias("how"))
     found = full.unionByName(exact).unionByName(many).unionByName(like)

@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tracelake.functions.scalars import LONG_LINE, normalise_text, truncate_line
@@ -156,7 +157,7 @@ def with_fuzzy_score(df: DataFrame, query: str, text: str = "text") -> DataFrame
     for t in tokens:
         if not re.fullmatch(r"[a-z]+[0-9]+|[0-9]+[a-z]+", t.lower()):
             rows = rows.filter(F.lower(F.col(text)).rlike("(?s)" + ".*".join(re.escape(c) for c in t.lower())))
-    schema = df.schema.add("score", "double")
+    schema = T.StructType(list(df.schema.fields)).add("score", "double")
 
     def run(batches):
         for b in batches:
@@ -228,7 +229,8 @@ def check_edits(edits: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Dat
     of a document whose matches overlap the one before. ``edits``: key, edit_no, old.
     """
     joined = edits.join(corpus.select(key, "text"), key, "left")
-    schema = edits.schema.add("status", "string").add("start", "long").add("size", "long").add("occurrences", "long")
+    given = edits.columns
+    schema = T.StructType(list(edits.schema.fields)).add("status", "string").add("start", "long").add("size", "long").add("occurrences", "long")
 
     def run(batches):
         for b in batches:
@@ -244,8 +246,8 @@ def check_edits(edits: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Dat
                     at, size = fuzzy_form(text).find(fuzzy_form(old)), len(fuzzy_form(old))
                 rows.append(("not_found", None, None, 0) if at < 0 else ("multiple" if n > 1 else "exact" if exact else "fuzzy", at, size, n))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            own = [b.column(c) for c in edits.columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[*edits.columns, "status", "start", "size", "occurrences"])
+            own = [b.column(c) for c in given]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[*given, "status", "start", "size", "occurrences"])
 
     out = joined.mapInArrow(run, schema)
     end = F.lag(F.col("start") + F.col("size")).over(W.partitionBy(key).orderBy("start", "edit_no"))

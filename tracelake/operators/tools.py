@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tracelake.functions.scalars import command_key, ratio
@@ -199,9 +200,7 @@ def analyze_replacements(edits: DataFrame, old: str = "old", new: str = "new") -
     Shared prefix and suffix are counted in characters and sized in UTF-8 bytes. inflation is null where nothing changed.
     """
     names = ["old_bytes", "new_bytes", "prefix_bytes", "suffix_bytes"]
-    schema = edits.schema
-    for n in names:
-        schema = schema.add(n, "long") if n not in schema.fieldNames() else schema
+    schema = T.StructType([*edits.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def common(a: str, b: str) -> int:
         """Length of the shared prefix, by bisection over equal slices."""
