@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from tracelake.functions.scalars import IMAGE_CHARS, estimate, truncate_result, utf16_length
 from tracelake.operators.tools import extract_file_ops, file_lists
 from tracelake.operators.usage import context_tokens, is_context_overflow
 
-BY = W.partitionBy("session_id")
-ORDERED = BY.orderBy("seq")
-BEFORE = ORDERED.rowsBetween(W.unboundedPreceding, -1)
-UP_TO = ORDERED.rowsBetween(W.unboundedPreceding, 0)
-FROM = ORDERED.rowsBetween(0, W.unboundedFollowing)
 
 #: The defaults of compaction and of the cache.
 RESERVE_TOKENS = 16_384
@@ -28,6 +24,26 @@ SUMMARY_MARKS = {
 }
 
 
+def by_session() -> WindowSpec:
+    return W.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return by_session().orderBy("seq")
+
+
+def before_row() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def up_to_row() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def from_row() -> WindowSpec:
+    return in_order().rowsBetween(0, W.unboundedFollowing)
+
+
 def entries_to_context(entries: DataFrame) -> DataFrame:
     """Entries that stand for a message, with the message's role; the other kinds give none."""
     summary = F.trim(F.coalesce(F.col("summary"), F.lit(""))) != ""
@@ -73,6 +89,14 @@ def to_llm_messages(messages: DataFrame) -> DataFrame:
 IMAGE_NOTES = {"user": "(image omitted: model does not support images)", "toolResult": "(tool image omitted: model does not support images)"}
 
 
+def images_as_note(content: Column, note: str) -> Column:
+    """Blocks with each run of images, or of images after the same note, as one text note."""
+    is_image = F.transform(content, lambda b: b["type"] == "image")
+    noted = F.transform(content, lambda b: F.when(b["type"] == "image", b.withField("type", F.lit("text")).withField("text", F.lit(note))).otherwise(b))
+    after_note = lambda i: F.coalesce((F.get(noted, i - 1)["type"] == "text") & (F.get(noted, i - 1)["text"] == note), F.lit(False))
+    return F.filter(noted, lambda b, i: ~(F.get(is_image, i) & after_note(i)))
+
+
 def normalize_for_model(messages: DataFrame, provider: str, api: str, model: str, images: bool) -> DataFrame:
     """History for another model. ``content``: array of structs (type, text, thinking, redacted, signature, id, name).
 
@@ -85,10 +109,7 @@ def normalize_for_model(messages: DataFrame, provider: str, api: str, model: str
     content = F.col("content")
     if not images:
         for role, note in IMAGE_NOTES.items():
-            as_note = F.transform(content, lambda b, note=note: F.when(b["type"] == "image", b.withField("type", F.lit("text")).withField("text", F.lit(note))).otherwise(b))
-            was_image = F.transform(content, lambda b: b["type"] == "image")
-            once = F.filter(as_note, lambda b, i, note=note, w=was_image: ~(F.get(w, i) & (i > 0) & F.coalesce(F.get(as_note, i - 1)["text"].eqNullSafe(F.lit(note)) & (F.get(as_note, i - 1)["type"] == "text"), F.lit(False))))
-            content = F.when(F.col("role") == role, once).otherwise(content)
+            content = F.when(F.col("role") == role, images_as_note(F.col("content"), note)).otherwise(content)
         rows, content = rows.withColumn("content", content), F.col("content")
     thinking = lambda b: b["type"] == "thinking"
     redacted = lambda b: F.coalesce(b["redacted"], F.lit(False))
@@ -156,7 +177,7 @@ def cut_point(role: Column) -> Column:
 
 def segments(df: DataFrame) -> Column:
     """Running number of compactions and branch summaries: cached context doesn't reach across."""
-    return F.count_if(F.col("type").isin("compaction", "branch_summary")).over(UP_TO)
+    return F.count_if(F.col("type").isin("compaction", "branch_summary")).over(up_to_row())
 
 
 def previous_request(usage: DataFrame) -> DataFrame:
@@ -205,7 +226,7 @@ def find_cut_point(entries: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) ->
     """
     allowed, starts = cut_point(F.col("role")), turn_start(F.col("role"))
     rows = entries.select("session_id", "seq", "role", "tokens", allowed.alias("ok"), starts.alias("starts"), (F.col("is_message") if "is_message" in entries.columns else F.lit(True)).alias("shown"))
-    rows = rows.withColumn("suffix", F.sum("tokens").over(FROM))
+    rows = rows.withColumn("suffix", F.sum("tokens").over(from_row()))
     here = rows.groupBy("session_id").agg(F.max(F.when((F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens), F.col("seq"))).alias("at"), F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"), F.min("seq").alias("first"))
     rows = rows.join(here, "session_id")
     chosen = rows.groupBy("session_id").agg(F.first("first").alias("first"), F.first("first_ok").alias("first_ok"), F.min(F.when(F.col("ok") & (F.col("seq") >= F.col("at")), F.col("seq"))).alias("next_ok"))
@@ -254,7 +275,7 @@ def context_usage(messages: DataFrame, prefix_aware: bool = False, prefix_tokens
     ok = (F.col("role") == "assistant") & (F.coalesce("usage_tokens", F.lit(0)) > 0) & ~F.coalesce(F.col("stop_reason").isin("error", "aborted"), F.lit(False))
     rows = messages
     if prefix_aware:
-        rows = rows.withColumn("_newest", F.max("ts").over(BEFORE))
+        rows = rows.withColumn("_newest", F.max("ts").over(before_row()))
         ok = ok & (F.col("_newest").isNull() | (F.col("ts") >= F.col("_newest")))
     rows = rows.withColumn("_ok", ok)
     last = rows.groupBy("session_id").agg(F.max(F.when(F.col("_ok"), F.col("seq"))).alias("usage_seq"), F.max_by("usage_tokens", F.when(F.col("_ok"), F.col("seq"))).alias("usage_tokens"))
@@ -273,7 +294,7 @@ def select_branch_budget(entries: DataFrame, budget: int) -> DataFrame:
     rows = entries.filter("role IS NULL OR role != 'toolResult'")
     if budget == 0:
         return rows
-    newest = BY.orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    newest = by_session().orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("tokens").over(newest))
     rows = rows.withColumn("_over", F.count_if(F.col("_sum") > budget).over(newest))
     summary = F.col("type").isin("compaction", "branch_summary") & (F.col("_sum") - F.col("tokens") < 0.9 * budget)
@@ -297,7 +318,7 @@ def auto_compaction_decision(messages: DataFrame, reserve: int = RESERVE_TOKENS)
 def retry_episodes(messages: DataFrame, retryable: Column, base_s: float = 2.0, cap: int = 3) -> DataFrame:
     """Runs of consecutive retryable errors: first row, attempts, and the seconds that doubling waits take (at most ``cap`` retries)."""
     rows = messages.withColumn("_bad", retryable)
-    rows = rows.withColumn("_run", F.count_if(~F.col("_bad")).over(UP_TO)).filter("_bad")
+    rows = rows.withColumn("_run", F.count_if(~F.col("_bad")).over(up_to_row())).filter("_bad")
     out = rows.groupBy("session_id", "_run").agg(F.min("seq").alias("first_seq"), F.count("*").alias("attempts"))
     return out.select("session_id", "first_seq", "attempts", (base_s * (F.pow(F.lit(2.0), F.least("attempts", F.lit(cap))) - 1)).alias("backoff_s"))
 
@@ -308,7 +329,7 @@ def context_pressure_sessions(usage: DataFrame, catalog: DataFrame | None = None
     ``compaction_tokens`` is a compaction's own size if there is such a column, else its prompt. ``catalog``: provider, model, context_window.
     """
     prompt = F.col("input") + F.col("cache_read") + F.col("cache_write")
-    rows = usage.withColumn("_prompt", prompt).withColumn("_first", F.min(F.when(F.col("type") == "compaction", F.col("seq"))).over(BY))
+    rows = usage.withColumn("_prompt", prompt).withColumn("_first", F.min(F.when(F.col("type") == "compaction", F.col("seq"))).over(by_session()))
     before = (F.col("type") == "message") & (F.col("_first").isNull() | (F.col("seq") < F.col("_first"))) & (F.col("_prompt") > 0)
     out = rows.groupBy("session_id").agg(
         F.max("_prompt").alias("max_tokens"),

@@ -250,8 +250,10 @@ def check_edits(edits: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[*given, "status", "start", "size", "occurrences"])
 
     out = joined.mapInArrow(run, schema)
-    end = F.lag(F.col("start") + F.col("size")).over(W.partitionBy(key).orderBy("start", "edit_no"))
-    return out.withColumn("overlaps", F.coalesce(F.col("status").isin("exact", "fuzzy") & (F.col("start") < end), F.lit(False)))
+    usable = F.col("status").isin("exact", "fuzzy")
+    before = W.partitionBy(key).orderBy("start", "edit_no").rowsBetween(W.unboundedPreceding, -1)
+    end = F.max(F.when(usable, F.col("start") + F.col("size"))).over(before)
+    return out.withColumn("overlaps", F.coalesce(usable & (F.col("start") < end), F.lit(False)))
 
 
 def session_info(entries: DataFrame) -> DataFrame:

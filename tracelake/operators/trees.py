@@ -12,11 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from tracelake.functions.storage import written
 
-BY = W.partitionBy("session_id")
-ORDERED = BY.orderBy("seq")
+
+
+def by_session() -> WindowSpec:
+    return W.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return by_session().orderBy("seq")
 
 
 def last_entry(entries: DataFrame) -> DataFrame:
@@ -27,9 +34,9 @@ def last_entry(entries: DataFrame) -> DataFrame:
 def migrate_v1_to_v2(entries: DataFrame) -> DataFrame:
     """B1: a linear log as a tree: stable ids, parent = previous row, kept index (which counts the header) as an entry id."""
     new_id = lambda seq: F.substring(F.sha2(F.concat_ws(":", F.col("session_id").cast("string"), seq.cast("string")), 256), 1, 8)
-    out = entries.withColumn("entry_id", new_id(F.col("seq"))).withColumn("parent_id", F.lag(new_id(F.col("seq"))).over(ORDERED))
+    out = entries.withColumn("entry_id", new_id(F.col("seq"))).withColumn("parent_id", F.lag(new_id(F.col("seq"))).over(in_order()))
     if "first_kept_index" in entries.columns:
-        place = F.row_number().over(ORDERED)
+        place = F.row_number().over(in_order())
         places = out.select("session_id", place.alias("first_kept_index"), F.col("entry_id").alias("first_kept_entry_id"))
         out = out.join(places, ["session_id", "first_kept_index"], "left").drop("first_kept_index")
     return out
@@ -179,13 +186,13 @@ def children(entries: DataFrame) -> DataFrame:
 
 def entry_slice_per_session(entries: DataFrame, offset: int, n: int) -> DataFrame:
     """for every session, n rows from an offset in sequence order."""
-    return entries.withColumn("_n", F.row_number().over(ORDERED)).filter((F.col("_n") > offset) & (F.col("_n") <= offset + n)).drop("_n")
+    return entries.withColumn("_n", F.row_number().over(in_order())).filter((F.col("_n") > offset) & (F.col("_n") <= offset + n)).drop("_n")
 
 
 def last_n_per_session(entries: DataFrame, n: int, before_seq: int | None = None) -> DataFrame:
     """for every session, the newest n rows at or below a sequence, ascending."""
     rows = entries if before_seq is None else entries.filter(F.col("seq") <= before_seq)
-    return rows.withColumn("_n", F.row_number().over(BY.orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n").orderBy("session_id", "seq")
+    return rows.withColumn("_n", F.row_number().over(by_session().orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n").orderBy("session_id", "seq")
 
 
 def latest_custom_state(entries: DataFrame, kinds: Sequence[str], data: str, leaf: DataFrame | None = None) -> DataFrame:
@@ -208,7 +215,7 @@ def context_entries(entries: DataFrame, leaf: DataFrame | None = None, harness:
     before = F.lit(False) if harness else (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_at"))
     keep = F.col("_at").isNull() | (F.col("pos") >= F.col("_at")) | F.coalesce(before, F.lit(False))
     order = F.struct(F.when(F.col("pos") == F.col("_at"), 0).otherwise(1), F.col("pos"))
-    return rows.filter(keep).withColumn("context_pos", F.row_number().over(BY.orderBy(order)) - 1).drop("_at", "_from")
+    return rows.filter(keep).withColumn("context_pos", F.row_number().over(by_session().orderBy(order)) - 1).drop("_at", "_from")
 
 
 def session_context(entries: DataFrame, leaf: DataFrame | None = None, state: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -269,11 +276,11 @@ def fork_session(entries: DataFrame, at: DataFrame | None = None, position: str
 def extract_branch(entries: DataFrame, leaf: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """H5: the path without label rows, parents chained anew, and the surviving labels of its rows at the end."""
     path = on_path(entries, branch_path(entries, leaf)).filter("type != 'label'")
-    rows = path.select("session_id", "seq", "type", F.lag("seq").over(BY.orderBy("pos")).alias("parent_seq"), (F.row_number().over(BY.orderBy("pos")) - 1).cast("long").alias("pos"))
+    rows = path.select("session_id", "seq", "type", F.lag("seq").over(by_session().orderBy("pos")).alias("parent_seq"), (F.row_number().over(by_session().orderBy("pos")) - 1).cast("long").alias("pos"))
     if labels is None:
         return rows
     kept = resolve_labels(rows.select("session_id", "seq", "pos"), labels).filter("label IS NOT NULL")
     ends = rows.groupBy("session_id").agg(F.max("pos").alias("_n"), F.max("seq").alias("_last"))
-    tail = kept.join(ends, "session_id").withColumn("_k", F.row_number().over(BY.orderBy("pos")))
+    tail = kept.join(ends, "session_id").withColumn("_k", F.row_number().over(by_session().orderBy("pos")))
     tail = tail.select("session_id", (F.col("_last") + F.col("_k")).alias("seq"), F.lit("label").alias("type"), (F.col("_last") + F.col("_k") - 1).alias("parent_seq"), (F.col("_n") + F.col("_k")).alias("pos"), F.col("seq").alias("target"), "label")
     return rows.unionByName(tail, allowMissingColumns=True)

@@ -282,7 +282,7 @@ query("g4_context_usage", "usage", sql="x AS (SELECT session_id, seq, input + ou
 )
 query("g5_select_branch_budget", "conv", sql="x AS (SELECT session_id, seq, role, tokens, sum(tokens) OVER w AS s FROM conv WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)), y AS (SELECT *, count(*) FILTER (s > 200) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS o FROM x) SELECT session_id, seq FROM y WHERE o = 0 OR (o = 1 AND role = 'system' AND s - tokens < 180)")(lambda c: C.select_branch_budget(c.withColumn("type", F.when(F.col("role") == "system", "branch_summary").otherwise("message")), 200).select("session_id", "seq"))
 query("g9_auto_compaction_decision", "usage", sql="x AS (SELECT *, max(CASE WHEN type = 'compaction' THEN ts END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cts FROM usage) SELECT session_id, seq, CASE WHEN model = 'm3' OR coalesce(ts <= cts, false) THEN 'none' WHEN stop_reason = 'stop' AND input + cache_read > 9000 THEN 'overflow' WHEN stop_reason != 'error' AND input + output + cache_read + cache_write > 9000 - 2000 THEN 'threshold' ELSE 'none' END AS decision FROM x WHERE type = 'message'")(
-    lambda u: C.auto_compaction_decision(u.withColumns({"context_window": F.lit(9000), "error_message": F.lit(None).cast("string"), "compaction_ts": F.max(F.when(F.col("type") == "compaction", F.col("ts"))).over(C.UP_TO), "current": F.col("model") != "m3"}).filter("type = 'message'"), 2000).select("session_id", "seq", "decision")
+    lambda u: C.auto_compaction_decision(u.withColumns({"context_window": F.lit(9000), "error_message": F.lit(None).cast("string"), "compaction_ts": F.max(F.when(F.col("type") == "compaction", F.col("ts"))).over(C.up_to_row()), "current": F.col("model") != "m3"}).filter("type = 'message'"), 2000).select("session_id", "seq", "decision")
 )
 query("g15_retry_episodes", "usage", sql="x AS (SELECT *, count(*) FILTER (stop_reason != 'error') OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM usage) SELECT session_id, min(seq) AS first_seq, count(*) AS attempts, 2.0 * (pow(2, least(count(*), 3)) - 1) AS backoff_s FROM x WHERE stop_reason = 'error' GROUP BY session_id, run")(lambda u: C.retry_episodes(u, F.col("stop_reason") == "error"))
 query("g6_pack_transcripts", "conv")(lambda c: hooks.pack_transcripts(c.select((F.col("session_id") % 20).cast("string").alias("cwd"), (F.col("session_id") * 1000 + F.col("seq")).alias("seq"), "text"), 5000))

@@ -30,7 +30,7 @@ def for_cwd(sessions: DataFrame, cwd: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, since=None) -> DataFrame:
     """Numbered lines of all ``*.jsonl`` files below a path. Files whose name has a time before ``since`` are not opened (A5)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
     files = files.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"))
     files = with_file_timestamp(files)
     if since is not None:
@@ -51,8 +51,8 @@ def is_object(raw: str = "raw") -> Column:
 def read_session_logs(spark: SparkSession, path: str, since=None) -> tuple[DataFrame, DataFrame]:
     """A1: (sessions, entries). Blank and malformed lines are skipped; a file counts if its first parsed line is a session header with an id."""
     lines = read_lines(spark, path, since).filter(~F.col("blank") & is_object())
-    first = lines.groupBy("file_path").agg(F.min_by(F.struct("line_no", "raw"), "line_no").alias("h"))
-    head = first.select("file_path", F.col("h.line_no").alias("_head"), F.col("h.raw").alias("raw")).filter((get("$.type") == "session") & get("$.id").isNotNull())
+    first = lines.groupBy("file_path").agg(F.min(F.struct("line_no", "line")).alias("h"))
+    head = first.select("file_path", F.col("h.line_no").alias("_head"), F.try_parse_json("h.line").alias("raw")).filter((get("$.type") == "session") & get("$.id").isNotNull())
     sessions = head.join(lines.select("file_path", "file_ts", "file_mtime").distinct(), "file_path").select(
         get("$.id").alias("session_id"), "file_path", F.coalesce(get("$.version", "int"), F.lit(1)).alias("version"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.cwd").alias("cwd"), get("$.parentSession").alias("parent_path"), "file_ts", "file_mtime"
     )
@@ -77,7 +77,7 @@ def read_session_headers(spark: SparkSession, path: str, max_bytes: int = HEADER
     head = files.select("path", (F.col("length") > max_bytes).alias("_cut"), F.split(F.decode(F.substring("content", 1, max_bytes), "UTF-8"), "\n").alias("_lines"))
     whole = F.when(F.col("_cut"), F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0)))).otherwise(F.col("_lines"))
     lines = head.select("path", F.posexplode(whole).alias("n", "line")).withColumn("raw", F.try_parse_json("line")).filter(is_object())
-    first = lines.groupBy("path").agg(F.min_by("raw", "n").alias("raw")).filter((get("$.type") == "session") & get("$.id").isNotNull())
+    first = lines.groupBy("path").agg(F.min_by("line", "n").alias("line")).withColumn("raw", F.try_parse_json("line")).filter((get("$.type") == "session") & get("$.id").isNotNull())
     return first.select(F.col("path").alias("file_path"), get("$.id").alias("session_id"), get("$.cwd").alias("cwd"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.parentSession").alias("parent_path"))
 
 
@@ -100,7 +100,7 @@ def validate_session_logs(lines: DataFrame, mode: str = "strict") -> tuple[DataF
 def malformed_line_report(lines: DataFrame) -> DataFrame:
     """A4: one row: files, included and skipped files, lines, blank and malformed lines."""
     good = ~F.col("blank") & is_object()
-    by_file = lines.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if("blank").alias("blank"), F.count_if(~F.col("blank") & ~is_object()).alias("bad"), F.min_by("raw", F.when(good, F.col("line_no"))).alias("raw"))
+    by_file = lines.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if("blank").alias("blank"), F.count_if(~F.col("blank") & ~is_object()).alias("bad"), F.min_by("line", F.when(good, F.col("line_no"))).alias("line")).withColumn("raw", F.try_parse_json("line"))
     included = F.coalesce((get("$.type") == "session") & get("$.id").isNotNull(), F.lit(False))
     return by_file.agg(F.count("*").alias("files"), F.count_if(included).alias("included"), F.count_if(~included).alias("skipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_lines"), F.coalesce(F.sum("bad"), F.lit(0)).alias("malformed_lines"))
 
@@ -138,7 +138,7 @@ def tool_calls(blocks: DataFrame) -> DataFrame:
 def read_model_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON file provider -> model -> record: provider, model, name, api, window, prices, tiers."""
     record = "struct<name:string,api:string,reasoning:boolean,input:array<string>,contextWindow:bigint,maxTokens:bigint,thinkingLevelMap:map<string,string>,cost:struct<input:double,output:double,cacheRead:double,cacheWrite:double,tiers:array<struct<inputTokensAbove:bigint,input:double,output:double,cacheRead:double,cacheWrite:double>>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", f"map<string,map<string,{record}>>")).alias("provider", "models")).select("provider", F.explode("models").alias("model", "m"))
     return rows.select("provider", "model", "m.name", "m.api", "m.reasoning", F.col("m.input").alias("modalities"), F.col("m.contextWindow").alias("context_window"), F.col("m.maxTokens").alias("max_tokens"), F.col("m.thinkingLevelMap").alias("levels"), "m.cost")
 

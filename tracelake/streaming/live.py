@@ -137,7 +137,9 @@ def fold_deltas(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
             if not sent:
                 yield row(key, held, "abandoned")
             return
+        newest = 0
         for b in batches:
+            newest = max(newest, int(b["event_ts"].max().timestamp() * 1000))
             held += json.loads(b.drop(columns=["event_ts"]).to_json(orient="records")) if not sent else []
         by_seq = {e["seq"]: e for e in held}
         ready = []
@@ -147,7 +149,7 @@ def fold_deltas(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
             yield row(key, ready, None)
             held, sent = [], True
         state.update((json.dumps(held), sent))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + 600_000)
 
     def row(key, found: list[dict], status: str | None) -> pd.DataFrame:
         m = fold_message(sorted(found, key=lambda e: e["seq"]))
@@ -272,7 +274,7 @@ def episodes(events: DataFrame, kinds: tuple[str, ...] = ("agent", "turn", "comp
                     out.append((key[0], key[1], pd.Timestamp(held.pop(), unit="us"), r.event_ts, r.outcome))
             if held:
                 state.update((json.dumps(held),))
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + most_ms)
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held[-1] // 1000) + most_ms)
             elif state.exists:
                 state.remove()
         yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in EPISODE.split(", ")])
