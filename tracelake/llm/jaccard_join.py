@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, read_table, remove, words_of, written
+from .common import components, read_table, words_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -73,7 +74,7 @@ def signed(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
     """(doc_id, key, prefixes) per row: ``key`` is the digest of the words, null without words."""
     source = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     source = source.select("doc_id", F.when(F.size("w") > 0, F.unhex(F.md5(F.array_join("w", " ")))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    schema = source.select("doc_id", "key", F.array(F.lit(0).cast("long")).alias("prefixes")).schema
+    schema = source.select("doc_id", "key").schema.add("prefixes", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
@@ -197,6 +198,3 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
-
-
-__all__ = ["near_duplicates", "op3_jaccard_join", "remove"]

@@ -6,7 +6,8 @@ number of calls before it on that path, found by pointer doubling, so a conversa
 
 Defined cases: a call without a result is ``pending``; a result without a call is kept as ``orphan``; of repeated results of a
 call the earliest counts (ties: smallest content); repeated calls of an identifier count once (earliest, then smallest
-arguments). A parent that doesn't exist is no parent. Null identifiers match nothing. Arguments that aren't a JSON object are
+arguments). A parent that doesn't exist is no parent. Null identifiers match nothing and
+wait for nothing. Arguments that aren't a JSON object are
 invalid. Empty tables give empty results.
 """
 
@@ -84,6 +85,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls = calls.select("conv_id", "call_id", "c.*")
     results = results.groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("seq").alias("result_seq"), "content")).alias("r")).select("conv_id", "call_id", "r.*", F.lit(True).alias("answered"))
     asked = calls.withColumn("asked", F.lit(True)).join(levels(calls), ["conv_id", "call_id"], "left")
+    asked = asked.withColumn("level", F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.lit(0)).otherwise(F.col("level")))
     joined = asked.join(results, ["conv_id", "call_id"], "full")
     schema = joined.select("conv_id", "call_id").schema
     for name, kind in (("name", T.StringType()), ("level", T.LongType()), ("status", T.StringType()), ("valid", T.BooleanType()), ("errors", T.ArrayType(T.StringType())), ("record", T.StringType())):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table, remove, written
+from .common import new_path, read_table, written
 
 CHUNK = 1 << 20
 
@@ -192,6 +192,3 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     index, _ = archive(pages)
     out = read_records(index)
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
-
-
-__all__ = ["archive", "normalise", "op9_warc", "read_records", "remove", "write_archives"]
