@@ -89,8 +89,12 @@ def token_histogram(results: DataFrame, tokens: str = "tokens") -> DataFrame:
     return results.agg(*(F.count_if((F.col(tokens) > (a if a else -1)) & (F.col(tokens) <= b if b else F.lit(True))).alias(x) for a, b, x in zip(low, (*BUCKETS, None), labels, strict=True))).unpivot([], labels, "bucket", "results")
 
 
-def edit_group_stats(calls: DataFrame, key: Column | str) -> DataFrame:
-    """By a key, calls, resolved, succeeded, failed and unresolved ones, rates, median and 95th percentile of inflation."""
+def edit_group_stats(calls: DataFrame, key: Column | str, approx: bool = False) -> DataFrame:
+    """By a key, calls, resolved, succeeded, failed and unresolved ones, rates, median and 95th percentile of inflation.
+
+    ``approx`` takes the percentiles from a bounded sketch, for groups too large to hold their distinct values.
+    """
+    quantile = F.percentile_approx if approx else F.percentile
     multi = F.col("mode") == "multi"
     out = calls.groupBy((F.col(key) if isinstance(key, str) else key).alias("key")).agg(
         F.count("*").alias("calls"),
@@ -99,8 +103,8 @@ def edit_group_stats(calls: DataFrame, key: Column | str) -> DataFrame:
         F.count_if(~F.col("success")).alias("failed"),
         F.count_if(F.col("success").isNull()).alias("unresolved"),
         F.count_if(multi).alias("multi"),
-        F.percentile("inflation", 0.5).alias("median_inflation"),
-        F.percentile("inflation", 0.95).alias("p95_inflation"),
+        quantile("inflation", 0.5).alias("median_inflation"),
+        quantile("inflation", 0.95).alias("p95_inflation"),
     )
     return out.withColumn("multi_rate", ratio("multi", "calls")).withColumn("success_rate", ratio("succeeded", "resolved"))
 

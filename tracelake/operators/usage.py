@@ -151,11 +151,11 @@ def cost_by_day_provider(usage: DataFrame, costs: Sequence[str] = ("cost_micro",
     return paid.cube("day", "provider").agg(*(F.sum(c).alias(c) for c in costs), F.count("*").alias("requests"), F.grouping_id().cast("long").alias("level"))
 
 
-def usage_by_day_provider(usage: DataFrame, day: Column | None = None) -> DataFrame:
-    """Token and cost sums, messages and distinct sessions by day and provider, rolled up."""
+def usage_by_day_provider(usage: DataFrame, day: Column | None = None, approx: bool = False) -> DataFrame:
+    """Token and cost sums, messages and distinct sessions by day and provider, rolled up. ``approx`` counts sessions by sketch."""
     rows = usage.withColumn("day", day if day is not None else F.to_date("ts").cast("string"))
     sums = [F.sum(c).alias(c) for c in (*TOKENS, "cost_micro")]
-    return rows.rollup("day", "provider").agg(*sums, F.count("*").alias("messages"), F.countDistinct("session_id").alias("sessions"), F.grouping_id().cast("long").alias("level"))
+    return rows.rollup("day", "provider").agg(*sums, F.count("*").alias("messages"), (F.approx_count_distinct("session_id") if approx else F.countDistinct("session_id")).alias("sessions"), F.grouping_id().cast("long").alias("level"))
 
 
 def usage_cost_breakdown(usage: DataFrame) -> DataFrame:
