@@ -36,6 +36,11 @@ def query(name: str, *views: str, sql: str | None = None, more: tuple[str, ...]
     return add
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Interpolated quantiles to 6 digits: the engines' last bits differ."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def sums(*names: str) -> str:
     return ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in names)
 
@@ -141,13 +146,13 @@ query("e8_bash_stats", "calls", sql="x AS (SELECT *, CASE WHEN call_id % 2 = 0 T
 )
 _BUCKETS = [0, *A.BUCKETS]
 query("e9_token_histogram", "conv", sql="x AS (" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS bucket, count(*) FILTER (tokens > {a if a else -1} AND tokens <= {b}) AS results FROM conv" for a, b in zip(_BUCKETS, _BUCKETS[1:], strict=False)) + " UNION ALL SELECT '32000+', count(*) FILTER (tokens > 32000) FROM conv) SELECT * FROM x")(A.token_histogram)
-_GROUP = "count(*) AS calls, count(success) AS resolved, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success IS NULL) AS unresolved, count(*) FILTER (mode = 'multi') AS multi, quantile_cont(inflation, 0.5) AS median_inflation, quantile_cont(inflation, 0.95) AS p95_inflation, CAST(count(*) FILTER (mode = 'multi') AS DOUBLE) / count(*) AS multi_rate, CAST(count(*) FILTER (success) AS DOUBLE) / nullif(count(success), 0) AS success_rate"
-query("e10_edit_group_stats", "calls", sql=f"{_CALLS} SELECT tool AS key, {_GROUP} FROM x GROUP BY tool")(lambda c: A.edit_group_stats(edits_of(c), "tool"))
-query("e10_edit_stats_by_extension", "calls", sql=f"{_CALLS} SELECT CASE WHEN path LIKE '%.%' THEN lower(regexp_extract(path, '\\.[^.]*$')) ELSE '[no_ext]' END AS key, {_GROUP} FROM x GROUP BY 1")(lambda c: A.edit_group_stats(edits_of(c), S.path_extension("path")))
+_GROUP = "count(*) AS calls, count(success) AS resolved, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success IS NULL) AS unresolved, count(*) FILTER (mode = 'multi') AS multi, round(quantile_cont(inflation, 0.5), 6) AS median_inflation, round(quantile_cont(inflation, 0.95), 6) AS p95_inflation, CAST(count(*) FILTER (mode = 'multi') AS DOUBLE) / count(*) AS multi_rate, CAST(count(*) FILTER (success) AS DOUBLE) / nullif(count(success), 0) AS success_rate"
+query("e10_edit_group_stats", "calls", sql=f"{_CALLS} SELECT tool AS key, {_GROUP} FROM x GROUP BY tool")(lambda c: rounded(A.edit_group_stats(edits_of(c), "tool"), "median_inflation", "p95_inflation"))
+query("e10_edit_stats_by_extension", "calls", sql=f"{_CALLS} SELECT CASE WHEN path LIKE '%.%' THEN lower(regexp_extract(path, '\\.[^.]*$')) ELSE '[no_ext]' END AS key, {_GROUP} FROM x GROUP BY 1")(lambda c: rounded(A.edit_group_stats(edits_of(c), S.path_extension("path")), "median_inflation", "p95_inflation"))
 query("e11_edit_summary", "calls", sql=f"{_CALLS}, l AS (SELECT 'mode' AS kind, mode AS value, success FROM x UNION ALL SELECT 'edits', CASE WHEN edits_count >= 3 THEN '3+' ELSE CAST(edits_count AS VARCHAR) END, success FROM x UNION ALL SELECT 'style', arg_style, success FROM x UNION ALL SELECT 'failure', CASE WHEN success IS NULL THEN 'missing_result' WHEN NOT success THEN CASE WHEN tokens % 2 = 0 THEN 'file_not_found' ELSE 'other' END END, success FROM x UNION ALL SELECT 'all', 'all', success FROM x) SELECT kind, value, count(*) AS calls, count(*) FILTER (NOT success) AS failed, count(success) AS resolved, CAST(count(*) FILTER (NOT success) AS DOUBLE) / nullif(count(success), 0) AS failure_rate FROM l WHERE value IS NOT NULL GROUP BY kind, value")(
     lambda c: A.edit_summary(edits_of(c).withColumn("error_kind", S.error_kind(F.when(F.col("tokens") % 2 == 0, "File not found: a").otherwise("broken"), ~F.col("success"), F.col("success").isNotNull())))
 )
-query("e12_inflation_stats", "calls", sql=f"{_CALLS} SELECT count(*) AS edits, " + ", ".join(f"quantile_cont(inflation, {p / 100}) AS p{p}" for p in (50, 90, 95, 99)) + ", " + ", ".join(f"count(*) FILTER (inflation >= {n}) AS at_least_{n}" for n in (10, 25, 100)) + ", " + ", ".join(f"count(*) FILTER (tokens > {n} * 1024) AS over_{n}k" for n in (1, 4, 16, 64)) + " FROM x")(lambda c: A.inflation_stats(edits_of(c)))
+query("e12_inflation_stats", "calls", sql=f"{_CALLS} SELECT count(*) AS edits, " + ", ".join(f"round(quantile_cont(inflation, {p / 100}), 6) AS p{p}" for p in (50, 90, 95, 99)) + ", " + ", ".join(f"count(*) FILTER (inflation >= {n}) AS at_least_{n}" for n in (10, 25, 100)) + ", " + ", ".join(f"count(*) FILTER (tokens > {n} * 1024) AS over_{n}k" for n in (1, 4, 16, 64)) + " FROM x")(lambda c: rounded(A.inflation_stats(edits_of(c)), "p50", "p90", "p95", "p99"))
 query("e12_failure_by_inflation", "calls", sql=f"{_CALLS} SELECT CASE WHEN inflation IS NULL THEN 'none' WHEN inflation < 4 THEN '<4' WHEN inflation < 10 THEN '4-10' WHEN inflation < 25 THEN '10-25' ELSE '25+' END AS bucket, count(success) AS resolved, count(*) FILTER (NOT success) AS failed, CAST(count(*) FILTER (NOT success) AS DOUBLE) / nullif(count(success), 0) AS failure_rate FROM x GROUP BY 1")(lambda c: A.failure_by_inflation(edits_of(c)))
 query("e13_same_file_clusters", "calls", sql="g AS (SELECT session_id, assistant_seq, tool, count(*) AS n FROM calls GROUP BY ALL HAVING count(*) >= 2) SELECT count(*) AS clusters, count(DISTINCT (session_id, assistant_seq)) AS messages, CAST(coalesce(sum(n), 0) AS BIGINT) AS calls, avg(n) AS mean_calls FROM g")(lambda c: A.same_file_clusters(c.withColumn("path", F.col("tool"))))
 
