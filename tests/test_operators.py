@@ -297,3 +297,46 @@ def test_budget_and_empty(spark):
     assert [r["seq"] for r in C.select_branch_budget(df, 55).orderBy("seq").collect()] == [3]
     assert C.select_branch_budget(df, 0).count() == 3
     assert R.branch_path(df.limit(0).withColumn("parent_seq", F.lit(None).cast("long"))).count() == 0
+
+
+def test_more_scalars(spark):
+    blocks = spark.sql("select array(named_struct('type','text','text','a','data',cast(null as string)), named_struct('type','image','text',null,'data','D'), named_struct('type','text','text','b','data',null)) as c")
+    r = blocks.select(S.content_text("c").alias("a"), S.content_text("c", " ").alias("b"), S.content_text("c", "|", "all").alias("d")).first()
+    assert tuple(r) == ("a\nb", "a b", "a|D|b")
+    t = spark.sql("select cast(1738318860000 as bigint) as ms, '2025-01-01T00:00:00Z' as iso, cast(null as bigint) as none, 'bad' as bad").select(S.any_time("ms", "iso").cast("string").alias("a"), S.any_time("none", "iso").cast("string").alias("b"), S.any_time("none", "bad").alias("c")).first()
+    assert tuple(t) == ("2025-01-31 10:21:00", "2025-01-01 00:00:00", None)
+    names = spark.createDataFrame([("m-latest",), ("m-20250101",), ("m",)], "m string").select(S.is_alias("m").alias("a")).collect()
+    assert [r["a"] for r in names] == [True, False, True]
+    r = spark.sql("select array('b','a','c') as x, array('c') as y, 0.1234 as p, cast(null as double) as q").select(S.distinct_except("x", "y").alias("a"), S.percent_label("p").alias("b"), S.percent_label("q").alias("c"), S.ratio(F.lit(1), F.lit(0)).alias("d")).first()
+    assert tuple(r) == (["a", "b"], "12.3%", "n/a", None)
+    r = spark.sql("select timestamp'2025-03-30 23:30:00' as t").select(S.day_label("t", "Europe/Berlin").alias("a"), S.week_label("t").alias("b"), S.hour_label("t", "Europe/Berlin").alias("c")).first()
+    assert tuple(r) == ("2025-03-31", "2025-03-24", "01")
+    long_line = one(spark, x="y" * 501).select(S.truncate_line("x").alias("t")).first()["t"]
+    assert long_line == "y" * 500 + "... [truncated]"
+
+
+def test_forks_and_harness_context(spark):
+    tree = spark.createDataFrame([(1, s, p, t, "user" if s in (2, 6) else "assistant", 3 if s == 5 else None) for s, p, t in TREE], "session_id long, seq long, parent_seq long, type string, role string, first_kept_seq long")
+    at = spark.createDataFrame([(1, 6)], "session_id long, seq long")
+    heads, rows = R.fork_session(tree, at, "before")
+    assert [r["seq"] for r in rows.orderBy("seq").collect()] == [1, 2, 3, 4, 5] and tuple(heads.first()) == ("1-fork", 1)
+    with pytest.raises(Exception):  # noqa: B017
+        R.fork_session(tree, at.withColumn("seq", F.lit(7).cast("long")), "before")[1].collect()
+    assert R.fork_session(tree)[1].count() == len(TREE)
+    assert [r["seq"] for r in R.context_entries(tree, at, harness=True).orderBy("context_pos").collect()] == [5, 6]
+    labels = spark.createDataFrame([(1, 90, 2, "old", 1), (1, 91, 2, "new", 2), (1, 92, 3, "x", 3), (1, 93, 3, "", 4)], "session_id long, seq long, target long, label string, ts int")
+    got = R.extract_branch(tree, at, labels).filter("type = 'label'").collect()
+    assert [(r["target"], r["label"], r["pos"]) for r in got] == [(2, "new", 6)]
+
+
+def test_approximate_forms(spark):
+    calls = spark.createDataFrame([("m", k, True, k / 2.0) for k in range(100)], "mode string, n int, success boolean, inflation double")
+    exact, near = (A.edit_group_stats(calls, "mode", a).first()["median_inflation"] for a in (False, True))
+    assert abs(exact - near) <= 0.5
+
+
+def test_scan_reads_only_what_it_needs(spark):
+    from tracelake.plans.queries import QUERIES
+
+    plan = QUERIES["e1_cost_by_day_provider"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "props" not in plan
