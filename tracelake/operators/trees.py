@@ -267,7 +267,9 @@ def fork_session(entries: DataFrame, at: DataFrame | None = None, position: str
         leaf = at.select("session_id", "seq")
         if position == "before":
             ok = F.when(F.coalesce(F.col("role"), F.lit("")) == "user", F.col("parent_seq")).otherwise(F.raise_error(F.lit("only a user entry can be forked before")).cast("long"))
-            leaf = leaf.join(entries, ["session_id", "seq"]).select("session_id", ok.alias("seq"))
+            # written first: else the check would be pushed below the join, to all entries
+            points = written(leaf.join(entries, ["session_id", "seq"]).select("session_id", "role", "parent_seq"), "fork-points")
+            leaf = points.select("session_id", ok.alias("seq"))
         rows = on_path(entries, branch_path(entries, leaf)).drop("pos")
     sources = entries.select("session_id").distinct() if at is None else at.select("session_id").distinct()
     return sources.select(name.alias("session_id"), F.col("session_id").alias("parent_session")), rows.withColumn("session_id", name)
