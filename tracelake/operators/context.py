@@ -16,8 +16,8 @@ from tracelake.operators.usage import context_tokens, is_context_overflow
 RESERVE_TOKENS = 16_384
 KEEP_RECENT_TOKENS = 20_000
 CACHE_NOISE_TOKENS = 1_024
-TURN_STARTS = ("user", "bashExecution", "custom", "branchSummary")
-CUT_ROLES = (*TURN_STARTS, "assistant", "compactionSummary")
+TURN_STARTS = ("user", "bashExecution", "custom", "branchSummary", "compactionSummary")
+CUT_ROLES = (*TURN_STARTS, "assistant")
 SUMMARY_MARKS = {
     "branchSummary": ("The following is a summary of a branch that this conversation came back from:\n\n<summary>\n", "</summary>"),
     "compactionSummary": ("The conversation history before this point was compacted into the following summary:\n\n<summary>\n", "\n</summary>"),
@@ -153,11 +153,13 @@ def serialize_conversation(messages: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
 
 
-def transcript(messages: DataFrame) -> DataFrame:
-    """Each session's user and assistant texts with [ROLE] heads; blank ones are left out."""
+def transcript(messages: DataFrame, name: Column | None = None) -> DataFrame:
+    """Each session's user and assistant texts with [ROLE] heads, between marks that name it (its id if not given); blank ones are left out."""
     rows = messages.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     part = F.concat(F.lit("["), F.upper("role"), F.lit("]\n"), F.col("text"))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("text"))
+    out = rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", part.alias("part")))), lambda x: x["part"]), "\n---\n").alias("text"))
+    head = F.concat(F.lit("=== SESSION: "), name if name is not None else F.col("session_id").cast("string"), F.lit(" ===\n"))
+    return out.withColumn("text", F.concat(head, F.col("text"), F.lit("\n=== END SESSION ===")))
 
 
 def should_compact(tokens: Column, window: Column, reserve: int = RESERVE_TOKENS, enabled: bool = True) -> Column:
@@ -222,9 +224,11 @@ def find_cut_point(entries: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) ->
     """Where to cut each session's rows: cut, turn_start (-1: none) and split. Rows: session_id, seq, role, tokens (0: metadata), is_message.
 
     The last row from which ``keep_tokens`` follow sets the place; the cut is the next allowed row, moved back over metadata
-    rows; a cut inside a turn names that turn's first row. Without an allowed row the cut is the first row.
+    rows; a cut inside a turn names that turn's first row. Without an allowed row the cut is the first row. Rows of type compaction,
+    if there is such a column, are neither cut at nor turn starts.
     """
-    allowed, starts = cut_point(F.col("role")), turn_start(F.col("role"))
+    plain = F.col("type") != "compaction" if "type" in entries.columns else F.lit(True)
+    allowed, starts = cut_point(F.col("role")) & plain, turn_start(F.col("role")) & plain
     rows = entries.select("session_id", "seq", "role", "tokens", allowed.alias("ok"), starts.alias("starts"), (F.col("is_message") if "is_message" in entries.columns else F.lit(True)).alias("shown"))
     rows = rows.withColumn("suffix", F.sum("tokens").over(from_row()))
     here = rows.groupBy("session_id").agg(F.max(F.when((F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens), F.col("seq"))).alias("at"), F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"), F.min("seq").alias("first"))

@@ -262,7 +262,7 @@ query("b2_migrate_v2_to_v3", "conv", sql="SELECT session_id, seq, CASE WHEN role
 
 query("b19_estimate_tokens", "conv", sql="SELECT session_id, seq, tokens FROM conv")(lambda c: c.withColumn("content", F.array(F.struct(F.lit("text").alias("type"), F.translate("text", "\U0001f600", "").alias("text"), F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))).withColumn("role", F.when(F.col("role") == "system", "custom").otherwise(F.col("role"))).transform(lambda d: d.select("session_id", "seq", C.estimate_tokens(d).alias("tokens"))))
 query("b23_serialize_conversation", "conv", sql="SELECT session_id, string_agg(CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) || chr(10) ORDER BY seq) AS text FROM conv WHERE role IN ('user', 'assistant') AND text != '' GROUP BY session_id")(C.serialize_conversation)
-query("b24_transcript", "conv", sql="SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY seq) AS text FROM conv WHERE role IN ('user', 'assistant') AND trim(text) != '' GROUP BY session_id")(C.transcript)
+query("b24_transcript", "conv", sql="SELECT session_id, '=== SESSION: ' || CAST(session_id AS VARCHAR) || ' ===' || chr(10) || string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY seq) || chr(10) || '=== END SESSION ===' AS text FROM conv WHERE role IN ('user', 'assistant') AND trim(text) != '' GROUP BY session_id")(C.transcript)
 query("b3_explode_blocks", "conv", sql="x AS (SELECT session_id, seq, string_split(text, '. ') AS b FROM conv) SELECT session_id, seq, CAST(k - 1 AS INTEGER) AS pos, b[k] AS text FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM x)")(lambda c: c.select("session_id", "seq", F.posexplode(F.split("text", r"\. ")).alias("pos", "text")))
 query("b5_entries_to_context", "tree", sql="SELECT session_id, seq, CASE type WHEN 'compaction' THEN 'compactionSummary' ELSE 'user' END AS role FROM tree WHERE type IN ('compaction', 'message')")(lambda t: C.entries_to_context(t.withColumns({"role": F.lit("user"), "summary": F.lit(None).cast("string")})).select("session_id", "seq", "role"))
 query("c13_should_compact", "conv", sql="t AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM conv GROUP BY 1) SELECT session_id, tokens, tokens > 20000 - 19000 AS compact FROM t")(lambda c: c.groupBy("session_id").agg(F.sum("tokens").alias("tokens")).withColumn("compact", C.should_compact(F.col("tokens"), F.lit(20000), 19000)))
