@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,12 +33,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: cuts the lineage, survives lost executors, and is computed once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps now: they are deleted once the driver has collected those steps' plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes written tables that no result still reads."""
     for df in tables:
@@ -67,7 +74,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     seen = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that a hub's rows come to the join straight from their exchange, where Spark can split them
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
         first = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -75,7 +83,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         step = written(small.distinct(), "edges")
         stamp = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        remove(now)
+        remove(now, low)
         now = step
         if stamp == seen:
             break

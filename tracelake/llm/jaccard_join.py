@@ -58,30 +58,33 @@ def forest_depth(threshold: float = THRESHOLD, trees: int = 24, max_depth: int =
     return depth
 
 
-def prefixes(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Per tree, the hash of the first ``depth`` labels of the signature."""
-    labels = np.empty(trees * depth, np.uint64)
+def prefixes(sets: np.ndarray, trees: int, depth: int, block: int = 2048) -> np.ndarray:
+    """Per tree, the hash of the first ``depth`` labels of the signature: minima of 32-bit permutations, in blocks of the set."""
     seeds = mix(np.arange(1, trees * depth + 1, dtype=np.uint64) * MULTIPLIER)
-    for k, seed in enumerate(seeds):
-        labels[k] = ((sets ^ seed) * (MULTIPLIER ^ (seed | np.uint64(1)))).min()
-    out = np.arange(trees, dtype=np.uint64)
+    flips, factors = (seeds >> np.uint64(32)).astype(np.uint32)[:, None], (seeds.astype(np.uint32) | np.uint32(1))[:, None]
+    values, labels = (sets >> np.uint64(32)).astype(np.uint32), np.full(trees * depth, 2**32 - 1, np.uint32)
+    for k in range(0, len(values), block):
+        x = values[None, k : k + block] ^ flips
+        x *= factors
+        np.minimum(labels, x.min(1), out=labels)
+    labels, out = labels.astype(np.uint64).reshape(trees, depth), np.arange(trees, dtype=np.uint64)
     for k in range(depth):
-        out = mix(out * MULTIPLIER + labels.reshape(trees, depth)[:, k])
+        out = mix(out * MULTIPLIER + labels[:, k])
     return out.astype(np.int64)
 
 
 def signed(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
-    """(doc_id, key, prefixes) per row: ``key`` is the digest of the words, null without words."""
-    source = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    source = source.select("doc_id", F.when(F.size("w") > 0, F.unhex(F.md5(F.array_join("w", " ")))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    schema = source.select("doc_id", "key").schema.add("prefixes", T.ArrayType(T.LongType()))
+    """(doc_id, raw, key, prefixes) per row: ``raw`` is the digest of the text, ``key`` that of its words, null without words."""
+    source = docs.select("doc_id", F.unhex(F.md5("text")).alias("raw"), words_of(F.col("text")).alias("w"))
+    source = source.select("doc_id", "raw", F.when(F.size("w") > 0, F.unhex(F.md5(F.array_join("w", " ")))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    schema = source.select("doc_id", "raw", "key").schema.add("prefixes", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
             w = b.column("w")
             flat, at = w.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))]
             rows = [prefixes(shingles(flat[at[k] : at[k + 1]], size), trees, depth) if at[k + 1] > at[k] else None for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "prefixes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "raw", "key")), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "raw", "key", "prefixes"])
 
     return source.mapInArrow(run, schema)
 
@@ -146,7 +149,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     # classes get a number of their own, so that ids may be null or repeated
     classes_n = classes.select(F.xxhash64("key").alias("c"), "key", "rep", "copies", "prefixes")
     inside = classes_n.select("c", F.posexplode("prefixes").alias("tree", "prefix"))
-    hubs = inside.groupBy("tree", "prefix").agg(F.min("c").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = written(inside.groupBy("tree", "prefix").agg(F.min("c").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("tree", "prefix", "hub"), "prefix-hubs")
     edges = inside.join(hubs, ["tree", "prefix"]).filter("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges)
     members = clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")).join(classes_n.select("c", "key", "rep", "copies"), "c")
@@ -154,12 +157,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = members.join(sizes, "cluster").select("cluster", "c", "key", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("c", F.lit(1)), blocks).cast("int").alias("own"))
     members = written(members, "members")
-    # one text a class: the words of any row with its digest
-    w = words_of(F.col("text"))
-    texts = docs.select(F.when(F.size(w) > 0, F.unhex(F.md5(F.array_join(w, " ")))).alias("key"), "text", "doc_id")
-    first = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = members.join(first, "key").select("key", "doc_id", "cluster", "c", "copies", "blocks", "own")
-    dealt = texts.join(chosen, (texts["key"] == chosen["key"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("cluster", "c", "copies", "blocks", "own", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    # one text a class: that of the row of smallest id and digest; both join, so that rows without an id don't meet each other
+    first = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("r")).select("key", F.col("r.doc_id").alias("rep_id"), F.col("r.raw").alias("raw"))
+    chosen = members.join(first, "key").select("rep_id", "raw", "cluster", "c", "copies", "blocks", "own")
+    texts = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
+    dealt = texts.join(chosen, (texts["digest"] == chosen["raw"]) & texts["doc_id"].eqNullSafe(chosen["rep_id"])).select("cluster", "c", "copies", "blocks", "own", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c", "copies", "w")
 
@@ -191,6 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     named = classes_n.select("c", "key", "rep", "copies").join(roots.select(F.col("node").alias("c"), F.col("root").alias("r")), "c", "left").withColumn("r", F.coalesce("r", "c"))
     tops = named.groupBy("r").agg(F.min("rep").alias("class_id"))
     named = named.join(tops, "r").join(links, "c", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = written(named, "named-classes")
     return rows.select("doc_id", "key").join(named, "key", "left").select(
         "doc_id", F.hex("key").alias("text_class"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
