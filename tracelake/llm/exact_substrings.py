@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, remove, written
+from .common import read_table, release, remove, written
 from .induced_sort import disk_array, prefix_hashes, sorted_suffixes, substring_hashes
 
 WINDOW = 200
@@ -107,30 +107,46 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def pieces(texts: DataFrame, window: int) -> DataFrame:
-    """The bytes of each candidate run, of whole windows: key, start, m, digest, piece."""
-    schema = "key binary, start long, m long, digest binary, piece binary"
+def places(texts: DataFrame, window: int) -> DataFrame:
+    """Where each candidate run lies, and the digest of its bytes: key, start, count, m, digest. Rows: key, text, runs."""
+    schema = "key binary, start long, count int, m long, digest binary"
 
     def run(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for key, text, runs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                for r in runs:
-                    piece = text[r["start"] : r["start"] + r["count"] + window - 1]
-                    rows.append((key, r["start"], r["m"], hashlib.md5(piece).digest(), piece))
-                if len(rows) >= 20_000:
-                    yield table(rows)
-                    rows = []
-            if rows:
-                yield table(rows)
-
-    def table(rows):
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "start", "m", "digest", "piece"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = [
+                    (key, r["start"], r["count"], r["m"], hashlib.md5(text[r["start"] : r["start"] + r["count"] + window - 1]).digest())
+                    for key, text, runs in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True)
+                    for r in runs
+                ]
+                if rows:
+                    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "start", "count", "m", "digest"])
 
     return texts.mapInArrow(run, schema)
 
 
+def pieces(texts: DataFrame, window: int) -> DataFrame:
+    """The bytes of chosen runs: m, digest, copies, piece. Rows: text and ``own``, an array of (start, count, m, digest, copies)."""
+    schema = "m long, digest binary, copies long, piece binary"
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = [
+                    (r["m"], r["digest"], r["copies"], text[r["start"] : r["start"] + r["count"] + window - 1])
+                    for text, own in zip(part.column("text").to_pylist(), part.column("own").to_pylist(), strict=True)
+                    for r in own
+                ]
+                if rows:
+                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["m", "digest", "copies", "piece"])
+
+    return texts.select("text", "own").mapInArrow(run, schema)
+
+
 def repeats_in(chunks: list[bytes], window: int, folder: str) -> np.ndarray:
     """Over the pieces end to end: True at each place where a window starts that also starts elsewhere among them."""
     text = disk_array(folder, "text", np.uint8, sum(map(len, chunks)))
@@ -219,23 +235,34 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: doc_id, n_bytes, sha, copies of its text, and kept and spans (null: nothing removed by windows of other texts)."""
+    spark = docs.sparkSession
     rows = written(scan(docs, window), "anchor-runs")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     runs = rows.select("doc_id", "key", F.explode(F.arrays_zip("m", "start", "count")).alias("r")).select("doc_id", "key", "r.*")
     place = F.xxhash64("key", "start")
-    twice = runs.groupBy("m").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("m")
-    wanted = runs.join(twice, "m", "left_semi").groupBy("key").agg(F.min("doc_id").alias("rep"), F.collect_set(F.struct("start", "count", "m")).alias("runs"))
+    twice = written(runs.groupBy("m").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("m"), "anchors-twice")
+    release(spark)
+    wanted = written(runs.join(twice, "m", "left_semi").groupBy("key").agg(F.min("doc_id").alias("rep"), F.collect_set(F.struct("start", "count", "m")).alias("runs")), "candidate-runs")
+    release(spark)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     source = docs.select(F.col("doc_id").alias("rep_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
     chosen = source.join(wanted, (source["text_key"] == wanted["key"]) & source["rep_id"].eqNullSafe(wanted["rep"])).select("key", "rep", "text", "runs")
     chosen = written(chosen.dropDuplicates(["key", "rep"]).select("key", "text", "runs"), "candidate-texts")
-    every = written(pieces(chosen, window), "pieces")
-    distinct = every.groupBy("digest").agg(F.first("m").alias("m"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
-    total = every.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    found = written(repeated_windows(distinct, window, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))), "repeats")
+    remove(twice, wanted)
+    release(spark)
+    every = written(places(chosen, window), "places")
+    one = every.groupBy("digest").agg(F.min(F.struct("key", "start", "count", "m")).alias("r"), F.count("*").alias("copies"))
+    one = written(one.select("r.*", "digest", "copies"), "distinct-pieces")
+    release(spark)
+    total = one.agg(F.sum(F.col("count") + window - 1)).first()[0] or 0
+    own = one.groupBy("key").agg(F.collect_list(F.struct("start", "count", "m", "digest", "copies")).alias("own"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = written(repeated_windows(pieces(chosen.select("key", "text").join(own, "key"), window), window, max(least, -(-total // shard_bytes))), "repeats")
+    release(spark)
     spans = every.select("key", "start", "digest").join(found, "digest").groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("stop"))).alias("found"))
     done = written(cut(chosen.select("key", "text").join(spans, "key"), window), "cut-texts")
-    remove(every, found, chosen)
+    remove(every, one, found, chosen)
+    release(spark)
     return rows.select("doc_id", "key", "n_bytes", "sha").join(copies.join(done, "key", "left"), "key")
 
 

@@ -4,7 +4,7 @@ Suffixes are L-type (greater than the next suffix) or S-type; the leftmost S-typ
 suffix is induced from its successor. The priority queue of (first byte, rank) pairs holds ranks in the order of insertion, so
 it is one first-in-first-out queue a byte, kept on disk beyond ``memory_bytes``. LMS substrings are sorted by the same
 induction and named; where names repeat, the reduced string is sorted by doubling, to the depth that the caller asks for.
-All arrays of the size of the text are disk-backed maps.
+Arrays of the size of the text are disk-backed maps beyond a limit.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import tempfile
 
 import numpy as np
 
+#: Places in a shard's text: shards stay below 2 GB.
+POSITION = np.int32
+
 
 class Queues:
     """A first-in-first-out queue of positions for each byte value; contents above the limit go to files."""
@@ -28,12 +31,21 @@ class Queues:
         """Adds positions behind the queues of their symbols, in the given order."""
         if not len(positions):
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols, positions = symbols[order], positions[order]
-        at = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        for a, b in zip(at, np.r_[at[1:], len(symbols)], strict=True):
-            self.parts[symbols[a]].append(positions[a:b])
-        self.held += positions.nbytes
+        positions = positions[np.argsort(symbols, kind="stable")]
+        at = 0
+        for c, n in enumerate(np.bincount(symbols, minlength=256).tolist()):
+            if n:
+                self.parts[c].append(positions[at : at + n])
+                at += n
+        self.grown(positions.nbytes)
+
+    def append(self, symbol: int, positions: np.ndarray) -> None:
+        """Adds positions behind the queue of one symbol."""
+        self.parts[symbol].append(positions)
+        self.grown(positions.nbytes)
+
+    def grown(self, size: int) -> None:
+        self.held += size
         if self.held > self.most:
             self.spill()
 
@@ -42,7 +54,7 @@ class Queues:
             if fresh := [p for p in parts if isinstance(p, np.ndarray)]:
                 with open(os.path.join(self.folder, str(c)), "ab") as f:
                     for p in fresh:
-                        f.write(p.astype(np.int64, copy=False).tobytes())
+                        f.write(np.ascontiguousarray(p, POSITION).tobytes())
                 self.parts[c] = [sum(len(p) if isinstance(p, np.ndarray) else p for p in parts)]
         self.held = 0
 
@@ -60,13 +72,16 @@ class Queues:
                 self.held -= p.nbytes
             else:
                 path = os.path.join(self.folder, str(symbol))
-                out.append(np.fromfile(path, np.int64))
+                out.append(np.fromfile(path, POSITION))
                 os.remove(path)
-        return np.concatenate(out).astype(np.int64, copy=False) if out else np.empty(0, np.int64)
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, POSITION)
 
 
-def disk_array(folder: str, name: str, kind, size: int) -> np.ndarray:
-    return np.memmap(os.path.join(folder, name), kind, "w+", shape=(max(1, size),))[:size]
+def disk_array(folder: str, name: str, kind, size: int, memory_bytes: int = 48 << 20) -> np.ndarray:
+    """An array, on disk if it is larger than ``memory_bytes``."""
+    if size * np.dtype(kind).itemsize <= memory_bytes:
+        return np.empty(size, kind)
+    return np.asarray(np.memmap(os.path.join(folder, name), kind, "w+", shape=(size,)))
 
 
 def suffix_types(text: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -88,7 +103,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, folder: str, m
     given.put(text[seeds], seeds)
     pending, done_l = Queues(folder, "l", memory_bytes), Queues(folder, "L", memory_bytes)
     if len(text):  # the last suffix is L-type and induced by the end of the text
-        pending.put(text[-1:], np.array([len(text) - 1]))
+        pending.put(text[-1:], np.array([len(text) - 1], POSITION))
 
     def feed(queue: Queues, source: np.ndarray, kind: bool, c: int) -> np.ndarray:
         """Queues the predecessors of the wanted type; those that begin with ``c`` again are the next wave."""
@@ -102,17 +117,17 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, folder: str, m
     for c in range(256):
         wave = pending.take(c)
         while len(wave):
-            done_l.put(np.full(len(wave), c, np.uint8), wave)
+            done_l.append(c, wave)
             wave = feed(pending, wave, False, c)
         feed(pending, given.take(c), False, c)
     pending, done_s, kept_l = Queues(folder, "s", memory_bytes), Queues(folder, "S", memory_bytes), Queues(folder, "K", memory_bytes)
     for c in range(255, -1, -1):
         wave = pending.take(c)
         while len(wave):
-            done_s.put(np.full(len(wave), c, np.uint8), wave)
+            done_s.append(c, wave)
             wave = feed(pending, wave, True, c)
         own = done_l.take(c)
-        kept_l.put(np.full(len(own), c, np.uint8), own)
+        kept_l.append(c, own)
         feed(pending, own[::-1], True, c)
     return kept_l, done_s
 
@@ -155,40 +170,55 @@ def substring_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, s
 
 
 def sort_reduced(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of the reduced string to ``depth`` names at least, by doubling."""
-    rank, reach = names.astype(np.int64), 1
-    while True:
-        follows = np.zeros(len(rank), np.int64)
-        follows[: max(0, len(rank) - reach)] = rank[reach:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + follows
-        order = np.argsort(key, kind="stable")
-        ranked = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]).astype(np.int64)])
-        rank = np.empty(len(order), np.int64)
-        rank[order] = ranked
+    """Order of the suffixes of the reduced string to ``depth`` names at least, by doubling.
+
+    A suffix's rank is the place in the order where its group begins, so groups are split in place, and only suffixes of groups
+    of two or more are looked at again.
+    """
+    n = len(names)
+    order = np.argsort(names)
+    first = np.r_[True, names[order][1:] != names[order][:-1]]
+    start = np.flatnonzero(first)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(start, np.diff(np.r_[start, n]))
+    reach = 1
+    while reach < depth:
+        tied = np.flatnonzero(~(first & np.r_[first[1:], True]))
+        if not len(tied):
+            break
+        at = order[tied]
+        ahead = at + reach
+        key = rank[at] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        own = np.argsort(key)
+        at, key = at[own], key[own]
+        order[tied] = at
+        first[tied] = np.r_[True, key[1:] != key[:-1]]
+        new = first[tied]
+        begins = tied[np.flatnonzero(new)]
+        rank[at] = np.repeat(begins, np.diff(np.r_[np.flatnonzero(new), len(tied)]))
         reach *= 2
-        if reach >= depth or not len(order) or ranked[-1] == len(order) - 1:
-            return order
+    return order
 
 
 def sorted_suffixes(text: np.ndarray, folder: str, depth: int = 200, memory_bytes: int = 64 << 20):
     """Yields the suffixes in order, bucket by bucket; suffixes that agree in ``depth`` bytes may come in any order."""
     n = len(text)
     is_s = suffix_types(text, disk_array(folder, "types", np.bool_, n))
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(POSITION)
     if len(lms):
         unused, found = induce(text, is_s, lms, folder, memory_bytes)
-        is_lms = disk_array(folder, "lms", np.bool_, n)
-        is_lms[:] = False
-        is_lms[lms] = True
+        number = disk_array(folder, "lms", POSITION, n)
+        number[:] = -1
+        number[lms] = np.arange(len(lms), dtype=POSITION)
         ordered = []
         for c in range(256):
-            part = found.take(c)[::-1]
-            ordered.append(part[is_lms[part]])
-        order = np.concatenate(ordered)
+            part = number[found.take(c)[::-1]]
+            ordered.append(part[part >= 0])
+        index = np.concatenate(ordered)
+        order = lms[index]
         unused.drop()
         found.drop()
         # the LMS substring reaches to the next LMS position, that byte included
-        index = np.searchsorted(lms, order)
         stop = np.minimum(np.r_[lms[1:], n - 1][index] + 1, n)
         sums, inverse = prefix_hashes(text, disk_array(folder, "sums", np.uint64, n + 1))
         h = substring_hashes(sums, inverse, order, stop)
@@ -198,7 +228,7 @@ def sorted_suffixes(text: np.ndarray, folder: str, depth: int = 200, memory_byte
         if named[-1] + 1 < len(order):
             names = np.empty(len(lms), np.int64)
             names[index] = named
-            order = lms[sort_reduced(names, depth)]
+            order = lms[sort_reduced(names, -(-depth // 2))]  # LMS places are two bytes apart at least
     else:
         order = lms
     low, high = induce(text, is_s, order, folder, memory_bytes)
