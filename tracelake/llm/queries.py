@@ -38,5 +38,35 @@ hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k +
 it AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+""",
+    "op5_tool_calls": """
+WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'ask' ELSE 'configure' END AS name, coalesce(text, '') AS text, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role IN ('user', 'system')),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM a),
+r AS (SELECT conv_id, turn - 1 AS turn, coalesce(text, '') AS content FROM conversations WHERE role = 'assistant'),
+j AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, name, text, level, content, CASE WHEN l.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END AS status FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn)
+SELECT conv_id, 'call_' || CAST(turn AS VARCHAR) AS call_id, name, CAST(level AS BIGINT) AS level, status,
+  coalesce(text != '' AND (name = 'ask' OR turn = 0), false) AS valid,
+  concat_ws(';', CASE WHEN text = '' THEN '$.text: too short' END, CASE WHEN name = 'configure' AND turn > 0 THEN '$.turn: out of range' END) AS errors,
+  sha256('{"arguments":' || coalesce('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || '}', 'null') || ',"id":"call_' || CAST(turn AS VARCHAR) || '","level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '"}') AS record_sha256
+FROM j
+""",
+    "op8_exact_substrings": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, k, md5(substr(h, 2 * k + 1, 400)) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS k FROM d WHERE length(h) >= 400)),
+dup AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS p FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+isl AS (SELECT r, k, sum(CASE WHEN p IS NULL OR k - p > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS i FROM dup),
+s AS (SELECT r, i, min(k) AS a, max(k) + 200 AS z FROM isl GROUP BY r, i),
+g AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM s),
+t AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS e, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS head FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * e + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: list_sum(list_transform(range(1, 6), lambda j: (strpos('0123456789abcdef', h[5 * i + j]) - 1) * CAST(power(16, 5 - j) AS BIGINT)))) AS q FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda c: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST(q[c // 4 + 1] AS BIGINT) // CAST(power(32, 3 - c % 4) AS BIGINT)) % 32 + 1 AS BIGINT)]), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != f THEN f END AS refers_to
+FROM v
 """,
 }
