@@ -3,7 +3,7 @@
 Shallow trees are boosted in turn on one binned feature after the other; each feature ends up with a lookup table over its
 bins. The pairs with the most gain left get two-way tables the same way. A score is the sum of looked-up values.
 
-Training reads a bounded sample of labelled rows (``max_rows``, the rows of lowest id hash); everything else covers all rows.
+Training reads a bounded sample of labelled rows (some ``max_rows``, by id hash); everything else covers all rows.
 Defined cases: a null text counts as empty, and empty texts have features of 0 and get a score; a null id is never held out.
 Null labels are left out; repeated labels of an id vote by mean. Without labels of both kinds the score is the label mean.
 """
@@ -131,10 +131,14 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(table: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> dict:
-    """Fits on at most ``max_rows`` labelled rows of the training folds, those of lowest id hash."""
+    """Fits on some ``max_rows`` labelled rows of the training folds at most: those whose id hash lies in that share of all hashes."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(max_rows).select(*FEATURES, "_y").toPandas()
+    rows = table.join(marks, "doc_id")
+    n = rows.count()
+    if n > max_rows:  # a share of the hash space, so that no task sends more than its share
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    rows = rows.select("doc_id", *FEATURES, "_y").toPandas().sort_values(["doc_id", *FEATURES])
     return fit(rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float))
 
 
