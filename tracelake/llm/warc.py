@@ -31,6 +31,7 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
     first = p.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter((F.col("size") >= least_bytes) & (F.col("first") != F.col("last"))).select("sha1", "first")
+    first = written(first, "first-pages")
     # digests join narrow rows; the payloads stay where they are read
     refers = p.select("page_id", "sha1").join(first, "sha1").filter("page_id > first").select("page_id", F.col("first").alias("refers_to"), "sha1").distinct()
     refers = written(refers, "revisits")
