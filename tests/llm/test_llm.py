@@ -2,6 +2,7 @@
 
 import base64
 import binascii
+import difflib
 import hashlib
 import json
 import random
@@ -423,3 +424,52 @@ def test_chains_and_alignment():
     n, a0, a1, b0, b1 = passages.align([9, *range(20), 8], [7, 7, *range(10), 99, *range(10, 20)])
     assert (n, a0, a1, b0, b1) == (20, 1, 21, 2, 23)
     assert passages.without("a  b c\nd e", [{"start": 1, "length": 2}]) == "a  d e" and passages.without("a b", [{"start": 1, "length": 1}]) == "a " and passages.without(None, [{"start": 0, "length": 1}]) is None
+
+
+def brute_runs(a, b, least=40, similarity=0.8):
+    """Words of ``a`` in any run of matching blocks that is long and similar enough, and those in such a run without wide gaps."""
+    blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    loose, tight = set(), set()
+    for i in range(len(blocks)):
+        for j in range(i, len(blocks)):
+            part, p, q = blocks[i : j + 1], blocks[i], blocks[j]
+            n = sum(m.size for m in part)
+            if n >= least and n >= similarity * max(q.a + q.size - p.a, q.b + q.size - p.b):
+                loose |= set(range(p.a, q.a + q.size))
+                if all(max(y.a - x.a - x.size, y.b - x.b - x.size) <= 8 for x, y in zip(part, part[1:], strict=False)):
+                    tight |= set(range(p.a, q.a + q.size))
+    return loose, tight
+
+
+def test_passage_runs():
+    rng = random.Random(11)
+    other = lambda n: [rng.randrange(10**6, 10**9) for _ in range(n)]
+    found = 0
+    for _ in range(150):
+        a, b = other(rng.randrange(30)), other(rng.randrange(30))
+        for _ in range(rng.randrange(1, 5)):
+            body = [rng.randrange(300 if rng.random() < 0.3 else 10**6) for _ in range(rng.randrange(20, 90))]
+            edited = [w if rng.random() > 0.06 else -w - 1 for w in body]
+            a += body + other(rng.randrange(25))
+            b += edited + other(rng.randrange(25))
+        got = set()
+        for n, a0, a1, b0, b1 in passages.runs(a, b):
+            assert n >= 40 and n >= 0.8 * max(a1 - a0, b1 - b0)
+            got |= set(range(a0, a1))
+        loose, tight = brute_runs(a, b)
+        assert tight <= got <= loose
+        found += len(passages.runs(a, b)) > 1
+    assert found > 20
+    assert passages.runs([], [1]) == [] and passages.runs([1], [2]) == [] and passages.runs([1], [1]) == []
+
+
+def test_passages_of_one_chain(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, three = text(60), text(60), text(50)
+    near = text(120)
+    docs = [text(30) + one + text(40) + two + text(40) + three + text(30), text(20) + one + text(30) + two + text(35) + three + text(10), text(20) + near + text(20), near[:70] + text(12) + near[70:] + text(30)]
+    got = {r["doc_id"]: r["repeats"] for r in passages.repeated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert [(s["start"], s["length"]) for s in got[0]] == [(30, 60), (130, 60), (230, 50)]
+    assert [(s["start"], s["length"]) for s in got[1]] == [(20, 60), (110, 60), (205, 50)]
+    assert [(s["start"], s["length"]) for s in got[2]] == [(20, 120)] and [(s["start"], s["length"]) for s in got[3]] == [(0, 132)]
