@@ -229,6 +229,32 @@ def test_packing_balance():
     assert np.std(costs) < np.std([cost(s) for s in plain[:-1]])
 
 
+def test_packing_cuts_only_what_fits_nowhere():
+    rng = random.Random(3)
+    for draw in (lambda: min(2047, int(rng.lognormvariate(6, 1)) + 1), lambda: rng.choice([rng.randrange(1200, 1500), rng.randrange(300, 900)]), lambda: rng.randrange(1, 2048)):
+        lengths = [draw() for _ in range(1200)]
+        plan = packing.assign(lengths)
+        assert len(plan) == -(-sum(lengths) // 2048) and all(sum(n for _, _, n in s) == 2048 for s in plan[:-1])
+        pieces = defaultdict(list)
+        for k, s in enumerate(plan):
+            for d, start, n in s:
+                pieces[d].append((start, n, k))
+        room = [2048] * len(plan)
+        room[-1] = sum(lengths) - 2048 * (len(plan) - 1)
+        cost = [0.0] * len(plan)
+        for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+            left = lengths[d]
+            for start, n, k in sorted(pieces[d]):
+                fits = [(cost[s], s) for s in range(len(plan)) if room[s] >= left]
+                # whole to the cheapest sequence with room, and cut only where there is none, to fill the emptiest
+                assert start == lengths[d] - left and ((n == left and k == min(fits)[1]) if fits else n == room[k] == max(room))
+                room[k] -= n
+                cost[k] += n + n * n / 2048
+                left -= n
+            assert not left
+    assert packing.assign([]) == [] and packing.assign([2048, 5]) == [[(0, 0, 2048)], [(1, 0, 5)]]
+
+
 CALLS = [
     (1, "a", 1, "ask", '{"text":"x","turn":0}', None), (1, "b", 2, "ask", '{"turn":-1,"text":""}', "a"), (1, "b", 3, "ask", "{}", "a"), (1, "c", 4, "none", "{}", "b"), (1, "d", 5, "ask", "not json", "zz"),
     (1, "e", 6, "ask", '{"text":"é","turn":1,"x":2}', "f"), (1, "f", 7, "ask", '{"text":"x","turn":1}', "e"), (2, "a", 1, "ask", '{"turn":true,"text":"x"}', None), (None, None, 1, "ask", "{}", None),

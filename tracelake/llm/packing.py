@@ -38,7 +38,7 @@ def assign(lengths: list[int], size: int = SEQUENCE, linear: float = 1.0, quadra
     """Sequences as lists of (document, start, length): all full but the last.
 
     As few sequences as hold all tokens. Whole chunks of ``size`` are sequences of their own. The rest, longest first, goes to
-    the lowest-cost sequence with room for it; where none has room, it is cut over the emptiest ones.
+    the lowest-cost sequence with room for it, of all; where none has room, it fills the emptiest one, and what is left goes on so.
     """
     sequences: list[list[tuple[int, int, int]]] = []
     rest = []
@@ -52,36 +52,54 @@ def assign(lengths: list[int], size: int = SEQUENCE, linear: float = 1.0, quadra
     if count:
         room[-1] = sum(n for n, _, _ in rest) - size * (count - 1)
     own: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    cheapest = [(0.0, s) for s in range(count)]
+    # a heap of (cost, sequence) for each room, and over the rooms a tree of the heaps' least
+    none = (float("inf"), -1)
+    open_with: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+    for s in range(count):
+        open_with[room[s]].append((0.0, s))
+    tree = [none] * (size + 1) + [h[0] if h else none for h in open_with]
+    for k in range(size, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def renew(r: int) -> None:
+        k = r + size + 1
+        tree[k] = open_with[r][0] if open_with[r] else none
+        while k > 1:
+            k //= 2
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def lowest(n: int) -> tuple[float, int]:
+        """The lowest-cost sequence with room for n, or ``none``."""
+        best, low, high = none, n + size + 1, 2 * size + 2
+        while low < high:
+            if low & 1:
+                best = min(best, tree[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                best = min(best, tree[high])
+            low, high = low // 2, high // 2
+        return best
+
+    most = size
     rest.sort(key=lambda x: (-x[0], x[1]))
     for n, d, start in rest:
-        put, passed = None, []
-        while cheapest and len(passed) < 64:
-            cost, s = heapq.heappop(cheapest)
-            if not room[s]:
-                continue
-            if room[s] >= n:
-                put = (cost, s)
-                break
-            passed.append((cost, s))
-        if put:
-            takes = [(put[0], put[1], n)]
-        else:
-            takes, left = [], n
-            passed.sort(key=lambda x: (-room[x[1]], x[1]))
-            while left:
-                cost, s = passed.pop(0) if passed else heapq.heappop(cheapest)
-                if take := min(left, room[s]):
-                    takes.append((cost, s, take))
-                    left -= take
-        for cost, s, take in takes:
+        while n:
+            cost, s = lowest(n)
+            take = n
+            if s < 0:
+                while not open_with[most]:
+                    most -= 1
+                (cost, s), take = open_with[most][0], most
+            heapq.heappop(open_with[room[s]])
+            renew(room[s])
             own[s].append((d, start, take))
             room[s] -= take
             start += take
+            n -= take
             if room[s]:
-                heapq.heappush(cheapest, (cost + linear * take + quadratic * take * take, s))
-        for x in passed:
-            heapq.heappush(cheapest, x)
+                heapq.heappush(open_with[room[s]], (cost + linear * take + quadratic * take * take, s))
+                renew(room[s])
     return sequences + own
 
 
