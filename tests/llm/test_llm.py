@@ -276,6 +276,22 @@ def test_tool_calls(spark):
     assert all(int(r["call_id"]) == r["level"] for r in tool_calls.levels(chain).collect())
 
 
+def test_tool_calls_keep_every_row(spark):
+    ask = '{"text":"%s","turn":0}'
+    calls = [(1, "a", 1, "ask", ask % "x", None), (1, "a", 2, "ask", ask % "y", None), (1, "a", 2, "ask", ask % "y", None), (1, None, 1, "ask", ask % "n1", None), (1, None, 2, "ask", ask % "n2", "a"), (None, "a", 1, "ask", ask % "n3", None), (None, "a", 1, "ask", ask % "n4", None)]
+    results = [(1, "a", 5, "second"), (1, "a", 4, "first"), (1, "z", 1, "o1"), (1, "z", 2, "o2"), (1, None, 1, "n5"), (1, None, 1, "n6"), (None, "a", 1, "n7"), (None, None, 1, "n8")]
+    got = tool_calls.link(spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, parent_id string"), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"), tool_calls.TURN_SCHEMAS).collect()
+    seen = Counter()
+    for r in got:
+        record = json.loads(r["record"])
+        seen[(r["conv_id"], r["call_id"], r["status"], r["level"], (record["arguments"] or {}).get("text"), record["result"])] += 1
+    assert seen == Counter({
+        (1, "a", "linked", 0, "x", "first"): 1, (1, "a", "duplicate", None, "y", None): 2, (1, "a", "duplicate", None, None, "second"): 1, (1, "z", "orphan", None, None, "o1"): 1, (1, "z", "duplicate", None, None, "o2"): 1,
+        (1, None, "pending", 0, "n1", None): 1, (1, None, "pending", 0, "n2", None): 1, (None, "a", "pending", 0, "n3", None): 1, (None, "a", "pending", 0, "n4", None): 1,
+        (1, None, "orphan", None, None, "n5"): 1, (1, None, "orphan", None, None, "n6"): 1, (None, "a", "orphan", None, None, "n7"): 1, (None, None, "orphan", None, None, "n8"): 1,
+    })
+
+
 def test_tool_calls_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     answers = {(c, t): x for c, t, r, x in rows if r == "assistant"}

@@ -5,10 +5,10 @@ number of calls before it on that path, found by pointer doubling, so a conversa
 (conversation, call) and never sits in one task. Calls on a cycle get no level and status ``cycle``.
 
 Defined cases: a call without a result is ``pending``; a result without a call is kept as ``orphan``; of repeated results of a
-call the earliest counts (ties: smallest content); repeated calls of an identifier count once (earliest, then smallest
-arguments). A parent that doesn't exist is no parent. Null identifiers match nothing and
-wait for nothing. Arguments that aren't a JSON object are
-invalid. Empty tables give empty results.
+call the earliest counts (ties: smallest content), of repeated calls of an identifier too (ties: smallest arguments); every
+other one is a row of its own with status ``duplicate`` and no level. A parent that doesn't exist is no parent. Null identifiers
+match nothing and wait for nothing: each such call is ``pending``, each such result an ``orphan``. Arguments that aren't a JSON
+object are invalid. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,16 +77,24 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row a call, and one an orphan result: conv_id, call_id, name, level, status, valid, errors, record (canonical JSON).
+    """One row a call, and one an orphan or repeated result: conv_id, call_id, name, level, status, valid, errors, record (canonical JSON).
 
     ``calls``: conv_id, call_id, seq, name, arguments (JSON), parent_id; ``results``: conv_id, call_id, seq, content.
     """
-    calls = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "arguments", "name", "parent_id")).alias("c"))
-    calls = calls.select("conv_id", "call_id", "c.*")
-    results = results.groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("seq").alias("result_seq"), "content")).alias("r")).select("conv_id", "call_id", "r.*", F.lit(True).alias("answered"))
-    asked = calls.withColumn("asked", F.lit(True)).join(levels(calls), ["conv_id", "call_id"], "left")
-    asked = asked.withColumn("level", F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.lit(0)).otherwise(F.col("level")))
-    joined = asked.join(results, ["conv_id", "call_id"], "full")
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    place = lambda *order: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
+    calls = calls.select("conv_id", "call_id", "seq", "arguments", "name", "parent_id").withColumn("asked", F.lit(True))
+    results = results.select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content").withColumn("answered", F.lit(True))
+    # rows without an identifier match nothing: they stay out of the windows and the join, where they would meet in one task
+    ranked, replies = calls.filter(known).withColumn("place", place("seq", "arguments", "name", "parent_id")), results.filter(known).withColumn("place", place("result_seq", "content"))
+    first = ranked.filter("place = 1").drop("place")
+    asked = first.join(levels(first), ["conv_id", "call_id"], "left")
+    joined = asked.join(replies.filter("place = 1").drop("place"), ["conv_id", "call_id"], "full").withColumn("again", F.lit(False))
+    extra = [t.filter("place > 1").drop("place").withColumn("again", F.lit(True)) for t in (ranked, replies)]
+    lone = [calls.filter(~known).withColumn("level", F.lit(0).cast("long")), results.filter(~known)]
+    for part in (extra[1], *(t.withColumn("again", F.lit(False)) for t in lone), joined):
+        extra[0] = extra[0].unionByName(part, allowMissingColumns=True)
+    joined = extra[0]
     schema = joined.select("conv_id", "call_id").schema
     for name, kind in (("name", T.StringType()), ("level", T.LongType()), ("status", T.StringType()), ("valid", T.BooleanType()), ("errors", T.ArrayType(T.StringType())), ("record", T.StringType())):
         schema = schema.add(name, kind)
@@ -104,14 +112,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                     if not problems:
                         shape = schemas.get(r["name"])
                         problems = [f"no tool {r['name']}"] if shape is None else faults(arguments, shape)
-                status = "orphan" if not r["asked"] else "cycle" if r["level"] is None else "linked" if r["answered"] else "pending"
+                status = "duplicate" if r["again"] else "orphan" if not r["asked"] else "cycle" if r["level"] is None else "linked" if r["answered"] else "pending"
                 record = {"id": r["call_id"], "level": r["level"], "name": r["name"], "arguments": arguments, "result": r["content"], "status": status}
                 out.append((r["name"], r["level"], status, bool(r["asked"]) and not problems, problems, canonical(record)))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("call_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "call_id", "name", "level", "status", "valid", "errors", "record"])
 
-    return joined.select("conv_id", "call_id", "name", "arguments", "level", "asked", "answered", "content").mapInArrow(run, schema)
+    return joined.select("conv_id", "call_id", "name", "arguments", "level", "asked", "answered", "again", "content").mapInArrow(run, schema)
 
 
 #: The recorded turns as tools: a user's turn asks, a system turn configures; the assistant turn after it is the result.
