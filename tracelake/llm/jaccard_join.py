@@ -1,14 +1,14 @@
-"""N-gram Jaccard self-join: MinHash LSH forest for candidates, exact verification of shingle sets.
+"""N-gram Jaccard self-join: MinHash in fixed bands for candidates, exact verification of shingle sets.
 
 1. Texts of equal words form a class; its smallest id stands for it. Copies are never paired with one another.
-2. Each class has a MinHash signature of ``trees`` label strings. A forest's prefix trees are tables of (tree, prefix): the
-   matched prefix is shortened from ``max_depth`` until the chance of finding a pair at the threshold reaches ``target``.
+2. Each class has a MinHash signature of ``trees`` bands of labels, as long as the chance of finding a pair at the threshold
+   reaches ``target``: fixed for all texts, where an LSH forest would shorten prefixes for each.
    Members of a prefix are tied to its smallest member, so a prefix with n members makes n - 1 candidate edges.
 3. Connected candidates form clusters. Inside a cluster, members are dealt into blocks, and each pair of blocks is verified by
    one task: intersection sizes come from products of 0/1 matrices, so exact counts leave the task, not pairs.
 4. Verified links give each class its number of links, and, over a spanning forest of the links, its component.
 
-Inside a cluster all pairs are verified, also those that share no prefix, so recall is at least the forest's.
+Inside a cluster all pairs are verified, also those that share no band, so recall is at least the bands'.
 
 Defined cases: shingles are five words; a text of fewer words, but not none, is one shingle; a text without words (null,
 empty) has no links and is its own class. Repeated rows of an id and text count as copies. Links of a row count the rows,
