@@ -13,9 +13,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a new local folder."""
+    """spark.checkpoint.dir. Where that is unset, a new local folder on a local master; on a cluster no folder is shared, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,6 +30,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: cuts the lineage, survives lost executors, and is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracelake_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes written tables that no result still reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df._tracelake_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
