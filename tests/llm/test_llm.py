@@ -462,14 +462,13 @@ def test_chains_and_alignment():
     x, y = np.array([0, 10, 20, 30, 40, 25]), np.array([5, 15, 25, 35, 500, 3])
     best = passages.chains(x, y)[0]
     assert [int(v) for v in x[best]] == [0, 10, 20, 30]
-    assert passages.align([1, 2, 3], [1, 2, 3]) == (3, 0, 3, 0, 3)
-    n, a0, a1, b0, b1 = passages.align([9, *range(20), 8], [7, 7, *range(10), 99, *range(10, 20)])
-    assert (n, a0, a1, b0, b1) == (20, 1, 21, 2, 23)
+    assert passages.runs([1, 2, 3], [1, 2, 3], 3) == [(3, 0, 3, 0, 3)]
+    assert passages.runs([9, *range(20), 8], [7, 7, *range(10), 99, *range(10, 20)], 20) == [(20, 1, 21, 2, 23)]
     assert passages.without("a  b c\nd e", [{"start": 1, "length": 2}]) == "a  d e" and passages.without("a b", [{"start": 1, "length": 1}]) == "a " and passages.without(None, [{"start": 0, "length": 1}]) is None
 
 
 def brute_runs(a, b, least=40, similarity=0.8):
-    """Words of ``a`` in any run of matching blocks that is long and similar enough, and those in such a run without wide gaps."""
+    """Words of ``a`` in any run of matching blocks that is long and similar enough, and those in such a run of which no end has fewer words than the gap beside it."""
     blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
     loose, tight = set(), set()
     for i in range(len(blocks)):
@@ -478,7 +477,8 @@ def brute_runs(a, b, least=40, similarity=0.8):
             n = sum(m.size for m in part)
             if n >= least and n >= similarity * max(q.a + q.size - p.a, q.b + q.size - p.b):
                 loose |= set(range(p.a, q.a + q.size))
-                if all(max(y.a - x.a - x.size, y.b - x.b - x.size) <= 8 for x, y in zip(part, part[1:], strict=False)):
+                gaps = [max(y.a - x.a - x.size, y.b - x.b - x.size) for x, y in zip(part, part[1:], strict=False)]
+                if all(sum(m.size for m in part[: k + 1]) >= g <= sum(m.size for m in part[k + 1 :]) for k, g in enumerate(gaps)):
                     tight |= set(range(p.a, q.a + q.size))
     return loose, tight
 
@@ -515,3 +515,44 @@ def test_passages_of_one_chain(spark):
     assert [(s["start"], s["length"]) for s in got[0]] == [(30, 60), (130, 60), (230, 50)]
     assert [(s["start"], s["length"]) for s in got[1]] == [(20, 60), (110, 60), (205, 50)]
     assert [(s["start"], s["length"]) for s in got[2]] == [(20, 120)] and [(s["start"], s["length"]) for s in got[3]] == [(0, 132)]
+
+
+def planted(rng, n, words, changed, crowd=0, snippet=25):
+    """Pairs of texts with a passage of so many words, a share of which is replaced in the second, and texts with snippets of it."""
+    text = lambda k: [f"w{rng.randrange(50_000)}" for _ in range(k)]
+    rows, where = [], []
+    for _ in range(n):
+        passage = text(words)
+        other = list(passage)
+        for k in rng.sample(range(words), round(changed * words)):
+            other[k] = f"x{rng.randrange(10**9)}"
+        low, high = rng.randrange(10, 200), rng.randrange(10, 200)
+        where.append((len(rows), low, len(rows) + 1, high))
+        rows += [text(low) + passage + text(80), text(high) + other + text(90)]
+        for _ in range(crowd):
+            at = rng.randrange(words - snippet + 1)
+            rows.append(text(60) + passage[at : at + snippet] + text(40))
+    return [(k, " ".join(w)) for k, w in enumerate(rows)], where
+
+
+def found_whole(spark, rows, where, words):
+    """Share of the planted passages of which both texts report nine tenths, and the words reported outside of them."""
+    got = {r["doc_id"]: {p for s in r["repeats"] for p in range(s["start"], s["start"] + s["length"])} for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    inside = [(len(got[i] & set(range(at, at + words))), len(got[i] - set(range(at, at + words)))) for a, low, b, high in where for i, at in ((a, low), (b, high))]
+    return np.mean([n >= 0.9 * words for n, _ in inside]), sum(n for _, n in inside), got
+
+
+@pytest.mark.parametrize(("words", "changed", "least"), [(45, 0.0, 1.0), (50, 0.1, 0.9), (60, 0.1, 0.9), (100, 0.1, 0.9), (100, 0.15, 0.9), (200, 0.15, 0.9), (100, 0.19, 0.5)])
+def test_passage_recall(spark, words, changed, least):
+    share, outside, _ = found_whole(spark, *planted(random.Random(words), 60, words, changed), words)
+    assert share >= least and outside <= 60
+
+
+@pytest.mark.parametrize(("words", "crowd", "snippet"), [(90, 80, 25), (60, 40, 20), (120, 300, 35)])
+def test_passage_among_snippets(spark, words, crowd, snippet):
+    """Texts with short snippets of a passage don't hide those that share all of it."""
+    rows, where = planted(random.Random(crowd), 3, words, 0.0, crowd, snippet)
+    share, outside, got = found_whole(spark, rows, where, words)
+    assert share == 1.0 and outside <= 3
+    whole = {i for a, _, b, _ in where for i in (a, b)}
+    assert not any(got[i] for i, _ in rows if i not in whole)

@@ -3,40 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space.
-WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset a new local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from tracelake.functions.storage import new_path, read_table, remove, shared_dir, written
 
+__all__ = ["WORD_SEPARATOR", "components", "let", "new_path", "read_table", "release", "remove", "shared_dir", "words_of", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, survives lost executors, and is computed once."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tracelake_path = path
-    return out
+#: Words are runs of anything but ASCII white space.
+WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
 def release(spark: SparkSession) -> None:
@@ -45,14 +21,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def remove(*tables: DataFrame) -> None:
-    """Deletes written tables that no result still reads."""
-    for df in tables:
-        spark, path = df.sparkSession, df._tracelake_path
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, even where ``body`` refers to it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
