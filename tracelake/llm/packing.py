@@ -5,13 +5,16 @@ in descending order to the lowest-cost sequence that still has room; a document
 windows of ``window_tokens`` tokens of its own rows, so nothing is shuffled, memory is bounded and a lost task is redone alone.
 
 Defined cases: a null or empty text is one end token; a null id is packed like any other; repeated rows are packed one by
-one; a text of any length is cut into whole sequences first. An empty table gives no rows.
+one; a text of any length is cut into whole sequences first; strings of the vocabulary's special tokens in a text are those tokens,
+as its tokenizer reads them. Of documents of equal length the earlier row goes first, of sequences of equal cost the one of smaller
+number. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 
 import numpy as np
@@ -25,13 +28,19 @@ END = 1
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(ranks_path: str, pattern: str):
-    """A byte-level BPE encoder; strings of special tokens are ordinary text."""
+def encoder(ranks_path: str, pattern: str, special_path: str | None = None):
+    """A function from a text to its ids by a byte-level BPE. ``special_path``: a ``tokenizers`` file whose added tokens are split off first."""
     import tiktoken
 
+    special = {}
+    if special_path:
+        with open(special_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
 
 
 def assign(lengths: list[int], size: int = SEQUENCE, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE) -> list[list[tuple[int, int, int]]]:
@@ -103,7 +112,7 @@ def assign(lengths: list[int], size: int = SEQUENCE, linear: float = 1.0, quadra
     return sequences + own
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), size: int = SEQUENCE, window_tokens: int = 8_000_000, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special_path: str | None = None, keep: tuple[str, ...] = ("doc_id",), size: int = SEQUENCE, window_tokens: int = 8_000_000, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE) -> DataFrame:
     """One row a piece: ``keep``, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     source = docs.select(*keep, "text")
     schema = source.select(*keep).schema
@@ -114,7 +123,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] =
     def run(batches):
         from pyspark import TaskContext
 
-        encode = encoder(ranks_path, pattern).encode_to_numpy
+        encode = encoder(ranks_path, pattern, special_path)
         task, made, held, ids, total = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
@@ -153,4 +162,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] =
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
