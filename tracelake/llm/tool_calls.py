@@ -1,19 +1,24 @@
 """Tool-call linking: join calls and results by identifier, order them topologically, validate arguments, serialise.
 
-``link`` joins results to calls on (conversation, identifier). A call may wait for another (``parent_id``); its level is the
-number of calls before it on that path, found by pointer doubling, so a conversation of n calls takes log2(n) joins on
-(conversation, call) and never sits in one task. Calls on a cycle get no level and status ``cycle``.
+``link`` joins results to calls on (conversation, identifier). A call may wait for others (``parent_id``, or an array ``parents``); its
+level is the number of calls on the longest way to it, and (level, seq, call_id) sorts a conversation topologically. Chains of calls
+that wait for one other are passed by pointer doubling, log2(n) joins on (conversation, call); calls that wait for several are settled
+in rounds, as many as such calls follow on each other. No conversation sits in a task. Calls on a cycle, and those that wait for
+one, get no level and status ``cycle``.
 
 Defined cases: a call without a result is ``pending``; a result without a call is kept as ``orphan``; of repeated results of a
 call the earliest counts (ties: smallest content), of repeated calls of an identifier too (ties: smallest arguments); every
 other one is a row of its own with status ``duplicate`` and no level. A parent that doesn't exist is no parent. Null identifiers
 match nothing and wait for nothing: each such call is ``pending``, each such result an ``orphan``. Arguments that aren't a JSON
-object are invalid. Empty tables give empty results.
+object are invalid; so are NaN, infinities and numbers that overflow, which JSON lacks, and arguments nested too deeply to be read.
+Escaped lone surrogates stay escaped. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -52,41 +57,78 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def escaped(text: str) -> str:
+    """The text with lone surrogates, which no encoding has, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """Members sorted by name, no spare space, characters as they are."""
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return escaped(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+
+
+def number(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise ValueError("JSON has no such number")
+    return x
+
+
+def parsed(text: str | None) -> tuple[object, list[str]]:
+    """(value, faults) of a JSON text."""
+    try:
+        value = json.loads(text or "", parse_float=number, parse_constant=number)
+        canonical(value)
+    except RecursionError:
+        return None, ["$: nested too deeply"]
+    except ValueError:
+        return None, ["$: not JSON"]
+    return value, []
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): calls before it on its path of parents; null on a cycle. Rows: conv_id, call_id, parent_id."""
-    ids = calls.select("conv_id", F.col("call_id").alias("parent_id")).withColumn("known", F.lit(True))
-    now = calls.select("conv_id", "call_id", "parent_id").join(ids, ["conv_id", "parent_id"], "left")
-    known = F.coalesce("known", F.lit(False))
-    now = written(now.select("conv_id", "call_id", F.when(known, F.col("parent_id")).alias("up"), F.when(known, 1).otherwise(0).cast("long").alias("steps")), "levels")
-    left = now.filter("up IS NOT NULL").count()
-    most = now.count()
-    done = 1
-    while left and done < 2 * most:
-        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        step = now.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    """(conv_id, call_id, level): calls on the longest way to it; null on and behind a cycle. Rows: conv_id, call_id, and parent_id or parents."""
+    parents = F.col("parents") if "parents" in calls.columns else F.array("parent_id")
+    ids = calls.select("conv_id", F.col("call_id").alias("up"))
+    edges = written(calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.array_compact(parents))).alias("up")).join(ids, ["conv_id", "up"], "left_semi"), "waits")
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+    now = calls.select("conv_id", "call_id").join(counted, ["conv_id", "call_id"], "left")
+    one = F.col("n") == 1
+    # a pointer to the call waited for, of calls that wait for one; the others are ends
+    now = written(now.select("conv_id", "call_id", F.when(one, F.col("up")).alias("up"), F.coalesce(one, F.lit(False)).cast("long").alias("steps"), F.when(~F.coalesce(one, F.lit(False)), F.col("call_id")).alias("end"), (F.coalesce("n", F.lit(0)) > 1).alias("several")), "levels")
+    most, done = now.count(), 1
+    while done < 2 * most and not now.filter("up IS NOT NULL").isEmpty():
+        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("end").alias("end2"))
+        step = now.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("end", "end2").alias("end"), "several")
         step = written(step, "levels")
         remove(now)
         now, done = step, done * 2
-        left = now.filter("up IS NOT NULL").count()
-    return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
+    ends = now.filter("end IS NOT NULL AND up IS NULL").select("conv_id", "call_id", "end", "steps")
+    settled = now.filter("NOT several AND end = call_id").select("conv_id", F.col("call_id").alias("end"), F.lit(0).cast("long").alias("base"))
+    waiting = now.filter("several").select("conv_id", "call_id")
+    while not waiting.isEmpty():
+        # the way to each call waited for: its chain's end, and the steps from there
+        reached = edges.join(waiting, ["conv_id", "call_id"], "left_semi").join(ends.withColumnRenamed("call_id", "up"), ["conv_id", "up"], "left").join(settled, ["conv_id", "end"], "left")
+        ready = reached.groupBy("conv_id", "call_id").agg(F.max(F.col("base") + F.col("steps") + 1).alias("base"), F.count_if(F.col("base").isNull()).alias("missing")).filter("missing = 0")
+        ready = written(ready.select("conv_id", F.col("call_id").alias("end"), "base"), "settled")
+        if ready.isEmpty():
+            break
+        settled = written(settled.unionByName(ready), "settled")
+        waiting = written(waiting.join(ready.withColumnRenamed("end", "call_id"), ["conv_id", "call_id"], "left_anti"), "waiting")
+    return now.select("conv_id", "call_id").join(ends.join(settled, ["conv_id", "end"]).select("conv_id", "call_id", (F.col("base") + F.col("steps")).alias("level")), ["conv_id", "call_id"], "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row a call, and one an orphan or repeated result: conv_id, call_id, name, level, status, valid, errors, record (canonical JSON).
+    """One row a call, and one an orphan or repeated result: conv_id, call_id, seq, name, level, status, valid, errors, record (canonical JSON).
 
-    ``calls``: conv_id, call_id, seq, name, arguments (JSON), parent_id; ``results``: conv_id, call_id, seq, content.
+    ``calls``: conv_id, call_id, seq, name, arguments (JSON), and parent_id or parents (an array); ``results``: conv_id, call_id, seq, content.
     """
+    waits = "parents" if "parents" in calls.columns else "parent_id"
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     place = lambda *order: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
-    calls = calls.select("conv_id", "call_id", "seq", "arguments", "name", "parent_id").withColumn("asked", F.lit(True))
+    calls = calls.select("conv_id", "call_id", "seq", "arguments", "name", waits).withColumn("asked", F.lit(True))
     results = results.select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content").withColumn("answered", F.lit(True))
     # rows without an identifier match nothing: they stay out of the windows and the join, where they would meet in one task
-    ranked, replies = calls.filter(known).withColumn("place", place("seq", "arguments", "name", "parent_id")), results.filter(known).withColumn("place", place("result_seq", "content"))
+    ranked, replies = calls.filter(known).withColumn("place", place("seq", "arguments", "name", waits)), results.filter(known).withColumn("place", place("result_seq", "content"))
     first = ranked.filter("place = 1").drop("place")
     asked = first.join(levels(first), ["conv_id", "call_id"], "left")
     joined = asked.join(replies.filter("place = 1").drop("place"), ["conv_id", "call_id"], "full").withColumn("again", F.lit(False))
@@ -96,7 +138,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         extra[0] = extra[0].unionByName(part, allowMissingColumns=True)
     joined = extra[0]
     schema = joined.select("conv_id", "call_id").schema
-    for name, kind in (("name", T.StringType()), ("level", T.LongType()), ("status", T.StringType()), ("valid", T.BooleanType()), ("errors", T.ArrayType(T.StringType())), ("record", T.StringType())):
+    for name, kind in (("seq", calls.schema["seq"].dataType), ("name", T.StringType()), ("level", T.LongType()), ("status", T.StringType()), ("valid", T.BooleanType()), ("errors", T.ArrayType(T.StringType())), ("record", T.StringType())):
         schema = schema.add(name, kind)
 
     def run(batches):
@@ -105,21 +147,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             for r in b.to_pylist():
                 problems, arguments = [], None
                 if r["asked"]:
-                    try:
-                        arguments = json.loads(r["arguments"] or "")
-                    except ValueError:
-                        problems = ["$: not JSON"]
+                    arguments, problems = parsed(r["arguments"])
                     if not problems:
                         shape = schemas.get(r["name"])
-                        problems = [f"no tool {r['name']}"] if shape is None else faults(arguments, shape)
+                        problems = [f"no tool {r['name']}"] if shape is None else [escaped(x) for x in faults(arguments, shape)]
                 status = "duplicate" if r["again"] else "orphan" if not r["asked"] else "cycle" if r["level"] is None else "linked" if r["answered"] else "pending"
                 record = {"id": r["call_id"], "level": r["level"], "name": r["name"], "arguments": arguments, "result": r["content"], "status": status}
                 out.append((r["name"], r["level"], status, bool(r["asked"]) and not problems, problems, canonical(record)))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("call_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "call_id", "name", "level", "status", "valid", "errors", "record"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("call_id"), b.column("seq"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "call_id", "seq", "name", "level", "status", "valid", "errors", "record"])
 
-    return joined.select("conv_id", "call_id", "name", "arguments", "level", "asked", "answered", "again", "content").mapInArrow(run, schema)
+    return joined.select("conv_id", "call_id", F.coalesce("seq", "result_seq").alias("seq"), "name", "arguments", "level", "asked", "answered", "again", "content").mapInArrow(run, schema)
 
 
 #: The recorded turns as tools: a user's turn asks, a system turn configures; the assistant turn after it is the result.
