@@ -1,8 +1,9 @@
 """License scan: passages of each text against licence templates by Dice coefficient over word bigrams.
 
 Passages are the whole text, its paragraphs (between blank lines) and its lines. Normalising lower-cases and keeps runs of
-letters and digits. With bigram counts a and b the coefficient is 2 * shared / (a + b), so at threshold t only templates with
-t / (2 - t) * b <= a <= (2 - t) / t * b can match: others are never compared.
+letters and digits. Templates are notices and short licences below, and whole licence texts in ``license_texts``. With bigram counts a and b the coefficient is 2 * shared / (a + b), so at threshold t only templates with
+t / (2 - t) * b <= a <= (2 - t) / t * b can match, and of those only templates with a passage's bigram among their rarest ones, as many
+as can't all be missing at the threshold: others are never compared.
 
 Defined cases: null and empty texts have no passages; a passage of one word has that word as its only gram; a passage that is
 both line and paragraph is reported once, as a line; repeated rows are scanned one by one; equal scores go to the first
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,25 +50,48 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) if a or b else 0.0
 
 
+#: Whole licence texts, as their licensors publish them: the template's name is the file's.
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def templates() -> dict[str, str]:
+    return TEMPLATES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+
+
 class Templates:
-    """Templates by number of grams, to ask only those that the size bounds allow."""
+    """Templates by their rare grams and sizes, to ask only those that can reach the threshold."""
 
-    def __init__(self, templates: dict[str, str], threshold: float):
+    def __init__(self, texts: dict[str, str], threshold: float):
         self.threshold = threshold
-        self.by_size: list[tuple[int, str, Counter]] = sorted(((sum(g.values()), k, g) for k, t in templates.items() if (g := grams(WORDS.findall(t.lower())))), key=lambda x: (x[0], x[1]))
+        self.grams = {k: g for k, t in texts.items() if (g := grams(WORDS.findall(t.lower())))}
+        self.size = {k: sum(g.values()) for k, g in self.grams.items()}
+        in_templates = Counter(x for g in self.grams.values() for x in g)
         factor = threshold / (2 - threshold)
-        self.sizes = {n for size, _, _ in self.by_size for n in range(int(size * factor), int(size / factor) + 2) if factor * size <= n <= size / factor}
-        self.starts = {w for _, _, g in self.by_size for pair in g for w in pair}
+        self.sizes = {n for size in self.size.values() for n in range(int(size * factor), int(size / factor) + 2) if factor * size <= n <= size / factor}
+        self.by_gram: dict[tuple, list[str]] = {}
+        for name, g in self.grams.items():
+            # at the threshold a passage of a grams shares t / 2 * (a + b) of b, with a >= factor * b: fewer are missing than this
+            missing, size = 0, self.size[name]
+            for x in sorted(g, key=lambda x: (in_templates[x], x)):
+                self.by_gram.setdefault(x, []).append(name)
+                missing += g[x]
+                if missing > size - threshold / 2 * (1 + factor) * size + 1e-9:
+                    break
+        self.starts = {x[0] for x in self.by_gram}
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
+        """The most similar template at the threshold: (score, name); equal scores go to the first name."""
         size = max(len(words) - 1, min(len(words), 1))
         if size not in self.sizes or self.starts.isdisjoint(words):
             return None
-        own, found = grams(words), None
-        for n, name, g in self.by_size:
-            if self.threshold * (n + size) <= 2 * min(n, size) and (score := dice(own, g)) >= self.threshold and (found is None or score > found[0] or score == found[0] and name < found[1]):
-                found = (score, name)
-        return found
+        pairs = zip(words, words[1:], strict=False) if len(words) > 1 else [(words[0],)]
+        asked = {n for x in self.by_gram.keys() & set(pairs) for n in self.by_gram[x]}
+        asked = [n for n in asked if self.threshold * (self.size[n] + size) <= 2 * min(self.size[n], size) + 1e-9]
+        if not asked:
+            return None
+        own = grams(words)
+        score, name = min((-dice(own, self.grams[n]), n) for n in asked)
+        return (-score, name) if -score >= self.threshold else None
 
 
 def passages(text: str):
@@ -88,14 +113,15 @@ def passages(text: str):
         yield "text", 0, [x for w in lines for x in w]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id and ``found``, an array of (template, kind, line, score)."""
+def scan(docs: DataFrame, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id and ``found``, an array of (template, kind, line, score). ``texts``: the templates, by name."""
+    texts = templates() if texts is None else texts
     source = docs.select("doc_id", "text")
     found = T.ArrayType(T.StructType([T.StructField("template", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("template", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        ask = Templates(templates, threshold)
+        ask = Templates(texts, threshold)
         for b in batches:
             out = []
             for text in b.column("text"):
