@@ -32,7 +32,8 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = p.withColumn("sha1", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
     first = p.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter((F.col("size") >= least_bytes) & (F.col("first") != F.col("last"))).select("sha1", "first")
     first = written(first, "first-pages")
-    # digests join narrow rows; the payloads stay where they are read
+    # digests join narrow rows. The last join is by row: payloads stay where they are read while the revisits can be broadcast, and
+    # are shuffled once by (page_id, sha1), so that a payload on very many pages is no hot key, where there are more of them
     refers = p.select("page_id", "sha1").join(first, "sha1").filter("page_id > first").select("page_id", F.col("first").alias("refers_to"), "sha1").distinct()
     refers = written(refers, "revisits")
     return p.join(refers, ["page_id", "sha1"], "left")
@@ -148,8 +149,8 @@ def normalise(spark, source: str, target: str, level: int = 3) -> DataFrame:
     return files.select("path").repartition(n, "path").mapInArrow(run, schema)
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """The records that the index names: headers and body, by seeking to each member."""
+def read_records(index: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+    """The records that the index names: headers and body, by seeking to each member; a task reads some ``part_bytes`` of the archives."""
 
     def run(batches):
         from pyarrow import fs
@@ -176,7 +177,10 @@ def read_records(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary"
-    return index.repartition("archive", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+    # the index is small and the archives are not: the number of parts follows the archives' bytes
+    return index.repartition(parts, "archive", F.floor(F.col("offset") / (part_bytes // 4))).sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, str]:
