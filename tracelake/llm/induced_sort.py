@@ -203,11 +203,11 @@ def sort_reduced(names: np.ndarray, depth: int) -> np.ndarray:
 def sorted_suffixes(text: np.ndarray, folder: str, depth: int = 200, memory_bytes: int = 64 << 20):
     """Yields the suffixes in order, bucket by bucket; suffixes that agree in ``depth`` bytes may come in any order."""
     n = len(text)
-    is_s = suffix_types(text, disk_array(folder, "types", np.bool_, n))
+    is_s = suffix_types(text, disk_array(folder, "types", np.bool_, n, memory_bytes))
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(POSITION)
     if len(lms):
         unused, found = induce(text, is_s, lms, folder, memory_bytes)
-        number = disk_array(folder, "lms", POSITION, n)
+        number = disk_array(folder, "lms", POSITION, n, memory_bytes)
         number[:] = -1
         number[lms] = np.arange(len(lms), dtype=POSITION)
         ordered = []
@@ -220,7 +220,7 @@ def sorted_suffixes(text: np.ndarray, folder: str, depth: int = 200, memory_byte
         found.drop()
         # the LMS substring reaches to the next LMS position, that byte included
         stop = np.minimum(np.r_[lms[1:], n - 1][index] + 1, n)
-        sums, inverse = prefix_hashes(text, disk_array(folder, "sums", np.uint64, n + 1))
+        sums, inverse = prefix_hashes(text, disk_array(folder, "sums", np.uint64, n + 1, memory_bytes))
         h = substring_hashes(sums, inverse, order, stop)
         length = stop - order
         new = np.r_[True, (h[1:] != h[:-1]) | (length[1:] != length[:-1])]
