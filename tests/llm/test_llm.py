@@ -5,6 +5,7 @@ import binascii
 import difflib
 import hashlib
 import json
+import os
 import random
 import re
 import tempfile
@@ -155,7 +156,30 @@ def test_jaccard_join(spark, edge, small):
     n, groups = brute_links(EDGE)
     assert got == Counter((i, i if not words(t) else min((EDGE[j][0] for j in g if EDGE[j][0] is not None), default=None), c) for (i, t), c, g in zip(EDGE, n, groups, strict=True))
     assert jaccard_join.near_duplicates(edge.limit(0)).count() == 0
-    assert 1 - (1 - 0.8 ** jaccard_join.forest_depth()) ** 24 >= 0.999
+    assert 1 - (1 - 0.8 ** jaccard_join.least_depth()) ** 24 >= 0.999
+
+
+def test_forest_recall(spark):
+    """Candidates alone, before verification: the share of brute force's links that the forest ties, by similarity."""
+    rng = random.Random(9)
+    sets, pairs = [], []
+    for k in range(1500):
+        w = np.array([rng.randrange(2**63) for _ in range(120)], np.uint64)
+        other = w.copy()
+        for j in rng.sample(range(120), rng.choice([1, 2])):
+            other[j] = rng.randrange(2**63)
+        a, b = jaccard_join.shingles(w), jaccard_join.shingles(other)
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        pairs.append((2 * k, 2 * k + 1, j))
+        sets += [a, b]
+    least = jaccard_join.least_depth()
+    names = [f"p{d}" for d in range(jaccard_join.DEPTH, least - 1, -1)]
+    rows = [(k, *(r.tolist() for r in jaccard_join.prefixes(s, jaccard_join.TREES, jaccard_join.DEPTH, least))) for k, s in enumerate(sets)]
+    texts = common.written(spark.createDataFrame(rows, "c long, " + ", ".join(f"{n} array<long>" for n in names)), "forest-texts")
+    found = {(min(r), max(r)) for r in jaccard_join.candidates(texts, least=least).collect()}
+    close = [(a, b) for a, b, j in pairs if 0.8 <= j < 0.9]
+    assert len(close) > 500 and np.mean([p in found for p in close]) >= 0.995 and np.mean([(a, b) in found for a, b, j in pairs if j >= 0.9]) >= 0.999
+    assert len(found) < 1.05 * len(pairs)
 
 
 def test_components(spark):
@@ -183,13 +207,14 @@ def test_packing(spark, edge):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    for docs, rows in ((edge, EDGE), (spark.read.parquet(f"{SF}/documents.parquet"), None)):
+    files = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
+    marks = [(70, "a<|endoftext|>b"), (71, "<|endoftext|><|endoftext|> x"), (72, "<|endoftext |> <|end")]
+    for docs, rows in ((edge, EDGE), (spark.createDataFrame(marks, "doc_id long, text string"), marks), (spark.read.parquet(f"{SF}/documents.parquet"), None)):
         rows = rows or [(r["doc_id"], r["text"]) for r in docs.collect()]
         texts = defaultdict(list)
         for i, t in rows:
             texts[i].append([*tok.encode(t or "", add_special_tokens=False).ids, 1])
-        got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+        got = packing.pack(docs, *files).collect()
         assert sum(r["length"] for r in got) == sum(len(x) for v in texts.values() for x in v)
         used, covered = defaultdict(list), Counter()
         for r in got:
@@ -205,7 +230,7 @@ def test_packing(spark, edge):
                 at += n
             assert at <= 2048
         assert len(used) * 2048 - sum(n for s in used.values() for _, n in s) <= 2048 * docs.rdd.getNumPartitions()
-    assert packing.pack(edge.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(edge.limit(0), *files).count() == 0
 
 
 def test_packing_balance():
@@ -292,6 +317,30 @@ def test_tool_calls_keep_every_row(spark):
     })
 
 
+def test_tool_calls_odd_json(spark):
+    bad = ["[" * 100_000, '{"a":' * 50_000, '{"text":"\\ud800","turn":1}', '{"\\udc00":1,"text":"x","turn":1}', '{"text":"x","turn":NaN}', '{"text":"x","turn":1e999}', '{"text":"x","turn":-Infinity}', None, "", "[1]", "9" * 5000]
+    calls = spark.createDataFrame([(1, str(k), k, "ask", a, None) for k, a in enumerate(bad)], "conv_id long, call_id string, seq long, name string, arguments string, parent_id string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    got = {r["seq"]: r for r in tool_calls.link(calls, results, tool_calls.TURN_SCHEMAS).collect()}
+    assert len(got) == len(bad) and [k for k, r in got.items() if r["valid"]] == [2]
+    assert got[0]["errors"] == got[1]["errors"] == ["$: nested too deeply"] and got[3]["errors"] == ["$.\\udc00: unknown"] and got[9]["errors"] == ["$: not object"]
+    assert all(got[k]["errors"] == ["$: not JSON"] for k in (4, 5, 6, 7, 8, 10)) and '"text":"\\ud800"' in got[2]["record"]
+    assert all(isinstance(json.loads(r["record"]), dict) for r in got.values())
+
+
+def test_tool_calls_with_several_parents(spark):
+    rng = random.Random(5)
+    waits = {(c, k): [f"c{j}" for j in {rng.randrange(k) for _ in range(rng.randrange(4))}] if k else [] for c in range(4) for k in range(60)}
+    waits |= {(4, k): [f"c{k - 1}"] if k else [] for k in range(300)} | {(5, 0): ["c1", "c2"], (5, 1): ["c0"], (5, 2): [], (5, 3): ["c1"], (5, 4): ["c2", "zz", None]}
+    calls = spark.createDataFrame([(c, f"c{k}", v) for (c, k), v in waits.items()], "conv_id long, call_id string, parents array<string>")
+    want = {}
+    for (c, k), v in waits.items():
+        if c < 5:
+            want[c, f"c{k}"] = max((want[c, j] + 1 for j in v), default=0)
+    want |= {(5, "c0"): None, (5, "c1"): None, (5, "c2"): 0, (5, "c3"): None, (5, "c4"): 1}
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(calls).collect()} == want
+
+
 def test_tool_calls_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     answers = {(c, t): x for c, t, r, x in rows if r == "assistant"}
@@ -313,23 +362,46 @@ def test_tool_calls_query(spark):
 
 
 def test_licenses(spark, edge, small):
+    def bigrams(text):
+        w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        return Counter(zip(w, w[1:], strict=False)) if len(w) > 1 else Counter((x,) for x in w)
+
+    given = {k: bigrams(t) for k, t in licenses.templates().items()}
+
     def brute(text):
-        out = []
-        for kind, line, w in licenses.passages(text or ""):
-            own = licenses.grams(w)
-            scores = sorted((-licenses.dice(own, licenses.grams(licenses.WORDS.findall(t.lower()))), k) for k, t in licenses.TEMPLATES.items())
-            if -scores[0][0] >= licenses.THRESHOLD:
-                out.append((scores[0][1], kind, line, -scores[0][0]))
-        return out
+        """Every passage against every template."""
+        lines, out, block = (text or "").split("\n"), [], []
+        for k, line in enumerate([*lines, ""]):
+            if bigrams(line):
+                block.append(k)
+                out.append((k, 0, "line", line))
+            elif block:
+                if len(block) > 1:
+                    out.append((k, 1, "paragraph", "\n".join(lines[block[0] : k])))
+                block = []
+        if sum(not bigrams(a) and bool(bigrams(b)) for a, b in zip(["", *lines], lines, strict=False)) > 1:
+            out.append((len(lines) + 1, 2, "text", text))
+        found = []
+        for end, _, kind, passage in sorted(out, key=lambda x: (x[0], x[1])):
+            own, line = bigrams(passage), end if kind == "line" else 0
+            if kind == "paragraph":
+                line = end - passage.count("\n") - 1
+            score, name = min((-2 * sum((own & g).values()) / (sum(own.values()) + sum(g.values())), k) for k, g in given.items())
+            if -score >= licenses.THRESHOLD:
+                found.append((name, kind, line, -score))
+        return found
 
     mit = licenses.TEMPLATES["MIT"]
     more = [(50, "intro\n\n" + mit.replace(", ", ",\n") + "\n\nend"), (51, mit), (52, "Released  under the MIT-License!"), (53, "Released under the MIT License with many more words that make it another text")]
+    bodies = {60: "BSD-3-Clause", 61: "GPL-3.0", 62: "Apache-2.0", 63: "LGPL-2.1"}
+    more += [(i, "Copyright 2020 Somebody\n\n" + licenses.templates()[n]) for i, n in bodies.items()]
     docs = spark.createDataFrame([*small, *more, *((i, t) for i, t in EDGE)], "doc_id long, text string")
     got = [[tuple(x) for x in r["found"]] for r in licenses.scan(docs).collect()]
     assert got == [brute(r["text"]) for r in docs.collect()]
     by_id = {i: g for (i, _), g in zip([*small, *more, *EDGE], got, strict=True)}
     assert [x[:2] for x in by_id[50]] == [("MIT", "paragraph"), ("MIT", "text")] and [x[0] for x in by_id[52]] == ["MIT/notice"] and not by_id[53]
-    assert licenses.scan(edge.limit(0)).count() == 0
+    assert all(("text" in [x[1] for x in by_id[i]]) and {x[0] for x in by_id[i] if x[1] == "text"} == {n} for i, n in bodies.items())
+    assert licenses.scan(edge.limit(0)).count() == 0 and licenses.scan(edge).count() == len(EDGE)
 
 
 def brute_hits(docs, items):
@@ -337,7 +409,7 @@ def brute_hits(docs, items):
     for i, t in items:
         w = decontamination.words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            wins[tuple(w[k : k + 10])].add(str(i))
+            wins[tuple(w[k : k + 10])].add(None if i is None else str(i))
     sizes = {len(x) for x in wins}
     out = []
     for i, t in docs:
@@ -347,16 +419,18 @@ def brute_hits(docs, items):
                 if (g := tuple(w[k : k + n])) in wins:
                     hit.update(range(k, k + n))
                     found |= wins[g]
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)))
     return Counter(out)
 
 
 def test_decontamination(spark, edge, small):
-    items = [(1, "a b c d e f g h i j"), (2, None), (3, ""), (4, "W1 w2, W3"), (4, PASSAGE), (5, "one"), (6, "missing entirely")]
+    items = [(1, "a b c d e f g h i j"), (2, None), (3, ""), (4, "W1 w2, W3"), (4, PASSAGE), (5, "one"), (6, "missing entirely"), (None, "line two"), (None, "line one line")]
     bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, doc_id string")
     got = Counter(tuple(r) for r in decontamination.decontaminate(edge, bench).collect())
     assert got == brute_hits(EDGE, items)
     several = decontamination.digest(decontamination.find(edge, bench, block_bytes=5).drop("at"))
+    index = common.written(decontamination.build_index(edge, shard_words=50), "index")  # many shards; one stored index serves every benchmark
+    assert Counter(tuple(r) for r in decontamination.digest(decontamination.find(edge, bench, index=index)).collect()) == got
     assert Counter(tuple(r) for r in several.collect()) == got
     assert decontamination.decontaminate(edge.limit(0), bench).count() == 0 and not decontamination.decontaminate(edge, bench.limit(0)).filter("contaminated").count()
     near = decontamination.find(spark.createDataFrame([(1, "q a x b c q"), (2, "a b c"), (3, "a q q q b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slop=1)
@@ -400,6 +474,40 @@ def test_exact_substrings(spark, edge, small, tmp_path, monkeypatch):
     assert exact_substrings.remove_repeats(edge.limit(0)).count() == 0
 
 
+def test_exact_substrings_heavy_anchors(spark, monkeypatch):
+    """Many different texts around one rare string, dealt again; texts of one letter or a short period; little memory."""
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = some(60)
+    both = [some(150) for _ in range(4)]
+    rows = [(k, some(300) + rng.choice(both) + core + rng.choice(both) + some(300)) for k in range(60)]
+    rows += [(100, "x" * 9000), (101, "ab" * 3000), (102, "y" * 350), (103, some(100) + "x" * 230 + some(90)), (104, "z" * 199), (105, "abc" * 100 + some(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = []
+    again = exact_substrings.dealt_again
+    monkeypatch.setattr(exact_substrings, "dealt_again", lambda *a: dealt.append(1) or again(*a))
+    for shard_bytes, memory_bytes in ((1500, 1 << 20), (1 << 20, 300)):
+        monkeypatch.setattr(exact_substrings, "read_table", lambda *a: docs)
+        monkeypatch.setattr(exact_substrings.remove_repeats, "__defaults__", (200, shard_bytes, memory_bytes))
+        assert Counter(tuple(r) for r in exact_substrings.op8_exact_substrings(spark, "").collect()) == brute_cut(rows)
+    assert len(dealt) >= 1
+
+
+def test_shard_larger_than_memory(tmp_path, monkeypatch):
+    """A shard of ten times the memory given spills its queues, and gives what one in memory gives."""
+    rng = random.Random(4)
+    chunks = [bytes(rng.randrange(97, 103) for _ in range(rng.randrange(200, 400))) for _ in range(60)]
+    chunks += [c[20:] + d[:250] for c, d in zip(chunks, chunks[1:], strict=False)]
+    spills = []
+    spill = induced_sort.Queues.spill
+    monkeypatch.setattr(induced_sort.Queues, "spill", lambda self: spills.append(1) or spill(self))
+    whole = exact_substrings.repeats_in(chunks, 200, str(tmp_path))
+    assert not spills
+    small = tempfile.mkdtemp(dir=tmp_path)
+    found = exact_substrings.repeats_in(chunks, 200, small, sum(map(len, chunks)) // 10)
+    assert len(spills) > 5 and (found == whole).all() and whole.any() and len(os.listdir(small)) > 5
+
+
 def test_induced_sort():
     rng = random.Random(1)
     for _ in range(150):
