@@ -146,8 +146,8 @@ def price_usage(usage: DataFrame, tiers: Column, base: Column, hour_writes: Colu
 
 
 def cost_by_day_provider(usage: DataFrame, costs: Sequence[str] = ("cost_micro",)) -> DataFrame:
-    """Cost sums and requests by UTC day and provider, by day, by provider, and in all. Rows without cost don't count."""
-    paid = usage.filter(F.col(costs[-1]) > 0).select(F.to_date("ts").cast("string").alias("day"), "provider", *costs)
+    """Cost sums and requests by UTC day and provider, by day, by provider, and in all. Rows without a cost (null) don't count; those that cost nothing do."""
+    paid = usage.filter(F.col(costs[-1]).isNotNull()).select(F.to_date("ts").cast("string").alias("day"), "provider", *costs)
     return paid.cube("day", "provider").agg(*(F.sum(c).alias(c) for c in costs), F.count("*").alias("requests"), F.grouping_id().cast("long").alias("level"))
 
 
@@ -163,7 +163,7 @@ def usage_cost_breakdown(usage: DataFrame) -> DataFrame:
     key = F.when(F.col("type") == "message", provider_model("provider", "model")).otherwise("[summaries and tools]")
     tokens = context_tokens()
     out = usage.groupBy(key.alias("model")).agg(F.sum("cost_micro").alias("cost_micro"), F.sum(tokens).alias("tokens"))
-    return out.filter("cost_micro > 0 OR tokens > 0").orderBy(F.desc("cost_micro"), "model")
+    return out.filter("cost_micro > 0 OR tokens > 0")
 
 
 def session_stats(usage: DataFrame, include_tool_usage: bool = True) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Session logs as JSONL files: a header line and entries. Readers give one row a line, key (file_path, line_no)."""
+"""Session logs as JSONL files: a header line and entries. Readers give one row a line, in order of (file_path, line_at)."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracelake.functions.scalars import file_stamp
+from tracelake.functions.scalars import any_time, content_text, estimate, file_stamp, utf16_length
+from tracelake.functions.storage import written
 from tracelake.operators.trees import branch_path, on_path
 
 HEADER_BYTES = 1 << 20
@@ -29,14 +33,19 @@ def for_cwd(sessions: DataFrame, cwd: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """Numbered lines of all ``*.jsonl`` files below a path. Files whose name has a time before ``since`` are not opened (A5)."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
-    files = files.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"))
-    files = with_file_timestamp(files)
+    """Lines of all ``*.jsonl`` files below a path. Files whose name has a time before ``since`` are not opened (A5).
+
+    Files of any size are split among tasks; ``line_at`` (start of the split, row in it) orders a file's lines.
+    """
+    files = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
     if since is not None:
-        files = files.filter(F.col("file_ts").isNull() | (F.col("file_ts") >= F.lit(since)))
-    lines = files.select("file_path", "file_ts", "file_mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.withColumn("raw", F.try_parse_json("line")).withColumn("blank", F.trim("line") == "")
+        stamp = file_stamp(F.col("_metadata.file_name"))
+        files = files.filter(stamp.isNull() | (stamp >= F.lit(since)))
+    lines = files.select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_at"), F.col("value").alias("line"),
+    )
+    return with_file_timestamp(lines).withColumn("raw", F.try_parse_json("line")).withColumn("blank", F.trim("line") == "")
 
 
 def with_file_timestamp(files: DataFrame, name: str = "file_name") -> DataFrame:
@@ -48,19 +57,21 @@ def is_object(raw: str = "raw") -> Column:
     return F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
 
 
+def by_file() -> W:
+    return W.partitionBy("file_path").orderBy("line_at")
+
+
 def read_session_logs(spark: SparkSession, path: str, since=None) -> tuple[DataFrame, DataFrame]:
     """A1: (sessions, entries). Blank and malformed lines are skipped; a file counts if its first parsed line is a session header with an id."""
-    lines = read_lines(spark, path, since).filter(~F.col("blank") & is_object())
-    first = lines.groupBy("file_path").agg(F.min(F.struct("line_no", "line")).alias("h"))
-    head = first.select("file_path", F.col("h.line_no").alias("_head"), F.try_parse_json("h.line").alias("raw")).filter((get("$.type") == "session") & get("$.id").isNotNull())
-    sessions = head.join(lines.select("file_path", "file_ts", "file_mtime").distinct(), "file_path").select(
-        get("$.id").alias("session_id"), "file_path", F.coalesce(get("$.version", "int"), F.lit(1)).alias("version"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.cwd").alias("cwd"), get("$.parentSession").alias("parent_path"), "file_ts", "file_mtime"
+    lines = read_lines(spark, path, since).filter(~F.col("blank") & is_object()).drop("line")
+    head = F.first(F.struct(get("$.type").alias("type"), get("$.id").alias("id"))).over(by_file().rowsBetween(W.unboundedPreceding, 0))
+    rows = lines.withColumns({"_n": F.row_number().over(by_file()), "_head": head}).filter("_head.type = 'session' AND _head.id IS NOT NULL")
+    sessions = rows.filter("_n = 1").select(
+        F.col("_head.id").alias("session_id"), "file_path", F.coalesce(get("$.version", "int"), F.lit(1)).alias("version"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.cwd").alias("cwd"), get("$.parentSession").alias("parent_path"), "file_ts", "file_mtime"
     )
-    ids = head.select("file_path", "_head", get("$.id").alias("session_id"))
-    rows = lines.join(ids, "file_path").filter("line_no > _head")
-    entries = rows.select(
-        "session_id",
-        F.row_number().over(W.partitionBy("file_path").orderBy("line_no")).alias("entry_seq"),
+    entries = rows.filter("_n > 1").select(
+        F.col("_head.id").alias("session_id"),
+        (F.col("_n") - 1).alias("entry_seq"),
         get("$.id").alias("entry_id"),
         get("$.parentId").alias("parent_id"),
         get("$.type").alias("type"),
@@ -71,13 +82,36 @@ def read_session_logs(spark: SparkSession, path: str, since=None) -> tuple[DataF
     return sessions, entries
 
 
+def header_line(text: bytes, whole: bool) -> str | None:
+    """The first line that is a JSON object, if it is a session header; of a text that is cut off, the last line doesn't count."""
+    lines = text.decode("utf-8", "replace").split("\n")
+    for line in lines if whole else lines[:-1]:
+        try:
+            found = json.loads(line)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(found, dict):
+            return line if found.get("type") == "session" and found.get("id") is not None else None
+    return None
+
+
 def read_session_headers(spark: SparkSession, path: str, max_bytes: int = HEADER_BYTES) -> DataFrame:
-    """A2: headers only, from the first ``max_bytes`` of each file; files whose header doesn't fit, or that have none, give nothing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
-    head = files.select("path", (F.col("length") > max_bytes).alias("_cut"), F.split(F.decode(F.substring("content", 1, max_bytes), "UTF-8"), "\n").alias("_lines"))
-    whole = F.when(F.col("_cut"), F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0)))).otherwise(F.col("_lines"))
-    lines = head.select("path", F.posexplode(whole).alias("n", "line")).withColumn("raw", F.try_parse_json("line")).filter(is_object())
-    first = lines.groupBy("path").agg(F.min_by("line", "n").alias("line")).withColumn("raw", F.try_parse_json("line")).filter((get("$.type") == "session") & get("$.id").isNotNull())
+    """A2: headers only. No more than ``max_bytes`` of a file are read; files whose header doesn't fit, or that have none, give nothing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path).select("path")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            lines = []
+            for p in batch.column("path").to_pylist():
+                store, name = fs.FileSystem.from_uri(p)
+                with store.open_input_stream(name, compression=None) as stream:
+                    text = stream.read(max_bytes + 1)
+                lines.append(header_line(text[:max_bytes], len(text) <= max_bytes))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(lines, pa.string())], names=["path", "line"])
+
+    first = files.mapInArrow(run, "path string, line string").filter("line IS NOT NULL").withColumn("raw", F.try_parse_json("line"))
     return first.select(F.col("path").alias("file_path"), get("$.id").alias("session_id"), get("$.cwd").alias("cwd"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.parentSession").alias("parent_path"))
 
 
@@ -86,13 +120,13 @@ def validate_session_logs(lines: DataFrame, mode: str = "strict") -> tuple[DataF
 
     ``lines``: read_lines. Blank lines are neither.
     """
-    rows = lines.filter(~F.col("blank")).withColumn("_n", F.row_number().over(W.partitionBy("file_path").orderBy("line_no")))
+    rows = lines.withColumn("line_no", F.row_number().over(by_file()) - 1).filter(~F.col("blank")).withColumn("_n", F.row_number().over(by_file()))
     header = F.when(get("$.type") != "session", "first line is not a session header").when(get("$.type").isNull(), "header has no type").when(~get("$.version", "int").eqNullSafe(F.lit(3)), "unsupported version").when(get("$.id").isNull(), "header has no id").when(F.try_to_timestamp(get("$.timestamp")).isNull(), "header has no timestamp").when(get("$.cwd").isNull(), "header has no cwd")
     entry = F.when(get("$.type").isNull() | ~get("$.type").isin(*KINDS), "unknown entry type").when(get("$.id").isNull(), "entry has no id").when(~F.schema_of_variant("raw").contains("parentId:"), "entry has no parentId").when(F.try_to_timestamp(get("$.timestamp")).isNull(), "entry has no timestamp").when((get("$.type") == "leaf") & ~F.schema_of_variant("raw").contains("targetId:"), "leaf has no target")
     reason = F.when(F.col("raw").isNull(), "not JSON").when(~is_object(), "not an object").otherwise(F.when(F.col("_n") == 1, header).otherwise(entry))
     rows = rows.withColumn("reason", reason)
     if mode == "strict":
-        so_far = W.partitionBy("file_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+        so_far = by_file().rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.count("reason").over(so_far) > 0, "after a rejected line")))
     return rows.filter("reason IS NULL").drop("reason", "_n"), rows.filter("reason IS NOT NULL").select("file_path", "line_no", "reason", F.col("line").alias("raw"))
 
@@ -100,7 +134,7 @@ def validate_session_logs(lines: DataFrame, mode: str = "strict") -> tuple[DataF
 def malformed_line_report(lines: DataFrame) -> DataFrame:
     """A4: one row: files, included and skipped files, lines, blank and malformed lines."""
     good = ~F.col("blank") & is_object()
-    by_file = lines.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if("blank").alias("blank"), F.count_if(~F.col("blank") & ~is_object()).alias("bad"), F.min_by("line", F.when(good, F.col("line_no"))).alias("line")).withColumn("raw", F.try_parse_json("line"))
+    by_file = lines.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if("blank").alias("blank"), F.count_if(~F.col("blank") & ~is_object()).alias("bad"), F.min_by("line", F.when(good, F.col("line_at"))).alias("line")).withColumn("raw", F.try_parse_json("line"))
     included = F.coalesce((get("$.type") == "session") & get("$.id").isNotNull(), F.lit(False))
     return by_file.agg(F.count("*").alias("files"), F.count_if(included).alias("included"), F.count_if(~included).alias("skipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_lines"), F.coalesce(F.sum("bad"), F.lit(0)).alias("malformed_lines"))
 
@@ -135,6 +169,69 @@ def tool_calls(blocks: DataFrame) -> DataFrame:
     return blocks.filter("type = 'toolCall'").select("session_id", "entry_seq", "pos", F.col("id").alias("call_id"), F.col("name").alias("tool"), "arguments")
 
 
+def usage_of(entries: DataFrame) -> DataFrame:
+    """The ``usage`` table of the reports, from entries (A1): assistant messages with usage, and compactions and branch summaries.
+
+    ``cost_micro`` is null where a row has no cost object, and 0 where it cost nothing.
+    """
+    kept = entries.filter(((F.col("type") == "message") & (get("$.message.role") == "assistant") & F.try_variant_get("raw", "$.message.usage", "variant").isNotNull()) | F.col("type").isin("compaction", "branch_summary"))
+    count = lambda k, kind="long": F.coalesce(get(f"$.message.usage.{k}", kind), get(f"$.usage.{k}", kind))
+    tokens = {"input": "input", "output": "output", "cache_read": "cacheRead", "cache_write": "cacheWrite"}
+    return kept.select(
+        "session_id", F.col("entry_seq").alias("seq"), any_time(get("$.message.timestamp", "long"), get("$.timestamp")).alias("ts"), get("$.message.provider").alias("provider"),
+        F.coalesce(get("$.message.responseModel"), get("$.message.model")).alias("model"), "type", get("$.message.stopReason").alias("stop_reason"), get("$.message.errorMessage").alias("error_message"),
+        *(F.coalesce(count(k), F.lit(0)).alias(n) for n, k in tokens.items()), F.round(count("cost.total", "double") * 1e6).cast("long").alias("cost_micro"),
+    )
+
+
+def calls_of(entries: DataFrame) -> DataFrame:
+    """The ``calls`` table of the reports, from entries (A1): one row a tool call, with the path and command of its arguments."""
+    calls = tool_calls(explode_blocks(flatten_messages(entries).filter("role = 'assistant'")))
+    argument = lambda *names: F.coalesce(*(F.try_variant_get("arguments", f"$.{n}", "string") for n in names))
+    times = entries.select("session_id", "entry_seq", any_time(get("$.message.timestamp", "long"), get("$.timestamp")).alias("ts"))
+    return calls.join(times, ["session_id", "entry_seq"]).select("session_id", F.col("entry_seq").alias("assistant_seq"), F.col("entry_seq").alias("seq"), "pos", "call_id", "tool", argument("path", "file_path").alias("path"), argument("command").alias("command"), "arguments", "ts")
+
+
+def results_of(entries: DataFrame) -> DataFrame:
+    """The ``results`` table of the reports, from entries (A1): one row a tool result, with its text and estimated tokens."""
+    rows = flatten_messages(entries).filter("role = 'toolResult'").withColumn("text", content_text("content"))
+    return rows.select("session_id", F.col("entry_seq").alias("seq"), F.col("tool_call_id").alias("call_id"), F.coalesce("is_error", F.lit(False)).alias("is_error"), estimate(utf16_length("text")).alias("tokens"), "text")
+
+
+def write_lines(rows: DataFrame, path: str) -> DataFrame:
+    """Writes one file for each ``name``, its ``value`` lines in order of ``pos``; returns the written files (name, lines).
+
+    A task holds one line at a time. It writes under a name of its own and renames, so a repeated task does no harm.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        own, now, out, n, done = f".{TaskContext.get().taskAttemptId()}", None, None, 0, []
+
+        def close():
+            out.close()
+            store.move(f"{folder}/{now}{own}", f"{folder}/{now}")
+            done.append((now, n))
+
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if name != now:
+                    if out:
+                        close()
+                    now, n, out = name, 0, store.open_output_stream(f"{folder}/{name}{own}", compression=None)
+                out.write(f"{value}\n".encode())
+                n += 1
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["name", "lines"])
+
+    return written(rows.select("name", "pos", "value").repartition("name").sortWithinPartitions("name", "pos").mapInArrow(run, "name string, lines long"), "files")
+
+
 def read_model_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON file provider -> model -> record: provider, model, name, api, window, prices, tiers."""
     record = "struct<name:string,api:string,reasoning:boolean,input:array<string>,contextWindow:bigint,maxTokens:bigint,thinkingLevelMap:map<string,string>,cost:struct<input:double,output:double,cacheRead:double,cacheWrite:double,tiers:array<struct<inputTokensAbove:bigint,input:double,output:double,cacheRead:double,cacheWrite:double>>>>"
@@ -161,18 +258,18 @@ def as_tree(entries: DataFrame) -> DataFrame:
     return entries.join(ids, ["session_id", "parent_id"], "left").select("session_id", F.col("entry_seq").alias("seq"), F.col("parent_seq").cast("int").alias("parent_seq"), "type")
 
 
-def export_branch_jsonl(entries: DataFrame, path: str, leaf: DataFrame | None = None) -> None:
-    """A10: each session's branch as lines, a header first, parents chained anew; one folder a session. Rows: session_id, seq, parent_seq, type, and more."""
+def export_branch_jsonl(entries: DataFrame, path: str, leaf: DataFrame | None = None) -> DataFrame:
+    """A10: each session's branch as a file ``<session>.jsonl``, a header first, parents chained anew. Rows: session_id, seq, parent_seq, type, and more."""
     rows = on_path(entries, branch_path(entries, leaf))
     chained = rows.withColumn("parent_seq", F.lag("seq").over(W.partitionBy("session_id").orderBy("pos")))
     body = chained.select("session_id", "pos", F.to_json(F.struct(*(c for c in chained.columns if c not in ("pos", "session_id"))), {"ignoreNullFields": "false"}).alias("value"))
     head = rows.select("session_id").distinct().select("session_id", F.lit(-1).cast("long").alias("pos"), F.to_json(F.struct(F.lit("session").alias("type"), F.lit(3).alias("version"), F.col("session_id").alias("id"))).alias("value"))
-    head.unionByName(body).repartition("session_id").sortWithinPartitions("session_id", "pos").select("session_id", "value").write.mode("overwrite").partitionBy("session_id").text(path)
+    return write_lines(head.unionByName(body).withColumn("name", F.concat(F.col("session_id").cast("string"), F.lit(".jsonl"))), path)
 
 
-def write_transcripts(packed: DataFrame, path: str) -> None:
-    """Packed transcripts (bin, pos, text) as text, one folder a bin."""
-    packed.repartition("bin").sortWithinPartitions("bin", "pos").select("bin", F.col("text").alias("value")).write.mode("overwrite").partitionBy("bin").text(path)
+def write_transcripts(packed: DataFrame, path: str) -> DataFrame:
+    """Packed transcripts (bin, pos, text) as a text file ``<bin>.txt`` for each bin."""
+    return write_lines(packed.select(F.concat(F.col("bin").cast("string"), F.lit(".txt")).alias("name"), "pos", F.col("text").alias("value")), path)
 
 
 def write_report_json(summaries: dict[str, DataFrame], path: str) -> None:
