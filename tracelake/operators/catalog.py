@@ -75,7 +75,8 @@ def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
 
     In order: the exact ``provider/model`` or a model name that one provider has; a glob keeps all it matches; else models whose
     name contains the text, undated names before dated ones, then the highest. A ``:level`` suffix is split off first. Exact matches
-    are equi-joins; only what remains is compared with the catalog's names, which is broadcast where Spark knows it is small.
+    are equi-joins; globs and texts meet the names that hold their rarest run of three letters. Only those without such a run, a few
+    short ones, are compared with every name.
     """
     names = catalog.select("provider", "model", F.lower(F.concat_ws("/", "provider", "model")).alias("full"), F.lower("model").alias("name")).distinct()
     level = F.regexp_extract(ref, ":(" + "|".join(LEVELS) + ")$", 1)
@@ -88,9 +89,18 @@ def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
     rest = rest.join(bare.select("ref"), "ref", "left_anti")
     glob = F.col("text").rlike(r"[*?\[]")
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"([.+(){}^$|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    globs = rest.filter(glob).withColumn("pattern", pattern)
-    many = globs.join(names, F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("name"), F.col("pattern"))).select("ref", "level", "provider", "model", F.lit("glob").alias("how"))
-    like = rest.filter(~glob & (F.col("text") != "")).join(names, F.contains(F.col("full"), F.col("text")))
+    grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda k: F.substring(x, k, F.lit(3)))
+    by_gram = names.select("provider", "model", "full", "name", F.explode(F.array_distinct(grams(F.col("full")))).alias("gram"))
+    common = by_gram.groupBy("gram").agg(F.count("*").alias("n"))
+    open_ = rest.filter("text != ''").withColumns({"glob": glob, "pattern": pattern})
+    # what a glob surely holds: its text between wildcards and sets
+    plain = F.flatten(F.transform(F.split(F.regexp_replace("text", r"\[[^\]]*\]?", "*"), r"[*?]+"), grams))
+    asked_grams = open_.select("ref", F.explode_outer(F.filter(F.when(F.col("glob"), plain).otherwise(grams(F.col("text"))), lambda g: F.length(g) == 3)).alias("gram"))
+    rarest = asked_grams.join(common, "gram", "left").groupBy("ref").agg(F.min(F.when(F.col("gram").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g")).select("ref", "g.gram")
+    picked = open_.join(rarest, "ref")
+    met = picked.filter("gram IS NOT NULL").join(by_gram, "gram").unionByName(picked.filter("gram IS NULL").join(names))
+    many = met.filter(F.col("glob") & (F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("name"), F.col("pattern")))).select("ref", "level", "provider", "model", F.lit("glob").alias("how"))
+    like = met.filter(~F.col("glob") & F.contains(F.col("full"), F.col("text")))
     best = W.partitionBy("ref").orderBy(F.desc(is_alias(F.col("name"))), F.desc("model"), F.asc("provider"))
     like = like.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("ref", "level", "provider", "model", F.lit("contains").alias("how"))
     found = full.unionByName(exact).unionByName(many).unionByName(like)

@@ -230,18 +230,16 @@ def find_cut_point(entries: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) ->
     plain = F.col("type") != "compaction" if "type" in entries.columns else F.lit(True)
     allowed, starts = cut_point(F.col("role")) & plain, turn_start(F.col("role")) & plain
     rows = entries.select("session_id", "seq", "role", "tokens", allowed.alias("ok"), starts.alias("starts"), (F.col("is_message") if "is_message" in entries.columns else F.lit(True)).alias("shown"))
+    # every step is a window over the session: one shuffle in all
+    whole, seq = by_session(), F.col("seq")
     rows = rows.withColumn("suffix", F.sum("tokens").over(from_row()))
-    here = rows.groupBy("session_id").agg(F.max(F.when((F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens), F.col("seq"))).alias("at"), F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"), F.min("seq").alias("first"))
-    rows = rows.join(here, "session_id")
-    chosen = rows.groupBy("session_id").agg(F.first("first").alias("first"), F.first("first_ok").alias("first_ok"), F.min(F.when(F.col("ok") & (F.col("seq") >= F.col("at")), F.col("seq"))).alias("next_ok"))
-    chosen = chosen.select("session_id", "first", F.col("first_ok").isNotNull().alias("can"), F.coalesce("next_ok", "first_ok", "first").alias("cut0"))
-    rows = rows.drop("first", "first_ok", "at").join(chosen, "session_id")
-    moved = rows.groupBy("session_id").agg(F.first("can").alias("can"), F.first("cut0").alias("cut0"), F.max(F.when((F.col("seq") < F.col("cut0")) & F.col("shown"), F.col("seq"))).alias("stop"))
-    rows = rows.select("session_id", "seq", "starts", "role").join(moved, "session_id")
-    back = rows.groupBy("session_id").agg(F.first("can").alias("can"), F.first("cut0").alias("cut0"), F.min(F.when(F.col("seq") > F.coalesce("stop", F.lit(-(2**62))), F.col("seq"))).alias("cut1"))
-    rows = rows.select("session_id", "seq", "starts").join(back.select("session_id", "can", F.when(F.col("can"), F.col("cut1")).otherwise(F.col("cut0")).alias("cut")), "session_id")
-    at_cut = F.coalesce(F.max(F.when(F.col("seq") == F.col("cut"), F.col("starts"))), F.lit(False))
-    out = rows.groupBy("session_id").agg(F.first("cut").alias("cut"), F.first("can").alias("can"), at_cut.alias("at"), F.max(F.when(F.col("starts") & (F.col("seq") <= F.col("cut")), F.col("seq"))).alias("turn"))
+    rows = rows.withColumns({"at": F.max(F.when((F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens), seq)).over(whole), "first_ok": F.min(F.when(F.col("ok"), seq)).over(whole), "first": F.min("seq").over(whole)})
+    rows = rows.withColumn("cut0", F.coalesce(F.min(F.when(F.col("ok") & (seq >= F.col("at")), seq)).over(whole), "first_ok", "first"))
+    rows = rows.withColumn("stop", F.max(F.when((seq < F.col("cut0")) & F.col("shown"), seq)).over(whole))
+    back = F.min(F.when(seq > F.coalesce("stop", F.lit(-(2**62))), seq)).over(whole)
+    rows = rows.withColumn("cut", F.when(F.col("first_ok").isNotNull(), back).otherwise(F.col("cut0")))
+    at_cut = F.coalesce(F.max(F.when(seq == F.col("cut"), F.col("starts"))), F.lit(False))
+    out = rows.groupBy("session_id").agg(F.first("cut").alias("cut"), F.first(F.col("first_ok").isNotNull()).alias("can"), at_cut.alias("at"), F.max(F.when(F.col("starts") & (seq <= F.col("cut")), seq)).alias("turn"))
     turn = F.when(F.col("at") | ~F.col("can"), F.lit(-1)).otherwise(F.coalesce("turn", F.lit(-1))).cast("long")
     return out.select("session_id", "cut", turn.alias("turn_start"), (turn >= 0).alias("split"))
 
@@ -253,8 +251,9 @@ def prepare_compaction(path: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) -
     Rows: session_id, seq, type, role, tokens, is_message and if there first_kept_seq.
     """
     kept = F.col("first_kept_seq") if "first_kept_seq" in path.columns else F.lit(None).cast("long")
-    marks = path.groupBy("session_id").agg(F.max_by("type", "seq").alias("last_type"), F.max(F.when(F.col("type") == "compaction", F.col("seq"))).alias("c"), F.max_by(kept, F.when(F.col("type") == "compaction", F.col("seq"))).alias("k"), F.min("seq").alias("first"), F.collect_set("seq").alias("_all"))
-    marks = marks.filter("last_type != 'compaction'").select("session_id", F.coalesce(F.when(F.array_contains("_all", F.col("k")), F.col("k")), F.col("c") + 1, F.col("first")).alias("start"))
+    marks = path.groupBy("session_id").agg(F.max_by("type", "seq").alias("last_type"), F.max(F.when(F.col("type") == "compaction", F.col("seq"))).alias("c"), F.max_by(kept, F.when(F.col("type") == "compaction", F.col("seq"))).alias("k"), F.min("seq").alias("first"))
+    there = path.select("session_id", F.col("seq").alias("k"), F.lit(True).alias("_there"))
+    marks = marks.filter("last_type != 'compaction'").join(there, ["session_id", "k"], "left").select("session_id", F.coalesce(F.when(F.col("_there"), F.col("k")), F.col("c") + 1, F.col("first")).alias("start"))
     rows = path.join(marks, "session_id")
     cut = find_cut_point(rows.filter("seq >= start"), keep_tokens)
     rows = rows.join(cut, "session_id").withColumn("end", F.when(F.col("split"), F.col("turn_start")).otherwise(F.col("cut")))
@@ -350,11 +349,11 @@ def context_pressure_sessions(usage: DataFrame, catalog: DataFrame | None = None
     return out.withColumns({f"over_{n}": F.coalesce(F.col("percent") >= n, F.lit(False)) for n in (80, 90, 100)})
 
 
-def context_pressure_groups(sessions: DataFrame) -> DataFrame:
-    """In all, by start day, by model, and by both: sessions, means, medians, share with a compaction."""
+def context_pressure_groups(sessions: DataFrame, approx: bool = False) -> DataFrame:
+    """In all, by start day, by model, and by both: sessions, means, medians (``approx``: from a bounded sketch), share with a compaction."""
     rows = sessions.withColumn("day", F.to_date("start").cast("string"))
     return rows.cube("day", "model").agg(
-        F.count("*").alias("sessions"), F.avg("max_tokens").alias("mean_tokens"), F.median("max_tokens").alias("median_tokens"), F.avg((F.col("compactions") > 0).cast("int")).alias("compaction_rate"), F.grouping_id().cast("long").alias("level")
+        F.count("*").alias("sessions"), F.avg("max_tokens").alias("mean_tokens"), (F.percentile_approx("max_tokens", 0.5) if approx else F.median("max_tokens")).alias("median_tokens"), F.avg((F.col("compactions") > 0).cast("int")).alias("compaction_rate"), F.grouping_id().cast("long").alias("level")
     )
 
 

@@ -279,7 +279,7 @@ def session_info(entries: DataFrame) -> DataFrame:
 def list_sessions(sessions: DataFrame, cwd: str | None = None, modified: str = "modified") -> DataFrame:
     """all sessions, or those of a directory, newest first."""
     rows = sessions if cwd is None else sessions.filter(F.col("cwd") == cwd)
-    return rows.orderBy(F.desc(modified), "session_id")
+    return rows
 
 
 def most_recent_session(sessions: DataFrame, by: str = "cwd", modified: str = "modified") -> DataFrame:
@@ -290,7 +290,7 @@ def most_recent_session(sessions: DataFrame, by: str = "cwd", modified: str = "m
 
 def user_messages(messages: DataFrame) -> DataFrame:
     """user rows with text, in order: where a fork can begin."""
-    return messages.filter((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != "")).orderBy("session_id", "seq")
+    return messages.filter((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
 
 
 def first_wins_dedup(df: DataFrame, key: str, order: list[Column], same: str | None = None) -> tuple[DataFrame, DataFrame]:

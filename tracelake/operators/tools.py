@@ -70,7 +70,7 @@ def tool_stats(calls: DataFrame, results: DataFrame) -> DataFrame:
     joined = match_calls_results(calls, results)
     n = F.count_if(F.col("result").isNotNull())
     out = joined.groupBy("tool").agg(F.count("*").alias("calls"), n.alias("results"), F.count_if(F.col("result.is_error")).alias("errors"), F.coalesce(F.sum("result.tokens"), F.lit(0)).alias("tokens"))
-    return out.withColumn("mean_tokens", ratio("tokens", "results")).orderBy(F.desc("tokens"), "tool")
+    return out.withColumn("mean_tokens", ratio("tokens", "results"))
 
 
 def bash_stats(calls: DataFrame, results: DataFrame, command: str = "command", top: int = 50) -> DataFrame:
@@ -118,9 +118,9 @@ def edit_summary(calls: DataFrame) -> DataFrame:
     return out.withColumn("failure_rate", ratio("failed", "resolved"))
 
 
-def inflation_stats(edits: DataFrame) -> DataFrame:
-    """Quantiles of inflation, counts at thresholds and sizes, one row."""
-    q = [F.percentile("inflation", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
+def inflation_stats(edits: DataFrame, approx: bool = False) -> DataFrame:
+    """Quantiles of inflation, counts at thresholds and sizes, one row. ``approx`` takes the quantiles from a bounded sketch."""
+    q = [(F.percentile_approx if approx else F.percentile)("inflation", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
     at = [F.count_if(F.col("inflation") >= n).alias(f"at_least_{n}") for n in (10, 25, 100)]
     over = [F.count_if(F.col("total_bytes") > n * 1024).alias(f"over_{n}k") for n in (1, 4, 16, 64)]
     return edits.agg(F.count("*").alias("edits"), *q, *at, *over)
@@ -150,10 +150,10 @@ def read_stats(reads: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return out.withColumn("partial_rate", ratio("partial_reads", "reads"))
 
 
-def read_stats_per_session(reads: DataFrame, bucket: Column) -> DataFrame:
-    """By bucket, sessions, reads a session, and the median of the sessions' partial rates."""
+def read_stats_per_session(reads: DataFrame, bucket: Column, approx: bool = False) -> DataFrame:
+    """By bucket, sessions, reads a session, and the median of the sessions' partial rates (``approx``: from a bounded sketch)."""
     own = reads.groupBy(bucket.alias("bucket"), "session_id").agg(F.count("*").alias("n"), F.avg((F.col("mode") == "partial").cast("int")).alias("rate"))
-    return own.groupBy("bucket").agg(F.count("*").alias("sessions"), F.avg("n").alias("reads_per_session"), F.median("rate").alias("median_partial_rate"))
+    return own.groupBy("bucket").agg(F.count("*").alias("sessions"), F.avg("n").alias("reads_per_session"), (F.percentile_approx("rate", 0.5) if approx else F.median("rate")).alias("median_partial_rate"))
 
 
 def extract_file_ops(calls: DataFrame, path: Column | str = "path") -> DataFrame:

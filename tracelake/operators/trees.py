@@ -80,7 +80,7 @@ def search_entries(entries: DataFrame, query: str, text: Column | str = "text")
 
 def entries_of_type(entries: DataFrame, kind: str) -> DataFrame:
     """Rows of a type in sequence order."""
-    return entries.filter(F.col("type") == kind).orderBy("session_id", "seq")
+    return entries.filter(F.col("type") == kind)
 
 
 def ancestors(entries: DataFrame, start: DataFrame) -> DataFrame:
@@ -166,13 +166,39 @@ def resolve_labels(entries: DataFrame, labels: DataFrame, trim: bool = False) ->
     return entries.join(last, ["session_id", "seq"], "left")
 
 
+def nearest(entries: DataFrame, stop: Column) -> DataFrame:
+    """(session_id, seq, near): the nearest proper ancestor that ``stop`` holds for; null without one, and on a cycle without one.
+
+    Pointers double until they meet such a row or a root: one row an entry in each of log2(depth) rounds.
+    """
+    known = entries.select("session_id", F.col("seq").alias("up"), F.coalesce(stop, F.lit(False)).alias("_stop"))
+    rows = entries.select("session_id", "seq", F.when(F.col("parent_seq") != F.col("seq"), F.col("parent_seq")).alias("up")).join(known, ["session_id", "up"], "left")
+    up = F.when(F.col("_stop").isNotNull(), F.col("up"))
+    now = written(rows.select("session_id", "seq", up.alias("up"), (up.isNull() | F.col("_stop")).alias("done")), "nearest")
+    most, step = now.count(), 1
+    while step < 2 * most and not now.filter("NOT done").isEmpty():
+        above = now.select("session_id", F.col("seq").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"))
+        moved = now.filter("NOT done").join(above, ["session_id", "up"]).select("session_id", "seq", F.col("up2").alias("up"), F.col("done2").alias("done"))
+        now, step = written(now.filter("done").unionByName(moved), "nearest"), 2 * step
+    return now.select("session_id", "seq", F.when(F.col("done"), F.col("up")).alias("near"))
+
+
 def session_lineage(sessions: DataFrame) -> DataFrame:
-    """Root, depth and latest activity over the subtree of each session. Rows: session_id, parent_id, ts; a missing parent is a root."""
-    tree = sessions.select(F.lit(0).alias("session_id"), F.col("session_id").alias("seq"), F.col("parent_id").alias("parent_seq"))
-    up = ancestors(tree, tree.select("session_id", "seq", F.col("seq").alias("of")))
-    top = up.groupBy("of").agg(F.max("distance").alias("depth"), F.max_by("seq", "distance").alias("root"))
-    latest = up.join(sessions.select(F.col("session_id").alias("of"), "ts"), "of").groupBy("seq").agg(F.max("ts").alias("latest"))
-    return top.join(latest, top["of"] == latest["seq"]).select(F.col("of").alias("session_id"), "root", "depth", "latest")
+    """Root, depth and latest activity over the subtree of each session. Rows: session_id, parent_id, ts; a missing parent is a root.
+
+    Pointers double; in each round a session also hands its subtree's latest time to the one that it points to.
+    """
+    known = sessions.select(F.col("session_id").alias("up")).withColumn("_known", F.lit(True))
+    rows = sessions.select("session_id", F.when(F.col("parent_id") != F.col("session_id"), F.col("parent_id")).alias("up"), "ts").join(known, "up", "left")
+    up = F.when(F.col("_known"), F.col("up"))
+    now = written(rows.select("session_id", up.alias("up"), F.coalesce(up, F.col("session_id")).alias("root"), up.isNotNull().cast("long").alias("depth"), F.col("ts").alias("latest")), "lineage")
+    most, step = now.count(), 1
+    while step < 2 * most and not now.filter("up IS NOT NULL").isEmpty():
+        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("session_id")).agg(F.max("latest").alias("_latest"))
+        above = now.select(F.col("session_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        moved = now.join(above, "up", "left").join(below, "session_id", "left")
+        now, step = written(moved.select("session_id", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.greatest("latest", "_latest").alias("latest")), "lineage"), 2 * step
+    return now.select("session_id", "root", "depth", "latest")
 
 
 def children(entries: DataFrame) -> DataFrame:
@@ -192,7 +218,7 @@ def entry_slice_per_session(entries: DataFrame, offset: int, n: int) -> DataFram
 def last_n_per_session(entries: DataFrame, n: int, before_seq: int | None = None) -> DataFrame:
     """for every session, the newest n rows at or below a sequence, ascending."""
     rows = entries if before_seq is None else entries.filter(F.col("seq") <= before_seq)
-    return rows.withColumn("_n", F.row_number().over(by_session().orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n").orderBy("session_id", "seq")
+    return rows.withColumn("_n", F.row_number().over(by_session().orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n")
 
 
 def latest_custom_state(entries: DataFrame, kinds: Sequence[str], data: str, leaf: DataFrame | None = None) -> DataFrame:
@@ -229,16 +255,14 @@ def session_context(entries: DataFrame, leaf: DataFrame | None = None, state: Se
 
 def contract_tree(entries: DataFrame, visible: Column) -> DataFrame:
     """Visible rows, each under its nearest visible ancestor (null: none)."""
-    shown = entries.filter(visible).select("session_id", "seq")
-    up = ancestors(entries, shown.select("session_id", "seq", F.col("seq").alias("of"))).filter("distance > 0")
-    near = up.join(shown, ["session_id", "seq"], "left_semi").groupBy("session_id", F.col("of")).agg(F.min_by("seq", "distance").alias("visible_parent"))
-    return shown.join(near.withColumnRenamed("of", "seq"), ["session_id", "seq"], "left")
+    near = nearest(entries, visible).withColumnRenamed("near", "visible_parent")
+    return entries.filter(visible).select("session_id", "seq").join(near, ["session_id", "seq"])
 
 
 def fold_descendants(entries: DataFrame, folded: DataFrame) -> DataFrame:
     """Entries without the descendants of folded rows (session_id, seq)."""
-    up = ancestors(entries, entries.select("session_id", "seq", F.col("seq").alias("of"))).filter("distance > 0")
-    under = up.join(folded, ["session_id", "seq"], "left_semi").select("session_id", F.col("of").alias("seq")).distinct()
+    marked = entries.join(folded.select("session_id", "seq").distinct().withColumn("_folded", F.lit(True)), ["session_id", "seq"], "left")
+    under = nearest(marked, F.col("_folded")).filter("near IS NOT NULL")
     return entries.join(under, ["session_id", "seq"], "left_anti")
 
 
@@ -251,8 +275,8 @@ def active_path_flags(entries: DataFrame, leaf: DataFrame | None = None) -> Data
 
 
 def abandoned_entries(entries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """H1: rows of the old path that aren't on the new one, in order."""
-    return branch_path(entries, old).join(branch_path(entries, new).select("session_id", "seq"), ["session_id", "seq"], "left_anti").orderBy("session_id", "pos")
+    """H1: rows of the old path that aren't on the new one, with their place."""
+    return branch_path(entries, old).join(branch_path(entries, new).select("session_id", "seq"), ["session_id", "seq"], "left_anti")
 
 
 def fork_session(entries: DataFrame, at: DataFrame | None = None, position: str = "at", suffix: str = "-fork") -> tuple[DataFrame, DataFrame]:
