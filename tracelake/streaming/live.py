@@ -171,26 +171,41 @@ def tool_durations(events: DataFrame, delay: str = "10 minutes", most: str = "1
 
 
 STATE_COLUMNS = ("input", "output", "cache_read", "cache_write", "cost_micro")
-LIVE = "session_id long, messages long, compactions long, input long, output long, cache_read long, cache_write long, cost_micro long, last_seq long, provider string, model string"
+LIVE = "session_id long, messages long, compactions long, input long, output long, cache_read long, cache_write long, cost_micro long, last_seq long, provider string, model string, name string, name_seq long, thinking_level string, level_seq long, labels string"
 
 
 def live_session_state(usage: DataFrame) -> DataFrame:
-    """Each session's counts, token and cost sums, and current model, updated with every micro-batch; equals the batch result."""
+    """Each session's counts, token and cost sums, current model, name, thinking level and labels, updated with every
+    micro-batch; equals the batch result.
+
+    Columns used if there: name, thinking_level (null: the row sets none), label_target with label (empty: clears it). ``labels``
+    is JSON, target to label.
+    """
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else [0] * (2 + len(STATE_COLUMNS)) + [-1, None, None]
+        names = [x.split(" ")[0] for x in LIVE.split(", ")][1:]
+        s = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names, 0) | {"last_seq": -1, "provider": None, "model": None, "name": None, "name_seq": -1, "thinking_level": None, "level_seq": -1, "labels": "{}"}
+        marks = json.loads(s["labels"])
         for b in batches:
-            s[0] += int((b["type"] == "message").sum())
-            s[1] += int((b["type"] == "compaction").sum())
-            for k, c in enumerate(STATE_COLUMNS):
-                s[2 + k] += int(b[c].sum())
+            b = b.sort_values("seq")
+            s["messages"] += int((b["type"] == "message").sum())
+            s["compactions"] += int((b["type"] == "compaction").sum())
+            for c in STATE_COLUMNS:
+                s[c] += int(b[c].sum())
             own = b[b["type"] == "message"]
-            if len(own) and int(own["seq"].max()) > s[-3]:
-                last = own.loc[own["seq"].idxmax()]
-                s[-3:] = [int(last["seq"]), last["provider"], last["model"]]
-        state.update(tuple(s))
-        names = [x.split(" ")[0] for x in LIVE.split(", ")]
-        yield pd.DataFrame([dict(zip(names, [key[0], *s], strict=True))])
+            if len(own) and int(own["seq"].iloc[-1]) > s["last_seq"]:
+                s |= {"last_seq": int(own["seq"].iloc[-1]), "provider": own["provider"].iloc[-1], "model": own["model"].iloc[-1]}
+            for column, place in (("name", "name_seq"), ("thinking_level", "level_seq")):
+                given = b[b[column].notna()] if column in b else b[:0]
+                if len(given) and int(given["seq"].iloc[-1]) > s[place]:
+                    s |= {column: given[column].iloc[-1], place: int(given["seq"].iloc[-1])}
+            given = b[b["label_target"].notna()] if "label_target" in b else b[:0]
+            for q, target, label in zip(given["seq"], given["label_target"], given["label"], strict=True) if len(given) else ():
+                if int(q) > marks.get(target, ["", -1])[1]:
+                    marks[target] = [label or "", int(q)]
+        s["labels"] = json.dumps(marks)
+        state.update(tuple(s.values()))
+        yield pd.DataFrame([{"session_id": key[0]} | s | {"labels": json.dumps({k: v for k, (v, _) in sorted(marks.items()) if v})}])
 
     return usage.groupBy("session_id").applyInPandasWithState(fold, LIVE, LIVE.split(", ", 1)[1], "update", GroupStateTimeout.NoTimeout)
 
@@ -288,15 +303,32 @@ def dedup_entries(entries: DataFrame, ts: str = "ts", delay: str = "1 hour", key
 
 
 def upsert_session_state(stream: DataFrame, path: str, checkpoint: str, key: str = "session_id", order: str = "last_seq", buckets: int = 16, trigger: dict | None = None):
-    """A table with one row a session, the latest. Each micro-batch rewrites the buckets of sessions it has rows of.
+    """A table with one row a session, the latest. Each micro-batch replaces the buckets of the sessions that it has rows of.
 
-    A batch writes a new version of its buckets beside the old ones, ``v=<batch>``; readers take each session's latest row, so a
-    batch that is repeated after a failure changes nothing.
+    A batch writes its buckets anew, with the other sessions they hold, as ``v=<batch>``, and then deletes their older versions. A
+    batch that is repeated after a failure finds its version written and only deletes; until then readers take the latest row.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
-        latest.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        spark = batch.sparkSession
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        below = lambda at: [x.getPath() for x in store.listStatus(at) if x.isDirectory()] if store.exists(at) else []
+        here = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number}")
+        older = [b for v in below(top) if int(v.getName()[2:]) < number for b in below(v)]
+        latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(here, "_SUCCESS")):
+            rows = latest
+            if older:
+                touched = latest.select("bucket").distinct()
+                held = spark.read.schema(latest.schema.add("v", "long")).parquet(path).filter(F.col("v") < number).join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` numbers
+                every = held.unionByName(latest.withColumn("v", F.lit(number).cast("long")))
+                rows = every.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(order, "v")).alias("r")).select("r.*").drop("v")
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        replaced = {b.getName() for b in below(here)}
+        for b in older:
+            if b.getName() in replaced:
+                store.delete(b, True)
 
     return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
