@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as S
@@ -14,27 +12,11 @@ from tracelake.operators import corpus as D
 from tracelake.operators import tools as A
 from tracelake.operators import trees as R
 from tracelake.operators import usage as U
-from tracelake.plans import hooks
-from tracelake.plans.bindings import view, with_clause
+from tracelake.plans import hooks, log_queries, stream_queries
+from tracelake.plans.registry import ORACLE_SQL, QUERIES, query
 from tracelake.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, *views: str, sql: str | None = None, more: tuple[str, ...] = ()):
-    """Registers a function of views. ``sql`` may begin with further named parts, ``x AS (...), y AS (...) SELECT ...``."""
-
-    def add(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: make(*(view(spark, sf_dir, v) for v in views))
-        if sql:
-            given = with_clause((*views, *more))
-            named = sql.lstrip().split(" ", 2)[1] == "AS"
-            ORACLE_SQL[name] = f"{given}, {sql}" if given and named else f"{given} {sql}" if given else f"WITH RECURSIVE {sql}" if named else sql
-        return make
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES", "log_queries", "stream_queries"]
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Interpolated quantiles to 6 digits: the engines' last bits differ."""
@@ -49,7 +31,7 @@ TOKEN_SUMS = sums("input", "output", "cache_read", "cache_write")
 
 # usage ---------------------------------------------------------------------------------------------------------------
 
-query("e1_cost_by_day_provider", "usage", sql=f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, provider, {sums('cost_micro')}, count(*) AS requests, CAST(GROUPING(CAST(CAST(ts AS DATE) AS VARCHAR), provider) AS BIGINT) AS level FROM usage WHERE cost_micro > 0 GROUP BY CUBE (CAST(CAST(ts AS DATE) AS VARCHAR), provider)")(U.cost_by_day_provider)
+query("e1_cost_by_day_provider", "usage", sql=f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, provider, {sums('cost_micro')}, count(*) AS requests, CAST(GROUPING(CAST(CAST(ts AS DATE) AS VARCHAR), provider) AS BIGINT) AS level FROM usage WHERE cost_micro IS NOT NULL GROUP BY CUBE (CAST(CAST(ts AS DATE) AS VARCHAR), provider)")(U.cost_by_day_provider)
 query("e2_usage_by_day_provider", "usage", sql=f"d AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM usage) SELECT day, provider, {TOKEN_SUMS}, {sums('cost_micro')}, count(*) AS messages, count(DISTINCT session_id) AS sessions, CAST(GROUPING(day, provider) AS BIGINT) AS level FROM d GROUP BY ROLLUP (day, provider)")(U.usage_by_day_provider)
 query("e3_usage_cost_breakdown", "usage", sql=f"SELECT CASE WHEN type = 'message' THEN provider || '/' || model ELSE '[summaries and tools]' END AS model, {sums('cost_micro')}, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM usage GROUP BY 1 HAVING sum(cost_micro) > 0 OR sum(input + output + cache_read + cache_write) > 0")(U.usage_cost_breakdown)
 query("e4_session_stats", "usage", sql=f"SELECT session_id, count(*) FILTER (type = 'message') AS messages, count(*) FILTER (stop_reason = 'error') AS errors, count(*) FILTER (type = 'compaction') AS compactions, {TOKEN_SUMS}, {sums('cost_micro')} FROM usage GROUP BY session_id")(U.session_stats)
@@ -263,7 +245,6 @@ query("b2_migrate_v2_to_v3", "conv", sql="SELECT session_id, seq, CASE WHEN role
 query("b19_estimate_tokens", "conv", sql="SELECT session_id, seq, tokens FROM conv")(lambda c: c.withColumn("content", F.array(F.struct(F.lit("text").alias("type"), F.translate("text", "\U0001f600", "").alias("text"), F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))).withColumn("role", F.when(F.col("role") == "system", "custom").otherwise(F.col("role"))).transform(lambda d: d.select("session_id", "seq", C.estimate_tokens(d).alias("tokens"))))
 query("b23_serialize_conversation", "conv", sql="SELECT session_id, string_agg(CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) || chr(10) ORDER BY seq) AS text FROM conv WHERE role IN ('user', 'assistant') AND text != '' GROUP BY session_id")(C.serialize_conversation)
 query("b24_transcript", "conv", sql="SELECT session_id, '=== SESSION: ' || CAST(session_id AS VARCHAR) || ' ===' || chr(10) || string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY seq) || chr(10) || '=== END SESSION ===' AS text FROM conv WHERE role IN ('user', 'assistant') AND trim(text) != '' GROUP BY session_id")(C.transcript)
-query("b3_explode_blocks", "conv", sql="x AS (SELECT session_id, seq, string_split(text, '. ') AS b FROM conv) SELECT session_id, seq, CAST(k - 1 AS INTEGER) AS pos, b[k] AS text FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM x)")(lambda c: c.select("session_id", "seq", F.posexplode(F.split("text", r"\. ")).alias("pos", "text")))
 query("b5_entries_to_context", "tree", sql="SELECT session_id, seq, CASE type WHEN 'compaction' THEN 'compactionSummary' ELSE 'user' END AS role FROM tree WHERE type IN ('compaction', 'message')")(lambda t: C.entries_to_context(t.withColumns({"role": F.lit("user"), "summary": F.lit(None).cast("string")})).select("session_id", "seq", "role"))
 query("c13_should_compact", "conv", sql="t AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM conv GROUP BY 1) SELECT session_id, tokens, tokens > 20000 - 19000 AS compact FROM t")(lambda c: c.groupBy("session_id").agg(F.sum("tokens").alias("tokens")).withColumn("compact", C.should_compact(F.col("tokens"), F.lit(20000), 19000)))
 query("c14_turn_points", "conv", sql="SELECT session_id, seq, role != 'assistant' AS starts, true AS can_cut FROM conv")(lambda c: c.withColumn("role", F.when(F.col("role") == "system", "custom").otherwise(F.col("role"))).select("session_id", "seq", C.turn_start(F.col("role")).alias("starts"), C.cut_point(F.col("role")).alias("can_cut")))
@@ -271,6 +252,19 @@ _SEG = "g AS (SELECT *, count(*) FILTER (type IN ('compaction', 'branch_summary'
 query("d8_previous_request", "usage", sql=f"{_SEG} SELECT session_id, seq, prompt, prev_prompt, segment FROM r")(lambda u: C.previous_request(u).select("session_id", "seq", "prompt", "prev_prompt", "segment"))
 query("g1_cache_misses", "usage", sql=f"{_SEG} SELECT session_id, seq, missed, provider || '/' || model <> prev_model AS model_changed, greatest(0, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6) AS idle_s FROM m WHERE missed > 1024")(lambda u: C.cache_misses(u).select("session_id", "seq", "missed", "model_changed", F.round("idle_s", 6).alias("idle_s")))
 query("e18_cache_waste", "usage", sql=f"{_SEG} SELECT session_id, CAST(sum(missed) AS BIGINT) AS missed_tokens, count(*) AS misses FROM m WHERE missed > 1024 GROUP BY session_id")(lambda u: C.cache_waste(C.cache_misses(u)))
+
+
+def with_costs(u: DataFrame) -> DataFrame:
+    return u.withColumns({"cost_input": F.col("input") * 3, "cost_cache_write": F.col("cache_write") * 4, "cost_cache_read": F.col("cache_read") * 1})
+
+
+def rates_of(u: DataFrame) -> DataFrame:
+    return u.filter("model != 'm2'").select("provider", "model").distinct().withColumn("cache_read_rate", F.when(F.col("model") == "m1", 0.5).otherwise(2.0))
+
+
+_EXTRA = f"{_SEG}, x AS (SELECT *, missed * greatest(0, CASE WHEN input + cache_write > 0 THEN (input * 3 + cache_write * 4) / CAST(input + cache_write AS DOUBLE) ELSE 0 END - CASE WHEN cache_read > 0 THEN 1 WHEN model = 'm1' THEN 0.5 WHEN model = 'm2' THEN 0 ELSE 2 END) AS extra FROM m WHERE missed > 1024)"
+query("g1_cache_miss_cost", "usage", sql=f"{_EXTRA} SELECT session_id, seq, missed, round(extra, 6) AS extra_micro FROM x")(lambda u: rounded(C.cache_misses(with_costs(u), rates_of(u)).select("session_id", "seq", "missed", "extra_micro"), "extra_micro"))
+query("e18_cache_waste_cost", "usage", sql=f"{_EXTRA} SELECT session_id, CAST(sum(missed) AS BIGINT) AS missed_tokens, count(*) AS misses, round(sum(extra), 6) AS extra_micro FROM x GROUP BY session_id")(lambda u: rounded(C.cache_waste(C.cache_misses(with_costs(u), rates_of(u))), "extra_micro"))
 query("e16_context_pressure_sessions", "usage", sql=f"{_WINDOWS}, y AS (SELECT *, input + cache_read + cache_write AS prompt, min(CASE WHEN type = 'compaction' THEN seq END) OVER (PARTITION BY session_id) AS fc FROM usage), s AS (SELECT session_id, max(prompt) AS max_tokens, coalesce(arg_max(prompt, seq) FILTER (type = 'message' AND (fc IS NULL OR seq < fc) AND prompt > 0), max(prompt) FILTER (seq = fc)) AS tokens_before, arg_max(provider, seq) FILTER (type = 'message') AS provider, arg_max(model, seq) FILTER (type = 'message') AS model, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS duration_s, count(*) FILTER (type = 'compaction') AS compactions FROM y GROUP BY session_id) SELECT s.*, context_window, 100.0 * max_tokens / context_window AS percent, coalesce(100.0 * max_tokens / context_window >= 80, false) AS over_80, coalesce(100.0 * max_tokens / context_window >= 90, false) AS over_90, coalesce(100.0 * max_tokens / context_window >= 100, false) AS over_100 FROM s LEFT JOIN w USING (provider, model)")(lambda u: C.context_pressure_sessions(u, windows_of(u)).drop("start"))
 query("e17_context_pressure_groups", "usage", sql="s AS (SELECT session_id, max(input + cache_read + cache_write) AS t, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS day, arg_max(model, seq) FILTER (type = 'message') AS model, count(*) FILTER (type = 'compaction') AS k FROM usage GROUP BY 1) SELECT day, model, count(*) AS sessions, avg(t) AS mean_tokens, median(t) AS median_tokens, avg(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS compaction_rate, CAST(GROUPING(day, model) AS BIGINT) AS level FROM s GROUP BY CUBE (day, model)")(lambda u: C.context_pressure_groups(C.context_pressure_sessions(u)))
 
@@ -290,7 +284,10 @@ query("g9_auto_compaction_decision", "usage", sql="x AS (SELECT *, max(CASE WHEN
     lambda u: C.auto_compaction_decision(u.withColumns({"context_window": F.lit(9000), "error_message": F.lit(None).cast("string"), "compaction_ts": F.max(F.when(F.col("type") == "compaction", F.col("ts"))).over(C.up_to_row()), "current": F.col("model") != "m3"}).filter("type = 'message'"), 2000).select("session_id", "seq", "decision")
 )
 query("g15_retry_episodes", "usage", sql="x AS (SELECT *, count(*) FILTER (stop_reason != 'error') OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM usage) SELECT session_id, min(seq) AS first_seq, count(*) AS attempts, 2.0 * (pow(2, least(count(*), 3)) - 1) AS backoff_s FROM x WHERE stop_reason = 'error' GROUP BY session_id, run")(lambda u: C.retry_episodes(u, F.col("stop_reason") == "error"))
-query("g6_pack_transcripts", "conv")(lambda c: hooks.pack_transcripts(c.select((F.col("session_id") % 20).cast("string").alias("cwd"), (F.col("session_id") * 1000 + F.col("seq")).alias("seq"), "text"), 5000))
+_PACK = "CASE WHEN r.size > 5000 OR f.used IS NULL OR f.used + r.size + 2 > 5000 THEN f.bin + 1 ELSE f.bin END, CASE WHEN r.size > 5000 THEN NULL WHEN f.used IS NULL OR f.used + r.size + 2 > 5000 THEN r.size ELSE f.used + r.size + 2 END"
+query("g6_pack_transcripts", "conv", sql=f"r AS (SELECT CAST(session_id // 8 AS VARCHAR) AS cwd, session_id * 1000 + seq AS seq, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY session_id // 8 ORDER BY session_id * 1000 + seq) AS n FROM conv), f AS (SELECT cwd, seq, size, n, CAST(0 AS BIGINT) AS bin, CASE WHEN size <= 5000 THEN size END AS used FROM r WHERE n = 1 UNION ALL SELECT r.cwd, r.seq, r.size, r.n, {_PACK} FROM f JOIN r ON r.cwd = f.cwd AND r.n = f.n + 1) SELECT cwd, seq, bin, size FROM f")(
+    lambda c: hooks.pack_transcripts(c.select(F.floor(F.col("session_id") / 8).cast("string").alias("cwd"), (F.col("session_id") * 1000 + F.col("seq")).alias("seq"), "text"), 5000)
+)
 
 # corpus ---------------------------------------------------------------------------------------------------------------
 
@@ -309,7 +306,24 @@ def listing(c: DataFrame) -> DataFrame:
 _LIST = "s AS (SELECT session_id, coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (role IN ('user', 'assistant') AND trim(text) != ''), '') AS text FROM conv GROUP BY session_id)"
 query("c8_search_sessions", "conv", sql=f"{_LIST}, n AS (SELECT session_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM s) SELECT session_id, (strpos(t, 'the') - 1) * 0.1 + (strpos(t, 'on') - 1) * 0.1 AS score FROM n WHERE strpos(t, 'the') > 0 AND strpos(t, 'on') > 0")(lambda c: D.search_sessions(listing(c), '"The" "on"').select("session_id", F.round("score", 6).alias("score")))
 query("c8_search_sessions_regex", "conv", sql=f"{_LIST} SELECT session_id FROM s WHERE regexp_matches(text, '(?i)th[aeiou]r')")(lambda c: D.search_sessions(listing(c), "re:th[aeiou]r", "recent").select("session_id"))
-query("k5_fuzzy_score", "conv")(lambda c: D.with_fuzzy_score(c.select("session_id", "seq", "text"), "thon/and").select("session_id", "seq", "score"))
+
+
+def fuzzy_sql(*tokens: str) -> str:
+    """K5 in SQL: a token's characters in order, each at its first place after the one before; runs, gaps, lateness and word starts."""
+    parts, found = ["k0 AS (SELECT session_id, seq, lower(text) AS t, CAST(0 AS DOUBLE) AS score FROM conv)"], "k0"
+    for n, token in enumerate(tokens):
+        steps = [f"q{n}_0 AS (SELECT *, -1 AS p, 0 AS run, CAST(0 AS DOUBLE) AS own FROM {found})"]
+        for k, c in enumerate(token, 1):
+            steps.append(f"s{n}_{k} AS (SELECT * EXCLUDE (p), p AS before, CASE WHEN strpos(substr(t, p + 2), '{c}') > 0 THEN p + strpos(substr(t, p + 2), '{c}') END AS p FROM q{n}_{k - 1})")
+            run = "CASE WHEN p - before = 1 THEN run + 1 ELSE 0 END"
+            start = "CASE WHEN p = 0 OR regexp_matches(substr(t, p, 1), '[\\s\\-_./:]') THEN 10 ELSE 0 END"
+            steps.append(f"q{n}_{k} AS (SELECT session_id, seq, t, score, p, {run} AS run, own + CASE WHEN {run} > 0 THEN -5 * {run} ELSE {2 if k > 1 else 0} * (p - before - 1) END + 0.1 * p - {start} AS own FROM s{n}_{k} WHERE p IS NOT NULL)")
+        found = f"k{n + 1}"
+        parts += [*steps, f"{found} AS (SELECT session_id, seq, t, score + own - CASE WHEN t = '{token}' THEN 100 ELSE 0 END AS score FROM q{n}_{len(token)})"]
+    return f"{', '.join(parts)} SELECT session_id, seq, round(score, 6) AS score FROM {found}"
+
+
+query("k5_fuzzy_score", "conv", sql=fuzzy_sql("thon", "and"))(lambda c: rounded(D.with_fuzzy_score(c.select("session_id", "seq", "text"), "thon/and").select("session_id", "seq", "score"), "score"))
 query("f2_list_sessions", "conv", sql="SELECT session_id, session_id % 17 AS modified FROM conv GROUP BY 1")(lambda c: D.list_sessions(listing(c)).select("session_id", "modified"))
 query("f3_most_recent_session", "conv", sql="s AS (SELECT DISTINCT session_id, session_id % 5 AS cwd, session_id % 17 AS modified FROM conv) SELECT cwd, session_id, modified FROM (SELECT *, row_number() OVER (PARTITION BY cwd ORDER BY modified DESC, session_id) AS n FROM s) WHERE n = 1")(lambda c: D.most_recent_session(c.select("session_id", (F.col("session_id") % 5).alias("cwd"), (F.col("session_id") % 17).alias("modified")).distinct()))
 query("f7_user_messages", "conv", sql="SELECT session_id, seq, text FROM conv WHERE role = 'user' AND trim(text) != ''")(lambda c: D.user_messages(c).select("session_id", "seq", "text"))
@@ -338,9 +352,21 @@ query("d14_diff_catalogs", "catalog", sql="SELECT provider, model, CASE WHEN p_p
     lambda k: K.diff_catalogs(k.filter("p_partkey % 11 != 0"), k.filter("p_partkey % 7 != 0").withColumn("input_rate", F.when(F.col("p_partkey") % 13 == 0, F.col("input_rate") + 1).otherwise(F.col("input_rate"))))
 )
 query("d15_overlay_catalog", "catalog", sql="SELECT provider, model, CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE input_rate END AS input_rate, context_window FROM catalog")(lambda k: K.overlay_catalog(k.select("provider", "model", "input_rate", "context_window"), k.filter("p_partkey % 2 = 0").select("provider", "model", F.lit(7).cast("long").alias("input_rate"))))
-query("d16_resolve_model_refs", "catalog", sql="SELECT provider || '/' || model || ':high' AS ref, 'high' AS level, provider, model, 'exact' AS how FROM catalog WHERE p_partkey % 10 = 0 UNION ALL SELECT 'nothing-' || CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, 'none' FROM catalog WHERE p_partkey % 100 = 0 UNION ALL SELECT '*-1?', NULL, provider, model, 'glob' FROM catalog WHERE regexp_matches(model, '-1.$') UNION ALL (SELECT 'brand#1', NULL, provider, model, 'contains' FROM catalog WHERE lower(provider || '/' || model) LIKE '%brand#1%' ORDER BY model DESC, provider LIMIT 1)")(
-    lambda k: K.resolve_model_refs(k.filter("p_partkey % 10 = 0").select(F.concat_ws("/", "provider", "model").alias("a")).select(F.concat("a", F.lit(":high")).alias("ref")).unionByName(k.filter("p_partkey % 100 = 0").select(F.concat(F.lit("nothing-"), F.col("p_partkey").cast("string")).alias("ref"))).unionByName(k.filter("p_partkey = 1").select(F.explode(F.array(F.lit("*-1?"), F.lit("brand#1"))).alias("ref"))), k)
-)
+
+
+def refs_of(k: DataFrame) -> DataFrame:
+    """Every model by its full name, by its own name, by a part of it, and by a glob; and as a name that no model has."""
+    tens = F.floor(F.col("p_partkey") / 10).cast("string")
+    refs = [F.concat_ws("/", "provider", F.concat("model", F.lit(":high"))), F.col("model"), F.substring("model", 3, 5), F.concat(F.lit("*-"), tens, F.lit("?")), F.concat(F.lit("nothing-"), F.col("p_partkey").cast("string")), F.concat(F.lit("[a-z]* widget-"), tens, F.lit("7"))]
+    return k.select(F.explode(F.array(*refs)).alias("ref"))
+
+
+query(
+    "d16_resolve_model_refs", "catalog",
+    sql="n AS (SELECT *, lower(provider || '/' || model) AS f, p_partkey // 10 AS t FROM catalog), s AS (SELECT DISTINCT substr(model, 3, 5) AS ref FROM n), c AS (SELECT ref, provider, model, row_number() OVER (PARTITION BY ref ORDER BY model DESC, provider) AS k FROM s JOIN n ON contains(f, lower(ref))), g AS (SELECT '*-' || CAST(t AS VARCHAR) || '?' AS ref, provider, model FROM n WHERE t > 0), w AS (SELECT '[a-z]* widget-' || CAST(t AS VARCHAR) || '7' AS ref, t FROM n GROUP BY ALL), x AS (SELECT w.ref, provider, model FROM w JOIN n ON regexp_matches(lower(model), '^[a-z].* widget-' || CAST(w.t AS VARCHAR) || '7$') OR regexp_matches(f, '^[a-z].* widget-' || CAST(w.t AS VARCHAR) || '7$')) "
+    "SELECT provider || '/' || model || ':high' AS ref, 'high' AS level, provider, model, 'exact' AS how FROM n UNION ALL SELECT model, NULL, provider, model, 'exact' FROM n UNION ALL SELECT ref, NULL, provider, model, 'contains' FROM c WHERE k = 1 UNION ALL SELECT ref, NULL, provider, model, 'glob' FROM g UNION ALL SELECT DISTINCT '*-0?', NULL, NULL, NULL, 'none' FROM n WHERE t = 0 UNION ALL SELECT 'nothing-' || CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, 'none' FROM n "
+    "UNION ALL SELECT ref, NULL, provider, model, 'glob' FROM x UNION ALL SELECT ref, NULL, NULL, NULL, 'none' FROM w WHERE ref NOT IN (SELECT ref FROM x)",
+)(lambda k: K.resolve_model_refs(refs_of(k), k))
 query("e22_validate_catalog", "catalog", sql="m AS (SELECT * FROM catalog WHERE p_partkey % 3 != 0 AND provider != 'Brand#11'), pr AS (SELECT DISTINCT provider FROM catalog WHERE provider != 'Brand#12') SELECT 'provider_without_models' AS rule, provider, '' AS detail FROM pr WHERE provider NOT IN (SELECT provider FROM m) UNION ALL SELECT DISTINCT 'unlisted_provider', provider, '' FROM m WHERE provider NOT IN (SELECT provider FROM pr) UNION ALL SELECT 'too_few_models', NULL, CAST(count(*) AS VARCHAR) FROM m HAVING count(*) < 1000000")(
     lambda k: K.validate_catalog(k.filter("p_partkey % 3 != 0 AND provider != 'Brand#11'"), k.filter("provider != 'Brand#12'").select("provider").distinct(), least=1_000_000)
 )
