@@ -71,7 +71,7 @@ query("a3_validate_lenient", "loglines", sql=f"{_OK}, {_RULES} SELECT file_name,
 query("a4_malformed_line_report", "loglines", sql=f"{_OK} SELECT count(DISTINCT file_name) AS files, (SELECT count(*) FROM inc) AS included, count(DISTINCT file_name) - (SELECT count(*) FROM inc) AS skipped, count(*) AS lines, count(*) FILTER (trim(line) = '') AS blank_lines, count(*) FILTER (trim(line) != '' AND NOT good) AS malformed_lines FROM ok")(
     lambda n: L.malformed_line_report(raw_lines(n))
 )
-query("a5_with_file_timestamp", "loglines", sql="SELECT file_name, CAST(epoch(min(ts)) AS BIGINT) AS file_s, count(*) AS lines FROM loglines GROUP BY 1 HAVING floor(epoch(min(ts))) >= epoch(TIMESTAMP '2024-01-01 08:00:00')")(
+query("a5_with_file_timestamp", "loglines", sql="SELECT file_name, CAST(floor(epoch(min(ts))) AS BIGINT) AS file_s, count(*) AS lines FROM loglines GROUP BY 1 HAVING floor(epoch(min(ts))) >= epoch(TIMESTAMP '2024-01-01 08:00:00')")(
     lambda n: L.read_lines(n.sparkSession, folder_of(n), since="2024-01-01 08:00:00").groupBy("file_name").agg(F.unix_seconds(F.first("file_ts")).alias("file_s"), F.count("*").alias("lines"))
 )
 query("a6_cwd_to_dir", "loglines", sql=f"{_OK} SELECT sid AS session_id, '--' || regexp_replace(regexp_replace(json_extract_string(head, '$.cwd'), '^[/\\\\]', ''), '[/\\\\:]', '-', 'g') || '--' AS dir FROM inc")(lambda n: sessions_of(n).select("session_id", L.cwd_to_dir("cwd").alias("dir")))
