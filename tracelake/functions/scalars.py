@@ -142,11 +142,15 @@ def path_extension(path: Column | str) -> Column:
     return F.when(F.coalesce(F.length(col(path)), F.lit(0)) == 0, "[unknown]").when(ext != "", ext).when(base.startswith("."), F.lower(base)).otherwise("[no_ext]")
 
 
+#: What ends a command's first segment; assignments and sudo before its program, and an argument.
+SEGMENT_END = r"\n|&&|\|\||;|\|"
+PROGRAM = r"^(?:\w+=\S+\s+)*(?:sudo\s+)?(\S+)(?:\s+(\S+))?"
+
+
 def command_key(command: Column | str) -> Column:
     """Program and first plain argument of a command's first segment, past assignments and sudo."""
-    first = F.trim(F.element_at(F.split(col(command), r"\n|&&|\|\||;|\|"), 1))
-    pattern = r"^(?:\w+=\S+\s+)*(?:sudo\s+)?(\S+)(?:\s+(\S+))?"
-    program, argument = F.regexp_extract(first, pattern, 1), F.regexp_extract(first, pattern, 2)
+    first = F.trim(F.element_at(F.split(col(command), SEGMENT_END), 1))
+    program, argument = F.regexp_extract(first, PROGRAM, 1), F.regexp_extract(first, PROGRAM, 2)
     named = F.when((argument != "") & ~argument.startswith("-"), F.concat(program, F.lit(" "), argument)).otherwise(program)
     return F.when(F.coalesce(program, F.lit("")) == "", "unknown").otherwise(named)
 

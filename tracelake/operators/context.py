@@ -66,7 +66,7 @@ def entries_to_context_harness(entries: DataFrame, projectors: dict | None = Non
 
 
 def shell_text(command: Column, output: Column, exit_code: Column, cancelled: Column, truncated: Column, full_path: Column) -> Column:
-    """A shell run as the text a model is given."""
+    """A shell run as the text a model is given. Its wording is fixed."""
     fence = "```"
     body = F.when(F.coalesce(output, F.lit("")) != "", F.concat(F.lit(fence + "\n"), output, F.lit("\n" + fence))).otherwise("(no output)")
     end = F.when(F.coalesce(cancelled, F.lit(False)), "\n\n(command cancelled)").when(F.coalesce(exit_code, F.lit(0)) != 0, F.concat(F.lit("\n\nCommand exited with code "), exit_code.cast("string"))).otherwise("")

@@ -7,10 +7,10 @@ taken when it comes. Each operator gives on a finished stream what its batch for
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -21,46 +21,56 @@ NOISE_TOKENS = 1_024
 
 
 class TailPartition(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first_line: int):
-        self.path, self.start, self.end, self.first_line = path, start, end, first_line
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are bytes read of each file. Only whole lines are read: a last line without its line feed waits."""
+    """Offsets are bytes read of each file. Only whole lines are read: a last line without its line feed waits.
+
+    Files lie on any file system that an address names. Each trigger lists them; only files that have grown are opened.
+    """
 
     def __init__(self, options: dict):
-        self.top = options["path"].removeprefix("file://")
+        self.top = options["path"]
+        self.known: dict[str, tuple[int, int]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        store, top = fs.FileSystem.from_uri(self.top)
         found = {}
-        for folder, _, names in os.walk(self.top):
-            for n in names:
-                if n.endswith(".jsonl"):
-                    path = os.path.join(folder, n)
-                    if end := whole_lines_end(path):
-                        found[path] = end
+        for info in store.get_file_info(fs.FileSelector(top, recursive=True)):
+            if info.is_file and info.path.endswith(".jsonl"):
+                size, end = self.known.get(info.path, (-1, 0))
+                if info.size != size:
+                    end = whole_lines_end(store, info.path)
+                    self.known[info.path] = (info.size, end)
+                if end:
+                    found[info.path] = end
         return found
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [TailPartition(p, start.get(p, 0), e, 0) for p, e in sorted(end.items()) if e > start.get(p, 0)]
+        return [TailPartition(p, start.get(p, 0), e) for p, e in sorted(end.items()) if e > start.get(p, 0)]
 
     def read(self, partition: TailPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        store, _ = fs.FileSystem.from_uri(self.top)
+        with store.open_input_file(partition.path) as f:
             f.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = f.readline()
-                yield partition.path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
+            at, held = partition.start, b""
+            while at + len(held) < partition.end:
+                held += f.read(min(1 << 20, partition.end - at - len(held)))
+                *lines, held = held.split(b"\n")
+                for line in lines:
+                    yield partition.path, at, line.rstrip(b"\r").decode("utf-8", "replace")
+                    at += len(line) + 1
 
 
-def whole_lines_end(path: str, chunk: int = 1 << 16) -> int:
+def whole_lines_end(store: fs.FileSystem, path: str, chunk: int = 1 << 16) -> int:
     """Place after a file's last line feed, searched from its end."""
-    with open(path, "rb") as f:
-        at = f.seek(0, os.SEEK_END)
+    with store.open_input_file(path) as f:
+        at = f.size()
         while at > 0:
             start = max(0, at - chunk)
             f.seek(start)
