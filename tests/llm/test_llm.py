@@ -2,9 +2,11 @@
 
 import base64
 import binascii
+import bisect
 import difflib
 import hashlib
 import json
+import math
 import os
 import random
 import re
@@ -102,6 +104,41 @@ def test_classifier(spark, edge):
     assert quality_classifier.score(table.limit(0), none).count() == 0
 
 
+def brute_features(t):
+    t, white = t or "", str.maketrans("", "", " \t\n\x0b\x0c\r")
+    w, lines, chars = words(t), [x for x in t.split("\n") if x.translate(white)], len(t.translate(white))
+    n, of = max(len(w), 1), lambda marks: sum(c in marks for c in t)
+    return {
+        "log_words": math.log1p(len(w)), "word_size": chars / n, "symbols": of("#*$%&<>") / n, "digits": of("0123456789") / max(chars, 1), "capitals": of("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ") / max(chars, 1), "shouts": of("!") / n, "bars": of("|") / n,
+        "sentences": of(".?") / n, "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "line_size": math.log1p(len(w) / max(len(lines), 1)), "distinct_words": len(set(w)) / n,
+    }
+
+
+def brute_score(model, x):
+    """Every table's value for the bin of a feature, or of a pair of them, one by one."""
+    f = model["base"] + sum(t[bisect.bisect_left(c.tolist(), x[k])] for k, (c, t) in enumerate(zip(model["cuts"], model["tables"], strict=True)))
+    for p in model["pairs"]:
+        i, j = (bisect.bisect_left(c.tolist(), x[k]) for k, c in zip(p["of"], p["cuts"], strict=True))
+        f += p["table"][i][j]
+    return 1 / (1 + math.exp(-f))
+
+
+def test_classifier_brute_force(spark, edge, small):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_classifier.train(quality_classifier.features(docs), labels)
+    assert model["pairs"] and any(t.any() for t in model["tables"])
+    for table, rows in ((docs, small), (edge, EDGE)):
+        got = quality_classifier.features(table, ("doc_id", "text"))
+        want = {(i, t): brute_features(t) for i, t in rows}
+        for r in got.collect():
+            own = want[r["doc_id"], r["text"] if r["text"] is not None else None]
+            assert {k: r[k] for k in quality_classifier.FEATURES} == pytest.approx(own, abs=1e-9), r["doc_id"]
+        for r in quality_classifier.score(got, model, ("doc_id", "text")).collect():
+            own = want[r["doc_id"], r["text"]]
+            assert r["score"] == pytest.approx(brute_score(model, [own[k] for k in quality_classifier.FEATURES]), abs=1e-6)
+
+
 def test_classifier_learns_interactions():
     rng = np.random.default_rng(3)
     x = rng.random((4000, 3))

@@ -5,7 +5,9 @@ bins. The pairs with the most gain left get two-way tables the same way. A score
 
 Training reads a bounded sample of labelled rows (some ``max_rows``, by id hash); everything else covers all rows.
 Defined cases: a null text counts as empty, and empty texts have features of 0 and get a score; a null id is never held out.
-Null labels are left out; repeated labels of an id vote by mean. Without labels of both kinds the score is the label mean.
+Null labels are left out; repeated labels of an id vote by mean (a tie: good). Without labels of both kinds the score is the label
+mean. Repeated rows are scored one by one and alike; of equal gains the first cut and the first pair of features win; a value on a
+cut belongs below it. Texts of any length are read whole; only ``keep`` columns are carried along, so others may have any name.
 """
 
 from __future__ import annotations
