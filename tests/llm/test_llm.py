@@ -680,24 +680,34 @@ def planted(rng, n, words, changed, crowd=0, snippet=25):
     return [(k, " ".join(w)) for k, w in enumerate(rows)], where
 
 
-def found_whole(spark, rows, where, words):
+def share_whole(got, base, where, words):
     """Share of the planted passages of which both texts report nine tenths, and the words reported outside of them."""
-    got = {r["doc_id"]: {p for s in r["repeats"] for p in range(s["start"], s["start"] + s["length"])} for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    inside = [(len(got[i] & set(range(at, at + words))), len(got[i] - set(range(at, at + words)))) for a, low, b, high in where for i, at in ((a, low), (b, high))]
-    return np.mean([n >= 0.9 * words for n, _ in inside]), sum(n for _, n in inside), got
+    inside = [(len(got[base + i] & set(range(at, at + words))), len(got[base + i] - set(range(at, at + words)))) for a, low, b, high in where for i, at in ((a, low), (b, high))]
+    return np.mean([n >= 0.9 * words for n, _ in inside]), sum(n for _, n in inside)
 
 
-@pytest.mark.parametrize(("words", "changed", "least"), [(45, 0.0, 1.0), (50, 0.1, 0.9), (60, 0.1, 0.9), (100, 0.1, 0.9), (100, 0.15, 0.9), (200, 0.15, 0.9), (100, 0.19, 0.5)])
-def test_passage_recall(spark, words, changed, least):
-    share, outside, _ = found_whole(spark, *planted(random.Random(words), 60, words, changed), words)
-    assert share >= least and outside <= 60
+def reported(spark, cases):
+    """The words of each text that the operator reports, for all cases' texts in one table."""
+    rows = [(1000 * n + i, t) for n, (texts, _) in enumerate(cases) for i, t in texts]
+    return {r["doc_id"]: {p for s in r["repeats"] for p in range(s["start"], s["start"] + s["length"])} for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
-@pytest.mark.parametrize(("words", "crowd", "snippet"), [(90, 80, 25), (60, 40, 20), (120, 300, 35)])
-def test_passage_among_snippets(spark, words, crowd, snippet):
+def test_passage_recall(spark):
+    asked = [(45, 0.0, 1.0), (50, 0.1, 0.9), (60, 0.1, 0.9), (100, 0.1, 0.9), (100, 0.15, 0.9), (200, 0.15, 0.9), (100, 0.19, 0.8)]
+    cases = [planted(random.Random(n), 60, words, changed) for n, (words, changed, _) in enumerate(asked)]
+    got = reported(spark, cases)
+    for n, ((words, changed, least), (_, where)) in enumerate(zip(asked, cases, strict=True)):
+        share, outside = share_whole(got, 1000 * n, where, words)
+        assert share >= least and outside <= 60, (words, changed, share, outside)
+
+
+def test_passage_among_snippets(spark):
     """Texts with short snippets of a passage don't hide those that share all of it."""
-    rows, where = planted(random.Random(crowd), 3, words, 0.0, crowd, snippet)
-    share, outside, got = found_whole(spark, rows, where, words)
-    assert share == 1.0 and outside <= 3
-    whole = {i for a, _, b, _ in where for i in (a, b)}
-    assert not any(got[i] for i, _ in rows if i not in whole)
+    asked = [(90, 80, 25), (60, 40, 20), (120, 300, 35)]
+    cases = [planted(random.Random(crowd), 3, words, 0.0, crowd, snippet) for words, crowd, snippet in asked]
+    got = reported(spark, cases)
+    for n, ((words, _, _), (texts, where)) in enumerate(zip(asked, cases, strict=True)):
+        share, outside = share_whole(got, 1000 * n, where, words)
+        assert share == 1.0 and outside <= 3
+        whole = {i for a, _, b, _ in where for i in (a, b)}
+        assert not any(got[1000 * n + i] for i, _ in texts if i not in whole)
