@@ -6,6 +6,7 @@ from .decontamination import op7_decontamination
 from .exact_substrings import op8_exact_substrings
 from .jaccard_join import op3_jaccard_join
 from .licenses import op6_license_scan
+from .merkle import op13_merkle_manifest
 from .packing import op4_packing
 from .passages import op10_fuzzy_passages
 from .quality_classifier import op2_quality_classifier
@@ -24,8 +25,12 @@ QUERIES = {
     "op8_exact_substrings": op8_exact_substrings,
     "op9_warc": op9_warc,
     "op10_fuzzy_passages": op10_fuzzy_passages,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+#: CRC-32 of an id's decimal digits, which DuckDB has no function for.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda a, x: list_reduce(list_prepend(xor(a, x), CAST(range(8) AS BIGINT[])), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
@@ -68,5 +73,27 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda c: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST(q[c // 4 + 1] AS BIGINT) // CAST(power(32, 3 - c % 4) AS BIGINT)) % 32 + 1 AS BIGINT)]), '') AS payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != f THEN f END AS refers_to
 FROM v
+""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+  coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, coalesce({CRC32.format("doc_id")} % 7 = 0, false) AS bad FROM documents),
+e AS (SELECT doc_id, lang, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf, CASE WHEN bad THEN sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM e),
+low AS (SELECT lang, 0 AS lvl, pos, size, leaf AS digest FROM l
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE size > 1 GROUP BY lang, lvl, pos // 2, size),
+s AS (SELECT lang, digest AS subroot, lvl AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM low WHERE size = 1),
+top AS (SELECT 0 AS lvl, pos, size, subroot AS digest FROM s
+  UNION ALL SELECT lvl + 1, pos // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE size > 1 GROUP BY lvl, pos // 2, size),
+node AS (SELECT s.pos AS k, lvl, low.pos, digest FROM low JOIN s ON low.lang IS NOT DISTINCT FROM s.lang WHERE low.size > 1
+  UNION ALL SELECT s.pos, s.height + top.lvl, top.pos, top.digest FROM top, s WHERE top.size > 1),
+leafs AS (SELECT row_number() OVER () AS r, l.doc_id, l.leaf, coalesce(changed, leaf) AS start, l.pos AS low_pos, s.pos AS k, s.height, s.subroot FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang),
+levels AS (SELECT DISTINCT k, lvl FROM node),
+walk AS (SELECT r, v.lvl, p.pos % 2 = 1 AS at_right, n.digest FROM leafs JOIN levels v USING (k), LATERAL (SELECT CASE WHEN v.lvl < height THEN low_pos >> v.lvl ELSE k >> (v.lvl - height) END AS pos) p LEFT JOIN node n ON n.k = leafs.k AND n.lvl = v.lvl AND n.pos = xor(p.pos, 1)),
+fold AS (SELECT r, 0 AS lvl, start AS digest FROM leafs
+  UNION ALL SELECT f.r, f.lvl + 1, sha256(CASE WHEN w.digest IS NULL THEN f.digest WHEN at_right THEN w.digest || f.digest ELSE f.digest || w.digest END) FROM fold f JOIN walk w ON w.r = f.r AND w.lvl = f.lvl),
+ends AS (SELECT r, arg_max(digest, lvl) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(digest, '' ORDER BY lvl) AS p FROM walk GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE size = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM top WHERE size = 1) AS verified
+FROM leafs LEFT JOIN proofs USING (r) JOIN ends USING (r)
 """,
 }
