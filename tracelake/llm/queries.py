@@ -9,6 +9,7 @@ from .licenses import op6_license_scan
 from .merkle import op13_merkle_manifest
 from .packing import op4_packing
 from .passages import op10_fuzzy_passages
+from .prefix_trie import op12_conversation_trie
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op1_quality_rules
 from .tool_calls import op5_tool_calls
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_substrings": op8_exact_substrings,
     "op9_warc": op9_warc,
     "op10_fuzzy_passages": op10_fuzzy_passages,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -73,6 +75,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda c: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST(q[c // 4 + 1] AS BIGINT) // CAST(power(32, 3 - c % 4) AS BIGINT)) % 32 + 1 AS BIGINT)]), '') AS payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != f THEN f END AS refers_to
 FROM v
+""",
+    "op12_conversation_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, md5(octet_length(encode(role)) || ':' || role || text) AS g, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x != '')) AS w FROM t),
+o AS (SELECT conv_id, list({{'g': g, 'w': w}} ORDER BY turn NULLS FIRST, g) AS ts, {CRC32.format("conv_id")} % 4 AS h FROM g GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.ts[1:o.h], []), o.ts[o.h + 1:]) AS ts FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+m AS (SELECT conv_id, d, len(ts) AS n, array_to_string(list_transform(ts[1:d], lambda x: x.g), '') AS k, CASE WHEN d > 0 THEN ts[d].w ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT k, d, any_value(w) AS w, count(*) AS n_convs, min(conv_id) AS conv_id, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS e FROM m GROUP BY k, d),
+c AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+s AS (SELECT substr(k, 1, 32 * a) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.e, '')) AS ends_sha256
+FROM f JOIN s USING (k) LEFT JOIN f p ON f.d > 0 AND p.k = substr(f.k, 1, 32 * (f.d - 1))
 """,
     "op13_merkle_manifest": f"""
 WITH RECURSIVE d AS (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
