@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .embeddings import op11_embedding_dedup
 from .exact_substrings import op8_exact_substrings
 from .jaccard_join import op3_jaccard_join
 from .licenses import op6_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_substrings": op8_exact_substrings,
     "op9_warc": op9_warc,
     "op10_fuzzy_passages": op10_fuzzy_passages,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -75,6 +77,15 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda c: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST(q[c // 4 + 1] AS BIGINT) // CAST(power(32, 3 - c % 4) AS BIGINT)) % 32 + 1 AS BIGINT)]), '') AS payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != f THEN f END AS refers_to
 FROM v
+""",
+    "op11_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r != b.r AND list_cosine_similarity(a.e, b.e) >= 0.98),
+w AS (SELECT r AS a, r AS b FROM v UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+c AS (SELECT w.a AS r, min(v.vec_id) AS component_id FROM w JOIN v ON v.r = w.b GROUP BY w.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
 """,
     "op12_conversation_trie": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
