@@ -238,17 +238,19 @@ def sweep_down(rounds: list[DataFrame], tops: DataFrame, levels: int) -> DataFra
 
 def manifest(leaves: DataFrame, order: list[str], levels: int = LEVELS) -> DataFrame:
     """Leaves (``key`` string or null, ``digest`` in hexadecimal, order columns, others) with ``proof``, ``subroot`` and ``root``, and their
-    place ``pos`` among the ``size`` leaves of their key."""
-    # a text for every key: null before all others, the empty one next
-    named = leaves.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("key")), F.lit(""))).withColumn("digest", F.unhex("digest"))
-    rounds, tops = sweep_up(placed(named, [*order, "digest"]), levels)
+    place ``pos`` among the ``size`` leaves of their key. Given columns of these five names are replaced."""
+    given = [c for c in leaves.columns if c not in ("pos", "size", "proof", "subroot", "root")]
+    own = [F.col(c).alias(f"order{k}") for k, c in enumerate(order)]
+    # a text for every key: null before all others, the empty one next. Written, so that the range sort samples narrow rows, not texts
+    narrow = written(leaves.select(F.coalesce(F.concat(F.lit("="), F.col("key")), F.lit("")).alias("key"), F.unhex("digest").alias("digest"), *own, F.struct(*given).alias("leaf")), "merkle-leaves")
+    rounds, tops = sweep_up(placed(narrow, [*(f"order{k}" for k in range(len(order))), "digest"]), levels)
+    remove(narrow)
     second = placed(tops.select(F.lit("").alias("key"), F.col("key").alias("name"), "digest", "round"), ["name"])
     over, root = sweep_up(second, levels)
     root = root.select("key", "round", F.array().cast("array<string>").alias("suffix"), F.lit("").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
     joined_up = sweep_down(over, root, levels)
     tops = written(joined_up.select(F.col("name").alias("key"), "round", F.col("proof").alias("suffix"), F.lower(F.hex("digest")).alias("subroot"), "root"), "merkle-tops")
-    out = sweep_down(rounds, tops, levels)
-    return out.withColumn("key", F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1))).withColumn("digest", F.lower(F.hex("digest")))
+    return sweep_down(rounds, tops, levels).select("leaf.*", "pos", "size", "proof", "subroot", "root")
 
 
 def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
