@@ -9,6 +9,7 @@ from tracelake.functions import scalars as S
 from tracelake.operators import catalog as K
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
+from tracelake.operators import edits as E
 from tracelake.operators import tools as A
 from tracelake.operators import trees as R
 from tracelake.operators import usage as U
@@ -244,21 +245,143 @@ def test_replacements(spark):
     assert (sums["edits"], sums["no_core_edits"], sums["core_bytes"], sums["median_inflation"]) == (2, 1, 2, 2.0)
 
 
+def brute_edits(stored, olds):
+    """[(status, place in the form matched, size there, overlaps)] of a document's edits, by the rule, with plain string methods."""
+    feeds = lambda s: s.replace("\r\n", "\n").replace("\r", "\n")
+    plain = feeds(stored.removeprefix("\ufeff"))
+    loose, olds = E.fuzzy_form(plain), [feeds(o) for o in olds]
+    batch_loose = any(o and o not in plain and E.fuzzy_form(o) in loose for o in olds)
+    base, out = loose if batch_loose else plain, []
+    for o in olds:
+        lo = E.fuzzy_form(o)
+        at, size = (base.find(o), len(o)) if o in base else (E.fuzzy_form(base).find(lo), len(lo))
+        times = loose.count(lo) if lo else len(loose.encode("utf-16-le")) // 2 - 1
+        out.append(("empty" if not o else "not_found" if at < 0 else "multiple" if times > 1 else "exact" if o in plain else "fuzzy", at, size))
+    ends, overlap = -1, {}
+    for k in sorted((k for k, x in enumerate(out) if x[0] in ("exact", "fuzzy")), key=lambda k: (out[k][1], k)):
+        overlap[k] = out[k][1] < ends
+        ends = max(ends, out[k][1] + out[k][2])
+    return [(*x, overlap.get(k, False)) for k, x in enumerate(out)]
+
+
 def test_check_edits(spark):
-    corpus = spark.createDataFrame([(1, "say “hi” – ok\nend  \n"), (2, "aXbXc")], "doc_id int, text string")
-    edits = spark.createDataFrame([(1, 0, 'say "hi" - ok'), (1, 1, "end"), (2, 0, "X"), (2, 1, "aXb"), (2, 2, "bXc"), (3, 0, "q")], "doc_id int, edit_no int, old string")
-    got = {(r["doc_id"], r["edit_no"]): (r["status"], r["overlaps"]) for r in D.check_edits(edits, corpus).collect()}
-    assert got == {(1, 0): ("fuzzy", False), (1, 1): ("exact", False), (2, 0): ("multiple", False), (2, 1): ("exact", False), (2, 2): ("exact", True), (3, 0): ("not_found", False)}
+    """Known cases: CRLF, ligatures, exact and fuzzy edits of one document in one space, a byte order mark, nulls."""
+    corpus = spark.createDataFrame(
+        [(1, "say “hi” – ok\nend  \n"), (2, "aXbXc"), (4, "\ufeffone\r\ntwo\r\nthree"), (5, "ﬁrst  \nof “all” ﬁne\nlast"), (6, None), (7, "aaa"), (8, "e\u0301x e\u0301y")], "doc_id int, text string"
+    )
+    edits = [
+        (1, 0, 'say "hi" - ok'), (1, 1, "end"), (2, 0, "X"), (2, 1, "aXb"), (2, 2, "bXc"), (3, 0, "q"), (4, 0, "one\r\ntwo"), (4, 1, "two\nth"), (4, 2, ""), (4, 3, None), (5, 0, "first\nof"), (5, 1, "of “all”"), (5, 2, "last"), (5, 3, "rst\no"),
+        (6, 0, "x"), (7, 0, "aa"), (None, 0, "x"), (8, 0, "éy"), (8, 1, "\u0301x"),
+    ]
+    got = {(r["doc_id"], r["edit_no"]): (r["status"], r["start"], r["size"], r["overlaps"]) for r in E.check_edits(spark.createDataFrame(edits, "doc_id int, edit_no int, old string"), corpus).collect()}
+    none = ("not_found", None, None, False)
+    assert got == {
+        (1, 0): ("fuzzy", 0, 13, False), (1, 1): ("exact", 14, 3, False), (2, 0): ("multiple", 1, 1, False), (2, 1): ("exact", 0, 3, False), (2, 2): ("exact", 2, 3, True), (3, 0): none,
+        (4, 0): ("exact", 1, 8, False), (4, 1): ("exact", 6, 7, True), (4, 2): ("empty", None, None, False), (4, 3): ("empty", None, None, False),
+        (5, 0): ("fuzzy", 0, 9, False), (5, 1): ("exact", 7, 8, True), (5, 2): ("exact", 20, 4, False), (5, 3): ("fuzzy", 1, 7, True), (6, 0): none, (7, 0): ("exact", 0, 2, False), (None, 0): none,
+        (8, 0): ("fuzzy", 4, 3, False), (8, 1): none,
+    }
+
+
+def test_check_edits_brute(spark, monkeypatch):
+    """Random documents and edits; edits in several lots give the same; spans hold the text found, and no less would."""
+    rng = random.Random(12)
+    signs = ["a", "b", "c", " ", "\u00a0", "ﬁ", "“", "–", "\r\n", "\n", "  \n", "e\u0301", "é", "①", "\u2003", "x", "y", "z", "\u1100\u1161", "\u3000\n"]
+    docs, edits = [], []
+    for k in range(150):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        docs.append((k, text))
+        for n in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(text) + 1)
+            old = text[at : at + rng.randrange(1, 12)]
+            edits.append((k, n, rng.choice([old, old, E.fuzzy_form(old), old.replace("\n", "\r\n").replace("\r\r", "\r"), old + "!", old.replace(" ", "\u00a0")])))
+    corpus, asked = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(edits, "doc_id int, edit_no int, old string")
+    for lot in (10_000, 2):
+        monkeypatch.setattr(E, "PER_TASK", lot)
+        got = {(r["doc_id"], r["edit_no"]): r for r in E.check_edits(asked, corpus).collect()}
+        assert len(got) == len(edits)
+        seen = set()
+        for k, text in docs:
+            own = [o for d, _, o in edits if d == k]
+            for n, (status, _, _, overlaps) in enumerate(brute_edits(text, own)):
+                r = got[k, n]
+                assert (r["status"], r["overlaps"]) == (status, overlaps), (text, own, n)
+                seen.add((status, overlaps))
+                if status in ("exact", "fuzzy") and E.fuzzy_form(E.line_feeds(own[n])):
+                    inside = lambda a, b, text=text: E.fuzzy_form(E.line_feeds(text[a:b]))
+                    a, b, want = r["start"], r["start"] + r["size"], E.fuzzy_form(E.line_feeds(own[n]))
+                    assert want in inside(a, b) and want not in inside(a + 1 + text.startswith("\r\n", a), b) or E.line_feeds(text[a:b]) == E.line_feeds(own[n]), (text, own[n], a, b)
+        assert len(seen) > 6
+
+
+
+def brute_tail(text, max_lines, max_bytes):
+    """(lines, text, truncated_by) of the end of a text."""
+    size, lines = len(text.encode()), text.split("\n")
+    if len(lines) > 1 and not lines[-1]:
+        lines.pop()
+    if len(lines) <= max_lines and size <= max_bytes:
+        return len(lines), text, "none"
+    best = next((k for k in range(min(max_lines, len(lines)), 0, -1) if len("\n".join(lines[-k:]).encode()) <= max_bytes), 0)
+    if not best:
+        part = next(lines[-1][k:] for k in range(len(lines[-1]) + 1) if len(lines[-1][k:].encode()) <= max_bytes)
+        return 1, part, "bytes"
+    return best, "\n".join(lines[-best:]), "lines" if best >= min(max_lines, len(lines)) else "bytes"
 
 
 def test_truncate_and_slice(spark):
-    docs = spark.createDataFrame([(1, "a\nbb\nccc"), (2, "x" * 50), (3, "")], "doc_id int, text string")
-    head = {r["doc_id"]: (r["text"], r["truncated_by"], r["first_too_long"]) for r in D.truncate_lines(D.read_corpus(docs), 2, 10).collect()}
+    docs = spark.createDataFrame([(1, "a\nbb\nccc"), (2, "x" * 50), (3, ""), (4, None)], "doc_id int, text string")
+    head = {r["doc_id"]: (r["text"], r["truncated_by"], r["first_too_long"]) for r in D.truncate_lines(docs, 2, 10).collect()}
     assert head == {1: ("a\nbb", "lines", False), 2: ("", "bytes", True), 3: ("", "none", False)}
-    tail = {r["doc_id"]: r["text"] for r in D.truncate_lines(D.read_corpus(docs), 2, 10, "tail").collect()}
+    tail = {r["doc_id"]: r["text"] for r in D.truncate_lines(docs, 2, 10, "tail").collect()}
     assert tail == {1: "bb\nccc", 2: "x" * 10, 3: ""}
     part = {r["doc_id"]: (r["past_end"], r["next_offset"], r["text"]) for r in D.read_slice(docs, 2, 1).collect()}
     assert part == {1: (False, 3, "bb"), 2: (True, None, None), 3: (True, None, None)}
+    for df in (D.truncate_lines(docs), D.truncate_lines(docs, side="tail"), D.read_slice(docs, 2, 1), D.grep_corpus(docs, "b", 1, None)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_truncate_tail_of_any_characters(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "é", "€", "😀", "\n", "\r\n", "́"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for lines, size in ((2, 5), (3, 17), (1, 1), (50, 30)):
+        got = {r["doc_id"]: r for r in D.truncate_lines(docs, lines, size, "tail").collect()}
+        for k, t in enumerate(texts):
+            n, text, by = brute_tail(t.replace("\r\n", "\n"), lines, size)
+            assert (got[k]["lines"], got[k]["text"], got[k]["truncated_by"], got[k]["bytes"]) == (n, text, by, len(text.encode())), (t, lines, size)
+
+
+def test_grep_limit_and_context(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["hit", "miss", "a hit", ""]) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for context, limit in ((0, None), (2, None), (1, 25), (3, 1)):
+        hits = [(k, p) for k, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if "hit" in x][:limit]
+        want = sorted({(k, q, texts[k].split("\n")[q], (k, q) in set(hits)) for k, p in hits for q in range(max(p - context, 0), min(p + context + 1, len(texts[k].split("\n"))))})
+        assert sorted(tuple(r) for r in D.grep_corpus(docs, "hit", context, limit).collect()) == want
+
+
+def test_reports_are_ordered(spark):
+    """The top commands of 400, and the lists that promise an order."""
+    rng = random.Random(10)
+    calls = spark.createDataFrame([(1, k, "bash", f"cmd{k % 400}") for k in range(1200)], "session_id int, call_id int, tool string, command string").repartition(7)
+    tokens = {k: rng.randrange(10**6) for k in range(1200)}
+    results = spark.createDataFrame([(1, k, k, False, n) for k, n in tokens.items()], "session_id int, call_id int, seq int, is_error boolean, tokens long").repartition(5)
+    want = sorted(((-sum(tokens[k] for k in range(c, 1200, 400)), f"cmd{c}") for c in range(400)))[:50]
+    assert [(-r["tokens"], r["tool"]) for r in A.bash_stats(calls, results).collect()] == want
+    assert len(A.tool_stats(calls, results).collect()) == 1
+    rows = [(k % 5, k, "compaction" if k % 3 else "message", "user", f"t{k}") for k in range(200)]
+    entries = spark.createDataFrame(rng.sample(rows, 200), "session_id int, seq int, type string, role string, text string").repartition(6)
+    assert [(r["session_id"], r["seq"]) for r in R.entries_of_type(entries, "compaction").collect()] == sorted((r[0], r[1]) for r in rows if r[2] == "compaction")
+    assert [(r["session_id"], r["seq"]) for r in D.user_messages(entries).collect()] == sorted((r[0], r[1]) for r in rows)
+    assert [(r["session_id"], r["seq"]) for r in R.last_n_per_session(entries, 3).collect()] == [(s, k) for s in range(5) for k in sorted(r[1] for r in rows if r[0] == s)[-3:]]
+    listed = spark.createDataFrame([(k, k * 7 % 40) for k in range(80)], "session_id int, modified int").repartition(4)
+    assert [(r["modified"], r["session_id"]) for r in D.list_sessions(listed).collect()] == sorted(((k * 7 % 40, k) for k in range(80)), key=lambda x: (-x[0], x[1]))
+    usage = spark.createDataFrame([(f"p{k % 4}", "m", "message", k, 0, 0, 0, k * k) for k in range(20)], "provider string, model string, type string, input long, output long, cache_read long, cache_write long, cost_micro long").repartition(3)
+    costs = [r["cost_micro"] for r in U.usage_cost_breakdown(usage).collect()]
+    assert costs == sorted(costs, reverse=True) and len(costs) == 4
+
 
 
 def test_globs():

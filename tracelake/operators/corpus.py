@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,56 +61,99 @@ def named_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.filter(F.trim(F.coalesce("name", F.lit(""))) != "")
 
 
+def feeds(text: str) -> Column:
+    """A text with line feeds only."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
 def grep_corpus(docs: DataFrame, pattern: str, context: int = 0, limit: int | None = MATCHES, ignore_case: bool = False, literal: bool = False, key: str = "doc_id") -> DataFrame:
     """Matching lines with ``context`` lines around, long ones cut: key, pos, line, is_match. ``limit`` caps the matches.
 
-    Documents without a match are dropped before their lines are dealt out.
+    Documents without a match are dropped first; the others' lines are matched inside their row, and only those to show are dealt
+    out, so nothing is shuffled. A limit takes a top-k of (key, pos) first: rows of equal key then share what it allows them.
     """
     test = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if literal else pattern
-    flags = "(?im)" if ignore_case else "(?m)"
-    lines = read_corpus(docs.filter(F.regexp_replace("text", r"\r\n?", "\n").rlike(flags + test)), key)
-    lines = lines.withColumn("is_match", F.col("line").rlike(("(?i)" if ignore_case else "") + test))
+    case = "(?i)" if ignore_case else ""
+    rows = docs.filter(feeds("text").rlike(("(?im)" if ignore_case else "(?m)") + test)).select(key, F.split(feeds("text"), "\n").alias("_lines"))
+    hits = F.filter(F.transform("_lines", lambda x, k: F.when(x.rlike(case + test), k)), lambda k: k.isNotNull())
+    rows = rows.withColumn("_hits", hits)
     if limit is not None:
-        top = lines.filter("is_match").select(key, "pos").orderBy(key, "pos").limit(limit).withColumn("_in", F.lit(True))
-        lines = lines.join(top, [key, "pos"], "left").withColumn("is_match", F.coalesce("_in", F.lit(False))).drop("_in")
-    near = W.partitionBy(key).orderBy("pos").rangeBetween(-context, context)
-    keep = F.max("is_match").over(near) if context else F.col("is_match")
-    return lines.withColumn("_keep", keep).filter("_keep").select(key, "pos", truncate_line("line", LONG_LINE).alias("line"), "is_match")
+        top = rows.select(key, F.explode("_hits").alias("pos")).orderBy(key, "pos").limit(limit)
+        top = top.groupBy(key).agg(F.collect_set("pos").alias("_top"))  # at most ``limit`` rows, so small enough to broadcast
+        rows = rows.join(F.broadcast(top), key).withColumn("_hits", F.array_intersect("_hits", "_top"))
+    around = F.array_distinct(F.flatten(F.transform("_hits", lambda k: F.sequence(F.greatest(k - context, F.lit(0)), F.least(k + context, F.size("_lines") - 1)))))
+    shown = rows.select(key, "_lines", "_hits", F.explode(F.array_sort(around)).alias("pos"))
+    return shown.select(key, "pos", truncate_line(F.element_at("_lines", F.col("pos") + 1), LONG_LINE).alias("line"), F.array_contains("_hits", F.col("pos")).alias("is_match"))
+
+
+def fitting(lines: Column, max_lines: int, max_bytes: int) -> Column:
+    """How many of the first lines fit into both limits, and their bytes, line feeds between them included: struct n, bytes."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("bytes"), F.lit(True).alias("open"))
+
+    def take(now: Column, line: Column) -> Column:
+        size = now["bytes"] + F.octet_length(line) + 1
+        fits = now["open"] & (size <= max_bytes)
+        return F.struct(F.when(fits, now["n"] + 1).otherwise(now["n"]).alias("n"), F.when(fits, size).otherwise(now["bytes"]).alias("bytes"), fits.alias("open"))
+
+    return F.aggregate(F.slice(lines, 1, max_lines), start, take, lambda x: F.struct(x["n"].alias("n"), F.greatest(x["bytes"], F.lit(0)).cast("long").alias("bytes")))
 
 
-def truncate_lines(lines: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, side: str = "head", key: str = "doc_id") -> DataFrame:
-    """Whole leading (or trailing) lines within both limits, and an account: one row a document.
+def end_of_line(line: Column, max_bytes: int) -> Column:
+    """The end of a line of at most so many bytes, from where a character starts."""
+    tail = F.substring(F.encode(line, "UTF-8"), -max_bytes, max_bytes)
+    inside = lambda k: F.hex(F.substring(tail, k, 1)).rlike("^[89AB]")  # noqa: E731  a byte inside a character
+    skip = F.when(~inside(1), 0).when(~inside(2), 1).when(~inside(3), 2).otherwise(3)
+    cut = F.decode(F.substring(tail, skip + 1, F.lit(max_bytes)), "UTF-8")
+    return F.when(F.octet_length(line) <= max_bytes, line).otherwise(cut)
+
+
+def truncated(rows: DataFrame, max_lines: int, max_bytes: int, side: str) -> DataFrame:
+    """Adds G10's account of the array ``_lines``."""
+    # at the end of a text, a line feed ends the last line and begins no further one
+    if side == "tail":
+        last = F.element_at("_lines", -1)
+        rows = rows.withColumn("_all", F.when((F.size("_lines") > 1) & (last == ""), F.slice("_lines", F.lit(1), F.size("_lines") - 1)).otherwise(F.col("_lines")))
+        rows = rows.withColumn("_in", F.reverse(F.slice("_all", F.greatest(F.size("_all") - max_lines + 1, F.lit(1)), F.lit(max_lines))))
+    else:
+        rows = rows.withColumn("_all", F.col("_lines")).withColumn("_in", F.slice("_lines", 1, max_lines))
+    rows = rows.withColumn("total_lines", F.size("_all").cast("long")).withColumn("total_bytes", F.octet_length(F.array_join("_lines", "\n")).cast("long")).withColumn("_fit", fitting(F.col("_in"), max_lines, max_bytes))
+    whole = (F.col("total_lines") <= max_lines) & (F.col("total_bytes") <= max_bytes)
+    kept = F.slice("_in", F.lit(1), F.col("_fit.n").cast("int"))
+    kept = F.array_join(F.reverse(kept) if side == "tail" else kept, "\n")
+    none = ~whole & (F.col("_fit.n") == 0)
+    text = F.when(whole, F.array_join("_lines", "\n")).otherwise(kept)
+    if side == "tail":
+        text = F.when(none, end_of_line(F.element_at("_all", -1), max_bytes)).otherwise(text)
+    rows = rows.withColumn("text", text)
+    lines = F.when(whole, F.col("total_lines")).when(none & F.lit(side == "tail"), 1).otherwise(F.col("_fit.n"))
+    by = F.when(whole, "none").when((F.col("_fit.n") >= max_lines) | (F.col("_fit.n") == F.col("total_lines")), "lines").otherwise("bytes")
+    return rows.withColumns({"lines": lines.cast("long"), "bytes": F.octet_length("text").cast("long"), "truncated_by": by, "first_too_long": none})
+
+
+def truncate_lines(docs: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, side: str = "head", key: str = "doc_id") -> DataFrame:
+    """Whole leading (or trailing) lines within both limits, and an account: one row a document with a text, nothing shuffled.
 
     A line's size is its bytes and a line feed, the kept ones' last without. ``first_too_long``: not even one line fits; ``tail``
-    then keeps the end of that line that fits.
+    then keeps the end of that line that fits, from a character's start, and counts it as a line.
     """
-    w = W.partitionBy(key).orderBy(F.col("pos") if side == "head" else F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(F.octet_length("line") + 1).over(w) - 1)
-    fits = (F.col("_n") <= max_lines) & (F.col("_b") <= max_bytes)
-    kept = F.transform(F.sort_array(F.collect_list(F.when(fits, F.struct("pos", "line")))), lambda x: x["line"])
-    first = F.max(F.when(F.col("_n") == 1, F.col("line")))
-    out = rows.groupBy(key).agg(F.count("*").alias("total_lines"), F.max("_b").alias("total_bytes"), F.count_if(fits).alias("lines"), F.coalesce(F.max(F.when(fits, F.col("_b"))), F.lit(0)).alias("bytes"), F.array_join(kept, "\n").alias("text"), first.alias("_first"))
-    out = out.withColumn("truncated_by", F.when((F.col("lines") == F.col("total_lines")), "none").when((F.col("lines") == max_lines), "lines").otherwise("bytes")).withColumn("first_too_long", F.col("lines") == 0)
-    if side == "tail":
-        part = F.expr(f"right(_first, {max_bytes})")
-        out = out.withColumn("text", F.when(F.col("first_too_long") & (F.octet_length("_first") == F.length("_first")), part).otherwise(F.col("text")))
-    return out.drop("_first")
+    rows = docs.filter("text IS NOT NULL").select(key, F.split(feeds("text"), "\n").alias("_lines"))
+    return truncated(rows, max_lines, max_bytes, side).select(key, "total_lines", "total_bytes", "lines", "bytes", "text", "truncated_by", "first_too_long")
 
 
 def read_slice(docs: DataFrame, offset: int = 1, limit: int | None = None, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, key: str = "doc_id") -> DataFrame:
     """Lines from ``offset`` (1: the first) on, at most ``limit``, then truncated; with what remains and the next offset.
 
-    ``past_end``: the document has fewer lines than the offset.
+    ``past_end``: the document has fewer lines than the offset. Nothing is shuffled.
     """
-    lines = read_corpus(docs, key)
-    totals = lines.groupBy(key).agg(F.count("*").alias("document_lines"))
-    part = lines.filter(F.col("pos") >= offset - 1)
-    if limit is not None:
-        part = part.filter(F.col("pos") < offset - 1 + limit)
-    out = totals.join(truncate_lines(part, max_lines, max_bytes, key=key), key, "left")
-    read = F.coalesce("lines", F.lit(0))
-    after = F.lit(offset) + read
-    return out.withColumn("past_end", F.col("total_lines").isNull()).withColumn("next_offset", F.when(~F.col("past_end") & (after <= F.col("document_lines")), after)).select(key, "document_lines", read.cast("long").alias("lines"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "text", "truncated_by", "past_end", "next_offset")
+    every = F.split(feeds("text"), "\n")
+    rows = docs.filter("text IS NOT NULL").select(key, F.size(every).cast("long").alias("document_lines"), F.slice(every, offset, 2**31 - 1 if limit is None else limit).alias("_lines"))
+    rows = truncated(rows, max_lines, max_bytes, "head").withColumn("past_end", F.col("document_lines") < offset)
+    shown = lambda c: F.when(~F.col("past_end"), F.col(c))
+    after = F.lit(offset) + F.col("lines")
+    return rows.select(
+        key, "document_lines", F.coalesce(shown("lines"), F.lit(0)).cast("long").alias("lines"), F.coalesce(shown("bytes"), F.lit(0)).alias("bytes"), shown("text").alias("text"), shown("truncated_by").alias("truncated_by"), "past_end",
+        F.when(~F.col("past_end") & (after <= F.col("document_lines")), after).alias("next_offset"),
+    )
 
 
 def fuzzy_score(query: str, text: str) -> float | None:
@@ -217,45 +259,6 @@ def search_sessions(sessions: DataFrame, query: str, sort: str = "relevance", na
     return rows.orderBy(*([F.asc("score")] if sort == "relevance" else []), F.desc(modified))
 
 
-def fuzzy_form(text: str) -> str:
-    """Text as fuzzy matching sees it: NFKC, no blanks at line ends, plain quotes, dashes and spaces."""
-    text = "\n".join(x.rstrip() for x in unicodedata.normalize("NFKC", text).split("\n"))
-    plain = {0x2018: "'", 0x2019: "'", 0x201A: "'", 0x201B: "'", 0x201C: '"', 0x201D: '"', 0x201E: '"', 0x201F: '"', 0x2212: "-", 0xA0: " ", 0x202F: " ", 0x205F: " ", 0x3000: " "}
-    return text.translate(plain | {c: "-" for c in range(0x2010, 0x2016)} | {c: " " for c in range(0x2002, 0x200B)})
-
-
-def check_edits(edits: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Can each edit be applied: exact, fuzzy, multiple, not_found or empty, with start and occurrences; ``overlaps`` marks edits
-    of a document whose matches overlap the one before. ``edits``: key, edit_no, old.
-    """
-    joined = edits.join(corpus.select(key, "text"), key, "left")
-    given = edits.columns
-    schema = T.StructType(list(edits.schema.fields)).add("status", "string").add("start", "long").add("size", "long").add("occurrences", "long")
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for old, text in zip(b.column("old").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not old:
-                    rows.append(("empty", None, None, 0))
-                    continue
-                text = (text or "").replace("\r\n", "\n")
-                at, size = text.find(old), len(old)
-                exact, n = at >= 0, fuzzy_form(text).count(fuzzy_form(old)) if fuzzy_form(old) else 0
-                if not exact:
-                    at, size = fuzzy_form(text).find(fuzzy_form(old)), len(fuzzy_form(old))
-                rows.append(("not_found", None, None, 0) if at < 0 else ("multiple" if n > 1 else "exact" if exact else "fuzzy", at, size, n))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            own = [b.column(c) for c in given]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[*given, "status", "start", "size", "occurrences"])
-
-    out = joined.mapInArrow(run, schema)
-    usable = F.col("status").isin("exact", "fuzzy")
-    before = W.partitionBy(key).orderBy("start", "edit_no").rowsBetween(W.unboundedPreceding, -1)
-    end = F.max(F.when(usable, F.col("start") + F.col("size"))).over(before)
-    return out.withColumn("overlaps", F.coalesce(usable & (F.col("start") < end), F.lit(False)))
-
-
 def session_info(entries: DataFrame) -> DataFrame:
     """A listing row: messages, first user text, all text, latest name (blank clears), created, modified.
 
@@ -279,7 +282,7 @@ def session_info(entries: DataFrame) -> DataFrame:
 def list_sessions(sessions: DataFrame, cwd: str | None = None, modified: str = "modified") -> DataFrame:
     """all sessions, or those of a directory, newest first."""
     rows = sessions if cwd is None else sessions.filter(F.col("cwd") == cwd)
-    return rows
+    return rows.orderBy(F.desc(modified), "session_id")
 
 
 def most_recent_session(sessions: DataFrame, by: str = "cwd", modified: str = "modified") -> DataFrame:
@@ -290,7 +293,7 @@ def most_recent_session(sessions: DataFrame, by: str = "cwd", modified: str = "m
 
 def user_messages(messages: DataFrame) -> DataFrame:
     """user rows with text, in order: where a fork can begin."""
-    return messages.filter((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return messages.filter((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != "")).orderBy("session_id", "seq")
 
 
 def first_wins_dedup(df: DataFrame, key: str, order: list[Column], same: str | None = None) -> tuple[DataFrame, DataFrame]:

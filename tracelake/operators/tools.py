@@ -66,15 +66,15 @@ def synthesize_missing_results(calls: DataFrame, results: DataFrame, messages: D
 
 
 def tool_stats(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Per tool, calls, results, errors, result tokens and their mean."""
+    """Per tool, calls, results, errors, result tokens and their mean, those with most tokens first."""
     joined = match_calls_results(calls, results)
     n = F.count_if(F.col("result").isNotNull())
     out = joined.groupBy("tool").agg(F.count("*").alias("calls"), n.alias("results"), F.count_if(F.col("result.is_error")).alias("errors"), F.coalesce(F.sum("result.tokens"), F.lit(0)).alias("tokens"))
-    return out.withColumn("mean_tokens", ratio("tokens", "results"))
+    return out.withColumn("mean_tokens", ratio("tokens", "results")).orderBy(F.desc("tokens"), "tool")
 
 
 def bash_stats(calls: DataFrame, results: DataFrame, command: str = "command", top: int = 50) -> DataFrame:
-    """As tool_stats, by command, the ``top`` ones by tokens."""
+    """As tool_stats, by command, the ``top`` ones by tokens (ties: by command)."""
     return tool_stats(calls.withColumn("tool", command_key(command)), results).limit(top)
 
 

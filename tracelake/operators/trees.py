@@ -80,7 +80,7 @@ def search_entries(entries: DataFrame, query: str, text: Column | str = "text")
 
 def entries_of_type(entries: DataFrame, kind: str) -> DataFrame:
     """Rows of a type in sequence order."""
-    return entries.filter(F.col("type") == kind)
+    return entries.filter(F.col("type") == kind).orderBy("session_id", "seq")
 
 
 def ancestors(entries: DataFrame, start: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def entry_slice_per_session(entries: DataFrame, offset: int, n: int) -> DataFram
 def last_n_per_session(entries: DataFrame, n: int, before_seq: int | None = None) -> DataFrame:
     """for every session, the newest n rows at or below a sequence, ascending."""
     rows = entries if before_seq is None else entries.filter(F.col("seq") <= before_seq)
-    return rows.withColumn("_n", F.row_number().over(by_session().orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(by_session().orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n").orderBy("session_id", "seq")
 
 
 def latest_custom_state(entries: DataFrame, kinds: Sequence[str], data: str, leaf: DataFrame | None = None) -> DataFrame:
@@ -275,8 +275,8 @@ def active_path_flags(entries: DataFrame, leaf: DataFrame | None = None) -> Data
 
 
 def abandoned_entries(entries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """H1: rows of the old path that aren't on the new one, with their place."""
-    return branch_path(entries, old).join(branch_path(entries, new).select("session_id", "seq"), ["session_id", "seq"], "left_anti")
+    """H1: rows of the old path that aren't on the new one, with their place, in order."""
+    return branch_path(entries, old).join(branch_path(entries, new).select("session_id", "seq"), ["session_id", "seq"], "left_anti").orderBy("session_id", "pos")
 
 
 def fork_session(entries: DataFrame, at: DataFrame | None = None, position: str = "at", suffix: str = "-fork") -> tuple[DataFrame, DataFrame]:

@@ -159,11 +159,12 @@ def usage_by_day_provider(usage: DataFrame, day: Column | None = None, approx: b
 
 
 def usage_cost_breakdown(usage: DataFrame) -> DataFrame:
-    """Tokens and cost by provider/model; usage of tools and summaries in one group; groups without any are left out."""
+    """Tokens and cost by provider/model; usage of tools and summaries in one group; groups without any are left out;
+    the dearest first."""
     key = F.when(F.col("type") == "message", provider_model("provider", "model")).otherwise("[summaries and tools]")
     tokens = context_tokens()
     out = usage.groupBy(key.alias("model")).agg(F.sum("cost_micro").alias("cost_micro"), F.sum(tokens).alias("tokens"))
-    return out.filter("cost_micro > 0 OR tokens > 0")
+    return out.filter("cost_micro > 0 OR tokens > 0").orderBy(F.desc("cost_micro"), "model")
 
 
 def session_stats(usage: DataFrame, include_tool_usage: bool = True) -> DataFrame:

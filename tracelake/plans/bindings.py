@@ -17,7 +17,7 @@ VIEWS = {
     "corpus": "SELECT doc_id, concat(source, '/', CAST(doc_id AS STRING), '.', lang) AS path, text, lang FROM documents",
     "catalog": "SELECT p_brand AS provider, concat(p_name, '-', CAST(p_partkey AS STRING)) AS model, CAST(round(p_retailprice * 100) AS BIGINT) AS input_rate, p_size * 1000 AS context_window, p_partkey FROM part",
     # a session log of each user: header, messages with usage, calls and results, compactions; blank, broken and foreign lines
-    "loglines": 'SELECT session_id, seq - 1 AS line_no, ts, concat(replace(replace(CAST(date_trunc(\'second\', min(ts) OVER (PARTITION BY session_id)) AS STRING), \' \', \'T\'), \':\', \'-\'), \'-000Z_s\', CAST(session_id AS STRING), \'.jsonl\') AS file_name, CASE WHEN seq = 1 AND session_id % 10 = 4 THEN \'junk\' WHEN session_id % 10 != 3 AND seq = CASE WHEN session_id % 10 = 4 THEN 2 ELSE 1 END THEN concat(\'{"type":"session","version":\', CASE WHEN session_id % 10 = 6 THEN \'2\' ELSE \'3\' END, \',"id":"s\', CAST(session_id AS STRING), \'","timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'","cwd":"/w/\', CAST(session_id % 7 AS STRING), \'"}\') WHEN event_id % 17 = 0 THEN \'\' WHEN event_id % 19 = 0 THEN \'{"type":"mess\' WHEN event_type = \'signup\' THEN concat(\'{"type":"compaction",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"summary":"sum","tokensBefore":\', CAST(c AS STRING), \'}\') WHEN event_type = \'click\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"assistant","content":[{"type":"text","text":"a\', CAST(c AS STRING), \'"},{"type":"toolCall","id":"c\', CAST(seq AS STRING), \'","name":"\', CASE event_id % 3 WHEN 0 THEN \'read\' WHEN 1 THEN \'edit\' ELSE \'bash\' END, \'","arguments":\', CASE event_id % 3 WHEN 2 THEN \'{"command":"git status -s"}\' ELSE concat(\'{"path":"f\', CAST(event_id % 13 AS STRING), \'.ts"}\') END, \'}],"provider":"p\', CAST(event_id % 3 AS STRING), \'","model":"m\', CAST(event_id % 4 AS STRING), \'","stopReason":"toolUse"\', \',"usage":{"input":\', CAST(c % 4096 AS STRING), \',"output":\', CAST(c % 997 AS STRING), \',"cacheRead":\', CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE c END AS STRING), \',"cacheWrite":\', CAST(CASE WHEN event_id % 5 = 0 THEN c ELSE 0 END AS STRING), \',"totalTokens":\', CAST(c AS STRING), CASE WHEN event_id % 13 = 0 THEN \'\' ELSE concat(\',"cost":{"total":\', CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE c END AS STRING), \'e-4}\') END, \'}\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') WHEN event_type = \'purchase\' AND lag(event_type) OVER (PARTITION BY session_id ORDER BY seq) = \'click\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"toolResult","toolCallId":"c\', CAST(seq - 1 AS STRING), \'","toolName":"x","isError":\', CASE WHEN event_id % 11 = 0 THEN \'true\' ELSE \'false\' END, \',"content":[{"type":"text","text":"result \', CAST(c AS STRING), \'"}]\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') WHEN event_type = \'error\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"assistant","content":[],"provider":"p\', CAST(event_id % 3 AS STRING), \'","model":"m\', CAST(event_id % 4 AS STRING), \'","stopReason":"error","errorMessage":"overloaded"\', \',"usage":{"input":\', CAST(c % 4096 AS STRING), \',"output":\', CAST(c % 997 AS STRING), \',"cacheRead":\', CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE c END AS STRING), \',"cacheWrite":\', CAST(CASE WHEN event_id % 5 = 0 THEN c ELSE 0 END AS STRING), \',"totalTokens":\', CAST(c AS STRING), CASE WHEN event_id % 13 = 0 THEN \'\' ELSE concat(\',"cost":{"total":\', CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE c END AS STRING), \'e-4}\') END, \'}\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') ELSE concat(\'{"type":"\', CASE WHEN event_id % 23 = 0 THEN \'odd\' ELSE \'message\' END, \'",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"user","content":"u\', CAST(c AS STRING), \'"\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') END AS line FROM ev',
+    "loglines": 'SELECT session_id, seq - 1 AS line_no, ts, concat(replace(replace(CAST(date_trunc(\'second\', min(ts) OVER (PARTITION BY session_id)) AS STRING), \' \', \'T\'), \':\', \'-\'), \'-000Z_s\', CAST(session_id AS STRING), \'.jsonl\') AS file_name, CASE WHEN seq = 1 AND session_id % 10 = 4 THEN \'junk\' WHEN session_id % 10 != 3 AND seq = CASE WHEN session_id % 10 = 4 THEN 2 ELSE 1 END THEN concat(\'{"type":"session","version":\', CASE WHEN session_id % 10 = 6 THEN \'2\' ELSE \'3\' END, \',"id":"s\', CAST(session_id AS STRING), \'","timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'","cwd":"/w/\', CAST(session_id % 7 AS STRING), \'"}\') WHEN event_id % 17 = 0 THEN \'\' WHEN event_id % 19 = 0 THEN \'{"type":"mess\' WHEN event_type = \'signup\' THEN concat(\'{"type":"compaction",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"summary":"sum","tokensBefore":\', CAST(c AS STRING), \'}\') WHEN event_type = \'click\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"assistant","content":[{"type":"text","text":"a\', CAST(c AS STRING), \'"},{"type":"toolCall","id":"c\', CAST(seq AS STRING), \'","name":"\', CASE event_id % 3 WHEN 0 THEN \'read\' WHEN 1 THEN \'edit\' ELSE \'bash\' END, \'","arguments":\', CASE event_id % 3 WHEN 2 THEN concat(\'{"command":"git s\', CAST(event_id % 211 AS STRING), \' -s"}\') ELSE concat(\'{"path":"f\', CAST(event_id % 13 AS STRING), \'.ts"}\') END, \'}],"provider":"p\', CAST(event_id % 3 AS STRING), \'","model":"m\', CAST(event_id % 4 AS STRING), \'","stopReason":"toolUse"\', \',"usage":{"input":\', CAST(c % 4096 AS STRING), \',"output":\', CAST(c % 997 AS STRING), \',"cacheRead":\', CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE c END AS STRING), \',"cacheWrite":\', CAST(CASE WHEN event_id % 5 = 0 THEN c ELSE 0 END AS STRING), \',"totalTokens":\', CAST(c AS STRING), CASE WHEN event_id % 13 = 0 THEN \'\' ELSE concat(\',"cost":{"total":\', CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE c END AS STRING), \'e-4}\') END, \'}\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') WHEN event_type = \'purchase\' AND lag(event_type) OVER (PARTITION BY session_id ORDER BY seq) = \'click\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"toolResult","toolCallId":"c\', CAST(seq - 1 AS STRING), \'","toolName":"x","isError":\', CASE WHEN event_id % 11 = 0 THEN \'true\' ELSE \'false\' END, \',"content":[{"type":"text","text":"result \', CAST(c AS STRING), \'"}]\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') WHEN event_type = \'error\' THEN concat(\'{"type":"message",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"assistant","content":[],"provider":"p\', CAST(event_id % 3 AS STRING), \'","model":"m\', CAST(event_id % 4 AS STRING), \'","stopReason":"error","errorMessage":"overloaded"\', \',"usage":{"input":\', CAST(c % 4096 AS STRING), \',"output":\', CAST(c % 997 AS STRING), \',"cacheRead":\', CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE c END AS STRING), \',"cacheWrite":\', CAST(CASE WHEN event_id % 5 = 0 THEN c ELSE 0 END AS STRING), \',"totalTokens":\', CAST(c AS STRING), CASE WHEN event_id % 13 = 0 THEN \'\' ELSE concat(\',"cost":{"total":\', CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE c END AS STRING), \'e-4}\') END, \'}\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') ELSE concat(\'{"type":"\', CASE WHEN event_id % 23 = 0 THEN \'odd\' ELSE \'message\' END, \'",\', \'"id":"e\', CAST(seq AS STRING), \'","parentId":\', CASE WHEN seq <= 2 THEN \'null\' WHEN seq % 7 = 0 AND seq > 9 THEN concat(\'"e\', CAST(seq - 3 AS STRING), \'"\') ELSE concat(\'"e\', CAST(seq - 1 AS STRING), \'"\') END, \',"timestamp":"\', concat(replace(CAST(date_trunc(\'second\', ts) AS STRING), \' \', \'T\'), \'Z\'), \'"\', \',"message":{"role":"user","content":"u\', CAST(c AS STRING), \'"\', \',"timestamp":\', CAST(1700000000000 + 1000 * event_id AS STRING), \'}}\') END AS line FROM ev',
 }
 _FROM = re.compile(r"FROM (\w+)$")
 

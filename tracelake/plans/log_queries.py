@@ -166,7 +166,7 @@ def bash_report(n: DataFrame) -> DataFrame:
     return A.bash_stats(L.calls_of(entries).filter("tool = 'bash'"), L.results_of(entries))
 
 
-query("logs_bash_stats", "loglines", sql=f"{_CALL} SELECT 'git status' AS tool, count(*) AS calls, count(is_error) AS results, count(*) FILTER (is_error) AS errors, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) / nullif(count(is_error), 0) AS mean_tokens FROM c LEFT JOIN r USING (session_id, call_id) WHERE tool = 'bash' HAVING count(*) > 0")(bash_report)
+query("logs_bash_stats", "loglines", sql=f"{_CALL} SELECT command[:-4] AS tool, count(*) AS calls, count(is_error) AS results, count(*) FILTER (is_error) AS errors, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) / nullif(count(is_error), 0) AS mean_tokens FROM c LEFT JOIN r USING (session_id, call_id) WHERE tool = 'bash' GROUP BY command ORDER BY 5 DESC, 1 LIMIT 50")(bash_report)
 
 # content --------------------------------------------------------------------------------------------------------------
 

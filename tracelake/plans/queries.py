@@ -9,6 +9,7 @@ from tracelake.functions import scalars as S
 from tracelake.operators import catalog as K
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
+from tracelake.operators import edits as E
 from tracelake.operators import tools as A
 from tracelake.operators import trees as R
 from tracelake.operators import usage as U
@@ -123,8 +124,8 @@ query("d17_synthesize_missing_results", "calls", sql="m AS (SELECT c.session_id,
     lambda c: A.synthesize_missing_results(c, results_of(c), c.filter("seq % 4 = 0").select("session_id", "seq", F.lit("user").alias("role"))).drop("text")
 )
 query("e7_tool_stats", "calls", sql="SELECT tool, count(*) AS calls, count(is_error) AS results, count(*) FILTER (is_error) AS errors, CAST(coalesce(sum(CASE WHEN is_error IS NOT NULL THEN tokens END), 0) AS BIGINT) AS tokens, CAST(sum(CASE WHEN is_error IS NOT NULL THEN tokens END) AS DOUBLE) / nullif(count(is_error), 0) AS mean_tokens FROM calls GROUP BY tool")(lambda c: A.tool_stats(c.drop("is_error", "tokens"), results_of(c)))
-query("e8_bash_stats", "calls", sql="x AS (SELECT *, CASE WHEN call_id % 2 = 0 THEN 'git ' || tool ELSE 'ls' END AS k FROM calls) SELECT k AS tool, count(*) AS calls, count(is_error) AS results, count(*) FILTER (is_error) AS errors, CAST(coalesce(sum(CASE WHEN is_error IS NOT NULL THEN tokens END), 0) AS BIGINT) AS tokens, CAST(sum(CASE WHEN is_error IS NOT NULL THEN tokens END) AS DOUBLE) / nullif(count(is_error), 0) AS mean_tokens FROM x GROUP BY k ORDER BY tokens DESC, tool LIMIT 50")(
-    lambda c: A.bash_stats(c.drop("is_error", "tokens").withColumn("command", F.when(F.col("call_id") % 2 == 0, F.concat(F.lit("X=1 sudo git "), F.col("tool"), F.lit(" --all | wc -l"))).otherwise("ls -la /tmp && pwd")), results_of(c))
+query("e8_bash_stats", "calls", sql="x AS (SELECT *, CASE WHEN call_id % 2 = 0 THEN 'git s' || (call_id % 307) ELSE 'ls' END AS k FROM calls) SELECT k AS tool, count(*) AS calls, count(is_error) AS results, count(*) FILTER (is_error) AS errors, CAST(coalesce(sum(CASE WHEN is_error IS NOT NULL THEN tokens END), 0) AS BIGINT) AS tokens, CAST(sum(CASE WHEN is_error IS NOT NULL THEN tokens END) AS DOUBLE) / nullif(count(is_error), 0) AS mean_tokens FROM x GROUP BY k ORDER BY tokens DESC, tool LIMIT 50")(
+    lambda c: A.bash_stats(c.drop("is_error", "tokens").withColumn("command", F.when(F.col("call_id") % 2 == 0, F.concat(F.lit("X=1 sudo git s"), (F.col("call_id") % 307).cast("string"), F.lit(" --all | wc -l"))).otherwise("ls -la /tmp && pwd")), results_of(c))
 )
 _BUCKETS = [0, *A.BUCKETS]
 query("e9_token_histogram", "conv", sql="x AS (" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS bucket, count(*) FILTER (tokens > {a if a else -1} AND tokens <= {b}) AS results FROM conv" for a, b in zip(_BUCKETS, _BUCKETS[1:], strict=False)) + " UNION ALL SELECT '32000+', count(*) FILTER (tokens > 32000) FROM conv) SELECT * FROM x")(A.token_histogram)
@@ -294,7 +295,19 @@ query("g6_pack_transcripts", "conv", sql=f"r AS (SELECT CAST(session_id // 8 AS
 query("a8_read_corpus", "corpus", sql="x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM corpus) SELECT doc_id, CAST(k - 1 AS INTEGER) AS pos, l[k] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM x)")(D.read_corpus)
 query("c16_find_paths", "corpus", sql="SELECT path FROM corpus WHERE regexp_matches(path, '^src1[0-9]*/[^/]*\\.(en|de)$') ORDER BY path LIMIT 1000")(lambda c: D.find_paths(c, "src1*/*.{en,de}"))
 query("g11_grep_corpus", "corpus", sql="l AS (SELECT doc_id, k - 1 AS pos, x[k] AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x, unnest(range(1, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) + 1)) AS k FROM corpus)), m AS (SELECT *, regexp_matches(line, '(?i)licen[sc]e') AS is_match FROM l), n AS (SELECT *, max(CASE WHEN is_match THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM m) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN length(line) > 500 THEN substr(line, 1, 500) || '... [truncated]' ELSE line END AS line, is_match FROM n WHERE near = 1")(lambda c: D.grep_corpus(c, "licen[sc]e", 1, None, True))
-query("g10_truncate_lines", "corpus", sql="l AS (SELECT doc_id, k - 1 AS pos, x[k] AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x, unnest(range(1, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) + 1)) AS k FROM corpus)), b AS (SELECT *, row_number() OVER w AS n, sum(strlen(line) + 1) OVER w - 1 AS b FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) SELECT doc_id, count(*) AS total_lines, CAST(max(b) AS BIGINT) AS total_bytes, count(*) FILTER (n <= 20 AND b <= 4000) AS lines, CAST(coalesce(max(b) FILTER (n <= 20 AND b <= 4000), 0) AS BIGINT) AS bytes, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (n <= 20 AND b <= 4000), '') AS text, CASE WHEN count(*) FILTER (n <= 20 AND b <= 4000) = count(*) THEN 'none' WHEN count(*) FILTER (n <= 20 AND b <= 4000) = 20 THEN 'lines' ELSE 'bytes' END AS truncated_by, count(*) FILTER (n <= 20 AND b <= 4000) = 0 AS first_too_long FROM b GROUP BY doc_id")(lambda c: D.truncate_lines(D.read_corpus(c), 20, 4000))
+_LINES = "s AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM corpus), l AS (SELECT doc_id, strlen(t) AS size, string_split(t, chr(10)) AS x FROM s)"
+_FIT = "d AS (SELECT *, unnest(range(1, len(y) + 1)) AS k FROM f), b AS (SELECT *, y[k] AS line, sum(strlen(y[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS b FROM d)"
+query(
+    "g10_truncate_lines", "corpus",
+    sql=f"{_LINES}, f AS (SELECT *, x AS y FROM l), {_FIT}, a AS (SELECT doc_id, count(*) AS total_lines, any_value(size) AS total_bytes, count(*) FILTER (k <= 20 AND b <= 4000) AS lines, string_agg(line, chr(10) ORDER BY k) FILTER (k <= 20 AND b <= 4000) AS text FROM b GROUP BY doc_id) "
+    "SELECT doc_id, total_lines, total_bytes, lines, strlen(coalesce(text, '')) AS bytes, coalesce(text, '') AS text, CASE WHEN lines = total_lines THEN 'none' WHEN lines = 20 THEN 'lines' ELSE 'bytes' END AS truncated_by, lines = 0 AS first_too_long FROM a",
+)(lambda c: D.truncate_lines(c, 20, 4000))
+query(
+    "g10_truncate_lines_tail", "corpus",
+    sql=f"{_LINES}, f AS (SELECT doc_id, size, list_reverse(CASE WHEN len(x) > 1 AND x[-1] = '' THEN x[:-2] ELSE x END) AS y FROM l), {_FIT}, a AS (SELECT doc_id, count(*) AS n, any_value(size) AS size, any_value(y[1]) AS last, count(*) FILTER (k <= 3 AND b <= 90) AS lines, string_agg(line, chr(10) ORDER BY k DESC) FILTER (k <= 3 AND b <= 90) AS text FROM b GROUP BY doc_id), "
+    "r AS (SELECT *, CASE WHEN n <= 3 AND size <= 90 THEN (SELECT t FROM s WHERE s.doc_id = a.doc_id) WHEN lines = 0 THEN right(last, list_max(list_filter(range(0, 91), lambda k: strlen(right(last, k)) <= 90))) ELSE text END AS out FROM a) "
+    "SELECT doc_id, n AS total_lines, size AS total_bytes, greatest(lines, 1) AS lines, strlen(out) AS bytes, out AS text, CASE WHEN n <= 3 AND size <= 90 THEN 'none' WHEN lines = 3 OR lines = n THEN 'lines' ELSE 'bytes' END AS truncated_by, lines = 0 AS first_too_long FROM r",
+)(lambda c: D.truncate_lines(c, 3, 90, "tail"))
 query("g12_read_slice", "corpus", sql="l AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM corpus) SELECT doc_id, CAST(len(x) AS BIGINT) AS document_lines, CAST(len(x[3:7]) AS BIGINT) AS lines, len(x) < 3 AS past_end, CASE WHEN len(x) >= 3 AND 3 + len(x[3:7]) <= len(x) THEN CAST(3 + len(x[3:7]) AS BIGINT) END AS next_offset, CASE WHEN len(x) >= 3 THEN array_to_string(x[3:7], chr(10)) END AS text FROM l")(lambda c: D.read_slice(c, 3, 5, 2000, 10_000_000).select("doc_id", "document_lines", "lines", "past_end", "next_offset", "text"))
 query("e6_session_info", "conv", sql="SELECT session_id, count(*) FILTER (role IN ('user', 'assistant')) AS messages, arg_min(text, seq) FILTER (role = 'user' AND trim(text) != '') AS first_message, string_agg(text, ' ' ORDER BY seq) FILTER (role IN ('user', 'assistant') AND trim(text) != '') AS text FROM conv GROUP BY session_id")(lambda c: D.session_info(c.withColumn("type", F.lit("message"))))
 
@@ -338,9 +351,23 @@ def edit_pairs(c: DataFrame) -> DataFrame:
 
 _PAIR = "e AS (SELECT doc_id, text AS o, left(text, 10) || '¶' || substr(text, 14) AS n FROM corpus WHERE length(text) > 20)"
 query("b12_analyze_replacements", "corpus", sql=f"{_PAIR} SELECT doc_id, CAST(strlen(o) AS BIGINT) AS old_bytes, CAST(strlen(n) AS BIGINT) AS new_bytes, CAST(strlen(left(o, 10)) AS BIGINT) AS prefix_bytes, CAST(strlen(substr(o, 14)) AS BIGINT) AS suffix_bytes, CAST(strlen(substr(o, 11, 3)) + 2 AS BIGINT) AS core_bytes, CAST(strlen(o) + strlen(n) AS DOUBLE) / (strlen(substr(o, 11, 3)) + 2) AS inflation FROM e")(lambda c: A.analyze_replacements(edit_pairs(c)).select("doc_id", "old_bytes", "new_bytes", "prefix_bytes", "suffix_bytes", "core_bytes", "inflation"))
-query("d18_check_edits", "corpus", sql="SELECT doc_id, k AS edit_no, CASE WHEN k = 0 THEN 'multiple' WHEN k = 1 THEN 'not_found' ELSE 'empty' END AS status FROM corpus, (SELECT unnest([0, 1, 2]) AS k) WHERE length(text) - length(replace(text, 'e', '')) > 1")(
-    lambda c: D.check_edits(c.filter("length(text) - length(replace(text, 'e', '')) > 1").select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("edit_no"), F.lit(o).alias("old")) for k, o in enumerate(("e", "☃ none", ""))))).alias("x")).select("doc_id", "x.*"), c).select("doc_id", "edit_no", "status")
-)
+def edits_of(c: DataFrame) -> DataFrame:
+    """For each document: two edits that overlap, one that it lacks, an empty one, a letter, one that is only found fuzzily (but in English), and one with CRLF."""
+    piece = lambda at, n: F.substring("text", at, n)
+    olds = [piece(11, 60), piece(51, 40), F.concat(F.lit("☃ none "), F.col("doc_id").cast("string")), F.lit(""), F.lit("e"), F.when(F.col("lang") != "en", F.replace(piece(101, 30), F.lit(" "), F.lit("\u00a0"))), F.replace(piece(201, 80), F.lit("\n"), F.lit("\r\n"))]
+    return c.select("doc_id", F.posexplode(F.array(*olds)).alias("edit_no", "old"))
+
+
+query(
+    "d18_check_edits", "corpus",
+    sql="e AS (SELECT doc_id, text, k AS edit_no, CASE k WHEN 0 THEN substr(text, 11, 60) WHEN 1 THEN substr(text, 51, 40) WHEN 2 THEN '☃ none ' || doc_id WHEN 3 THEN '' WHEN 4 THEN 'e' WHEN 5 THEN CASE WHEN lang != 'en' THEN replace(substr(text, 101, 30), ' ', chr(160)) END ELSE substr(text, 201, 80) END AS o FROM corpus, (SELECT unnest(range(7)) AS k)), "
+    "f AS (SELECT *, regexp_replace(replace(o, chr(160), ' '), ' +(\n|$)', '\\1', 'g') AS l FROM e), "
+    "m AS (SELECT *, strpos(text, o) AS a, CASE WHEN strpos(text, o) > 0 THEN strpos(text, o) ELSE strpos(text, l) END AS b, CASE WHEN strpos(text, o) > 0 THEN length(o) ELSE length(l) END AS n, (length(text) - length(replace(text, l, ''))) // length(l) AS times FROM f WHERE o != ''), "
+    "g AS (SELECT *, bool_or(a = 0 AND b > 0) OVER (PARTITION BY doc_id) AS loose FROM m), "
+    "s AS (SELECT doc_id, edit_no, times, n, CASE WHEN loose THEN b ELSE a END AS pos, CASE WHEN (CASE WHEN loose THEN b ELSE a END) = 0 THEN 'not_found' WHEN times > 1 THEN 'multiple' WHEN a > 0 THEN 'exact' ELSE 'fuzzy' END AS status FROM g), "
+    "p AS (SELECT *, max(pos + n) FILTER (status IN ('exact', 'fuzzy')) OVER (PARTITION BY doc_id ORDER BY CASE WHEN status IN ('exact', 'fuzzy') THEN pos END NULLS FIRST, edit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM s) "
+    "SELECT doc_id, CAST(edit_no AS INTEGER) AS edit_no, status, CASE WHEN pos > 0 THEN pos - 1 END AS start, CASE WHEN pos > 0 THEN n END AS size, times AS occurrences, coalesce(status IN ('exact', 'fuzzy') AND pos < stop, false) AS overlaps FROM p UNION ALL SELECT doc_id, edit_no, 'empty', NULL, NULL, 0, false FROM e WHERE coalesce(o, '') = ''",
+)(lambda c: E.check_edits(edits_of(c), c).drop("old"))
 
 # catalog --------------------------------------------------------------------------------------------------------------
 
