@@ -1,6 +1,7 @@
 """Readers and writers of session logs, on files made here."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,61 @@ def test_catalog_file(spark, tmp_path):
 def test_named(spark):
     df = spark.createDataFrame([(1, " "), (2, None), (3, "n")], "session_id int, name string")
     assert [r["session_id"] for r in D.named_sessions(df).collect()] == [3]
+
+
+def test_files_of_many_splits(spark, tmp_path):
+    """Places, first lines and first faults of files that are cut into many splits, against plain reading; no window over the lines."""
+    rng, want, good_lines, bad_lines = random.Random(5), {}, {}, {}
+    stamp = "2025-01-01T00:00:00Z"
+    head = lambda k: json.dumps({"type": "session", "version": 3, "id": f"s{k}", "timestamp": stamp, "cwd": "/w"})
+    entry = lambda n: json.dumps({"type": "message", "id": f"e{n}", "parentId": None, "timestamp": stamp, "pad": "x" * rng.randrange(300)})
+    for k in range(6):
+        lines = ["", "  "] * (k % 2) + ([head(k)] if k != 3 else [entry(0), head(k)])
+        for n in range(900):
+            lines += [entry(n)] + [""] * (rng.random() < 0.05)
+        if k == 1:
+            lines.insert(700, "broken")
+        if k == 2:
+            lines[500:500] = [head(9), entry(901)]  # a header in the middle is no entry
+        if k == 5:
+            lines = ["[1]"] + lines
+        (tmp_path / f"f{k}.jsonl").write_text("\n".join(lines) + "\n")
+        parsed = []
+        for x in lines:
+            try:
+                parsed.append(json.loads(x))
+            except ValueError:
+                parsed.append(None)
+        objects = [x for x in parsed if isinstance(x, dict)]
+        if objects[0]["type"] == "session":
+            want[f"s{k}"] = [x["id"] for x in objects[1:]]
+        first, fault = next(n for n, x in enumerate(lines) if x.strip()), None
+        for n, (x, o) in enumerate(zip(lines, parsed, strict=True)):
+            if x.strip() and fault is None and not (isinstance(o, dict) and (o["type"] == "session") == (n == first)):
+                fault = n
+        told = [n for n, x in enumerate(lines) if x.strip()]
+        good_lines[f"f{k}.jsonl"] = [n for n in told if fault is None or n < fault]
+        bad_lines[f"f{k}.jsonl"] = [n for n in told if fault is not None and n >= fault]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = L.read_lines(spark, str(tmp_path))
+        assert lines.select("file_path", "line_at.block").distinct().count() > 60
+        sessions, entries = L.read_session_logs(spark, str(tmp_path))
+        got = {}
+        for r in entries.select("session_id", "entry_seq", "entry_id").orderBy("session_id", "entry_seq").collect():
+            got.setdefault(r["session_id"], []).append(r["entry_id"])
+            assert r["entry_seq"] == len(got[r["session_id"]])
+        assert got == want and {r["session_id"] for r in sessions.collect()} == set(want)
+        good, bad = L.validate_session_logs(lines)
+        for df, numbers in ((good, good_lines), (bad, bad_lines)):
+            found = {f: [] for f in numbers}
+            for r in df.select("file_path", "line_no").collect():
+                found[r["file_path"].rsplit("/", 1)[1]].append(r["line_no"])
+            assert {f: sorted(n) for f, n in found.items()} == numbers
+        lenient, _ = L.validate_session_logs(lines, "lenient")
+        assert lenient.count() > sum(map(len, good_lines.values()))
+        for df in (entries, good, bad):
+            assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -57,15 +57,44 @@ def is_object(raw: str = "raw") -> Column:
     return F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
 
 
-def by_file() -> W:
-    return W.partitionBy("file_path").orderBy("line_at")
+def by_block(lines: DataFrame, **summary: Column) -> DataFrame:
+    """One row for each split of a file (file_path, block): aggregates of its lines; the first level of the scans over files.
+
+    Both passes over the lines must see the same splits, which depend on the number of cores where spark.sql.files.minPartitionNum is
+    unset; it is set here then, to the session's parallelism.
+    """
+    spark = lines.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return written(lines.groupBy("file_path", F.col("line_at.block").alias("block")).agg(*(c.alias(n) for n, c in summary.items())), "log-blocks")
+
+
+def in_blocks() -> W:
+    """The splits of a file in order: a few rows, whatever the file's size."""
+    return W.partitionBy("file_path").orderBy("block")
+
+
+def before(n: str) -> Column:
+    """Sum over the splits before."""
+    return F.coalesce(F.sum(n).over(in_blocks().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def of_block(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Lines with the columns of their split: no line is sorted, and one file's lines are spread over its splits."""
+    return lines.withColumn("block", F.col("line_at.block")).join(blocks, ["file_path", "block"])
 
 
 def read_session_logs(spark: SparkSession, path: str, since=None) -> tuple[DataFrame, DataFrame]:
-    """A1: (sessions, entries). Blank and malformed lines are skipped; a file counts if its first parsed line is a session header with an id."""
-    lines = read_lines(spark, path, since).filter(~F.col("blank") & is_object()).drop("line")
-    head = F.first(F.struct(get("$.type").alias("type"), get("$.id").alias("id"))).over(by_file().rowsBetween(W.unboundedPreceding, 0))
-    rows = lines.withColumns({"_n": F.row_number().over(by_file()), "_head": head}).filter("_head.type = 'session' AND _head.id IS NOT NULL")
+    """A1: (sessions, entries). Blank and malformed lines are skipped; a file counts if its first parsed line is a session header with an id.
+
+    Places come from a scan of two levels: rows and first line of each split, offsets over a file's splits, then place in the split.
+    """
+    # numbered after the filter: the rows of a split follow each other without gaps
+    lines = read_lines(spark, path, since).filter(~F.col("blank") & is_object()).drop("line").withColumn("row", F.monotonically_increasing_id())
+    blocks = by_block(lines, n=F.count("*"), start=F.min("row"), head=F.min_by(F.struct(get("$.type").alias("type"), get("$.id").alias("id")), "row"))
+    head = F.first("head").over(in_blocks().rowsBetween(W.unboundedPreceding, 0))
+    blocks = written(blocks.select("file_path", "block", "start", before("n").alias("before"), head.alias("_head")).filter("_head.type = 'session' AND _head.id IS NOT NULL"), "log-places")
+    rows = of_block(lines, blocks).withColumn("_n", F.col("row") - F.col("start") + F.col("before") + 1)
     sessions = rows.filter("_n = 1").select(
         F.col("_head.id").alias("session_id"), "file_path", F.coalesce(get("$.version", "int"), F.lit(1)).alias("version"), F.try_to_timestamp(get("$.timestamp")).alias("created_ts"), get("$.cwd").alias("cwd"), get("$.parentSession").alias("parent_path"), "file_ts", "file_mtime"
     )
@@ -118,17 +147,36 @@ def read_session_headers(spark: SparkSession, path: str, max_bytes: int = HEADER
 def validate_session_logs(lines: DataFrame, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
     """A3: (good lines, quarantined lines with ``reason``). Strict: the first wrong line of a file rejects what follows it too.
 
-    ``lines``: read_lines. Blank lines are neither.
+    ``lines``: read_lines. Blank lines are neither. A file's first line and first fault come from a scan of two levels, as in A1: a good
+    header is a fault anywhere but in first place, so a split tells its first wrong line of either sort, and a file's splits the rest.
     """
-    rows = lines.withColumn("line_no", F.row_number().over(by_file()) - 1).filter(~F.col("blank")).withColumn("_n", F.row_number().over(by_file()))
     header = F.when(get("$.type") != "session", "first line is not a session header").when(get("$.type").isNull(), "header has no type").when(~get("$.version", "int").eqNullSafe(F.lit(3)), "unsupported version").when(get("$.id").isNull(), "header has no id").when(F.try_to_timestamp(get("$.timestamp")).isNull(), "header has no timestamp").when(get("$.cwd").isNull(), "header has no cwd")
     entry = F.when(get("$.type").isNull() | ~get("$.type").isin(*KINDS), "unknown entry type").when(get("$.id").isNull(), "entry has no id").when(~F.schema_of_variant("raw").contains("parentId:"), "entry has no parentId").when(F.try_to_timestamp(get("$.timestamp")).isNull(), "entry has no timestamp").when((get("$.type") == "leaf") & ~F.schema_of_variant("raw").contains("targetId:"), "leaf has no target")
-    reason = F.when(F.col("raw").isNull(), "not JSON").when(~is_object(), "not an object").otherwise(F.when(F.col("_n") == 1, header).otherwise(entry))
-    rows = rows.withColumn("reason", reason)
+    shape = F.when(F.col("raw").isNull(), "not JSON").when(~is_object(), "not an object")
+    first_line, later_line = F.coalesce(shape, header), F.coalesce(shape, entry)
+    row, told = F.col("line_at.row"), ~F.col("blank")
+    good_header = told & first_line.isNull()
+    blocks = by_block(
+        lines,
+        n=F.count("*"),
+        start=F.min(row),
+        top=F.min(F.when(told, row)),
+        top_is_good=F.min_by(first_line.isNull(), F.when(told, row)),
+        wrong=F.min(F.when(told & later_line.isNotNull() & first_line.isNotNull(), row)),
+        headers=F.sort_array(F.collect_list(F.when(good_header, row))),  # at most a split's lines, usually one
+    )
+    top = F.first(F.when(F.col("top").isNotNull(), F.struct("block", F.col("top").alias("row"))), ignorenulls=True).over(in_blocks().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    blocks = blocks.withColumn("first", top)
+    holds_top = F.col("first.block") == F.col("block")
+    fault = F.when(holds_top & ~F.col("top_is_good"), F.col("top")).when(holds_top, F.least("wrong", F.get("headers", F.lit(1)))).otherwise(F.least("wrong", F.get("headers", F.lit(0))))
+    fault = F.min(F.when(fault.isNotNull(), F.struct("block", fault.alias("row")))).over(W.partitionBy("file_path"))
+    blocks = written(blocks.select("file_path", "block", "start", before("n").alias("before"), "first", fault.alias("fault")), "log-places")
+    rows = of_block(lines, blocks).filter(~F.col("blank")).withColumn("line_no", row - F.col("start") + F.col("before"))
+    reason = F.when(F.col("line_at") == F.col("first"), first_line).otherwise(later_line)
     if mode == "strict":
-        so_far = by_file().rowsBetween(W.unboundedPreceding, -1)
-        rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.count("reason").over(so_far) > 0, "after a rejected line")))
-    return rows.filter("reason IS NULL").drop("reason", "_n"), rows.filter("reason IS NOT NULL").select("file_path", "line_no", "reason", F.col("line").alias("raw"))
+        reason = F.coalesce(reason, F.when(F.col("line_at") > F.col("fault"), "after a rejected line"))
+    rows = rows.withColumn("reason", reason).drop("block", "start", "before", "first", "fault")
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("file_path", "line_no", "reason", F.col("line").alias("raw"))
 
 
 def malformed_line_report(lines: DataFrame) -> DataFrame:
