@@ -463,3 +463,40 @@ def test_scan_reads_only_what_it_needs(spark):
 
     plan = QUERIES["e1_cost_by_day_provider"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan
+
+
+def test_resolve_model_refs(spark):
+    """By the rule: exact before partial, an id of two providers is partial, the provider's name is no name, parts come off one by one."""
+    models = [
+        ("openai", "gpt-5", "GPT 5"), ("openai", "gpt-5-mini", "GPT 5 Mini"), ("azure", "gpt-5", "GPT 5"), ("anthropic", "claude-x-20250101", "Claude X"), ("anthropic", "claude-x-20250301", "Claude X"), ("anthropic", "claude-y", "Claude Y"),
+        ("anthropic", "claude-y-20250909", "Claude Y"), ("router", "meta/llama:free", "Llama (free)"), ("router", "meta/llama", "Llama"), ("z", "q", None), ("z", "-latest-20250101-latest", None),
+    ]
+    refs = {
+        "openai/gpt-5": ("openai", "gpt-5", None, "exact", False), " OpenAI / GPT-5 ": ("openai", "gpt-5", None, "exact", False), "gpt-5": ("openai", "gpt-5-mini", None, "contains", False), "gpt-5-mini:high": ("openai", "gpt-5-mini", "high", "exact", False),
+        "openai": (None, None, None, "none", False), "claude-x": ("anthropic", "claude-x-20250301", None, "contains", False), "claude-y": ("anthropic", "claude-y", None, "exact", False), "CLAUDE": ("anthropic", "claude-y", None, "contains", False),
+        "mini": ("openai", "gpt-5-mini", None, "contains", False), "GPT 5 M": ("openai", "gpt-5-mini", None, "contains", False), "meta/llama:free": ("router", "meta/llama:free", None, "exact", False), "meta/llama:free:low": ("router", "meta/llama:free", "low", "exact", False),
+        "meta/llama:paid": ("router", "meta/llama", None, "exact", True), "gpt-5-mini:odd:high": ("openai", "gpt-5-mini", None, "exact", True), "gpt-5-mini:low:high": ("openai", "gpt-5-mini", "high", "exact", False), "q": ("z", "q", None, "exact", False),
+        "y": ("anthropic", "claude-y", None, "contains", False), "(f": ("router", "meta/llama:free", None, "contains", False), "": ("z", "q", None, "contains", False), "nope": (None, None, None, "none", False), "nope:high": (None, None, None, "none", False),
+        "zz*": (None, None, None, "none", False), "i/gpt": (None, None, None, "none", False),
+    }
+    globs = {
+        "openai/*:low": {("openai", "gpt-5"), ("openai", "gpt-5-mini")}, "*5": {("openai", "gpt-5"), ("azure", "gpt-5")}, "claude-?-2025*": {("anthropic", "claude-x-20250101"), ("anthropic", "claude-x-20250301"), ("anthropic", "claude-y-20250909")},
+        "meta/*": {("router", "meta/llama:free"), ("router", "meta/llama")}, "router/*": set(), "router/**": {("router", "meta/llama:free"), ("router", "meta/llama")}, "[!a-y]": set(), "?": {("z", "q")}, "*Q": {("z", "q")},
+    }
+    catalog = spark.createDataFrame([(p, m, n, 1) for p, m, n in models], "provider string, model string, name string, gram int")
+    asked = spark.createDataFrame([(r,) for r in [*refs, *globs, *refs, None]], "ref string")
+    got = {}
+    for r in K.resolve_model_refs(asked, catalog).collect():
+        got.setdefault(r["ref"], []).append((r["provider"], r["model"], r["level"], r["how"], r["unknown_level"]))
+    assert {k: v for k, v in got.items() if k in refs} == {k: [v] for k, v in refs.items()}
+    for g, want in globs.items():
+        rows = got[g]
+        assert {(p, m) for p, m, *_ in rows if p} == want and all(r[3] == ("glob" if want else "none") and r[2] == ("low" if g.endswith(":low") else None) for r in rows), g
+    plan = K.resolve_model_refs(asked, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rng = random.Random(3)
+    names = [("p", "".join(rng.choice("ab-") for _ in range(rng.randrange(1, 9)))) for _ in range(60)]
+    texts = sorted({"".join(rng.choice("ab-") for _ in range(rng.randrange(1, 7))) for _ in range(200)})
+    ids = sorted({m for _, m in names})
+    found = {r["ref"]: r["model"] for r in K.resolve_model_refs(spark.createDataFrame([(t,) for t in texts], "ref string"), spark.createDataFrame(names, "provider string, model string")).collect()}
+    assert found == {t: t if t in ids else max((m for m in ids if t in m), default=None) for t in texts}

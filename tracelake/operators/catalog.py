@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracelake.functions.scalars import is_alias, merge_maps
+from tracelake.functions.storage import written
 
 KEY = ["provider", "model"]
 #: What a missing window means, and the thinking levels.
@@ -70,42 +71,109 @@ def union_catalogs(sources: Sequence[DataFrame], wins: str = "first", exclude: D
     return every.withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy(order))).filter("_n = 1").drop("_n", "_source")
 
 
+def gram_index(models: DataFrame) -> DataFrame:
+    """Postings of all runs of one, two and three letters: (gram, kind, pos, model's columns). ``kind``: the full name, or the display name; ``pos`` from 1."""
+    text = F.when(F.col("kind") == "full", F.col("full")).otherwise(F.col("name"))
+    rows = models.withColumn("kind", F.explode(F.array(F.lit("full"), F.lit("name")))).withColumn("_text", text).filter("_text != ''")
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("_text"))))
+    rows = rows.withColumn("gram", F.explode(F.array(*(F.substring(F.col("_text"), F.col("pos"), F.lit(n)) for n in (1, 2, 3)))))
+    # at the end of a text the longer runs are cut short: each is one of the shorter ones there, and counts once
+    return rows.drop("_text").distinct()
+
+
+def best_of(found: DataFrame, *key: str) -> DataFrame:
+    """The model that partial matching prefers for each key: undated before dated, then the highest id, then the first provider."""
+    one = found.groupBy(*key, "model").agg(F.min("provider").alias("provider"))
+    return one.groupBy(*key).agg(F.max(F.struct(is_alias(F.lower(F.col("model"))).alias("alias"), "model", "provider")).alias("best")).select(*key, "best.provider", "best.model")
+
+
+def exact_models(texts: DataFrame, models: DataFrame) -> DataFrame:
+    """(text, provider, model) of texts that are ``provider/model`` or, if that is nobody's, a model id; of one model only."""
+    clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = clean(F.lower("text"))
+    provider, model = clean(F.substring_index(whole, "/", 1)), clean(F.regexp_replace(whole, "^[^/]*/", ""))
+    asked = texts.select("text", whole.alias("whole"), F.when(whole.contains("/") & (provider != "") & (model != ""), F.concat(provider, F.lit("/"), model)).alias("parts"))
+    only = lambda c, n: models.groupBy(F.col(c).alias(n)).agg(F.count("*").alias(f"{n}_n"), F.first(F.struct("provider", "model")).alias(f"{n}_m"))
+    out = asked.join(only("full", "whole"), "whole", "left").join(only("full", "parts"), "parts", "left").join(only("id", "bare"), F.col("whole") == F.col("bare"), "left")
+    one = lambda n: F.when(F.col(f"{n}_n") == 1, F.col(f"{n}_m"))
+    found = F.when(F.col("whole_n") >= 1, one("whole")).when(F.col("parts_n") >= 1, one("parts")).otherwise(one("bare"))
+    return out.filter("whole != ''").select("text", found.alias("m")).filter("m IS NOT NULL").select("text", "m.provider", "m.model")
+
+
+def partial_models(texts: DataFrame, models: DataFrame, index: DataFrame) -> DataFrame:
+    """(text, provider, model): of the models whose id or name holds the text, the preferred one.
+
+    Texts of up to three letters are keys of the index, whose preferred models are worked out once for each key. Longer ones look up
+    the postings of their rarest run of three letters only; a posting tells where the text would begin, and is compared there.
+    """
+    in_id = (F.col("kind") == "name") | (F.col("pos") >= F.col("id_at"))
+    short = best_of(index.filter(in_id).select("gram", "provider", "model").unionByName(models.select(F.lit("").alias("gram"), "provider", "model")), "gram")
+    asked = texts.select("text", F.lower("text").alias("low"))
+    few = asked.filter(F.length("low") <= 3).join(short, F.col("low") == F.col("gram")).select("text", "provider", "model")
+    common = index.filter("length(gram) = 3").groupBy("gram").agg(F.count("*").alias("n"))
+    offsets = asked.filter("length(low) > 3").withColumn("offset", F.explode(F.sequence(F.lit(0), F.length("low") - 3)))
+    offsets = offsets.withColumn("gram", F.substring(F.col("low"), F.col("offset") + 1, F.lit(3))).join(common, "gram", "left")
+    rarest = offsets.groupBy("text", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "offset")).alias("r")).filter("r.n > 0").select("text", "low", "r.gram", "r.offset")
+    begin = F.col("pos") - F.col("offset")
+    there = F.substring(F.when(F.col("kind") == "full", F.col("full")).otherwise(F.col("name")), begin, F.length("low")) == F.col("low")
+    long = rarest.join(index, "gram").filter((begin >= F.when(F.col("kind") == "full", F.col("id_at")).otherwise(1)) & there)
+    return few.unionByName(best_of(long, "text"))
+
+
+def glob_models(asked: DataFrame, models: DataFrame, index: DataFrame) -> DataFrame:
+    """(ref, provider, model): all models whose ``provider/model`` or id matches a glob; ``*`` and ``?`` don't cross a slash, ``**`` does.
+
+    A glob looks up its rarest run of letters between wildcards and sets. One without any letter meets all models: it asks for them.
+    """
+    escaped = F.regexp_replace("text", r"([.+(){}^$|\\])", r"\\$1")
+    pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, r"\[!", "[^"), r"\*\*", "\u0001"), r"\*", "[^/]*"), r"\?", "[^/]"), "\u0001", ".*")
+    open_ = asked.withColumn("pattern", F.concat(F.lit("^"), pattern, F.lit("$")))
+    plain = F.filter(F.split(F.regexp_replace("text", r"\[[^\]]*\]?", "*"), r"[*?]+"), lambda x: x != "")
+    runs = lambda x, n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda k: F.substring(x, k, F.lit(n))))
+    # the longest runs that a piece has: three letters, else all of it
+    grams = F.flatten(F.transform(plain, lambda x: F.coalesce(runs(x, 3), F.array(x))))
+    common = index.filter("kind = 'full'").groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = open_.select("ref", F.explode(F.array_distinct(grams)).alias("gram")).join(common, "gram", "left")
+    rarest = wanted.groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("ref", "g.gram")
+    keyed = open_.join(rarest, "ref", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
+    postings = index.filter("kind = 'full'").select("gram", "provider", "model", "full", "id").unionByName(models.select(F.lit("").alias("gram"), "provider", "model", "full", "id"))
+    met = keyed.join(postings, "gram").filter(F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("id"), F.col("pattern")))
+    return met.select("ref", "provider", "model").distinct()
+
+
 def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") -> DataFrame:
-    """Models that free-text references mean: (ref, provider, model, level, how). Unmatched references have null models.
+    """Models that free-text references mean: (ref, provider, model, level, how, unknown_level). Unmatched references have null models.
 
-    In order: the exact ``provider/model`` or a model name that one provider has; a glob keeps all it matches; else models whose
-    name contains the text, undated names before dated ones, then the highest. A ``:level`` suffix is split off first. Exact matches
-    are equi-joins; globs and texts meet the names that hold their rarest run of three letters. Only those without such a run, a few
-    short ones, are compared with every name.
+    A glob keeps all models that it matches, a valid ``:level`` at its end split off first. Any other text is tried whole, then without
+    its last ``:part``, and so on, until it matches: ``exact``, ``provider/model`` or an id that one model has, else ``contains``, the preferred model whose id or
+    name (the catalog's ``name``, if it has one) holds it. ``level`` is the last part, if all parts taken off are levels; ``unknown_level``: one isn't.
+    Matching is in any case; ids are compared by their bytes. Null references are left out. All joins are equi-joins.
     """
-    names = catalog.select("provider", "model", F.lower(F.concat_ws("/", "provider", "model")).alias("full"), F.lower("model").alias("name")).distinct()
-    level = F.regexp_extract(ref, ":(" + "|".join(LEVELS) + ")$", 1)
-    asked = refs.select(F.col(ref).alias("ref")).distinct().select("ref", F.when(level != "", level).alias("level"), F.lower(F.when(level != "", F.regexp_replace(ref, r":[a-z]+$", "")).otherwise(F.col(ref))).alias("text"))
-    full = asked.join(names, asked["text"] == names["full"]).select("ref", "level", "provider", "model", F.lit("exact").alias("how"))
-    rest = asked.join(full.select("ref"), "ref", "left_anti")
-    single = names.groupBy("name").agg(F.count("*").alias("n"), F.first("provider").alias("provider"), F.first("model").alias("model"))
-    bare = rest.join(single, rest["text"] == single["name"])
-    exact = bare.filter("n = 1").select("ref", "level", "provider", "model", F.lit("exact").alias("how"))
-    rest = rest.join(bare.select("ref"), "ref", "left_anti")
-    glob = F.col("text").rlike(r"[*?\[]")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"([.+(){}^$|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda k: F.substring(x, k, F.lit(3)))
-    by_gram = names.select("provider", "model", "full", "name", F.explode(F.array_distinct(grams(F.col("full")))).alias("gram"))
-    common = by_gram.groupBy("gram").agg(F.count("*").alias("n"))
-    open_ = rest.filter("text != ''").withColumns({"glob": glob, "pattern": pattern})
-    # what a glob surely holds: its text between wildcards and sets
-    plain = F.flatten(F.transform(F.split(F.regexp_replace("text", r"\[[^\]]*\]?", "*"), r"[*?]+"), grams))
-    asked_grams = open_.select("ref", F.explode_outer(F.filter(F.when(F.col("glob"), plain).otherwise(grams(F.col("text"))), lambda g: F.length(g) == 3)).alias("gram"))
-    rarest = asked_grams.join(common, "gram", "left").groupBy("ref").agg(F.min(F.when(F.col("gram").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g")).select("ref", "g.gram")
-    picked = open_.join(rarest, "ref")
-    met = picked.filter("gram IS NOT NULL").join(by_gram, "gram").unionByName(picked.filter("gram IS NULL").join(names))
-    many = met.filter(F.col("glob") & (F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("name"), F.col("pattern")))).select("ref", "level", "provider", "model", F.lit("glob").alias("how"))
-    like = met.filter(~F.col("glob") & F.contains(F.col("full"), F.col("text")))
-    best = W.partitionBy("ref").orderBy(F.desc(is_alias(F.col("name"))), F.desc("model"), F.asc("provider"))
-    like = like.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("ref", "level", "provider", "model", F.lit("contains").alias("how"))
-    found = full.unionByName(exact).unionByName(many).unionByName(like)
-    lost = asked.join(found.select("ref"), "ref", "left_anti").select("ref", "level", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("model"), F.lit("none").alias("how"))
-    return found.distinct().unionByName(lost)
+    name = F.lower("name") if "name" in catalog.columns else F.lit("")
+    models = catalog.filter("provider IS NOT NULL AND model IS NOT NULL").select("provider", "model", F.lower(F.concat_ws("/", "provider", "model")).alias("full"), F.lower("model").alias("id"), (F.length("provider") + 2).alias("id_at"), F.coalesce(name, F.lit("")).alias("name")).distinct()
+    models = written(models, "models")
+    index = written(gram_index(models), "model-grams")
+    asked = written(refs.filter(F.col(ref).isNotNull()).select(F.col(ref).alias("ref")).distinct(), "model-refs")
+    glob = F.col("ref").rlike(r"[*?\[]")
+    level = F.regexp_extract("ref", ":(" + "|".join(LEVELS) + ")$", 1)
+    globs = asked.filter(glob).select("ref", F.when(level != "", level).alias("level"), F.lower(F.when(level != "", F.regexp_replace("ref", ":[a-z]+$", "")).otherwise(F.col("ref"))).alias("text"))
+    many = globs.select("ref", "level").join(glob_models(globs, models, index), "ref").withColumns({"how": F.lit("glob"), "unknown_level": F.lit(False)})
+
+    parts = F.split("ref", ":", -1)
+    tries = asked.filter(~glob).select("ref", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("off"))
+    off = F.slice("parts", F.size("parts") - F.col("off") + 1, F.col("off"))
+    known = F.forall(off, lambda x: x.isin(*LEVELS))
+    tries = tries.select("ref", "off", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("off")), ":").alias("text"), F.when((F.col("off") > 0) & known, F.element_at("parts", -1)).alias("level"), (~known).alias("unknown_level"))
+    tries = written(tries, "model-tries")
+    texts = tries.select("text").distinct()
+    exact = written(exact_models(texts, models), "model-exact")
+    partial = partial_models(texts.join(exact, "text", "left_anti"), models, index)
+    found = exact.withColumn("how", F.lit("exact")).unionByName(partial.withColumn("how", F.lit("contains")))
+    single = tries.join(found, "text").groupBy("ref").agg(F.min_by(F.struct("level", "provider", "model", "how", "unknown_level"), "off").alias("m")).select("ref", "m.*")
+    hits = many.unionByName(single)
+    lost = asked.join(hits.select("ref"), "ref", "left_anti").withColumn("level", F.when(glob & (level != ""), level))
+    none = F.lit(None).cast("string")
+    return hits.unionByName(lost.withColumns({"provider": none, "model": none, "how": F.lit("none"), "unknown_level": F.lit(False)}))
 
 
 def validate_catalog(models: DataFrame, providers: DataFrame, required: Sequence[str] = (), least: int = 500) -> DataFrame:

@@ -381,19 +381,42 @@ query("d14_diff_catalogs", "catalog", sql="SELECT provider, model, CASE WHEN p_p
 query("d15_overlay_catalog", "catalog", sql="SELECT provider, model, CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE input_rate END AS input_rate, context_window FROM catalog")(lambda k: K.overlay_catalog(k.select("provider", "model", "input_rate", "context_window"), k.filter("p_partkey % 2 = 0").select("provider", "model", F.lit(7).cast("long").alias("input_rate"))))
 
 
+def shared_catalog(k: DataFrame) -> DataFrame:
+    """The models; every third of a second provider too, and every fifth in a dated version."""
+    second = k.filter("p_partkey % 3 = 0").select(F.lit("Brand#99").alias("provider"), "model")
+    dated = k.filter("p_partkey % 5 = 0").select("provider", F.concat("model", F.lit("-20250101")).alias("model"))
+    return k.select("provider", "model").unionByName(second).unionByName(dated)
+
+
 def refs_of(k: DataFrame) -> DataFrame:
-    """Every model by its full name, by its own name, by a part of it, and by a glob; and as a name that no model has."""
-    tens = F.floor(F.col("p_partkey") / 10).cast("string")
-    refs = [F.concat_ws("/", "provider", F.concat("model", F.lit(":high"))), F.col("model"), F.substring("model", 3, 5), F.concat(F.lit("*-"), tens, F.lit("?")), F.concat(F.lit("nothing-"), F.col("p_partkey").cast("string")), F.concat(F.lit("[a-z]* widget-"), tens, F.lit("7"))]
+    """Every model by its full name, with blanks, levels, unknown levels; by its id; by parts of it, long and short; by globs; names that no model has; providers."""
+    tens, key = F.floor(F.col("p_partkey") / 10).cast("string"), F.col("p_partkey").cast("string")
+    full = F.concat_ws("/", "provider", "model")
+    refs = [
+        F.concat(full, F.lit(":high")), F.upper(full), F.concat(F.lit(" "), F.col("provider"), F.lit(" / "), F.col("model"), F.lit(" ")), F.concat(full, F.lit(":odd:low")), F.concat(F.col("model"), F.lit(":low:odd")), F.concat(F.col("model"), F.lit(":low:high")),
+        F.col("model"), F.substring("model", 3, 5), F.substring("model", 2, 1), F.substring("model", 1, 3), F.lit(""), F.col("provider"), F.lower("provider"), F.concat(F.lit("*-"), tens, F.lit("?")), F.concat(F.lit("nothing-"), key), F.concat(F.lit("[a-z]*-"), tens, F.lit("7:max")), F.concat("provider", F.lit("/*9")),
+    ]
     return k.select(F.explode(F.array(*refs)).alias("ref"))
 
 
 query(
     "d16_resolve_model_refs", "catalog",
-    sql="n AS (SELECT *, lower(provider || '/' || model) AS f, p_partkey // 10 AS t FROM catalog), s AS (SELECT DISTINCT substr(model, 3, 5) AS ref FROM n), c AS (SELECT ref, provider, model, row_number() OVER (PARTITION BY ref ORDER BY model DESC, provider) AS k FROM s JOIN n ON contains(f, lower(ref))), g AS (SELECT '*-' || CAST(t AS VARCHAR) || '?' AS ref, provider, model FROM n WHERE t > 0), w AS (SELECT '[a-z]* widget-' || CAST(t AS VARCHAR) || '7' AS ref, t FROM n GROUP BY ALL), x AS (SELECT w.ref, provider, model FROM w JOIN n ON regexp_matches(lower(model), '^[a-z].* widget-' || CAST(w.t AS VARCHAR) || '7$') OR regexp_matches(f, '^[a-z].* widget-' || CAST(w.t AS VARCHAR) || '7$')) "
-    "SELECT provider || '/' || model || ':high' AS ref, 'high' AS level, provider, model, 'exact' AS how FROM n UNION ALL SELECT model, NULL, provider, model, 'exact' FROM n UNION ALL SELECT ref, NULL, provider, model, 'contains' FROM c WHERE k = 1 UNION ALL SELECT ref, NULL, provider, model, 'glob' FROM g UNION ALL SELECT DISTINCT '*-0?', NULL, NULL, NULL, 'none' FROM n WHERE t = 0 UNION ALL SELECT 'nothing-' || CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, 'none' FROM n "
-    "UNION ALL SELECT ref, NULL, provider, model, 'glob' FROM x UNION ALL SELECT ref, NULL, NULL, NULL, 'none' FROM w WHERE ref NOT IN (SELECT ref FROM x)",
-)(lambda k: K.resolve_model_refs(refs_of(k), k))
+    sql="k AS (SELECT provider, model FROM catalog UNION SELECT 'Brand#99', model FROM catalog WHERE p_partkey % 3 = 0 UNION SELECT provider, model || '-20250101' FROM catalog WHERE p_partkey % 5 = 0), "
+    "n AS (SELECT *, lower(model) AS id, lower(provider || '/' || model) AS f, NOT regexp_matches(model, '-[0-9]{8}$') AS undated FROM k), "
+    "r AS (SELECT DISTINCT unnest([p || '/' || m || ':high', upper(p || '/' || m), ' ' || p || ' / ' || m || ' ', p || '/' || m || ':odd:low', m || ':low:odd', m || ':low:high', m, substr(m, 3, 5), substr(m, 2, 1), substr(m, 1, 3), '', p, lower(p), '*-' || t || '?', 'nothing-' || p_partkey, '[a-z]*-' || t || '7:max', p || '/*9']) AS ref FROM (SELECT provider AS p, model AS m, p_partkey // 10 AS t, p_partkey FROM catalog)), "
+    "g AS (SELECT ref, CASE WHEN ref LIKE '%:max' THEN 'max' END AS level, lower(regexp_replace(ref, ':max$', '')) AS p FROM r WHERE regexp_matches(ref, '[*?]')), "
+    "gm AS (SELECT ref, level, provider, model FROM g JOIN n ON f GLOB p OR id GLOB p), "
+    "a AS (SELECT ref, i, array_to_string(s[1:len(s) - i], ':') AS t, s[len(s) - i + 1:] AS taken, s[-1] AS last FROM (SELECT ref, string_split(ref, ':') AS s, unnest(range(len(string_split(ref, ':')))) AS i FROM r WHERE NOT regexp_matches(ref, '[*?]'))), "
+    "b AS (SELECT *, trim(lower(t)) AS w, trim(split_part(trim(lower(t)), '/', 1)) || '/' || trim(substr(trim(lower(t)), strpos(trim(lower(t)), '/') + 1)) AS w2, len(list_filter(taken, lambda x: x NOT IN ('off', 'minimal', 'low', 'medium', 'high', 'xhigh', 'max'))) > 0 AS odd FROM a), "
+    "nf AS (SELECT f, count(*) AS c, any_value(provider) AS p, any_value(model) AS m FROM n GROUP BY f), ni AS (SELECT id, count(*) AS c, any_value(provider) AS p, any_value(model) AS m FROM n GROUP BY id), "
+    "x AS (SELECT ref, i, CASE WHEN u.c IS NOT NULL THEN CASE WHEN u.c = 1 THEN u.p END WHEN v.c IS NOT NULL THEN CASE WHEN v.c = 1 THEN v.p END WHEN q.c = 1 THEN q.p END AS provider, CASE WHEN u.c IS NOT NULL THEN u.m WHEN v.c IS NOT NULL THEN v.m ELSE q.m END AS model FROM b LEFT JOIN nf u ON u.f = w LEFT JOIN nf v ON v.f = w2 AND strpos(w, '/') > 0 LEFT JOIN ni q ON q.id = w), "
+    "todo AS (SELECT DISTINCT lower(t) AS t FROM b JOIN x USING (ref, i) WHERE x.provider IS NULL), "
+    "c AS (SELECT t, provider, model, row_number() OVER (PARTITION BY t ORDER BY undated DESC, model DESC, provider) AS k FROM todo JOIN n ON contains(id, t)), "
+    "h AS (SELECT ref, i, provider, model, 'exact' AS how FROM x WHERE provider IS NOT NULL UNION ALL SELECT ref, i, c.provider, c.model, 'contains' FROM b JOIN x USING (ref, i) JOIN c ON c.t = lower(b.t) AND c.k = 1 WHERE x.provider IS NULL), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY i) AS k FROM h JOIN b USING (ref, i)) "
+    "SELECT ref, CASE WHEN i > 0 AND NOT odd THEN last END AS level, provider, model, how, odd AS unknown_level FROM o WHERE k = 1 UNION ALL SELECT ref, level, provider, model, 'glob', false FROM gm "
+    "UNION ALL SELECT ref, CASE WHEN ref LIKE '%:max' THEN 'max' END, NULL, NULL, 'none', false FROM r WHERE ref NOT IN (SELECT ref FROM gm) AND ref NOT IN (SELECT ref FROM o)",
+)(lambda k: K.resolve_model_refs(refs_of(k), shared_catalog(k)))
 query("e22_validate_catalog", "catalog", sql="m AS (SELECT * FROM catalog WHERE p_partkey % 3 != 0 AND provider != 'Brand#11'), pr AS (SELECT DISTINCT provider FROM catalog WHERE provider != 'Brand#12') SELECT 'provider_without_models' AS rule, provider, '' AS detail FROM pr WHERE provider NOT IN (SELECT provider FROM m) UNION ALL SELECT DISTINCT 'unlisted_provider', provider, '' FROM m WHERE provider NOT IN (SELECT provider FROM pr) UNION ALL SELECT 'too_few_models', NULL, CAST(count(*) AS VARCHAR) FROM m HAVING count(*) < 1000000")(
     lambda k: K.validate_catalog(k.filter("p_partkey % 3 != 0 AND provider != 'Brand#11'"), k.filter("provider != 'Brand#12'").select("provider").distinct(), least=1_000_000)
 )
