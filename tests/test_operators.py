@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as S
+from tracelake.functions import scans
 from tracelake.operators import catalog as K
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
@@ -500,3 +501,43 @@ def test_resolve_model_refs(spark):
     ids = sorted({m for _, m in names})
     found = {r["ref"]: r["model"] for r in K.resolve_model_refs(spark.createDataFrame([(t,) for t in texts], "ref string"), spark.createDataFrame(names, "provider string, model string")).collect()}
     assert found == {t: t if t in ids else max((m for m in ids if t in m), default=None) for t in texts}
+
+
+def test_scans_over_chunks(spark, monkeypatch):
+    """Sessions of many chunks give what one chunk gives: running values, and the operators on them; no window holds a session."""
+    rng = random.Random(21)
+    rows = []
+    for s, n in ((1, 400), (2, 3), (3, 1), (None, 40), (4, 90)):
+        for q in sorted(rng.sample(range(n * 3), n)):
+            kind = rng.choices(["message", "compaction", "branch_summary", "label"], [20, 1, 1, 3])[0]
+            role = rng.choice(["user", "assistant", "toolResult", None]) if kind == "message" else None
+            rows.append((s, q, kind, role, rng.choice([0, 5, 90, 400]), rng.random() < 0.8, rng.choice(["p", "q", None]), "m", rng.randrange(3) * 900, rng.randrange(3) * 1500, rng.choice([0, 0, 700]), q * 60, rng.random() < 0.5, 10))
+    names = "session_id int, seq long, type string, role string, tokens long, is_message boolean, provider string, model string, input long, cache_read long, cache_write long, ts long, bad boolean, output long"
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), names)
+    usage = df.withColumn("ts", F.timestamp_seconds("ts"))
+    made = {
+        "scan": lambda: scans.scanned(df, a=scans.Scan("sum", F.col("tokens")), b=scans.Scan("last", F.col("provider"), inclusive=False), c=scans.Scan("last", F.col("role"), reverse=True), d=scans.Scan("max", F.col("tokens"), reverse=True, inclusive=False), e=scans.Scan("min", F.when(F.col("tokens") > 0, F.col("seq")))),
+        "cut": lambda: C.find_cut_point(df, 3000),
+        "cut_early": lambda: C.find_cut_point(df, 10**9),
+        "misses": lambda: C.cache_misses(usage, noise=100).select("session_id", "seq", "missed", "idle_s", "model_changed", "segment"),
+        "pressure": lambda: C.context_pressure_sessions(usage),
+        "budget": lambda: C.select_branch_budget(df, 2500).select("session_id", "seq"),
+        "retries": lambda: C.retry_episodes(df, F.col("bad")),
+        "model": lambda: U.model_in_effect(df),
+    }
+    got = {}
+    for size in (10**9, 7, 1):
+        monkeypatch.setattr(scans, "CHUNK", size)
+        for name, make in made.items():
+            got.setdefault(name, []).append(sorted(str(r) for r in make().collect()))
+    assert all(a == b == c and a for a, b, c in got.values())
+    whole = {}
+    for s, q, *rest in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        whole.setdefault(s, []).append((q, *rest))
+    want = []
+    for s, own in whole.items():
+        for k, (q, _, _, _, _, provider, *_) in enumerate(own):
+            later = [x[3] for x in own[k + 1 :]]
+            want.append((s, q, sum(x[3] for x in own[: k + 1]), next((x[5] for x in own[:k][::-1] if x[5]), None), next((x[2] for x in own[k:] if x[2]), None), max(later, default=None), next((x[0] for x in own[: k + 1] if x[3] > 0), None)))
+    found = [(r["session_id"], r["seq"], r["a"], r["b"], r["c"], r["d"], r["e"]) for r in made["scan"]().collect()]
+    assert sorted(map(str, found)) == sorted(map(str, want))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-from pyspark.sql.window import WindowSpec
 
 from tracelake.functions.scalars import IMAGE_CHARS, estimate, truncate_result, utf16_length
+from tracelake.functions.scans import Scan, scanned
 from tracelake.operators.tools import extract_file_ops, file_lists
 from tracelake.operators.usage import context_tokens, is_context_overflow
 
@@ -24,26 +23,6 @@ SUMMARY_MARKS = {
 }
 
 
-def by_session() -> WindowSpec:
-    return W.partitionBy("session_id")
-
-
-def in_order() -> WindowSpec:
-    return by_session().orderBy("seq")
-
-
-def before_row() -> WindowSpec:
-    return in_order().rowsBetween(W.unboundedPreceding, -1)
-
-
-def up_to_row() -> WindowSpec:
-    return in_order().rowsBetween(W.unboundedPreceding, 0)
-
-
-def from_row() -> WindowSpec:
-    return in_order().rowsBetween(0, W.unboundedFollowing)
-
-
 def entries_to_context(entries: DataFrame) -> DataFrame:
     """Entries that stand for a message, with the message's role; the other kinds give none."""
     summary = F.trim(F.coalesce(F.col("summary"), F.lit(""))) != ""
@@ -177,17 +156,27 @@ def cut_point(role: Column) -> Column:
     return F.coalesce(role.isin(*CUT_ROLES), F.lit(False))
 
 
-def segments(df: DataFrame) -> Column:
-    """Running number of compactions and branch summaries: cached context doesn't reach across."""
-    return F.count_if(F.col("type").isin("compaction", "branch_summary")).over(up_to_row())
+def requests_in_order(usage: DataFrame) -> DataFrame:
+    """Requests with prompt tokens, with ``segment`` (running number of compactions and branch summaries: cached context doesn't reach
+    across), the prompt, model and time of the request before in it, and ``reported``: one before it in its segment used the cache."""
+    prompt = F.col("input") + F.col("cache_read") + F.col("cache_write")
+    bound, asked = F.col("type").isin("compaction", "branch_summary"), (F.col("type") == "message") & (F.col("prompt") > 0)
+    before = F.struct(bound.alias("bound"), "prompt", F.struct("provider", "model").alias("model"), "ts")
+    rows = scanned(
+        usage.withColumn("prompt", prompt),
+        segment=Scan("sum", bound.cast("long")),
+        before=Scan("last", F.when(bound | asked, before), inclusive=False),
+        bound_seq=Scan("max", F.when(bound, F.col("seq"))),
+        cached_seq=Scan("max", F.when(asked & (F.col("cache_read") + F.col("cache_write") > 0), F.col("seq")), inclusive=False),
+    ).filter(asked)
+    prev = F.when(~F.col("before.bound"), F.col("before"))
+    out = rows.withColumn("before", prev).withColumns({"prev_prompt": F.col("before.prompt"), "prev_model": F.col("before.model"), "prev_ts": F.col("before.ts")})
+    return out.withColumn("reported", F.coalesce(F.col("cached_seq") > F.coalesce("bound_seq", F.lit(-(2**62))), F.lit(False))).drop("before", "bound_seq", "cached_seq")
 
 
 def previous_request(usage: DataFrame) -> DataFrame:
     """Each request with prompt tokens, with the prompt, model and time of the one before it in its segment."""
-    prompt = F.col("input") + F.col("cache_read") + F.col("cache_write")
-    rows = usage.withColumn("segment", segments(usage)).withColumn("prompt", prompt).filter("type = 'message' AND prompt > 0")
-    w = W.partitionBy("session_id", "segment").orderBy("seq")
-    return rows.withColumns({"prev_prompt": F.lag("prompt").over(w), "prev_model": F.lag(F.struct("provider", "model")).over(w), "prev_ts": F.lag("ts").over(w)})
+    return requests_in_order(usage).drop("reported")
 
 
 def cache_misses(usage: DataFrame, rates: DataFrame | None = None, noise: int = CACHE_NOISE_TOKENS) -> DataFrame:
@@ -196,10 +185,8 @@ def cache_misses(usage: DataFrame, rates: DataFrame | None = None, noise: int =
     A row counts if more than ``noise`` tokens were missed. Costs of parts: cost_input, cost_cache_write, cost_cache_read in
     micro-dollars; ``rates``: provider, model, cache_read_rate (micro-dollars a token) for rows that read nothing.
     """
-    rows = previous_request(usage)
-    w = W.partitionBy("session_id", "segment").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = requests_in_order(usage)
     cached = F.col("cache_read") + F.col("cache_write")
-    rows = rows.withColumn("reported", F.coalesce(F.max((cached > 0).cast("int")).over(w) > 0, F.lit(False)))
     missed = F.least("prev_prompt", "prompt") - F.col("cache_read")
     out = rows.filter(F.col("prev_prompt").isNotNull() & ((cached > 0) | F.col("reported"))).withColumn("missed", missed).filter(F.col("missed") > noise)
     out = out.withColumn("model_changed", F.col("prev_model") != F.struct("provider", "model")).withColumn("idle_s", F.greatest(F.lit(0).cast("double"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("prev_ts").cast("timestamp")) / 1e6))
@@ -230,18 +217,22 @@ def find_cut_point(entries: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) ->
     plain = F.col("type") != "compaction" if "type" in entries.columns else F.lit(True)
     allowed, starts = cut_point(F.col("role")) & plain, turn_start(F.col("role")) & plain
     rows = entries.select("session_id", "seq", "role", "tokens", allowed.alias("ok"), starts.alias("starts"), (F.col("is_message") if "is_message" in entries.columns else F.lit(True)).alias("shown"))
-    # every step is a window over the session: one shuffle in all
-    whole, seq = by_session(), F.col("seq")
-    rows = rows.withColumn("suffix", F.sum("tokens").over(from_row()))
-    rows = rows.withColumns({"at": F.max(F.when((F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens), seq)).over(whole), "first_ok": F.min(F.when(F.col("ok"), seq)).over(whole), "first": F.min("seq").over(whole)})
-    rows = rows.withColumn("cut0", F.coalesce(F.min(F.when(F.col("ok") & (seq >= F.col("at")), seq)).over(whole), "first_ok", "first"))
-    rows = rows.withColumn("stop", F.max(F.when((seq < F.col("cut0")) & F.col("shown"), seq)).over(whole))
-    back = F.min(F.when(seq > F.coalesce("stop", F.lit(-(2**62))), seq)).over(whole)
-    rows = rows.withColumn("cut", F.when(F.col("first_ok").isNotNull(), back).otherwise(F.col("cut0")))
-    at_cut = F.coalesce(F.max(F.when(seq == F.col("cut"), F.col("starts"))), F.lit(False))
-    out = rows.groupBy("session_id").agg(F.first("cut").alias("cut"), F.first(F.col("first_ok").isNotNull()).alias("can"), at_cut.alias("at"), F.max(F.when(F.col("starts") & (seq <= F.col("cut")), seq)).alias("turn"))
-    turn = F.when(F.col("at") | ~F.col("can"), F.lit(-1)).otherwise(F.coalesce("turn", F.lit(-1))).cast("long")
-    return out.select("session_id", "cut", turn.alias("turn_start"), (turn >= 0).alias("split"))
+    seq = F.col("seq")
+    rows = scanned(
+        rows,
+        suffix=Scan("sum", F.col("tokens"), reverse=True),
+        prev=Scan("last", F.struct("seq", "shown"), inclusive=False),
+        turn=Scan("max", F.when(F.col("starts"), seq)),
+    )
+    # where the metadata rows in front of a row begin: after the last shown row before it
+    place = F.struct("seq", "starts", "turn")
+    rows = scanned(rows, back=Scan("last", F.when(F.col("prev").isNull() | F.col("prev.shown"), place)))
+    rows = scanned(rows, next=Scan("last", F.when(F.col("ok"), F.col("back")), reverse=True))
+    enough = (F.col("tokens") > 0) & (F.col("suffix") >= keep_tokens)
+    found = rows.groupBy("session_id").agg(F.max_by("next", F.when(enough, seq)).alias("at"), F.min_by("back", F.when(F.col("ok"), seq)).alias("ok"), F.min("seq").alias("first"))
+    cut = F.coalesce("at", "ok")
+    turn = F.when(cut.isNull() | cut["starts"], F.lit(-1)).otherwise(F.coalesce(cut["turn"], F.lit(-1))).cast("long")
+    return found.select("session_id", F.coalesce(cut["seq"], "first").alias("cut"), turn.alias("turn_start"), (turn >= 0).alias("split"))
 
 
 def prepare_compaction(path: DataFrame, keep_tokens: int = KEEP_RECENT_TOKENS) -> DataFrame:
@@ -278,7 +269,7 @@ def context_usage(messages: DataFrame, prefix_aware: bool = False, prefix_tokens
     ok = (F.col("role") == "assistant") & (F.coalesce("usage_tokens", F.lit(0)) > 0) & ~F.coalesce(F.col("stop_reason").isin("error", "aborted"), F.lit(False))
     rows = messages
     if prefix_aware:
-        rows = rows.withColumn("_newest", F.max("ts").over(before_row()))
+        rows = scanned(rows, _newest=Scan("max", F.col("ts"), inclusive=False))
         ok = ok & (F.col("_newest").isNull() | (F.col("ts") >= F.col("_newest")))
     rows = rows.withColumn("_ok", ok)
     last = rows.groupBy("session_id").agg(F.max(F.when(F.col("_ok"), F.col("seq"))).alias("usage_seq"), F.max_by("usage_tokens", F.when(F.col("_ok"), F.col("seq"))).alias("usage_tokens"))
@@ -297,11 +288,10 @@ def select_branch_budget(entries: DataFrame, budget: int) -> DataFrame:
     rows = entries.filter("role IS NULL OR role != 'toolResult'")
     if budget == 0:
         return rows
-    newest = by_session().orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum("tokens").over(newest))
-    rows = rows.withColumn("_over", F.count_if(F.col("_sum") > budget).over(newest))
-    summary = F.col("type").isin("compaction", "branch_summary") & (F.col("_sum") - F.col("tokens") < 0.9 * budget)
-    return rows.filter((F.col("_over") == 0) | ((F.col("_over") == 1) & summary)).drop("_sum", "_over")
+    rows = scanned(rows, _sum=Scan("sum", F.col("tokens"), reverse=True))
+    newer = F.col("_sum") - F.col("tokens")  # sums only grow towards older rows, so the first over the budget has all newer ones within
+    summary = F.col("type").isin("compaction", "branch_summary") & (newer < 0.9 * budget)
+    return rows.filter((F.col("_sum") <= budget) | ((newer <= budget) & summary)).drop("_sum")
 
 
 def auto_compaction_decision(messages: DataFrame, reserve: int = RESERVE_TOKENS) -> DataFrame:
@@ -321,7 +311,7 @@ def auto_compaction_decision(messages: DataFrame, reserve: int = RESERVE_TOKENS)
 def retry_episodes(messages: DataFrame, retryable: Column, base_s: float = 2.0, cap: int = 3) -> DataFrame:
     """Runs of consecutive retryable errors: first row, attempts, and the seconds that doubling waits take (at most ``cap`` retries)."""
     rows = messages.withColumn("_bad", retryable)
-    rows = rows.withColumn("_run", F.count_if(~F.col("_bad")).over(up_to_row())).filter("_bad")
+    rows = scanned(rows, _run=Scan("sum", (~F.col("_bad")).cast("long"))).filter("_bad")
     out = rows.groupBy("session_id", "_run").agg(F.min("seq").alias("first_seq"), F.count("*").alias("attempts"))
     return out.select("session_id", "first_seq", "attempts", (base_s * (F.pow(F.lit(2.0), F.least("attempts", F.lit(cap))) - 1)).alias("backoff_s"))
 
@@ -332,11 +322,12 @@ def context_pressure_sessions(usage: DataFrame, catalog: DataFrame | None = None
     ``compaction_tokens`` is a compaction's own size if there is such a column, else its prompt. ``catalog``: provider, model, context_window.
     """
     prompt = F.col("input") + F.col("cache_read") + F.col("cache_write")
-    rows = usage.withColumn("_prompt", prompt).withColumn("_first", F.min(F.when(F.col("type") == "compaction", F.col("seq"))).over(by_session()))
-    before = (F.col("type") == "message") & (F.col("_first").isNull() | (F.col("seq") < F.col("_first"))) & (F.col("_prompt") > 0)
+    compaction = F.when(F.col("type") == "compaction", F.col("seq"))
+    rows = scanned(usage.withColumn("_prompt", prompt), _first=Scan("min", compaction))
+    before = (F.col("type") == "message") & F.col("_first").isNull() & (F.col("_prompt") > 0)
     out = rows.groupBy("session_id").agg(
         F.max("_prompt").alias("max_tokens"),
-        F.coalesce(F.max_by("_prompt", F.when(before, F.col("seq"))), F.max_by("_prompt", F.when(F.col("seq") == F.col("_first"), F.col("seq")))).alias("tokens_before"),
+        F.coalesce(F.max_by("_prompt", F.when(before, F.col("seq"))), F.min_by("_prompt", compaction)).alias("tokens_before"),
         F.max_by(F.struct("provider", "model"), F.when(F.col("type") == "message", F.col("seq"))).alias("_m"),
         F.min("ts").alias("start"),
         (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("_us"),

@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tracelake.functions.scalars import provider_model
+from tracelake.functions.scans import Scan, scanned
 
 TOKENS = ("input", "output", "cache_read", "cache_write")
 
@@ -218,8 +218,8 @@ def last_assistant_text(messages: DataFrame) -> DataFrame:
 
 def model_in_effect(entries: DataFrame, columns: Sequence[str] = ("provider", "model")) -> DataFrame:
     """At each row, the latest values set at or before it (null: not set there)."""
-    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return entries.select("session_id", "seq", *(F.last(c, ignorenulls=True).over(w).alias(f"{c}_in_effect") for c in columns))
+    rows = entries.select("session_id", "seq", *columns)
+    return scanned(rows, **{f"{c}_in_effect": Scan("last", F.col(c)) for c in columns}).select("session_id", "seq", *(f"{c}_in_effect" for c in columns))
 
 
 def model_level_configs(entries: DataFrame, columns: Sequence[str] = ("provider", "model")) -> DataFrame:
