@@ -365,6 +365,37 @@ def test_tool_calls_odd_json(spark):
     assert all(isinstance(json.loads(r["record"]), dict) for r in got.values())
 
 
+def test_tool_schemas():
+    """Keywords of JSON Schema: values that fit, and values that don't."""
+    tree = {"$defs": {"node": {"type": "object", "properties": {"kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}}, "required": ["kids"]}}, "$ref": "#/$defs/node"}
+    cases = [
+        ({"type": ["string", "null"]}, ["a", None], [1, True, []]), ({"type": "null"}, [None], [0, "", False]), ({"type": "integer"}, [1, 1.0, -3], [1.5, True, "1"]), ({"type": "number"}, [1, 1.5], [True, "1"]), ({"enum": [1, "a", None, [1]]}, [1, 1.0, "a", None, [1.0]], [True, "1", [True], []]),
+        ({"const": {"a": [1, False]}}, [{"a": [1.0, False]}], [{"a": [1, 0]}, {}]), ({"pattern": "^a+$"}, ["aa", 3], ["b", ""]), ({"pattern": "("}, [1], ["x"]), ({"maxLength": 2, "minLength": 1}, ["é", "😀😀", 5], ["", "abc"]), ({"exclusiveMinimum": 0, "maximum": 2, "multipleOf": 0.5}, [0.5, 2, "x"], [0, 2.5, 0.3]),
+        ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, [[1], [1, True], [1, 2], {}], [[], [1, 1.0], [1, 2, 3]]), ({"items": {"type": "string"}, "prefixItems": [{"type": "integer"}]}, [[1, "a", "b"], [], [2]], [["a"], [1, 2]]), ({"items": [{"type": "integer"}]}, [[1, "x"]], [["x"]]), ({"contains": {"const": 1}}, [[0, 1], {}], [[], [2]]),
+        ({"properties": {"a": {"type": "integer"}}, "required": ["a"], "additionalProperties": False}, [{"a": 1}], [{}, {"a": "x"}, {"a": 1, "b": 2}]), ({"additionalProperties": {"type": "integer"}, "patternProperties": {"^s": {"type": "string"}}}, [{"x": 1, "s1": "a"}], [{"x": "a"}, {"s": 1}]),
+        ({"propertyNames": {"maxLength": 2}, "minProperties": 1, "maxProperties": 2}, [{"ab": 1}], [{"abc": 1}, {}, {"a": 1, "b": 2, "c": 3}]), ({"dependentRequired": {"a": ["b"]}}, [{}, {"b": 1}, {"a": 1, "b": 1}], [{"a": 1}]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["a", 7, None], [3]), ({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, [1, 2.5], [3, 0.5]), ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1, 2], [0, 3]), ({"not": {"type": "string"}}, [1], ["a"]), ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"minimum": 0}}, ["ab", 1], ["a", -1]),
+        (tree, [{"kids": [{"kids": []}]}], [{"kids": [{}]}, {"kids": [{"kids": [1]}]}]), ({"$ref": "#/none"}, [], [1]), ({"$ref": "other.json"}, [], [1]), ({"$ref": "#"}, [], [1]), (True, [1], []), (False, [], [1]), ({"title": "t", "description": "d", "format": "uri"}, [1], []), ({"minimun": 3}, [], [1]), ({"type": "text"}, [], ["a"]),
+        ({"required": 5}, [], [1, {}]), ({"enum": 5}, [], [1]), ([], [], [1]), (None, [], [1]), ({"multipleOf": 0}, [], [1]),
+    ]
+    for schema, good, bad in cases:
+        assert all(tool_calls.checked(v, schema) == [] for v in good), (schema, [tool_calls.checked(v, schema) for v in good])
+        assert all(tool_calls.checked(v, schema) for v in bad), (schema, bad)
+
+
+def test_tool_calls_repeated_very_often(spark):
+    """An identifier on very many rows: one counts, each other one is a row; and no window over identifiers."""
+    n = 3000
+    calls = spark.createDataFrame([(1, "c", k % 7, "ask", json.dumps({"text": "x", "turn": k % 11}), None, "q") for k in range(n)] + [(1, "d", 1, "ask", "{}", "c", "q")], "conv_id long, call_id string, seq long, name string, arguments string, parent_id string, status string")
+    results = spark.createDataFrame([(1, "c", 1 + k % 3, f"r{k % 5}", 0) for k in range(n)], "conv_id long, call_id string, seq long, content string, level int")
+    got = tool_calls.link(calls, results, tool_calls.TURN_SCHEMAS)
+    rows = got.collect()
+    assert Counter(r["status"] for r in rows) == {"linked": 1, "pending": 1, "duplicate": 2 * n - 2}
+    first = next(r for r in rows if r["status"] == "linked")
+    assert first["seq"] == 0 and json.loads(first["record"])["arguments"] == {"text": "x", "turn": 0} and json.loads(first["record"])["result"] == "r0"
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tool_calls_with_several_parents(spark):
     rng = random.Random(5)
     waits = {(c, k): [f"c{j}" for j in {rng.randrange(k) for _ in range(rng.randrange(4))}] if k else [] for c in range(4) for k in range(60)}
@@ -554,6 +585,15 @@ def test_induced_sort():
         assert got == sorted(range(len(text)), key=lambda k: text[k:])
 
 
+def test_warc_ids_of_any_characters(spark):
+    ids = ["a\r\nWARC-Type: revisit", "x\ty", "é😀", " ", "<>%+&", "", None, "a b", "line\nfeed", "0"]
+    rows = [(i, f"page {k % 5}") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame([(i, "u", h, "w", 1) for i, h in rows], "page_id string, url string, html string, refers_to string, size int")
+    got = {(r["page_id"], bytes(r["payload"]).decode() if r["payload"] is not None else None, r["refers_to"]) for r in warc.read_records(warc.archive(pages)[0]).collect()}
+    first = {h: min(i for i, x in rows if x == h and i is not None) for _, h in rows}
+    assert got == {(i, h if i is None or i == first[h] else None, None if i is None or i == first[h] else first[h]) for i, h in rows}
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "http://a", "x"), (1, None, "x"), (2, "http://b c", None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "y" * 3_000_000), (7, "u", "é\r\n\r\nWARC/1.1\r\n"), (7, "u", "é\r\n\r\nWARC/1.1\r\n"), (8, "u", " ")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, sha1 string").repartition(3)

@@ -133,10 +133,11 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(table: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> dict:
-    """Fits on some ``max_rows`` labelled rows of the training folds at most: those whose id hash lies in that share of all hashes."""
+    """Fits on some ``max_rows`` labelled rows of the training folds at most: those whose id hash lies in that share of all hashes; one row an id."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    rows = table.join(marks, "doc_id")
+    # one row an id, so that an id on very many rows is one row of the sample too
+    rows = table.join(marks, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("f"), F.first("_y").alias("_y")).select("doc_id", "f.*", "_y")
     n = rows.count()
     if n > max_rows:  # a share of the hash space, so that no task sends more than its share
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))

@@ -6,8 +6,10 @@ beside it. Files are read and written through the file system that the folder's
 grow with a file. A task writes its output under a name of its own and renames it, so a repeated task does no harm.
 
 Defined cases: a null html is an empty payload. Of records with equal payloads, those of ``least_bytes`` bytes or more refer to
-the one with the smallest page_id; rows of that same id are responses too. Repeated rows are written one by one. A null url is
-left out of the record; white space and control characters in it are percent-encoded.
+the one with the smallest page_id; rows of that same id are responses too, and so are rows without an id, which come back
+without one. Ids hold any characters: they are percent-encoded in headers and index, and decoded when read. Repeated rows are written one by one. A null url
+is left out of the record; white space and control characters in it are percent-encoded. Payloads of any length are streamed. An empty table gives an
+empty archive and no rows. Further columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table, written
@@ -39,6 +42,16 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return p.join(refers, ["page_id", "sha1"], "left")
 
 
+def identifier(page_id: str) -> Column:
+    """An id as a header may hold it: all but plain letters and digits percent-encoded, so line breaks too."""
+    return F.url_encode(F.col(page_id).cast("string"))
+
+
+def page_of(urn: str | None) -> str | None:
+    """The id that ``identifier`` encoded, out of ``<urn:page:...>``."""
+    return None if urn is None else unquote_plus(urn[10:-1])
+
+
 def records(typed: DataFrame) -> DataFrame:
     """One string a record, without its last line feed, which the writer adds."""
     end = "\r\n"
@@ -51,8 +64,8 @@ def records(typed: DataFrame) -> DataFrame:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(is_response, "response").otherwise("revisit")),
         F.concat(F.lit("WARC-Target-URI: "), url),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id"), F.lit(">")),
-        F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), identifier("page_id"), F.lit(">")),
+        F.concat(F.lit("WARC-Refers-To: <urn:page:"), identifier("refers_to"), F.lit(">")),
         F.when(~is_response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.concat(F.lit("X-Payload-Length: "), F.col("size")),
@@ -171,7 +184,7 @@ def read_records(index: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
                 payload = body[body.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
                 digest = hashlib.sha1(payload).digest() if payload is not None else bytes.fromhex(head["warc-payload-digest"][5:])
                 refers = head.get("warc-refers-to")
-                rows.append((head["warc-record-id"][10:-1] if "warc-record-id" in head else None, len(payload) if payload is not None else int(head["x-payload-length"]), base64.b32encode(digest).decode(), head["warc-type"], refers[10:-1] if refers else None, head.get("warc-target-uri"), payload))
+                rows.append((page_of(head.get("warc-record-id")), len(payload) if payload is not None else int(head["x-payload-length"]), base64.b32encode(digest).decode(), head["warc-type"], page_of(refers), head.get("warc-target-uri"), payload))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
