@@ -541,3 +541,49 @@ def test_scans_over_chunks(spark, monkeypatch):
             want.append((s, q, sum(x[3] for x in own[: k + 1]), next((x[5] for x in own[:k][::-1] if x[5]), None), next((x[2] for x in own[k:] if x[2]), None), max(later, default=None), next((x[0] for x in own[: k + 1] if x[3] > 0), None)))
     found = [(r["session_id"], r["seq"], r["a"], r["b"], r["c"], r["d"], r["e"]) for r in made["scan"]().collect()]
     assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_session_listing(spark):
+    """Position in the tree walked from the top, of forests with many roots, deep chains, ties, missing parents and cycles."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, k, 999, *range(max(k - 6, 0), k)]), rng.randrange(12)) for k in range(120)] + [(200, 201, 5), (201, 200, 1), (202, 201, 3)]
+    rows += [(300 + k, 299 + k if k else None, 0) for k in range(40)]
+    got = {r["session_id"]: r for r in R.session_lineage(spark.createDataFrame(rng.sample(rows, len(rows)), "session_id long, parent_id long, ts long")).collect()}
+    ids, kids = {r[0]: r for r in rows}, {}
+    for k, up, _ in rows:
+        kids.setdefault(up if up in ids and up != k else None, []).append(k)
+
+    def under(k):
+        return [k, *(x for c in kids.get(k, []) for x in under(c))]
+
+    latest = {k: max(ids[x][2] for x in under(k)) for k in ids if k not in (200, 201, 202)}
+    order, last = [], set()
+
+    def walk(up, depth):
+        own = sorted(kids.get(up, []), key=lambda k: (-latest[k], k))
+        last.update(own[-1:])
+        for k in own:
+            order.append((k, depth))
+            walk(k, depth + 1)
+
+    walk(None, 0)
+    assert [(k, got[k]["depth"]) for k in sorted((k for k in got if got[k]["position"] is not None), key=lambda k: got[k]["position"])] == order
+    assert [got[k]["position"] for k, _ in order] == list(range(len(order))) and {k for k, _ in order if got[k]["is_last"]} == last
+    assert all(got[k]["latest"] == latest[k] and got[k]["size"] == len(under(k)) for k, _ in order)
+    assert all(got[k]["position"] is None for k in (200, 201, 202))
+
+
+def test_projectors(spark):
+    """All types in one pass: functions and columns, several messages of an entry, types that nobody registered, null data."""
+    p = hooks.Projectors()
+    p.register("a", lambda d: [("user", d), ("assistant", d * 2)])
+    p.register("b", lambda d: [])
+    p.register_column("c", F.array(F.struct(F.lit("custom").alias("role"), F.concat("data", F.lit("!")).alias("text"))))
+    rows = [(1, 1, "custom", "a", "x"), (1, 2, "custom", "b", "y"), (1, 3, "custom", "c", "z"), (1, 4, "custom", "d", "w"), (1, 5, "message", "a", "v"), (2, 1, "custom", "a", None), (2, 2, "custom", None, "u"), (2, 3, "custom", "c", None)]
+    entries = spark.createDataFrame(rows, "session_id int, seq int, type string, custom_type string, data string")
+    made = p.project(entries)
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, 1, 0, "user", "x"), (1, 1, 1, "assistant", "xx"), (1, 3, 0, "custom", "z!"), (2, 3, 0, "custom", None)]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    p.register_column("a", F.array(F.struct(F.lit("user").alias("role"), F.col("data").alias("text"))))
+    p.register_column("b", F.lit(None).cast("array<struct<role:string,text:string>>"))
+    assert len(p.project(entries).collect()) == 4 and hooks.Projectors().project(entries).count() == 0

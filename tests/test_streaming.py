@@ -129,3 +129,55 @@ def test_tail(spark, tmp_path):
         f.write("3}\n")
     (top / "b.jsonl").write_text("x\n")
     assert sorted(step()) == ["x", '{"a":3}']
+
+
+def test_state_table_commits(spark, tmp_path, monkeypatch):
+    """A failure at any step, and a reader at any time, leave all of a batch or nothing of it; a repeated batch does no harm."""
+    path, source = str(tmp_path / "table"), tmp_path / "in"
+    schema = "session_id long, last_seq long, x string"
+
+    def lot(n, ids):
+        spark.createDataFrame([(i, n, f"{n}-{i}") for i in ids], schema).coalesce(1).write.parquet(str(source / f"lot{n}"))
+
+    def start():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
+        live.upsert_session_state(stream, path, str(tmp_path / "cp"), buckets=5).awaitTermination()
+
+    def rows():
+        return {r["session_id"]: r["x"] for r in live.session_state_table(spark, path).collect()}
+
+    with pytest.raises(ValueError):
+        live.session_state_table(spark, path)
+    state, steps = {}, []
+    lot(0, range(30))
+    start()
+    state |= {i: f"0-{i}" for i in range(30)}
+    assert rows() == state
+    for n, step in enumerate(("written", "commit", "clean", "after_commit"), 1):
+        before, held = dict(state), live.session_state_table(spark, path)
+        ids = range(n, 30 + n, 3)
+        lot(n, ids)
+        with monkeypatch.context() as m:
+            def fail(*a, **k):
+                steps.append(step)
+                raise OSError("lost")
+
+            if step == "written":
+                m.setattr(live, "written", fail)
+            elif step == "after_commit":
+                real = live.StateTable.commit
+                m.setattr(live.StateTable, "commit", lambda self, *a, real=real: (real(self, *a), fail()))
+            else:
+                m.setattr(live.StateTable, step, fail)
+            with pytest.raises(Exception, match="lost"):
+                start()
+        after = before | {i: f"{n}-{i}" for i in ids}
+        assert rows() == (after if step in ("clean", "after_commit") else before)
+        start()  # the batch runs again, or only its cleaning does
+        assert rows() == after and {r["session_id"]: r["x"] for r in held.collect()} == before  # one who began to read before still can
+        state = after
+    assert len(steps) == 4
+    table = live.StateTable(spark, path)
+    assert len(table.commits()) == live.COMMITS_KEPT
+    kept = {(v, b) for n in table.commits() for b, v in table.live(n).items()}
+    assert kept == {(int(f[2:]), int(b[7:])) for f in table.names("") if f.startswith("v=") for b in table.names(f) if b.startswith("bucket=")}

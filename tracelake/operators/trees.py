@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
+from tracelake.functions.scans import Scan, scanned
 from tracelake.functions.storage import written
 
 
@@ -184,21 +185,38 @@ def nearest(entries: DataFrame, stop: Column) -> DataFrame:
 
 
 def session_lineage(sessions: DataFrame) -> DataFrame:
-    """Root, depth and latest activity over the subtree of each session. Rows: session_id, parent_id, ts; a missing parent is a root.
+    """Root, depth and latest activity over the subtree of each session, and its place in the listing. Rows: session_id, parent_id, ts; a missing parent is a root.
 
-    Pointers double; in each round a session also hands its subtree's latest time to the one that it points to.
+    ``position`` (from 0) is the place in the tree walked from the top, siblings and roots by latest activity, newest first (ties: by id);
+    ``is_last``: no sibling follows; ``size``: sessions in the subtree. Sessions on a cycle and below one have no position.
+
+    List ranking by doubling. Pointers double, and in round k each session hands what lies less than 2 ** k below it to the one 2 ** k above. Then a
+    session stands one behind its parent and all that its earlier siblings hold, a running sum by a two-level scan (so roots, and
+    the children of one parent, may be most of the table), and these offsets are added up along the pointers again.
     """
     known = sessions.select(F.col("session_id").alias("up")).withColumn("_known", F.lit(True))
     rows = sessions.select("session_id", F.when(F.col("parent_id") != F.col("session_id"), F.col("parent_id")).alias("up"), "ts").join(known, "up", "left")
     up = F.when(F.col("_known"), F.col("up"))
-    now = written(rows.select("session_id", up.alias("up"), F.coalesce(up, F.col("session_id")).alias("root"), up.isNotNull().cast("long").alias("depth"), F.col("ts").alias("latest")), "lineage")
+    now = written(rows.select("session_id", up.alias("up"), up.alias("parent"), F.coalesce(up, F.col("session_id")).alias("root"), up.isNotNull().cast("long").alias("depth"), F.col("ts").alias("latest"), F.lit(1).cast("long").alias("size")), "lineage")
     most, step = now.count(), 1
     while step < 2 * most and not now.filter("up IS NOT NULL").isEmpty():
-        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("session_id")).agg(F.max("latest").alias("_latest"))
+        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("session_id")).agg(F.max("latest").alias("_latest"), F.sum("size").alias("_size"))
         above = now.select(F.col("session_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         moved = now.join(above, "up", "left").join(below, "session_id", "left")
-        now, step = written(moved.select("session_id", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.greatest("latest", "_latest").alias("latest")), "lineage"), 2 * step
-    return now.select("session_id", "root", "depth", "latest")
+        moved = moved.select("session_id", F.col("up2").alias("up"), "parent", F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.greatest("latest", "_latest").alias("latest"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
+        now, step = written(moved, "lineage"), 2 * step
+    sorted_ = now.repartitionByRange("parent", F.desc("latest"), "session_id").sortWithinPartitions("parent", F.desc("latest"), "session_id")
+    sorted_ = written(sorted_.withColumn("at", F.monotonically_increasing_id()), "lineage-sorted")
+    ranked = scanned(sorted_, key="parent", order="at", before=Scan("sum", F.col("size"), inclusive=False), later=Scan("last", F.lit(1), reverse=True, inclusive=False))
+    ranked = ranked.withColumn("before", F.coalesce("before", F.lit(0)))
+    walk = written(ranked.select("session_id", F.col("parent").alias("up"), (F.col("before") + F.col("parent").isNotNull().cast("long")).alias("position"), F.col("later").isNull().alias("is_last")), "lineage-walk")
+    step = 1
+    while step < 2 * most and not walk.filter("up IS NOT NULL").isEmpty():
+        above = walk.select(F.col("session_id").alias("up"), F.col("up").alias("up2"), F.col("position").alias("more"))
+        moved = walk.join(above, "up", "left").select("session_id", F.col("up2").alias("up"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"), "is_last")
+        walk, step = written(moved, "lineage-walk"), 2 * step
+    place = walk.select("session_id", F.when(F.col("up").isNull(), F.col("position")).alias("position"), "is_last")
+    return now.select("session_id", "root", "depth", "latest", "size").join(place, "session_id")
 
 
 def children(entries: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,21 +21,46 @@ def apply_transforms(df: DataFrame, transforms: Sequence[Transform]) -> DataFram
 
 
 class Projectors:
-    """K2: what custom entries become, by their type."""
+    """K2: what custom entries become, by their type: any number of messages each, in one pass over the entries for all types."""
 
     def __init__(self) -> None:
-        self.by_type: dict[str, Transform] = {}
+        self.by_type: dict[str, Callable[[str], Iterable[tuple[str, str]]]] = {}
+        self.columns: dict[str, Column] = {}
 
-    def register(self, custom_type: str, project: Transform) -> None:
+    def register(self, custom_type: str, project: Callable[[str], Iterable[tuple[str, str]]]) -> None:
+        """``project``: an entry's data to (role, text) pairs; a table function in Python."""
         self.by_type[custom_type] = project
-
-    def project(self, entries: DataFrame) -> DataFrame | None:
-        """Messages (session_id, seq, role, text) of all registered types; null if none is."""
-        out = None
-        for kind, project in self.by_type.items():
-            made = project(entries.filter((F.col("type") == "custom") & (F.col("custom_type") == kind))).select("session_id", "seq", "role", "text")
-            out = made if out is None else out.unionByName(made)
-        return out
+        self.columns.pop(custom_type, None)
+
+    def register_column(self, custom_type: str, messages: Column) -> None:
+        """``messages``: an array of structs (role, text) over the entry's columns, which stays in the JVM."""
+        self.columns[custom_type] = messages
+        self.by_type.pop(custom_type, None)
+
+    def project(self, entries: DataFrame, data: str = "data") -> DataFrame:
+        """Messages (session_id, seq, part, role, text) of all registered types; ``part`` numbers those of an entry. Other types give none.
+
+        The entries are read once. Columns make their messages in an expression; only rows of the other types go to the table function, in a
+        lateral join. Null data gives none.
+        """
+        functions, none = dict(self.by_type), F.lit(None).cast("array<struct<role:string,text:string>>")
+
+        class Made:
+            def eval(self, custom_type: str, data: str, ready: list):
+                made = ready if ready is not None else functions[custom_type](data) if custom_type in functions and data is not None else ()
+                for part, (role, text) in enumerate(made):
+                    yield part, role, text
+
+        made = none
+        for kind, column in self.columns.items():
+            made = F.when(F.col("custom_type") == kind, column).otherwise(made)
+        known = F.col("custom_type").isin(*self.by_type, *self.columns)
+        rows = entries.filter((F.col("type") == "custom") & known).select("session_id", "seq", "custom_type", F.col(data).cast("string").alias("_data"), made.alias("_ready"))
+        if not functions:
+            out = rows.select("session_id", "seq", F.posexplode("_ready").alias("part", "m"))
+            return out.select("session_id", "seq", "part", "m.role", "m.text")
+        project = F.udtf(Made, returnType="part int, role string, text string")
+        return rows.lateralJoin(project(F.col("custom_type").outer(), F.col("_data").outer(), F.col("_ready").outer())).select("session_id", "seq", "part", "role", "text")
 
 
 def audit_calls(calls: DataFrame, rules: Sequence[tuple[str, Column, str, Column | None]]) -> DataFrame:

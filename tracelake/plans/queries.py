@@ -185,11 +185,18 @@ query("k1_transforms", "conv", sql="SELECT session_id, count(*) AS n FROM conv W
 
 def projected(c: DataFrame) -> DataFrame:
     p = hooks.Projectors()
-    p.register("note", lambda e: e.select("session_id", "seq", F.lit("custom").alias("role"), F.reverse("text").alias("text")))
-    return p.project(c.withColumns({"type": F.when(F.col("role") == "system", "custom").otherwise("message"), "custom_type": F.lit("note")}))
+    p.register("note", lambda text: [("custom", text[::-1])])
+    p.register("pair", lambda text: [("user", text[:20]), ("assistant", text[20:40])] if len(text) > 20 else [])
+    p.register_column("shout", F.array(F.struct(F.lit("custom").alias("role"), F.concat(F.lit("! "), F.col("text")).alias("text"))))
+    kind = F.when(F.col("role") == "system", "note").when(F.col("seq") % 3 == 0, "pair").when(F.col("seq") % 3 == 1, "shout").otherwise("unknown")
+    return p.project(c.withColumns({"type": F.when(F.col("role") == "assistant", "message").otherwise("custom"), "custom_type": kind}), data="text")
 
 
-query("k2_projectors", "conv", sql="SELECT session_id, seq, 'custom' AS role, reverse(text) AS text FROM conv WHERE role = 'system'")(projected)
+query(
+    "k2_projectors", "conv",
+    sql="c AS (SELECT *, CASE WHEN role = 'system' THEN 'note' WHEN seq % 3 = 0 THEN 'pair' WHEN seq % 3 = 1 THEN 'shout' ELSE '' END AS k FROM conv WHERE role != 'assistant') SELECT session_id, seq, 0 AS part, 'custom' AS role, reverse(text) AS text FROM c WHERE k = 'note' "
+    "UNION ALL SELECT session_id, seq, 0, 'user', left(text, 20) FROM c WHERE k = 'pair' AND length(text) > 20 UNION ALL SELECT session_id, seq, 1, 'assistant', substr(text, 21, 20) FROM c WHERE k = 'pair' AND length(text) > 20 UNION ALL SELECT session_id, seq, 0, 'custom', '! ' || text FROM c WHERE k = 'shout'",
+)(projected)
 
 # trees ----------------------------------------------------------------------------------------------------------------
 
@@ -208,9 +215,15 @@ query("d10_common_ancestor", "tree", sql=f"{_PATH2} SELECT p.session_id, max(p.s
 query("d11_resolve_labels", "tree", sql="l AS (SELECT session_id, parent_seq AS seq, CASE WHEN c % 3 = 0 THEN '' ELSE 'L' || CAST(c AS VARCHAR) END AS label, row_number() OVER (PARTITION BY session_id, parent_seq ORDER BY seq DESC) AS n FROM tree WHERE type = 'label') SELECT t.session_id, t.seq, l.label FROM tree t LEFT JOIN l ON l.session_id = t.session_id AND l.seq = t.seq AND n = 1 AND label != ''")(
     lambda t: R.resolve_labels(t, t.filter("type = 'label'").select("session_id", "seq", F.col("parent_seq").alias("target"), F.when(F.col("c") % 3 == 0, "").otherwise(F.concat(F.lit("L"), F.col("c").cast("string"))).alias("label"), "ts")).select("session_id", "seq", "label")
 )
-query("d12_session_lineage", "ev", sql="s AS (SELECT session_id, CAST(floor(session_id / 2.0) AS BIGINT) AS parent_id, max(seq) AS ts FROM ev GROUP BY session_id), r AS (SELECT session_id AS o, session_id, 0 AS d FROM s UNION ALL SELECT o, s.parent_id, d + 1 FROM r JOIN s ON s.session_id = r.session_id JOIN s p ON p.session_id = s.parent_id WHERE s.parent_id != s.session_id), top AS (SELECT o, max(d) AS depth, arg_max(session_id, d) AS root FROM r GROUP BY o), act AS (SELECT r.session_id, max(ts) AS latest FROM r JOIN s ON s.session_id = r.o GROUP BY 1) SELECT o AS session_id, root, CAST(depth AS BIGINT) AS depth, latest FROM top JOIN act ON act.session_id = o")(
-    lambda e: R.session_lineage(e.groupBy("session_id").agg(F.max("seq").alias("ts")).withColumn("parent_id", F.floor(F.col("session_id") / 2).cast("long")))
-)
+query(
+    "d12_session_lineage", "ev",
+    sql="s AS (SELECT session_id, CAST(floor(session_id / 2.0) AS BIGINT) AS parent_id, max(seq) AS ts FROM ev GROUP BY session_id), r AS (SELECT session_id AS o, session_id, 0 AS d FROM s UNION ALL SELECT o, s.parent_id, d + 1 FROM r JOIN s ON s.session_id = r.session_id JOIN s p ON p.session_id = s.parent_id WHERE s.parent_id != s.session_id), "
+    "top AS (SELECT o, max(d) AS depth, arg_max(session_id, d) AS root FROM r GROUP BY o), act AS (SELECT r.session_id, max(ts) AS latest, count(*) AS size FROM r JOIN s ON s.session_id = r.o GROUP BY 1), "
+    "par AS (SELECT s.session_id, p.session_id AS parent, latest FROM s JOIN act USING (session_id) LEFT JOIN s p ON p.session_id = s.parent_id AND p.session_id != s.session_id), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY latest DESC, session_id) AS n, count(*) OVER (PARTITION BY parent) AS of FROM par), "
+    "w AS (SELECT session_id, lpad(CAST(n AS VARCHAR), 9, '0') AS path FROM k WHERE parent IS NULL UNION ALL SELECT k.session_id, w.path || '/' || lpad(CAST(n AS VARCHAR), 9, '0') FROM w JOIN k ON k.parent = w.session_id) "
+    "SELECT top.o AS session_id, root, CAST(depth AS BIGINT) AS depth, act.latest, size, row_number() OVER (ORDER BY path) - 1 AS position, n = of AS is_last FROM top JOIN act ON act.session_id = o JOIN k ON k.session_id = o JOIN w ON w.session_id = o",
+)(lambda e: R.session_lineage(e.groupBy("session_id").agg(F.max("seq").alias("ts")).withColumn("parent_id", F.floor(F.col("session_id") / 2).cast("long"))))
 query("d13_children", "tree", sql="SELECT t.session_id, t.parent_seq, string_agg(CAST(t.seq AS VARCHAR), ',' ORDER BY t.ts, t.seq) AS children FROM tree t GROUP BY t.session_id, t.parent_seq")(lambda t: R.children(t).select("session_id", "parent_seq", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children")))
 query("c5_filter_entries", "tree", sql="SELECT session_id, seq, type FROM tree WHERE type != 'label'")(lambda t: R.filter_entries(t).select("session_id", "seq", "type"))
 query("c5_filter_entries_user_only", "conv", sql="SELECT session_id, seq FROM conv WHERE role = 'user'")(lambda c: R.filter_entries(c.withColumn("type", F.lit("message")), "user-only").select("session_id", "seq"))
