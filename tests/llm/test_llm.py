@@ -751,3 +751,16 @@ def test_passage_among_snippets(spark):
         assert share == 1.0 and outside <= 3
         whole = {i for a, _, b, _ in where for i in (a, b)}
         assert not any(got[1000 * n + i] for i, _ in texts if i not in whole)
+
+
+def test_edited_passage_among_snippets(spark):
+    """Texts that share a passage with edits find each other although short snippets of it, in many other texts, hold all of its seeds."""
+    asked = [(100, 0.1, 30, 12, 0.95), (100, 0.15, 30, 12, 0.85), (60, 0.1, 30, 12, 0.9), (100, 0.1, 30, 20, 0.95), (100, 0.15, 30, 20, 0.85), (60, 0.1, 30, 20, 0.9), (60, 0.15, 30, 12, 0.75), (100, 0.1, 200, 20, 0.9)]
+    cases = [planted(random.Random(n), 10, words, changed, crowd, snippet) for n, (words, changed, crowd, snippet, _) in enumerate(asked)]
+    got = {}
+    rows = [(10_000 * n + i, t) for n, (texts, _) in enumerate(cases) for i, t in texts]
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] = {p for s in r["repeats"] for p in range(s["start"], s["start"] + s["length"])}
+    for n, ((words, changed, crowd, snippet, least), (_, where)) in enumerate(zip(asked, cases, strict=True)):
+        share, outside = share_whole(got, 10_000 * n, where, words)
+        assert share >= least and outside <= 20, (words, changed, crowd, snippet, share, outside)
