@@ -80,7 +80,7 @@ def test_tables_and_export(spark, folder, tmp_path):
     L.write_session_tables(sessions, entries, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t/entries"))
     assert back.count() == 3 and {r["cwd_dir"] for r in back.select("cwd_dir").distinct().collect()} == {"--home-u-work--"}
-    assert spark.read.parquet(str(tmp_path / "t/branch_entries")).count() == 3
+    assert L.SessionTables(spark, str(tmp_path / "t")).table("branch_entries").count() == 3
     L.export_branch_jsonl(L.as_tree(entries), str(tmp_path / "b"))
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "b")).collect()]
     assert lines[0]["type"] == "session" and [x["parent_seq"] for x in lines[1:]] == [None, 1, 2]
@@ -163,3 +163,35 @@ def test_files_of_many_splits(spark, tmp_path):
             assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_tables_in_increments(spark, tmp_path):
+    """A second load of overlapping logs adds only what is new; sessions that it touches get a new state; a look-up by parent reads few row groups."""
+    stamp = "2025-01-01T00:00:00Z"
+
+    def log(k, n, folder, *more):
+        lines = [{"type": "session", "version": 3, "id": f"s{k}", "timestamp": stamp, "cwd": f"/w/{k % 2}"}]
+        lines += [{"type": "message", "id": f"id-{k}-{i}-{i * 7919 % 1000}", "parentId": f"id-{k}-{i - 1}-{(i - 1) * 7919 % 1000}" if i else None, "timestamp": stamp, "message": {"role": "assistant", "provider": "p", "model": f"m{i % 3}", "pad": "y" * 40}} for i in range(n)]
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"s{k}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in [*lines, *more]))
+
+    tables = L.SessionTables(spark, str(tmp_path / "t"), buckets=4, row_group_bytes=4096, ids_a_group=100)
+    for k in range(6):
+        log(k, 300, "one")
+    tables.load(*L.read_session_logs(spark, str(tmp_path / "one")))
+    first = {(r["session_id"], r["entry_seq"], r["entry_id"]) for r in tables.entries().collect()}
+    assert len(first) == 1800
+    for k in (1, 2, 7):  # two sessions have grown, one is new
+        log(k, 300, "two", {"type": "label", "id": f"l{k}", "parentId": None, "timestamp": stamp, "targetId": "a", "label": "old"}, {"type": "label", "id": f"l{k}b", "parentId": None, "timestamp": stamp, "targetId": "a", "label": "new"}, {"type": "label", "id": f"l{k}c", "parentId": None, "timestamp": stamp, "targetId": "b", "label": ""}, {"type": "session_info", "id": f"n{k}", "parentId": None, "timestamp": stamp, "name": " named "}, {"type": "model_change", "id": f"c{k}", "parentId": None, "timestamp": stamp, "provider": "q", "modelId": "z"}, {"type": "thinking_level_change", "id": f"t{k}", "parentId": None, "timestamp": stamp, "thinkingLevel": "high"})
+    for _ in range(2):  # loading it again adds nothing
+        tables.load(*L.read_session_logs(spark, str(tmp_path / "two")))
+        rows = [(r["session_id"], r["entry_seq"], r["entry_id"]) for r in tables.entries().collect()]
+        assert len(rows) == len(set(rows)) == 1800 + 12 + 306 and first <= set(rows)
+        state = {r["session_id"]: r for r in tables.table("session_state").collect()}
+        assert len(state) == 7 and state["s1"]["entries"] == 306 and state["s0"]["entries"] == 300 and tables.table("sessions").count() == 7
+        s = state["s7"]
+        assert (s["provider"], s["model"], s["thinking_level"], s["name"], s["labels"]) == ("q", "z", "high", "named", {"a": "new"}) and (state["s0"]["model"], state["s0"]["labels"], state["s0"]["name"]) == ("m2", {}, None)
+    found = tables.children_of(["id-4-100-900"])
+    assert [(r["session_id"], r["entry_seq"]) for r in found.collect()] == [("s4", 102)]
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 400

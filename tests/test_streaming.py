@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import tables
 from tracelake.operators import context as C
 from tracelake.operators import usage as U
 from tracelake.plans.bindings import view
@@ -163,12 +164,12 @@ def test_state_table_commits(spark, tmp_path, monkeypatch):
                 raise OSError("lost")
 
             if step == "written":
-                m.setattr(live, "written", fail)
+                m.setattr(tables, "written", fail)
             elif step == "after_commit":
-                real = live.StateTable.commit
-                m.setattr(live.StateTable, "commit", lambda self, *a, real=real: (real(self, *a), fail()))
+                real = tables.BucketTable.commit
+                m.setattr(tables.BucketTable, "commit", lambda self, *a, real=real: (real(self, *a), fail()))
             else:
-                m.setattr(live.StateTable, step, fail)
+                m.setattr(tables.BucketTable, step, fail)
             with pytest.raises(Exception, match="lost"):
                 start()
         after = before | {i: f"{n}-{i}" for i in ids}
@@ -177,7 +178,7 @@ def test_state_table_commits(spark, tmp_path, monkeypatch):
         assert rows() == after and {r["session_id"]: r["x"] for r in held.collect()} == before  # one who began to read before still can
         state = after
     assert len(steps) == 4
-    table = live.StateTable(spark, path)
-    assert len(table.commits()) == live.COMMITS_KEPT
+    table = tables.BucketTable(spark, path)
+    assert len(table.commits()) == tables.COMMITS_KEPT
     kept = {(v, b) for n in table.commits() for b, v in table.live(n).items()}
     assert kept == {(int(f[2:]), int(b[7:])) for f in table.names("") if f.startswith("v=") for b in table.names(f) if b.startswith("bucket=")}

@@ -100,7 +100,7 @@ def session_tables(n: DataFrame) -> tuple:
 def table_counts(n: DataFrame) -> DataFrame:
     spark, path = session_tables(n)
     dirs = spark.read.parquet(f"{path}/entries").groupBy("session_id").agg(F.first("cwd_dir").alias("cwd_dir"), F.count("*").alias("rows"))
-    return spark.read.parquet(f"{path}/session_state").join(dirs, "session_id").select("session_id", "cwd_dir", "rows", "entries", F.col("last_seq").cast("long").alias("last_seq"))
+    return L.SessionTables(spark, path).table("session_state").join(dirs, "session_id").select("session_id", "cwd_dir", "rows", "entries", F.col("last_seq").cast("long").alias("last_seq"))
 
 
 query("a9_write_session_tables", "loglines", sql=f"{_ENT} SELECT e.session_id, '--w-' || CAST(any_value(inc.session_id) % 7 AS VARCHAR) || '--' AS cwd_dir, count(*) AS rows, count(*) AS entries, CAST(max(entry_seq) AS BIGINT) AS last_seq FROM e JOIN inc ON inc.sid = e.session_id GROUP BY 1")(table_counts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracelake.functions.scalars import any_time, content_text, estimate, file_stamp, utf16_length
-from tracelake.functions.storage import written
+from tracelake.functions.storage import remove, written
+from tracelake.functions.tables import BucketTable
 from tracelake.operators.trees import branch_path, on_path
 
 HEADER_BYTES = 1 << 20
@@ -288,16 +290,75 @@ def read_model_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("provider", "model", "m.name", "m.api", "m.reasoning", F.col("m.input").alias("modalities"), F.col("m.contextWindow").alias("context_window"), F.col("m.maxTokens").alias("max_tokens"), F.col("m.thinkingLevelMap").alias("levels"), "m.cost")
 
 
-def write_session_tables(sessions: DataFrame, entries: DataFrame, path: str) -> None:
-    """Sessions, entries, branch rows and session state under a path. Entries are partitioned by working directory; a repeated
-    (session, seq) keeps one row."""
-    where = sessions.select("session_id", F.coalesce(cwd_to_dir("cwd"), F.lit("--unknown--")).alias("cwd_dir"))
-    rows = entries.dropDuplicates(["session_id", "entry_seq"]).withColumn("raw", F.to_json("raw")) if dict(entries.dtypes).get("raw") == "variant" else entries.dropDuplicates(["session_id", "entry_seq"])
-    sessions.join(where, "session_id").write.mode("overwrite").parquet(f"{path}/sessions")
-    rows.join(where, "session_id").repartition("cwd_dir", "session_id").sortWithinPartitions("session_id", "entry_seq").write.mode("overwrite").partitionBy("cwd_dir").parquet(f"{path}/entries")
-    tree = as_tree(entries)
-    branch_path(tree).write.mode("overwrite").parquet(f"{path}/branch_entries")
-    entries.groupBy("session_id").agg(F.count("*").alias("entries"), F.max("entry_seq").alias("last_seq"), F.max("entry_ts").alias("last_ts")).write.mode("overwrite").parquet(f"{path}/session_state")
+class SessionTables:
+    """Sessions, entries, branch rows and session state under a path, loaded in increments.
+
+    Entries, partitioned by working directory and sorted by (session, seq) in each load, are only ever added to: a load adds those whose (session, seq) isn't
+    there yet. Their files hold Bloom filters of ``entry_id`` and ``parent_id``, so that a look-up by either reads few row groups. The other tables
+    have rows of the sessions that a load touches replaced, in one commit each; a load that failed half-way is repeated as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, row_group_bytes: int = 16 << 20, ids_a_group: int = 50_000) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.options = {"parquet.block.size": row_group_bytes} | {f"parquet.bloom.filter.{x}#{c}": v for c in ("entry_id", "parent_id") for x, v in (("enabled", "true"), ("expected.ndv", ids_a_group))}
+        self.parts = {n: BucketTable(spark, f"{self.path}/{n}") for n in ("sessions", "branch_entries", "session_state")}
+
+    def has_entries(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/entries/_SUCCESS")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/entries")
+
+    def table(self, name: str) -> DataFrame:
+        """``sessions``, ``branch_entries`` or ``session_state``."""
+        return self.parts[name].table()
+
+    def children_of(self, parent_ids: Sequence[str]) -> DataFrame:
+        """Entries whose parent is one of a few ids."""
+        return self.entries().filter(F.col("parent_id").isin(*parent_ids))
+
+    def load(self, sessions: DataFrame, entries: DataFrame) -> None:
+        """Adds what isn't there. ``sessions``, ``entries``: as read_session_logs gives them; a repeated (session, seq) keeps one row."""
+        where = written(sessions.withColumn("cwd_dir", F.coalesce(cwd_to_dir("cwd"), F.lit("--unknown--"))), "load-sessions")
+        rows = entries.withColumn("raw", F.to_json("raw")) if dict(entries.dtypes).get("raw") == "variant" else entries
+        homes = where.select("session_id", "cwd_dir").dropDuplicates(["session_id"])
+        rows = rows.dropDuplicates(["session_id", "entry_seq"]).join(homes, "session_id")
+        if self.has_entries():
+            # only the folders of the sessions at hand are read, and of them two columns
+            there = self.entries().join(homes, ["session_id", "cwd_dir"], "left_semi").select("session_id", "entry_seq")
+            rows = rows.join(there, ["session_id", "entry_seq"], "left_anti")
+        rows = rows.repartition("cwd_dir", F.pmod(F.xxhash64("session_id"), F.lit(self.buckets))).sortWithinPartitions("cwd_dir", "session_id", "entry_seq")
+        rows.write.mode("append").options(**self.options).partitionBy("cwd_dir").parquet(f"{self.path}/entries")
+        mine = written(self.entries().join(homes, ["session_id", "cwd_dir"], "left_semi"), "load-entries")
+        for name, made in (("sessions", where), ("branch_entries", branch_path(as_tree(mine))), ("session_state", session_state(mine))):
+            table = self.parts[name]
+            table.replace(made, max(table.commits(), default=-1) + 1, "session_id", buckets=self.buckets)
+        remove(where, mine)
+
+
+def session_state(entries: DataFrame) -> DataFrame:
+    """A session's rows, last place and time, and what is in force at its end: model, thinking level, name, and labels by entry. Rows: entries with ``raw`` as JSON."""
+    rows = entries.withColumn("raw", F.try_parse_json("raw"))
+    at = lambda keep, value: F.max_by(value, F.when(keep & value.isNotNull(), F.col("entry_seq")))
+    kind, is_ = F.col("type"), lambda t: F.col("type") == t
+    provider, model = (F.when(kind == "model_change", get(f"$.{a}")).otherwise(get(f"$.message.{b}")) for a, b in (("provider", "provider"), ("modelId", "model")))
+    labels = rows.filter(is_("label")).groupBy("session_id", get("$.targetId").alias("id")).agg(F.max_by(F.coalesce(get("$.label"), F.lit("")), "entry_seq").alias("label")).filter("id IS NOT NULL AND label != ''")
+    labels = labels.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("labels"))
+    out = rows.groupBy("session_id").agg(
+        F.count("*").alias("entries"), F.max("entry_seq").alias("last_seq"), F.max("entry_ts").alias("last_ts"),
+        at(is_("model_change") | (get("$.message.role") == "assistant"), F.struct(provider.alias("provider"), model.alias("model"))).alias("m"),
+        at(is_("thinking_level_change"), get("$.thinkingLevel")).alias("thinking_level"), at(is_("session_info"), get("$.name")).alias("name"),
+    )
+    out = out.select("session_id", "entries", "last_seq", "last_ts", "m.provider", "m.model", "thinking_level", F.nullif(F.trim("name"), F.lit("")).alias("name"))
+    return out.join(labels, "session_id", "left").withColumn("labels", F.coalesce("labels", F.create_map().cast("map<string,string>")))
+
+
+def write_session_tables(sessions: DataFrame, entries: DataFrame, path: str) -> SessionTables:
+    """Loads sessions and entries into the tables under a path, new or not."""
+    tables = SessionTables(sessions.sparkSession, path)
+    tables.load(sessions, entries)
+    return tables
 
 
 def as_tree(entries: DataFrame) -> DataFrame:

@@ -7,19 +7,17 @@ taken when it comes. Each operator gives on a finished stream what its batch for
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tracelake.functions.storage import remove, written
+from tracelake.functions.tables import BucketTable
 
 NOISE_TOKENS = 1_024
 
@@ -316,97 +314,22 @@ def dedup_entries(entries: DataFrame, ts: str = "ts", delay: str = "1 hour", key
     return entries.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-#: Commits of a state table whose buckets stay for readers that have resolved them: the live one and the one before.
-COMMITS_KEPT = 2
-
-
-class StateTable:
-    """A table in buckets, each with a version; a commit names the live version of every bucket, and is the only thing readers go by.
-
-    A commit is written under another name and then renamed, last of all, so a reader, and a batch that follows a failure, sees
-    all of a batch or nothing of it. Files are reached through the file system that the table's address names.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.make = spark, path.rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
-        self.store = self.make(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def names(self, folder: str) -> list[str]:
-        at = self.make(f"{self.path}/{folder}")
-        return [x.getPath().getName() for x in self.store.listStatus(at)] if self.store.exists(at) else []
-
-    def commits(self) -> list[int]:
-        return sorted(int(n) for n in self.names("_commits") if n.isdigit())
-
-    def live(self, number: int | None = None) -> dict[int, int]:
-        """Bucket to version as of a commit, the last one if none is named; empty before the first."""
-        number = number if number is not None else max(self.commits(), default=None)
-        if number is None:
-            return {}
-        lines = self.spark.read.text(f"{self.path}/_commits/{number}").collect()  # a line a bucket
-        return {int(b): int(v) for b, v in (r[0].split(" ") for r in lines)}
-
-    def commit(self, number: int, live: dict[int, int]) -> None:
-        folder = self.make(f"{self.path}/_commits")
-        self.store.mkdirs(folder)
-        draft = self.make(f"{self.path}/_commits/_{number}-{uuid.uuid4().hex}")
-        out = self.store.create(draft, True)
-        out.write(bytearray("".join(f"{b} {v}\n" for b, v in sorted(live.items())).encode()))
-        out.close()
-        if not self.store.rename(draft, self.make(f"{self.path}/_commits/{number}")) and number not in self.commits():
-            raise OSError(f"commit {number} of {self.path} couldn't be renamed")
-
-    def read(self, schema=None, live: dict[int, int] | None = None) -> DataFrame | None:
-        """The rows of the live versions, None if there are none."""
-        live = self.live() if live is None else live
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.option("basePath", self.path).parquet(*(f"{self.path}/v={v}/bucket={b}" for b, v in sorted(live.items()))) if live else None
-
-    def clean(self) -> None:
-        """Deletes what no kept commit names, and commits that aren't kept."""
-        kept = self.commits()[-COMMITS_KEPT:]
-        used = {(v, b) for n in kept for b, v in self.live(n).items()}
-        for n in self.commits()[:-COMMITS_KEPT]:
-            self.store.delete(self.make(f"{self.path}/_commits/{n}"), False)
-        for folder in self.names(""):
-            if folder.startswith("v=") and int(folder[2:]) <= kept[-1]:
-                for bucket in self.names(folder):
-                    if bucket.startswith("bucket=") and (int(folder[2:]), int(bucket[7:])) not in used:
-                        self.store.delete(self.make(f"{self.path}/{folder}/{bucket}"), True)
-
-
 def upsert_session_state(stream: DataFrame, path: str, checkpoint: str, key: str = "session_id", order: str = "last_seq", buckets: int = 16, trigger: dict | None = None):
-    """A table with one row a session, the latest. Each micro-batch replaces the buckets of the sessions that it has rows of.
+    """A table with one row a session, the latest. Each micro-batch replaces the buckets of the sessions that it has rows of, in one commit.
 
-    A batch writes its buckets anew, with the other sessions they hold, as ``v=<batch>``, then commits, then deletes what no kept commit
-    names. Repeated after a failure before the commit it writes them again; after it, it only cleans up.
+    Readers, and a batch that is repeated after a failure at any step, see all of a batch or nothing of it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        table = StateTable(batch.sparkSession, path)
-        if number not in table.commits():
-            latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-            rows, live = written(latest, "state-batch"), table.live()
-            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            every = rows.withColumn("v", F.lit(number).cast("long"))
-            held = table.read(T.StructType([*latest.schema, T.StructField("v", T.LongType())]), {b: live[b] for b in touched if b in live})
-            if held is not None:
-                every = held.unionByName(every)
-            out = every.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(order, "v")).alias("r")).select("r.*").drop("v")
-            out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table.path}/v={number}")
-            table.commit(number, live | dict.fromkeys(touched, number))
-            remove(rows)
-        table.clean()
+        latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
+        BucketTable(batch.sparkSession, path).replace(latest, number, key, order, buckets)
 
     return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def session_state_table(spark: SparkSession, path: str) -> DataFrame:
     """The table that upsert_session_state keeps, as of its last commit. What is read stays for one more batch."""
-    rows = StateTable(spark, path).read()
-    if rows is None:
-        raise ValueError(f"{path} has no commit yet")
-    return rows.drop("bucket", "v")
+    return BucketTable(spark, path).table()
 
 
 def windowed_usage(usage: DataFrame, window: str = "1 day", slide: str | None = None, gap: str | None = None, delay: str = "1 hour", ts: str = "ts", by: tuple[str, ...] = ("provider",)) -> DataFrame:
