@@ -397,7 +397,19 @@ def test_globs():
 def test_packing_next_fit(spark):
     rows = [("d", k, "x" * n) for k, n in enumerate([40, 40, 10, 200, 50, 60])]
     got = hooks.pack_transcripts(spark.createDataFrame(rows, "cwd string, seq int, text string"), 100).orderBy("seq").collect()
-    assert [r["bin"] for r in got] == [0, 0, 0 if 40 + 42 + 12 <= 100 else 1, 1, 2, 3]
+    assert [r["bin"] for r in got] == [0, 0, 0, 1, 2, 3]
+    rng = random.Random(7)
+    rows = [(d, k, rng.choice(["x", "é", "😀"]) * rng.choice([0, 1, 5, 30, 49, 50, 51, 70])) for d in ("a", "b", None) for k in range(300)]
+    packed = hooks.pack_transcripts(spark.createDataFrame(rng.sample(rows, len(rows)), "cwd string, seq int, text string").repartition(5), 100, keep_text=False).collect()
+    found = {(r["cwd"], r["seq"]): (r["bin"], r["size"]) for r in packed}
+    for d in ("a", "b", None):
+        number, used = -1, None
+        for _, k, text in [r for r in rows if r[0] == d]:
+            size = len(text.encode("utf-16-le")) // 2
+            fits = used is not None and used + 2 + size <= 100
+            number, used = (number, used + 2 + size) if fits else (number + 1, size)
+            assert found[d, k] == (number, size)
+            used = None if size > 100 else used
 
 
 def test_audit_timing_and_catalog_hash(spark):

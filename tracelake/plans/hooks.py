@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from tracelake.functions.scalars import utf16_length
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -76,41 +79,46 @@ def audit_calls(calls: DataFrame, rules: Sequence[tuple[str, Column, str, Column
     return calls.withColumns({"rule": name, "action": action, "arguments_after": after})
 
 
-def ordered_fold(df: DataFrame, by: str, order: Sequence[str], fold: Callable[[list[dict]], list[dict]], schema) -> DataFrame:
-    """K6: a fold over each group's rows in order, for what no window can express. A group is held in memory."""
+def ordered_fold(df: DataFrame, by: str, order: Sequence[str], start: object, step: Callable[[object, dict], tuple[object, Iterable[dict]]], schema) -> DataFrame:
+    """K6: a fold over each group's rows in order, for what no window can express: ``step(state, row)`` gives the next state and the rows to put out.
+
+    A group is streamed from a sort that spills to disk; only its state is held. What is next depends on all before it, so one task takes
+    a group, however long, but never holds it.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([(c, "ascending") for c in order]).to_pylist()
-        return pa.Table.from_pylist(fold(rows), schema=arrow)
+    def run(batches):
+        now, state = object(), start
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if row[by] != now:
+                    now, state = row[by], start
+                state, made = step(state, row)
+                out += made
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     arrow = to_arrow_schema(schema)
-    return df.groupBy(by).applyInArrow(run, schema)
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 def pack_transcripts(texts: DataFrame, most: int = 100_000, joiner: int = 2, by: str = "cwd", order: str = "seq", keep_text: bool = False) -> DataFrame:
-    """Next-fit bins of texts in order, by directory: (cwd, seq, bin, bytes). A text longer than a bin has one of its own.
+    """Next-fit bins of texts in order, by directory: (cwd, seq, bin, size). A text longer than a bin has one of its own.
 
-    The fold needs sizes only, so a group holds numbers, not texts; the texts are joined back if wanted.
+    Sizes are UTF-16 units. The fold needs sizes only, so no text is in it; the texts are joined back if wanted.
     """
-    sizes = texts.select(by, order, F.length("text").cast("long").alias("size"))
-    schema = sizes.select(by, order).schema.add("bin", "long").add("size", "long")
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out, number, used, open_ = [], -1, 0, False
-        for r in rows:
-            if r["size"] > most:
-                number, open_ = number + 1, False
-                bin_ = number
-            elif not open_ or used + r["size"] + joiner > most:
-                number, open_, used = number + 1, True, r["size"]
-                bin_ = number
-            else:
-                used += r["size"] + joiner
-                bin_ = number
-            out.append({by: r[by], order: r[order], "bin": bin_, "size": r["size"]})
-        return out
-
-    packed = ordered_fold(sizes, by, [order], fold, schema)
+    sizes = texts.select(by, order, utf16_length("text").cast("long").alias("size"))
+    schema = T.StructType([*sizes.select(by, order).schema, T.StructField("bin", T.LongType()), T.StructField("size", T.LongType())])
+
+    def step(state: tuple[int, int | None], row: dict) -> tuple[tuple, list[dict]]:
+        number, used = state  # the bin's number, and what it holds; none where it takes no more
+        size = row["size"]
+        if used is None or used + joiner + size > most:
+            number, used = number + 1, size
+        else:
+            used += joiner + size
+        return (number, used if size <= most else None), [{by: row[by], order: row[order], "bin": number, "size": size}]
+
+    packed = ordered_fold(sizes, by, [order], (-1, None), step, schema)
     return packed if not keep_text else packed.join(texts, [by, order])
 
 

@@ -263,14 +263,11 @@ def balance(e: DataFrame) -> DataFrame:
     """A balance that may not fall below nothing: a fold that no window sum expresses."""
     rows = e.select("session_id", "seq", F.when(F.col("event_type") == "purchase", -F.col("c")).otherwise(F.col("c") % 1000).alias("step"))
 
-    def fold(held: list[dict]) -> list[dict]:
-        out, left = [], 0
-        for r in held:
-            left = max(0, left + r["step"])
-            out.append({"session_id": r["session_id"], "seq": r["seq"], "left": left})
-        return out
-
-    return hooks.ordered_fold(rows, "session_id", ["seq"], fold, rows.select("session_id", "seq").schema.add("left", "long"))
+    def step(left: int, r: dict) -> tuple[int, list[dict]]:
+        left = max(0, left + r["step"])
+        return left, [{"session_id": r["session_id"], "seq": r["seq"], "left": left}]
+
+    return hooks.ordered_fold(rows, "session_id", ["seq"], 0, step, rows.select("session_id", "seq").schema.add("left", "long"))
 
 
 query("k6_ordered_fold", "ev", sql="x AS (SELECT session_id, seq, CASE WHEN event_type = 'purchase' THEN -c ELSE c % 1000 END AS step FROM ev), y AS (SELECT *, sum(step) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT session_id, seq, CAST(s - least(0, min(s) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS \"left\" FROM y")(balance)
