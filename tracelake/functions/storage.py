@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes written tables that no result still reads."""
     for df in tables:

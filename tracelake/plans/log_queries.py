@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as S
-from tracelake.functions.storage import new_path
+from tracelake.functions.storage import exists, new_path
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
 from tracelake.operators import tools as A
@@ -25,7 +25,7 @@ def folder_of(lines: DataFrame) -> str:
     """The folder of the log files made of ``loglines``; written once for a session and input."""
     spark = lines.sparkSession
     key = (spark.sparkContext.applicationId, ",".join(sorted(lines.inputFiles())))
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not exists(spark, _WRITTEN[key]):
         _WRITTEN[key] = new_path(spark, "logs")
         L.write_lines(lines.select(F.col("file_name").alias("name"), F.col("line_no").alias("pos"), F.col("line").alias("value")), _WRITTEN[key])
     return _WRITTEN[key]
