@@ -599,3 +599,20 @@ def test_projectors(spark):
     p.register_column("a", F.array(F.struct(F.lit("user").alias("role"), F.col("data").alias("text"))))
     p.register_column("b", F.lit(None).cast("array<struct<role:string,text:string>>"))
     assert len(p.project(entries).collect()) == 4 and hooks.Projectors().project(entries).count() == 0
+
+
+def test_texts_in_chunks(spark, monkeypatch):
+    """Chunks joined by line feeds are the whole text, whatever the size of a chunk."""
+    rng = random.Random(15)
+    rows = [(s, q, rng.choice(["user", "assistant", "toolResult"]), rng.choice(["", " ", "some text", "é" * rng.randrange(60), "a\nb"])) for s in (1, 2, None) for q in range(40)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "session_id int, seq int, role string, text string")
+    whole = {}
+    for size in (10**9, 200, 1):
+        monkeypatch.setattr(C, "CHUNK_CHARS", size)
+        for name, make in (("b23", C.serialize_conversation), ("b24", C.transcript)):
+            found = make(df).collect()
+            text = {s: "\n".join(r["text"] for r in sorted((r for r in found if r["session_id"] == s), key=lambda r: r["chunk"])) for s in (1, 2, None)}
+            assert whole.setdefault(name, text) == text and all(len(r["text"]) < size + 90 for r in found)
+            assert len(found) == 3 if size > 1000 else len(found) > 9
+    said = [t for s, q, r, t in rows if s == 1 and r != "toolResult" and t.strip()]
+    assert whole["b24"][1].startswith("=== SESSION: 1 ===\n[") and whole["b24"][1].endswith("\n=== END SESSION ===") and whole["b24"][1].count("\n---\n") == len(said) - 1

@@ -119,8 +119,26 @@ def estimate_tokens(messages: DataFrame) -> Column:
     return estimate(F.coalesce(out, zero))
 
 
+#: Characters of a session's text in one row.
+CHUNK_CHARS = 1 << 20
+
+
+def in_chunks(parts: DataFrame, separator: str, head: Column | None = None, tail: str = "") -> DataFrame:
+    """(session_id, chunk, text): the ``part`` of each row in order, with a separator between, as rows of some ``CHUNK_CHARS`` characters.
+
+    A session's chunks, joined by line feeds, are its whole text: chunks after the first begin with the rest of the separator, which begins
+    with a line feed. A part is never cut, so a row holds ``CHUNK_CHARS`` and one part at most, whatever the session's length.
+    """
+    size = F.length("part").cast("long") + len(separator)
+    rows = scanned(parts, before=Scan("sum", size, inclusive=False), after=Scan("sum", size, reverse=True, inclusive=False))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), separator)
+    out = rows.groupBy("session_id", F.floor(F.col("before") / CHUNK_CHARS).cast("long").alias("chunk")).agg(text.alias("text"), F.min("before").alias("before"), F.min("after").alias("after"))
+    begin = F.when(F.col("before") > 0, F.lit(separator[1:])).otherwise(head if head is not None else F.lit(""))
+    return out.select("session_id", "chunk", F.concat(begin, F.col("text"), F.when(F.col("after") == 0, F.lit(tail)).otherwise(F.lit(""))).alias("text"))
+
+
 def serialize_conversation(messages: DataFrame) -> DataFrame:
-    """One labelled plain text a session. Rows: session_id, seq, role, text, and if there: thinking, calls."""
+    """Labelled plain text of each session, in chunks (session_id, chunk, text). Rows: session_id, seq, role, text, and if there: thinking, calls."""
     has, role = set(messages.columns), F.col("role")
     labelled = lambda label, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"[{label}]: "), x))
     own = {"user": [labelled("User", F.col("text"))], "toolResult": [labelled("Tool result", truncate_result("text"))]}
@@ -128,17 +146,15 @@ def serialize_conversation(messages: DataFrame) -> DataFrame:
     part = F.lit(None).cast("string")
     for r, parts in own.items():
         part = F.when(role == r, F.concat_ws("\n\n", *parts)).otherwise(part)
-    rows = messages.select("session_id", "seq", part.alias("part")).filter("part != ''")
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+    return in_chunks(messages.select("session_id", "seq", part.alias("part")).filter("part != ''"), "\n\n")
 
 
-def transcript(messages: DataFrame, name: Column | None = None) -> DataFrame:
-    """Each session's user and assistant texts with [ROLE] heads, between marks that name it (its id if not given); blank ones are left out."""
+def transcript(messages: DataFrame) -> DataFrame:
+    """Each session's user and assistant texts with [ROLE] heads, between marks that name it, in chunks (session_id, chunk, text); blank ones are left out."""
     rows = messages.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     part = F.concat(F.lit("["), F.upper("role"), F.lit("]\n"), F.col("text"))
-    out = rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", part.alias("part")))), lambda x: x["part"]), "\n---\n").alias("text"))
-    head = F.concat(F.lit("=== SESSION: "), name if name is not None else F.col("session_id").cast("string"), F.lit(" ===\n"))
-    return out.withColumn("text", F.concat(head, F.col("text"), F.lit("\n=== END SESSION ===")))
+    head = F.concat(F.lit("=== SESSION: "), F.coalesce(F.col("session_id").cast("string"), F.lit("")), F.lit(" ===\n"))
+    return in_chunks(rows.select("session_id", "seq", part.alias("part")), "\n---\n", head, "\n=== END SESSION ===")
 
 
 def should_compact(tokens: Column, window: Column, reserve: int = RESERVE_TOKENS, enabled: bool = True) -> Column:

@@ -104,9 +104,9 @@ def ordered_fold(df: DataFrame, by: str, order: Sequence[str], start: object, st
 def pack_transcripts(texts: DataFrame, most: int = 100_000, joiner: int = 2, by: str = "cwd", order: str = "seq", keep_text: bool = False) -> DataFrame:
     """Next-fit bins of texts in order, by directory: (cwd, seq, bin, size). A text longer than a bin has one of its own.
 
-    Sizes are UTF-16 units. The fold needs sizes only, so no text is in it; the texts are joined back if wanted.
+    Sizes are UTF-16 units: the column ``size`` if there is one, else the text's. The fold needs sizes only, so no text is in it; the texts are joined back if wanted.
     """
-    sizes = texts.select(by, order, utf16_length("text").cast("long").alias("size"))
+    sizes = texts.select(by, order, (F.col("size") if "size" in texts.columns else utf16_length("text")).cast("long").alias("size"))
     schema = T.StructType([*sizes.select(by, order).schema, T.StructField("bin", T.LongType()), T.StructField("size", T.LongType())])
 
     def step(state: tuple[int, int | None], row: dict) -> tuple[tuple, list[dict]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as S
-from tracelake.functions.storage import exists, new_path
+from tracelake.functions.storage import exists, new_path, written
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
 from tracelake.operators import tools as A
@@ -118,8 +118,11 @@ query("a10_export_branch_jsonl", "loglines", sql=f"{_BRANCH}, k AS (SELECT b.ses
 
 
 def transcript_files(c: DataFrame) -> DataFrame:
-    texts = C.transcript(c).select((F.col("session_id") % 4).cast("string").alias("cwd"), F.col("session_id").alias("seq"), "text")
-    packed = hooks.pack_transcripts(texts, 4000, keep_text=True).select(F.concat_ws("-", "cwd", "bin").alias("bin"), F.col("seq").alias("pos"), "text")
+    chunks = written(C.transcript(c), "transcript-chunks")
+    # a transcript's size is that of its chunks and the line feeds between them
+    sizes = chunks.groupBy(F.col("session_id").alias("seq")).agg((F.sum(S.utf16_length("text")) + F.count("*") - 1).alias("size")).withColumn("cwd", (F.col("seq") % 4).cast("string"))
+    bins = hooks.pack_transcripts(sizes, 4000).select(F.col("seq").alias("session_id"), F.concat_ws("-", "cwd", "bin").alias("bin"))
+    packed = chunks.join(bins, "session_id").select("bin", F.struct("session_id", "chunk").alias("pos"), "text")
     path = new_path(c.sparkSession, "transcripts")
     L.write_transcripts(packed, path)
     return c.sparkSession.read.text(path).groupBy("value").agg(F.count("*").alias("lines"))

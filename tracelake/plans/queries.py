@@ -257,8 +257,15 @@ query("b2_migrate_v2_to_v3", "conv", sql="SELECT session_id, seq, CASE WHEN role
 # context --------------------------------------------------------------------------------------------------------------
 
 query("b19_estimate_tokens", "conv", sql="SELECT session_id, seq, tokens FROM conv")(lambda c: c.withColumn("content", F.array(F.struct(F.lit("text").alias("type"), F.translate("text", "\U0001f600", "").alias("text"), F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))).withColumn("role", F.when(F.col("role") == "system", "custom").otherwise(F.col("role"))).transform(lambda d: d.select("session_id", "seq", C.estimate_tokens(d).alias("tokens"))))
-query("b23_serialize_conversation", "conv", sql="SELECT session_id, string_agg(CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) || chr(10) ORDER BY seq) AS text FROM conv WHERE role IN ('user', 'assistant') AND text != '' GROUP BY session_id")(C.serialize_conversation)
-query("b24_transcript", "conv", sql="SELECT session_id, '=== SESSION: ' || CAST(session_id AS VARCHAR) || ' ===' || chr(10) || string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY seq) || chr(10) || '=== END SESSION ===' AS text FROM conv WHERE role IN ('user', 'assistant') AND trim(text) != '' GROUP BY session_id")(C.transcript)
+def _chunked(part: str, keep: str, separator: str, head: str = "''", tail: str = "''") -> str:
+    return (
+        f"p AS (SELECT session_id, seq, {part} AS part FROM conv WHERE {keep}), s AS (SELECT *, coalesce(sum(length(part) + length({separator})) OVER w, 0) AS before, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM p WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+        f"SELECT session_id, CAST(before // {C.CHUNK_CHARS} AS BIGINT) AS chunk, CASE WHEN min(before) > 0 THEN substr({separator}, 2) ELSE {head} END || string_agg(part, {separator} ORDER BY seq) || CASE WHEN min(back) = 1 THEN {tail} ELSE '' END AS text FROM s GROUP BY session_id, before // {C.CHUNK_CHARS}"
+    )
+
+
+query("b23_serialize_conversation", "conv", sql=_chunked("CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text", "role IN ('user', 'assistant') AND text != ''", "chr(10) || chr(10)"))(C.serialize_conversation)
+query("b24_transcript", "conv", sql=_chunked("'[' || upper(role) || ']' || chr(10) || text", "role IN ('user', 'assistant') AND trim(text) != ''", "chr(10) || '---' || chr(10)", "'=== SESSION: ' || CAST(session_id AS VARCHAR) || ' ===' || chr(10)", "chr(10) || '=== END SESSION ==='"))(C.transcript)
 query("b5_entries_to_context", "tree", sql="SELECT session_id, seq, CASE type WHEN 'compaction' THEN 'compactionSummary' ELSE 'user' END AS role FROM tree WHERE type IN ('compaction', 'message')")(lambda t: C.entries_to_context(t.withColumns({"role": F.lit("user"), "summary": F.lit(None).cast("string")})).select("session_id", "seq", "role"))
 query("c13_should_compact", "conv", sql="t AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM conv GROUP BY 1) SELECT session_id, tokens, tokens > 20000 - 19000 AS compact FROM t")(lambda c: c.groupBy("session_id").agg(F.sum("tokens").alias("tokens")).withColumn("compact", C.should_compact(F.col("tokens"), F.lit(20000), 19000)))
 query("c14_turn_points", "conv", sql="SELECT session_id, seq, role != 'assistant' AS starts, true AS can_cut FROM conv")(lambda c: c.withColumn("role", F.when(F.col("role") == "system", "custom").otherwise(F.col("role"))).select("session_id", "seq", C.turn_start(F.col("role")).alias("starts"), C.cut_point(F.col("role")).alias("can_cut")))
