@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as S
+from tracelake.functions.scans import Scan, scanned
 from tracelake.operators import catalog as K
 from tracelake.operators import context as C
 from tracelake.operators import corpus as D
@@ -302,7 +303,7 @@ query("g4_context_usage", "usage", sql="x AS (SELECT session_id, seq, input + ou
 )
 query("g5_select_branch_budget", "conv", sql="x AS (SELECT session_id, seq, role, tokens, sum(tokens) OVER w AS s FROM conv WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)), y AS (SELECT *, count(*) FILTER (s > 200) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS o FROM x) SELECT session_id, seq FROM y WHERE o = 0 OR (o = 1 AND role = 'system' AND s - tokens < 180)")(lambda c: C.select_branch_budget(c.withColumn("type", F.when(F.col("role") == "system", "branch_summary").otherwise("message")), 200).select("session_id", "seq"))
 query("g9_auto_compaction_decision", "usage", sql="x AS (SELECT *, max(CASE WHEN type = 'compaction' THEN ts END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cts FROM usage) SELECT session_id, seq, CASE WHEN model = 'm3' OR coalesce(ts <= cts, false) THEN 'none' WHEN stop_reason = 'stop' AND input + cache_read > 9000 THEN 'overflow' WHEN stop_reason != 'error' AND input + output + cache_read + cache_write > 9000 - 2000 THEN 'threshold' ELSE 'none' END AS decision FROM x WHERE type = 'message'")(
-    lambda u: C.auto_compaction_decision(u.withColumns({"context_window": F.lit(9000), "error_message": F.lit(None).cast("string"), "compaction_ts": F.max(F.when(F.col("type") == "compaction", F.col("ts"))).over(C.up_to_row()), "current": F.col("model") != "m3"}).filter("type = 'message'"), 2000).select("session_id", "seq", "decision")
+    lambda u: C.auto_compaction_decision(scanned(u, compaction_ts=Scan("max", F.when(F.col("type") == "compaction", F.col("ts")))).withColumns({"context_window": F.lit(9000), "error_message": F.lit(None).cast("string"), "current": F.col("model") != "m3"}).filter("type = 'message'"), 2000).select("session_id", "seq", "decision")
 )
 query("g15_retry_episodes", "usage", sql="x AS (SELECT *, count(*) FILTER (stop_reason != 'error') OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM usage) SELECT session_id, min(seq) AS first_seq, count(*) AS attempts, 2.0 * (pow(2, least(count(*), 3)) - 1) AS backoff_s FROM x WHERE stop_reason = 'error' GROUP BY session_id, run")(lambda u: C.retry_episodes(u, F.col("stop_reason") == "error"))
 _PACK = "CASE WHEN r.size > 5000 OR f.used IS NULL OR f.used + r.size + 2 > 5000 THEN f.bin + 1 ELSE f.bin END, CASE WHEN r.size > 5000 THEN NULL WHEN f.used IS NULL OR f.used + r.size + 2 > 5000 THEN r.size ELSE f.used + r.size + 2 END"
@@ -371,7 +372,7 @@ def edit_pairs(c: DataFrame) -> DataFrame:
 
 _PAIR = "e AS (SELECT doc_id, text AS o, left(text, 10) || '¶' || substr(text, 14) AS n FROM corpus WHERE length(text) > 20)"
 query("b12_analyze_replacements", "corpus", sql=f"{_PAIR} SELECT doc_id, CAST(strlen(o) AS BIGINT) AS old_bytes, CAST(strlen(n) AS BIGINT) AS new_bytes, CAST(strlen(left(o, 10)) AS BIGINT) AS prefix_bytes, CAST(strlen(substr(o, 14)) AS BIGINT) AS suffix_bytes, CAST(strlen(substr(o, 11, 3)) + 2 AS BIGINT) AS core_bytes, CAST(strlen(o) + strlen(n) AS DOUBLE) / (strlen(substr(o, 11, 3)) + 2) AS inflation FROM e")(lambda c: A.analyze_replacements(edit_pairs(c)).select("doc_id", "old_bytes", "new_bytes", "prefix_bytes", "suffix_bytes", "core_bytes", "inflation"))
-def edits_of(c: DataFrame) -> DataFrame:
+def document_edits(c: DataFrame) -> DataFrame:
     """For each document: two edits that overlap, one that it lacks, an empty one, a letter, one that is only found fuzzily (but in English), and one with CRLF."""
     piece = lambda at, n: F.substring("text", at, n)
     olds = [piece(11, 60), piece(51, 40), F.concat(F.lit("☃ none "), F.col("doc_id").cast("string")), F.lit(""), F.lit("e"), F.when(F.col("lang") != "en", F.replace(piece(101, 30), F.lit(" "), F.lit("\u00a0"))), F.replace(piece(201, 80), F.lit("\n"), F.lit("\r\n"))]
@@ -387,7 +388,7 @@ query(
     "s AS (SELECT doc_id, edit_no, times, n, CASE WHEN loose THEN b ELSE a END AS pos, CASE WHEN (CASE WHEN loose THEN b ELSE a END) = 0 THEN 'not_found' WHEN times > 1 THEN 'multiple' WHEN a > 0 THEN 'exact' ELSE 'fuzzy' END AS status FROM g), "
     "p AS (SELECT *, max(pos + n) FILTER (status IN ('exact', 'fuzzy')) OVER (PARTITION BY doc_id ORDER BY CASE WHEN status IN ('exact', 'fuzzy') THEN pos END NULLS FIRST, edit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM s) "
     "SELECT doc_id, CAST(edit_no AS INTEGER) AS edit_no, status, CASE WHEN pos > 0 THEN pos - 1 END AS start, CASE WHEN pos > 0 THEN n END AS size, times AS occurrences, coalesce(status IN ('exact', 'fuzzy') AND pos < stop, false) AS overlaps FROM p UNION ALL SELECT doc_id, edit_no, 'empty', NULL, NULL, 0, false FROM e WHERE coalesce(o, '') = ''",
-)(lambda c: E.check_edits(edits_of(c), c).drop("old"))
+)(lambda c: E.check_edits(document_edits(c), c).drop("old"))
 
 # catalog --------------------------------------------------------------------------------------------------------------
 
