@@ -182,3 +182,33 @@ def test_state_table_commits(spark, tmp_path, monkeypatch):
     assert len(table.commits()) == tables.COMMITS_KEPT
     kept = {(v, b) for n in table.commits() for b, v in table.live(n).items()}
     assert kept == {(int(f[2:]), int(b[7:])) for f in table.names("") if f.startswith("v=") for b in table.names(f) if b.startswith("bucket=")}
+
+
+def test_tail_ranges(tmp_path, monkeypatch):
+    """Many small files are one task's, a large file is several tasks', and each line is read once, whatever the cuts."""
+    from pyarrow import fs
+
+    (tmp_path / "logs").mkdir()
+    for k in range(300):
+        (tmp_path / "logs" / f"{k:03}.jsonl").write_text("a\nbb\n")
+    reader = live.TailReader({"path": str(tmp_path / "logs")})
+    assert len(reader.partitions({}, reader.latestOffset())) <= 2
+    texts = ["".join("x" * (n % 23) + "\r" * (n % 5 == 0) + "\n" for n in range(200)), "\n" * 90, "y" * 500 + "\n", "z\n" * 64 + "open"]
+    for k, text in enumerate(texts):
+        (tmp_path / "logs" / f"long{k}.jsonl").write_bytes(text.encode())
+    before = {p: n for p, n in reader.latestOffset().items() if "long" not in p} | {str(tmp_path / "logs" / "long1.jsonl"): 7}
+    for size in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(live, "TAIL_BYTES", size)
+        monkeypatch.setattr(live, "OPEN_BYTES", 1)
+        parts = reader.partitions(before, reader.latestOffset())
+        got = sorted((r["file_path"][-7], r["at"], r["line"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
+        want = []
+        for k, text in enumerate(texts):
+            at = 0
+            for line in text.split("\n")[:-1]:
+                want += [(str(k), at, line.rstrip("\r"))] if k != 1 or at >= 7 else []
+                at += len(line) + 1
+        assert got == sorted(want)
+    store, _ = fs.FileSystem.from_uri(str(tmp_path))
+    for chunk in (1, 3, 50):
+        assert [x for _, x in live.lines_of(store, str(tmp_path / "logs" / "long0.jsonl"), 0, 10**6, len(texts[0]), chunk)] == [x.encode() for x in texts[0].split("\n")[:-1]]

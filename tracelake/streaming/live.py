@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +24,24 @@ from tracelake.functions.tables import BucketTable
 NOISE_TOKENS = 1_024
 
 
+#: Bytes that one task of the tail reads, and what opening a file counts for among them.
+TAIL_BYTES, OPEN_BYTES = 16 << 20, 64 << 10
+#: Files that are searched for their last whole line at a time, and bytes of text in a batch of lines.
+TAIL_THREADS, BATCH_BYTES = 16, 4 << 20
+
+
 class TailPartition(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Ranges of files (path, start, stop, end): the lines that begin in [start, stop), a line's end being at most ``end``."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 class TailReader(DataSourceStreamReader):
     """Offsets are bytes read of each file. Only whole lines are read: a last line without its line feed waits.
 
-    Files lie on any file system that an address names. Each trigger lists them; only files that have grown are opened.
+    Files lie on any file system that an address names. Each trigger lists them; only files that have grown are opened. A task reads ranges of
+    ``TAIL_BYTES`` in all: many small files, or a part of a large one.
     """
 
     def __init__(self, options: dict):
@@ -42,31 +53,65 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         store, top = fs.FileSystem.from_uri(self.top)
-        found = {}
-        for info in store.get_file_info(fs.FileSelector(top, recursive=True)):
-            if info.is_file and info.path.endswith(".jsonl"):
-                size, end = self.known.get(info.path, (-1, 0))
-                if info.size != size:
-                    end = whole_lines_end(store, info.path)
-                    self.known[info.path] = (info.size, end)
-                if end:
-                    found[info.path] = end
-        return found
+        files = {i.path: i.size for i in store.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file and i.path.endswith(".jsonl")}
+        grown = [p for p, size in files.items() if self.known.get(p, (-1, 0))[0] != size]
+        with ThreadPoolExecutor(TAIL_THREADS) as pool:
+            for p, end in zip(grown, pool.map(lambda p: whole_lines_end(store, p), grown), strict=True):
+                self.known[p] = (files[p], end)
+        return {p: self.known[p][1] for p in files if self.known[p][1]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [TailPartition(p, start.get(p, 0), e) for p, e in sorted(end.items()) if e > start.get(p, 0)]
-
-    def read(self, partition: TailPartition) -> Iterator[tuple]:
+        out, held, size = [], [], 0
+        for path, last in sorted(end.items()):
+            first = start.get(path, 0)
+            for at in range(first, last, TAIL_BYTES):
+                stop = min(at + TAIL_BYTES, last)
+                cost = max(stop - at, OPEN_BYTES)
+                if held and size + cost > TAIL_BYTES:
+                    out.append(TailPartition(held))
+                    held, size = [], 0
+                # of a range that isn't its file's first, the place says nothing of where its first line begins
+                held.append((path, at if at == first else -at, stop, last))
+                size += cost
+        return out + [TailPartition(held)] if held else out
+
+    def read(self, partition: TailPartition) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.top)
-        with store.open_input_file(partition.path) as f:
-            f.seek(partition.start)
-            at, held = partition.start, b""
-            while at + len(held) < partition.end:
-                held += f.read(min(1 << 20, partition.end - at - len(held)))
-                *lines, held = held.split(b"\n")
-                for line in lines:
-                    yield partition.path, at, line.rstrip(b"\r").decode("utf-8", "replace")
-                    at += len(line) + 1
+        rows, size = [], 0
+        for path, start, stop, end in partition.ranges:
+            for at, line in lines_of(store, path, start, stop, end):
+                rows.append((path, at, line.rstrip(b"\r").decode("utf-8", "replace")))
+                size += len(line) + 100
+                if size > BATCH_BYTES:
+                    yield tail_batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield tail_batch(rows)
+
+
+def tail_batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["file_path", "at", "line"])
+
+
+def lines_of(store: fs.FileSystem, path: str, start: int, stop: int, end: int, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of a file's lines that begin in [start, stop). ``start`` below 0: at its amount or later, after a line feed."""
+    with store.open_input_file(path) as f:
+        place = start if start >= 0 else -start - 1
+        f.seek(place)
+        at, skip, held = place, start < 0, []
+        while place < end and at < stop:
+            text = f.read(min(chunk, end - place))
+            if not text:
+                raise OSError(f"{path} has become shorter than {end} bytes")
+            place += len(text)
+            first, *more = text.split(b"\n")
+            held.append(first)
+            if more:
+                for line in (b"".join(held), *more[:-1]):
+                    if not skip and at < stop:
+                        yield at, line
+                    skip, at = False, at + len(line) + 1
+                held = more[-1:]
 
 
 def whole_lines_end(store: fs.FileSystem, path: str, chunk: int = 1 << 16) -> int:
