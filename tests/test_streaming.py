@@ -212,3 +212,22 @@ def test_tail_ranges(tmp_path, monkeypatch):
     store, _ = fs.FileSystem.from_uri(str(tmp_path))
     for chunk in (1, 3, 50):
         assert [x for _, x in live.lines_of(store, str(tmp_path / "logs" / "long0.jsonl"), 0, 10**6, len(texts[0]), chunk)] == [x.encode() for x in texts[0].split("\n")[:-1]]
+
+
+def test_fold_groups(spark, tmp_path):
+    """Messages share groups, each with its own time-out: of one group some are sent, some abandoned, and some are still open."""
+    rows = [(n, k, t, 0, f"{n}" if k == 1 else None, None) for n in range(200) for k, t in enumerate(("text_start", "text_delta", "done")) if n % 4 or k < 2]
+    late = [(200, 0, "text_start", 0, None, None), (0, 2, "done", None, None, "stop")]
+    times = lambda df, s: df.withColumn("event_ts", F.expr(f"timestamp'2025-01-01 00:00:00' + make_dt_interval(0, 0, {s}, 0)"))
+    source = tmp_path / "in"
+    checkpoint, got = str(tmp_path / "cp"), []
+    # 0: all but every fourth; 5 minutes: 0 ends; 1 day: the open ones are too old, and the last is open
+    lots = (times(delta(spark, rows), 0), times(delta(spark, late[1:]), 5), times(delta(spark, late[:1]), 1440), times(delta(spark, [(201, 0, "text_start", 0, None, None)]), 1441))
+    for k, lot in enumerate(lots):
+        lot.coalesce(1).write.parquet(str(source / f"{k}"))
+        stream = live.fold_deltas(spark.readStream.schema(lot.schema).option("recursiveFileLookup", True).parquet(str(source)))
+        stream.writeStream.outputMode("append").foreachBatch(lambda df, n: got.extend(df.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = {r["message_no"]: (r["status"], r["n_events"]) for r in got}
+    assert len(found) == len(got)
+    assert found == {n: ("done", 3) if n % 4 or n == 0 else ("abandoned", 2) for n in range(200)}
+    assert live.FOLD_BLOCK > 1 and all(json.loads(r["content"])[0]["body"] == str(r["message_no"]) for r in got)

@@ -7,7 +7,7 @@ taken when it comes. Each operator gives on a finished stream what its batch for
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -180,39 +180,63 @@ def fold_message(events: list[dict]) -> dict:
 FOLDED = "session_id string, message_no long, status string, stop_reason string, error string, faults int, n_events long, content string"
 
 
+#: Neighbouring messages of a session that share a group, and so a call, and a state; milliseconds after which an open one is abandoned.
+FOLD_BLOCK, FOLD_MS = 64, 600_000
+FOLD_FIELDS = ("seq", "type", "content_index", "delta", "content_signature", "tool_call_id", "tool_name", "reason", "error_message")
+
+
+def plain_lists(b: pd.DataFrame, columns: Sequence[str]) -> list[list]:
+    """Columns as lists, with None for what is null."""
+    return [[None if x is None or x != x else x for x in b[c].tolist()] for c in columns]
+
+
 def fold_deltas(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Final messages of delta events, when their last event is in; those left open come as ``abandoned`` after the watermark.
 
     Rows: session_id, message_no, seq (from 0), event_ts, type, content_index, delta, content_signature, tool_call_id, tool_name,
-    reason, error_message. Events out of order are held until those before them are in. ``content`` is JSON.
+    reason, error_message. Events out of order are held until those before them are in. ``content`` is JSON. ``FOLD_BLOCK`` neighbouring messages of a
+    session are one group, each with its own time-out; a call for every message costs far more than what it does.
     """
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, sent = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
-        if state.hasTimedOut:
-            state.remove()
+        # message to [time-out, sent, events held]; of a message that is sent, only that is kept
+        messages = {m: x for m, *x in json.loads(state.get[0])} if state.exists else {}
+        now, out, newest = state.getCurrentWatermarkMs(), [], {}
+        for b in [] if state.hasTimedOut else batches:
+            for m, ms, *event in zip(*plain_lists(b, ("message_no", "ms", *FOLD_FIELDS)), strict=True):
+                m = None if m is None else int(m)
+                newest[m] = max(newest.get(m, 0), int(ms or 0))
+                own = messages.setdefault(m, [0, False, []])
+                if not own[1]:
+                    own[2].append(event)
+        for m, ms in newest.items():
+            own = messages[m]
+            own[0] = max(now, ms) + FOLD_MS
+            by_seq = {e[0]: e for e in own[2]}
+            ready = []
+            while len(ready) in by_seq:
+                ready.append(by_seq[len(ready)])
+            if any(e[1] in ("done", "error") for e in ready):
+                out.append(row(key, m, ready, None))
+                own[1:] = [True, []]
+        for m in [m for m, own in messages.items() if own[0] < now]:
+            _, sent, held = messages.pop(m)
             if not sent:
-                yield row(key, held, "abandoned")
-            return
-        newest = 0
-        for b in batches:
-            newest = max(newest, int(b["event_ts"].max().timestamp() * 1000))
-            held += json.loads(b.drop(columns=["event_ts"]).to_json(orient="records")) if not sent else []
-        by_seq = {e["seq"]: e for e in held}
-        ready = []
-        while len(ready) in by_seq:
-            ready.append(by_seq[len(ready)])
-        if not sent and any(e["type"] in ("done", "error") for e in ready):
-            yield row(key, ready, None)
-            held, sent = [], True
-        state.update((json.dumps(held), sent))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + 600_000)
-
-    def row(key, found: list[dict], status: str | None) -> pd.DataFrame:
-        m = fold_message(sorted(found, key=lambda e: e["seq"]))
-        return pd.DataFrame([{"session_id": key[0], "message_no": key[1], "status": status or m["status"], "stop_reason": m["stop_reason"], "error": m["error"], "faults": m["faults"], "n_events": len(found), "content": json.dumps(m["content"], sort_keys=True)}])
-
-    return events.withWatermark("event_ts", delay).groupBy("session_id", "message_no").applyInPandasWithState(fold, FOLDED, "held string, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+                out.append(row(key, m, held, "abandoned"))
+        if messages:
+            state.update((json.dumps([[m, *x] for m, x in messages.items()]),))
+            state.setTimeoutTimestamp(min(x[0] for x in messages.values()))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in FOLDED.split(", ")])
+
+    def row(key, number: int | None, found: list[list], status: str | None) -> tuple:
+        m = fold_message([dict(zip(FOLD_FIELDS, e, strict=True)) for e in sorted(found, key=lambda e: e[0])])
+        return key[0], number, status or m["status"], m["stop_reason"], m["error"], m["faults"], len(found), json.dumps(m["content"], sort_keys=True)
+
+    rows = events.withWatermark("event_ts", delay).select("session_id", F.floor(F.col("message_no") / FOLD_BLOCK).alias("block"), "message_no", "event_ts", F.unix_millis("event_ts").alias("ms"), *FOLD_FIELDS)
+    return rows.groupBy("session_id", "block").applyInPandasWithState(fold, FOLDED, "messages string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tool_durations(events: DataFrame, delay: str = "10 minutes", most: str = "1 hour") -> DataFrame:
