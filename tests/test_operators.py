@@ -515,6 +515,23 @@ def test_resolve_model_refs(spark):
     assert found == {t: t if t in ids else max((m for m in ids if t in m), default=None) for t in texts}
 
 
+def test_model_candidates(spark):
+    """Texts and globs meet few more models than they mean: candidates grow with the texts, not with texts times models."""
+
+    def candidates(n):
+        models = [(k, p, f"ring-{k:07}", f"{p}/ring-{k:07}", f"ring-{k:07}", 3, "") for p in "pq" for k in range(n)]
+        models = spark.createDataFrame(models, "no long, provider string, model string, full string, id string, id_at int, name string").withColumn("no", F.col("no") * 2 + (F.col("provider") == "q").cast("int"))
+        counts = K.gram_counts(models)
+        rare = K.rare_runs(spark.createDataFrame([(f"ring-{k:07}",) * 2 for k in range(n)], "text string, low string"), counts)
+        globs = K.glob_runs(spark.createDataFrame([(f"*-{k:06}?",) * 2 for k in range(n // 10)], "ref string, text string"), counts)
+        postings = K.postings_of(models, rare, globs)
+        assert K.glob_models(globs, models, postings).count() == 2 * n and K.long_models(rare, models, postings).count() == n
+        return rare.join(postings, "gram").count() / n, globs.join(postings, "gram").count() / (n // 10)
+
+    few, many = candidates(300), candidates(3000)
+    assert max(many) <= 200 and all(b <= 2 * a for a, b in zip(few, many, strict=True))
+
+
 def test_scans_over_chunks(spark, monkeypatch):
     """Sessions of many chunks give what one chunk gives: running values, and the operators on them; no window holds a session."""
     rng = random.Random(21)

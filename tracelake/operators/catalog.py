@@ -71,14 +71,31 @@ def union_catalogs(sources: Sequence[DataFrame], wins: str = "first", exclude: D
     return every.withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy(order))).filter("_n = 1").drop("_n", "_source")
 
 
-def gram_index(models: DataFrame) -> DataFrame:
-    """Postings of all runs of one, two and three letters: (gram, kind, pos, model's columns). ``kind``: the full name, or the display name; ``pos`` from 1."""
-    text = F.when(F.col("kind") == "full", F.col("full")).otherwise(F.col("name"))
-    rows = models.withColumn("kind", F.explode(F.array(F.lit("full"), F.lit("name")))).withColumn("_text", text).filter("_text != ''")
+#: Lengths of the runs of letters by which longer texts are looked up: the longest that a text has.
+RUNS = (48, 24, 12, 6, 3)
+
+
+def grams_of(models: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Postings of all runs of some lengths: (no, kind, pos, gram). ``kind``: the full name, or the display name; ``pos`` from 1."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("_text")) for k, c in (("full", "full"), ("name", "name"))))
+    rows = models.select("no", F.explode(kinds).alias("k")).select("no", "k.*").filter("_text != ''")
     rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("_text"))))
-    rows = rows.withColumn("gram", F.explode(F.array(*(F.substring(F.col("_text"), F.col("pos"), F.lit(n)) for n in (1, 2, 3)))))
-    # at the end of a text the longer runs are cut short: each is one of the shorter ones there, and counts once
-    return rows.drop("_text").distinct()
+    run = lambda n: F.when(F.col("pos") + (n - 1) <= F.length("_text"), F.substring(F.col("_text"), F.col("pos"), F.lit(n)))
+    return rows.select("no", "kind", "pos", F.explode(F.array_compact(F.array(*map(run, lengths)))).alias("gram"))
+
+
+def gram_counts(models: DataFrame) -> DataFrame:
+    """How many postings each run of one, two and three letters has, ``n``, and how many of them in full names, ``n_full``."""
+    return written(grams_of(models, (1, 2, 3)).groupBy("gram").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "full").alias("n_full")), "model-gram-counts")
+
+
+def widened(text: str, offset: str) -> tuple[Column, Column]:
+    """(gram, offset): the run of a text, as long as ``RUNS`` has it, about the three letters at an offset from 0. Shorter texts are their own run."""
+    length, size = F.length(text), F.lit(None).cast("int")
+    for n in RUNS:
+        size = F.coalesce(size, F.when(length >= n, n))
+    start = F.greatest(F.lit(0), F.least(F.col(offset) - F.floor((size - 3) / 2).cast("int"), length - size))
+    return F.coalesce(F.substring(F.col(text), start + 1, size), F.col(text)), F.coalesce(start, F.lit(0))
 
 
 def best_of(found: DataFrame, *key: str) -> DataFrame:
@@ -100,47 +117,65 @@ def exact_models(texts: DataFrame, models: DataFrame) -> DataFrame:
     return out.filter("whole != ''").select("text", found.alias("m")).filter("m IS NOT NULL").select("text", "m.provider", "m.model")
 
 
-def partial_models(texts: DataFrame, models: DataFrame, index: DataFrame) -> DataFrame:
-    """(text, provider, model): of the models whose id or name holds the text, the preferred one.
+def short_models(asked: DataFrame, models: DataFrame) -> DataFrame:
+    """(text, provider, model) of texts of up to three letters: these are runs themselves, whose preferred models are worked out once for each."""
+    few = written(asked.filter(F.length("low") <= 3), "model-short-texts")
+    found = grams_of(models, (1, 2, 3)).join(few.select(F.col("low").alias("gram")).distinct(), "gram").join(models, "no").filter((F.col("kind") == "name") | (F.col("pos") >= F.col("id_at")))
+    best = best_of(found.select("gram", "provider", "model").unionByName(models.select(F.lit("").alias("gram"), "provider", "model")), "gram")
+    return few.join(best, F.col("low") == F.col("gram")).select("text", "provider", "model")
 
-    Texts of up to three letters are keys of the index, whose preferred models are worked out once for each key. Longer ones look up
-    the postings of their rarest run of three letters only; a posting tells where the text would begin, and is compared there.
-    """
-    in_id = (F.col("kind") == "name") | (F.col("pos") >= F.col("id_at"))
-    short = best_of(index.filter(in_id).select("gram", "provider", "model").unionByName(models.select(F.lit("").alias("gram"), "provider", "model")), "gram")
-    asked = texts.select("text", F.lower("text").alias("low"))
-    few = asked.filter(F.length("low") <= 3).join(short, F.col("low") == F.col("gram")).select("text", "provider", "model")
-    common = index.filter("length(gram) = 3").groupBy("gram").agg(F.count("*").alias("n"))
+
+def rare_runs(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(text, low, gram, offset): the run by which a text of more than three letters is looked up, about its rarest three; none if the models lack those."""
     offsets = asked.filter("length(low) > 3").withColumn("offset", F.explode(F.sequence(F.lit(0), F.length("low") - 3)))
-    offsets = offsets.withColumn("gram", F.substring(F.col("low"), F.col("offset") + 1, F.lit(3))).join(common, "gram", "left")
-    rarest = offsets.groupBy("text", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "offset")).alias("r")).filter("r.n > 0").select("text", "low", "r.gram", "r.offset")
+    offsets = offsets.withColumn("gram", F.substring(F.col("low"), F.col("offset") + 1, F.lit(3))).join(counts, "gram", "left")
+    rarest = offsets.groupBy("text", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "offset")).alias("r")).filter("r.n > 0").select("text", "low", F.col("r.offset").alias("at"))
+    gram, offset = widened("low", "at")
+    return rarest.select("text", "low", gram.alias("gram"), offset.alias("offset"))
+
+
+def long_models(rare: DataFrame, models: DataFrame, postings: DataFrame) -> DataFrame:
+    """(text, provider, model): of the models whose id or name holds the text, the preferred one. A posting tells where the text would begin, and is compared there."""
     begin = F.col("pos") - F.col("offset")
     there = F.substring(F.when(F.col("kind") == "full", F.col("full")).otherwise(F.col("name")), begin, F.length("low")) == F.col("low")
-    long = rarest.join(index, "gram").filter((begin >= F.when(F.col("kind") == "full", F.col("id_at")).otherwise(1)) & there)
-    return few.unionByName(best_of(long, "text"))
+    found = rare.join(postings, "gram").join(models, "no").filter((begin >= F.when(F.col("kind") == "full", F.col("id_at")).otherwise(1)) & there)
+    return best_of(found, "text")
 
 
-def glob_models(asked: DataFrame, models: DataFrame, index: DataFrame) -> DataFrame:
-    """(ref, provider, model): all models whose ``provider/model`` or id matches a glob; ``*`` and ``?`` don't cross a slash, ``**`` does.
+def glob_runs(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """Globs with the ``pattern`` they mean and the run, ``gram``, by which they are looked up; ``*`` and ``?`` don't cross a slash, ``**`` does.
 
-    A glob looks up its rarest run of letters between wildcards and sets. One without any letter meets all models: it asks for them.
+    The run is taken about the rarest three letters between wildcards and sets. A glob without any letter has an empty one, which all models have.
     """
     escaped = F.regexp_replace("text", r"([.+(){}^$|\\])", r"\\$1")
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, r"\[!", "[^"), r"\*\*", "\u0001"), r"\*", "[^/]*"), r"\?", "[^/]"), "\u0001", ".*")
     open_ = asked.withColumn("pattern", F.concat(F.lit("^"), pattern, F.lit("$")))
     plain = F.filter(F.split(F.regexp_replace("text", r"\[[^\]]*\]?", "*"), r"[*?]+"), lambda x: x != "")
-    runs = lambda x, n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda k: F.substring(x, k, F.lit(n))))
-    # the longest runs that a piece has: three letters, else all of it
-    grams = F.flatten(F.transform(plain, lambda x: F.coalesce(runs(x, 3), F.array(x))))
-    common = index.filter("kind = 'full'").groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = open_.select("ref", F.explode(F.array_distinct(grams)).alias("gram")).join(common, "gram", "left")
-    rarest = wanted.groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("ref", "g.gram")
-    keyed = open_.join(rarest, "ref", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
-    postings = index.filter("kind = 'full'").select("gram", "provider", "model", "full", "id").unionByName(models.select(F.lit("").alias("gram"), "provider", "model", "full", "id"))
-    met = keyed.join(postings, "gram").filter(F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("id"), F.col("pattern")))
+    # three letters, else all of a piece
+    run = lambda x, k: F.struct(F.substring(x, k + 1, F.lit(3)).alias("gram"), k.alias("at"), x.alias("piece"))
+    runs = F.flatten(F.transform(plain, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(x) - 3)), lambda k: run(x, k))))
+    wanted = open_.select("ref", F.explode(runs).alias("r")).select("ref", "r.*").join(counts, "gram", "left")
+    rarest = wanted.groupBy("ref").agg(F.min(F.struct(F.coalesce("n_full", F.lit(0)).alias("n"), "gram", "at", "piece")).alias("g")).select("ref", "g.at", "g.piece")
+    return open_.join(rarest.select("ref", widened("piece", "at")[0].alias("gram")), "ref", "left").withColumn("gram", F.coalesce("gram", F.lit("")))
+
+
+def glob_models(keyed: DataFrame, models: DataFrame, postings: DataFrame) -> DataFrame:
+    """(ref, provider, model): all models whose ``provider/model`` or id matches a glob."""
+    places = postings.filter("kind = 'full'").select("gram", "no").distinct().unionByName(models.select(F.lit("").alias("gram"), "no"))
+    met = keyed.join(places, "gram").join(models, "no").filter(F.rlike(F.col("full"), F.col("pattern")) | F.rlike(F.col("id"), F.col("pattern")))
     return met.select("ref", "provider", "model").distinct()
 
 
+def postings_of(models: DataFrame, *askers: DataFrame) -> DataFrame:
+    """Postings of the runs that are asked for."""
+    wanted = None
+    for x in askers:
+        wanted = x.select("gram") if wanted is None else wanted.unionByName(x.select("gram"))
+    wanted = written(wanted.filter("gram != ''").distinct(), "model-grams-wanted")
+    lengths = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())  # at most seven numbers
+    return written(grams_of(models, lengths or [1]).join(wanted, "gram"), "model-postings")
+
+
 def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") -> DataFrame:
     """Models that free-text references mean: (ref, provider, model, level, how, unknown_level). Unmatched references have null models.
 
@@ -151,13 +186,13 @@ def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
     """
     name = F.lower("name") if "name" in catalog.columns else F.lit("")
     models = catalog.filter("provider IS NOT NULL AND model IS NOT NULL").select("provider", "model", F.lower(F.concat_ws("/", "provider", "model")).alias("full"), F.lower("model").alias("id"), (F.length("provider") + 2).alias("id_at"), F.coalesce(name, F.lit("")).alias("name")).distinct()
-    models = written(models, "models")
-    index = written(gram_index(models), "model-grams")
+    models = written(models.withColumn("no", F.monotonically_increasing_id()), "models")
+    counts = gram_counts(models)
     asked = written(refs.filter(F.col(ref).isNotNull()).select(F.col(ref).alias("ref")).distinct(), "model-refs")
     glob = F.col("ref").rlike(r"[*?\[]")
     level = F.regexp_extract("ref", ":(" + "|".join(LEVELS) + ")$", 1)
     globs = asked.filter(glob).select("ref", F.when(level != "", level).alias("level"), F.lower(F.when(level != "", F.regexp_replace("ref", ":[a-z]+$", "")).otherwise(F.col("ref"))).alias("text"))
-    many = globs.select("ref", "level").join(glob_models(globs, models, index), "ref").withColumns({"how": F.lit("glob"), "unknown_level": F.lit(False)})
+    globs = written(glob_runs(globs, counts), "model-globs")
 
     parts = F.split("ref", ":", -1)
     tries = asked.filter(~glob).select("ref", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("off"))
@@ -167,7 +202,11 @@ def resolve_model_refs(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
     tries = written(tries, "model-tries")
     texts = tries.select("text").distinct()
     exact = written(exact_models(texts, models), "model-exact")
-    partial = partial_models(texts.join(exact, "text", "left_anti"), models, index)
+    rest = texts.join(exact, "text", "left_anti").select("text", F.lower("text").alias("low"))
+    rare = written(rare_runs(rest, counts), "model-rare-runs")
+    postings = postings_of(models, rare, globs)
+    many = globs.select("ref", "level").join(glob_models(globs, models, postings), "ref").withColumns({"how": F.lit("glob"), "unknown_level": F.lit(False)})
+    partial = short_models(rest, models).unionByName(long_models(rare, models, postings))
     found = exact.withColumn("how", F.lit("exact")).unionByName(partial.withColumn("how", F.lit("contains")))
     single = tries.join(found, "text").groupBy("ref").agg(F.min_by(F.struct("level", "provider", "model", "how", "unknown_level"), "off").alias("m")).select("ref", "m.*")
     hits = many.unionByName(single)
