@@ -195,3 +195,16 @@ def test_tables_in_increments(spark, tmp_path):
     assert [(r["session_id"], r["entry_seq"]) for r in found.collect()] == [("s4", 102)]
     leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
     assert leaf.metrics().apply("numOutputRows").value() < 400
+
+
+def test_files_are_opened_once(spark, folder, tmp_path):
+    """What is read more than once is the table of parsed lines, not the files; calls need no join for their times, and an exported branch's tree is worked out once."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sessions, entries = L.read_session_logs(spark, folder)
+    calls = L.calls_of(entries)
+    for df in (sessions, entries, calls, L.results_of(entries), *L.validate_session_logs(L.read_lines(spark, folder))):
+        assert "FileScan text" not in plan(df) and "Scan text" not in plan(df)
+    assert plan(calls).count("Join") == plan(entries).count("Join")
+    assert calls.filter("ts IS NULL").count() == 0 and calls.count() == 1
+    rows = L.export_branch_jsonl(L.as_tree(entries), str(tmp_path / "b"))
+    assert rows.count() == 1
