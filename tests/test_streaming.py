@@ -231,3 +231,10 @@ def test_fold_groups(spark, tmp_path):
     assert len(found) == len(got)
     assert found == {n: ("done", 3) if n % 4 or n == 0 else ("abandoned", 2) for n in range(200)}
     assert live.FOLD_BLOCK > 1 and all(json.loads(r["content"])[0]["body"] == str(r["message_no"]) for r in got)
+
+
+def test_state_takes_its_columns_only(usage):
+    """What isn't folded doesn't go to Python."""
+    wide = usage.withColumn("payload", F.concat(F.lit("x"), F.col("seq").cast("string")))
+    plan = live.live_session_state(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload" not in plan and "cost_micro" in plan

@@ -263,32 +263,38 @@ def live_session_state(usage: DataFrame) -> DataFrame:
     is JSON, target to label.
     """
 
+    marks_used = [c for c in ("name", "thinking_level", "label_target", "label") if c in usage.columns]
+    used = ["seq", "type", "provider", "model", *STATE_COLUMNS, *marks_used]
+    columns = [x.split(" ")[0] for x in LIVE.split(", ")]
+    names, has = columns[1:], set(marks_used)
+
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in LIVE.split(", ")][1:]
         s = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names, 0) | {"last_seq": -1, "provider": None, "model": None, "name": None, "name_seq": -1, "thinking_level": None, "level_seq": -1, "labels": "{}"}
         marks = json.loads(s["labels"])
         for b in batches:
-            b = b.sort_values("seq")
-            s["messages"] += int((b["type"] == "message").sum())
-            s["compactions"] += int((b["type"] == "compaction").sum())
+            # lists, not frames: most sessions have few rows in a batch, and a frame's every step costs more than those
+            rows = dict(zip(used, plain_lists(b, used), strict=True))
+            s["messages"] += rows["type"].count("message")
+            s["compactions"] += rows["type"].count("compaction")
             for c in STATE_COLUMNS:
-                s[c] += int(b[c].sum())
-            own = b[b["type"] == "message"]
-            if len(own) and int(own["seq"].iloc[-1]) > s["last_seq"]:
-                s |= {"last_seq": int(own["seq"].iloc[-1]), "provider": own["provider"].iloc[-1], "model": own["model"].iloc[-1]}
+                s[c] += int(sum(x for x in rows[c] if x is not None))
+            own = max(((q, k) for k, (q, t) in enumerate(zip(rows["seq"], rows["type"], strict=True)) if t == "message" and q is not None), default=None)
+            if own and own[0] > s["last_seq"]:
+                s |= {"last_seq": int(own[0]), "provider": rows["provider"][own[1]], "model": rows["model"][own[1]]}
             for column, place in (("name", "name_seq"), ("thinking_level", "level_seq")):
-                given = b[b[column].notna()] if column in b else b[:0]
-                if len(given) and int(given["seq"].iloc[-1]) > s[place]:
-                    s |= {column: given[column].iloc[-1], place: int(given["seq"].iloc[-1])}
-            given = b[b["label_target"].notna()] if "label_target" in b else b[:0]
-            for q, target, label in zip(given["seq"], given["label_target"], given["label"], strict=True) if len(given) else ():
-                if int(q) > marks.get(target, ["", -1])[1]:
+                given = max(((q, k) for k, (q, x) in enumerate(zip(rows["seq"], rows[column], strict=True)) if x is not None and q is not None), default=None) if column in has else None
+                if given and given[0] > s[place]:
+                    s |= {column: rows[column][given[1]], place: int(given[0])}
+            for q, target, label in sorted(zip(rows["seq"], rows["label_target"], rows["label"], strict=True), key=lambda r: -1 if r[0] is None else r[0]) if "label_target" in has else ():
+                if target is not None and q is not None and q > marks.get(target, ["", -1])[1]:
                     marks[target] = [label or "", int(q)]
         s["labels"] = json.dumps(marks)
         state.update(tuple(s.values()))
-        yield pd.DataFrame([{"session_id": key[0]} | s | {"labels": json.dumps({k: v for k, (v, _) in sorted(marks.items()) if v})}])
+        shown = json.dumps({k: v for k, (v, _) in sorted(marks.items()) if v})
+        yield pd.DataFrame([(key[0], *(s | {"labels": shown}).values())], columns=columns)
 
-    return usage.groupBy("session_id").applyInPandasWithState(fold, LIVE, LIVE.split(", ", 1)[1], "update", GroupStateTimeout.NoTimeout)
+    # only what is folded goes to Python: each column costs as much as a session's rows
+    return usage.select("session_id", *used).groupBy("session_id").applyInPandasWithState(fold, LIVE, LIVE.split(", ", 1)[1], "update", GroupStateTimeout.NoTimeout)
 
 
 MISS = "session_id long, seq long, missed long, idle_s double, model_changed boolean"
