@@ -690,6 +690,30 @@ def test_passage_runs():
     assert passages.runs([], [1]) == [] and passages.runs([1], [2]) == [] and passages.runs([1], [1]) == []
 
 
+def test_seed_runs_leave_the_task_once(spark):
+    # a word repeated: each place is a seed with six runs and pairs, of which one in REACH words is enough
+    places = 400
+    rows = [(c, k, 7, k, 2 * places, (1, 0)) for c in (1, 2) for k in range(places)] + [(3, 0, 8, 0, 9, None), (3, 1, 9, 12, 9, None), (3, 2, 7, 40, 9, (1, 0))]
+    marked = spark.createDataFrame(rows, "c long, k int, h long, at int, n long, f struct<c: long, at: int>")
+    grams = passages.grams_of(marked)
+    assert "Generate" not in grams._jdf.queryExecution().executedPlan().toString()
+    got = grams.collect()
+    assert {(r["at"], r["end"], r["run"]) for r in got if r["c"] == 3} == {(0, 40, True), (0, 12, False), (12, 40, False)}
+    for c in (1, 2):
+        own = [r for r in got if r["c"] == c]
+        assert len({r["g"] for r in own}) == 6 and 50 <= len(own) <= 60 and len(own) == len({(r["g"], r["at"] // passages.REACH) for r in own})
+    assert len({r["g"] for r in got}) == 9 and passages.grams_of(marked.limit(0)).count() == 0
+
+
+def test_equal_gaps_are_not_searched(monkeypatch):
+    a = [1000, 1, 2, 1, 1001, 1, 2, 2, *range(2000, 2040), 1, 1, 2, 1002]
+    b = [*a[:20], 5, *a[21:]]
+    before = passages.runs(a, b)
+    assert before == [(len(a) - 1, 0, len(a), 0, len(a))]
+    monkeypatch.setattr(passages.difflib, "SequenceMatcher", None)
+    assert passages.runs(a, b) == before and passages.runs([1, 2, 1, 2] * 9, [2, 1, 3] * 12) == []
+
+
 def test_passages_of_one_chain(spark):
     rng = random.Random(12)
     text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
