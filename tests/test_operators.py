@@ -284,6 +284,18 @@ def test_check_edits(spark):
     }
 
 
+def test_check_edits_in_batches(spark):
+    # many documents come to Python in a batch; no group is handed over by itself
+    corpus = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(60, None)], "doc_id int, text string")
+    edits = spark.createDataFrame([(k, 0, f"t {k}") for k in range(50)] + [(60, 0, "t"), (61, 0, "t"), (None, 0, "t")], "doc_id int, edit_no int, old string")
+    out = E.check_edits(edits, corpus)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
+    got = {r["doc_id"]: (r["status"], r["start"]) for r in out.collect()}
+    assert got == {k: ("exact", 3) for k in range(50)} | dict.fromkeys((60, 61, None), ("not_found", None))
+    assert E.check_edits(edits.limit(0), corpus).count() == 0
+
+
 def test_check_edits_brute(spark, monkeypatch):
     """Random documents and edits; edits in several lots give the same; spans hold the text found, and no less would."""
     rng = random.Random(12)

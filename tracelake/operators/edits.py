@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 #: What counts as blank at the end of a line, and the characters that fuzzy matching takes for plain ones.
@@ -173,15 +172,26 @@ def check_edits(edits: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Dat
     added = ["_as_written", "occurrences", *(f"_{form}_{x}" for form in ("plain", "loose") for x in ("at", "size", "start", "stored"))]
     schema = T.StructType([*edits.schema, T.StructField("_as_written", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
 
-    def run(own: pa.Table, text: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema})
-        stored = text["text"][0].as_py() if text.num_rows else None
-        columns = zip(*matches(stored, own["old"].to_pylist()), strict=True)
-        types = [pa.bool_(), *[pa.int64()] * (len(added) - 1)]
-        return pa.table({c: own[c] for c in given} | {c: pa.array(v, t) for c, v, t in zip(added, columns, types, strict=True)})
-
-    out = rows.groupBy(key, "_part").cogroup(texts.groupBy("_key", "_part")).applyInArrow(run, schema)
+    types = [pa.bool_(), *[pa.int64()] * (len(added) - 1)]
+
+    def run(batches):
+        for b in batches:
+            own, first, values = pa.RecordBatch.from_struct_array(b.column("_own").flatten()), 0, []
+            olds = own.column("old")
+            for stored, size in zip(b.column("text"), b.column("_own").value_lengths().to_pylist(), strict=True):
+                at = first + len(values)
+                values += matches(stored.as_py(), olds.slice(at, size).to_pylist())
+                if len(values) >= PER_TASK or at + size == own.num_rows:
+                    here = own.slice(first, len(values))
+                    new = [pa.array(v, t) for v, t in zip(zip(*values, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(here.column(c) for c in given), *new], names=[*given, *added])
+                    first, values = first + len(values), []
+
+    # a row for some PER_TASK edits of a document, with its text: batches hold many documents, no group is handed over by itself
+    own = rows.groupBy(key, "_part").agg(F.collect_list(F.struct(*given)).alias("_own"))
+    texts = texts.dropDuplicates(["_key", "_part"]).withColumnRenamed("_part", "_text_part")
+    joined = own.join(texts, (own[key] == texts["_key"]) & (own["_part"] == texts["_text_part"]), "left").select("_own", "text")
+    out = joined.mapInArrow(run, schema)
     batch = W.partitionBy(key)
     loose = F.col("_loose_at").isNotNull()
     out = out.withColumn("_batch_loose", F.max(F.col("_as_written").eqNullSafe(False) & loose).over(batch))
