@@ -208,3 +208,14 @@ def test_files_are_opened_once(spark, folder, tmp_path):
     assert calls.filter("ts IS NULL").count() == 0 and calls.count() == 1
     rows = L.export_branch_jsonl(L.as_tree(entries), str(tmp_path / "b"))
     assert rows.count() == 1
+
+
+def test_log_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"type":"session","id":"s"}\n{"a":\n[1]\n\n{"type":"message"}\n')
+    lines = L.read_lines(spark, str(tmp_path)).filter(~F.col("blank") & L.is_object())
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    assert [r["line"] for r in lines.orderBy("line_at").collect()] == ['{"type":"session","id":"s"}', '{"type":"message"}']
+    name, old = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    with L.many_small_files(spark):
+        assert spark.conf.get(name) != old
+    assert spark.conf.get(name) == old
