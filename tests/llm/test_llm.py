@@ -11,6 +11,7 @@ import os
 import random
 import re
 import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -726,6 +727,23 @@ def test_passages_of_one_chain(spark):
     assert [(s["start"], s["length"]) for s in got[2]] == [(20, 120)] and [(s["start"], s["length"]) for s in got[3]] == [(0, 132)]
 
 
+def test_passages_leave_little_on_disk(spark, edge):
+    """No step's shuffle files stay until the driver's collector runs, and no written table with all seeds stays to the end."""
+    tops = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    tables = lambda: {f"{top}/{x}" for top in [common.shared_dir(spark).removeprefix("file:") + "/tracelake"] if os.path.isdir(top) for x in os.listdir(top)}
+    cleanup = spark.conf.get(common.CLEANUP, None)
+    files, before = shuffled(), tables()
+    rows, found = passages.find_passages(edge)
+    end = time.time() + 10
+    while shuffled() - files and time.time() < end:  # deleted in the background
+        time.sleep(0.2)
+    assert not shuffled() - files and spark.conf.get(common.CLEANUP, None) == cleanup
+    left = {x: set(spark.read.parquet(x).columns) for x in tables() - before}
+    assert len(left) == 3 and not any(columns & {"h", "at", "s"} for columns in left.values())
+    assert rows.count() == len(EDGE) and found.count() >= 3
+
+
 def planted(rng, n, words, changed, crowd=0, snippet=25):
     """Pairs of texts with a passage of so many words, a share of which is replaced in the second, and texts with snippets of it."""
     text = lambda k: [f"w{rng.randrange(50_000)}" for _ in range(k)]
