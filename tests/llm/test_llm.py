@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -806,3 +807,60 @@ def test_edited_passage_among_snippets(spark):
     for n, ((words, changed, crowd, snippet, least), (_, where)) in enumerate(zip(asked, cases, strict=True)):
         share, outside = share_whole(got, 10_000 * n, where, words)
         assert share >= least and outside <= 20, (words, changed, crowd, snippet, share, outside)
+
+
+def test_no_seed_is_too_frequent(spark):
+    """A passage whose seeds are all frequent, each with another first text, and one with a single seed, are found as without the crowd."""
+    asked = [(60, 0.15, 30, 20), (60, 0.15, 30, 12), (50, 0.1, 60, 14)]
+    cases = [planted(random.Random(70 + n), 12, words, changed, crowd, snippet) for n, (words, changed, crowd, snippet) in enumerate(asked)]
+    got = reported(spark, cases)
+    alone = reported(spark, [([t for t in texts if t[0] in {i for a, _, b, _ in where for i in (a, b)}], where) for texts, where in cases])
+    for n, ((words, *_), (_, where)) in enumerate(zip(asked, cases, strict=True)):
+        (share, outside), (least, _) = (share_whole(g, 1000 * n, where, words) for g in (got, alone))
+        assert share >= least >= 0.9 and outside <= 20, (asked[n], share, least, outside)
+
+
+def test_one_seed_is_enough(spark):
+    rng = random.Random(71)
+    text = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(8):
+        passage = text(50)
+        # 12 words hold a seed; elsewhere every fifth word differs, so that no other five are equal
+        other = [w if 19 <= i < 31 or (i - 31 if i >= 31 else 18 - i) % 5 != 0 else f"y{rng.randrange(10**9)}" for i, w in enumerate(passage)]
+        rows += [(2 * k, " ".join(text(30 + k) + passage + text(60))), (2 * k + 1, " ".join(text(50) + other + text(40 + k)))]
+    got = {r["doc_id"]: [(s["start"], s["length"]) for s in r["repeats"]] for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(8):
+        for found, at in ((got[2 * k], 30 + k), (got[2 * k + 1], 50)):
+            assert len(found) == 1 and at <= found[0][0] and found[0][0] + found[0][1] <= at + 50 and found[0][1] >= 45, (k, found)
+
+
+def test_places_meet_as_all_pairs_do(monkeypatch):
+    """Groups of any size, blocks, and bounds drop no pair of places that holds a passage about the seed."""
+    rng = random.Random(72)
+    seed = [7, 8, 9, 10, 11]
+    bodies = [[rng.randrange(100, 400) for _ in range(95)] for _ in range(9)]
+    rows = []
+    for c in range(70):
+        body = [w if rng.random() > rng.choice([0.02, 0.12, 0.3]) else rng.randrange(1000, 10**6) for w in rng.choice(bodies)]
+        cut = rng.randrange(20)
+        rows.append((1, c, 60, 15 + cut, [*body[cut:45], *seed, *body[45:]], rng.randrange(2), False, False, False))
+    names = ["g", "c", "at", "low", "words", "own", "covered", "later", "apart"]
+
+    def met(rows, few):
+        monkeypatch.setattr(passages, "FEW", few)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), *[pa.bool_()] * 3]
+        batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        return {(r["c"], r["o"]) for b in passages.comparing(40, 0.8)([batch]) for r in b.to_pylist()}
+
+    near = lambda r: np.array(r[4][max(0, r[2] - r[3] - 45) : r[2] - r[3] + 50])
+    want = {(a[1], b[1]) for a in rows for b in rows if b[1] < a[1] and passages.runs(near(a), near(b), 40, 0.8, passages.matching_in_order)}
+    assert len(want) > 50
+    # each place is explained by the first pair that holds it; every place that has a partner is
+    for few in (100, 5):
+        got = met(rows, few)
+        assert got <= want and {x for p in got for x in p} == {x for p in want for x in p} and {c for c, _ in got} == {c for c, _ in want}
+        apart = met([(*r[:8], True) for r in rows], few)
+        own = {r[1]: r[5] for r in rows}
+        wanted = {p for p in want if own[p[0]] != own[p[1]]}
+        assert apart <= wanted and {c for c, _ in apart} == {c for c, _ in wanted}
