@@ -645,3 +645,20 @@ def test_texts_in_chunks(spark, monkeypatch):
             assert len(found) == 3 if size > 1000 else len(found) > 9
     said = [t for s, q, r, t in rows if s == 1 and r != "toolResult" and t.strip()]
     assert whole["b24"][1].startswith("=== SESSION: 1 ===\n[") and whole["b24"][1].endswith("\n=== END SESSION ===") and whole["b24"][1].count("\n---\n") == len(said) - 1
+
+
+def test_paths_are_not_broadcast_by_file_size(spark, monkeypatch):
+    """Files of narrow rows are a hundredth of the rows: joins of paths are planned by rows counted in shuffles, so the driver holds no whole table."""
+    plans, real, before = [], R.written, {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(R, "written", recorded)
+    entries = real(spark.range(600).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("seq"), F.when(F.col("id") >= 3, F.col("id") - 3).alias("parent_seq")), "test-entries")
+    found = R.branch_path(entries).collect()
+    assert sorted((r["session_id"], r["seq"], r["pos"]) for r in found) == sorted((k % 3, k, k // 3) for k in range(600))
+    joined = [(name, p) for name, p in plans if "Join" in p]
+    assert {name for name, _ in joined} == {"path", "paths", "jumps"} and not [name for name, p in joined if "BroadcastHashJoin" in p]
+    assert before == {k: spark.conf.get(k, None) for k in before}

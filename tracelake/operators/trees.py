@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
 from tracelake.functions.scans import Scan, scanned
-from tracelake.functions.storage import written
+from tracelake.functions.storage import joins_by_rows, written
 
 
 
@@ -95,15 +95,16 @@ def ancestors(entries: DataFrame, start: DataFrame) -> DataFrame:
     jump = jump.join(known, ["session_id", "up"], "left_semi").select("session_id", "seq", "up")
     paths = start.join(entries.select("session_id", "seq"), ["session_id", "seq"], "left_semi").select(*keys, "seq", F.lit(0).cast("long").alias("distance"))
     step = 1
-    while True:
-        more = paths.join(jump, ["session_id", "seq"]).select(*keys, F.col("up").alias("seq"), (F.col("distance") + step).alias("distance"))
-        more = written(more.join(paths, [*keys, "seq"], "left_anti"), "path")
-        if more.isEmpty():
-            return paths
-        paths = written(paths.unionByName(more), "paths")
-        above = jump.select("session_id", F.col("seq").alias("up"), F.col("up").alias("up2"))
-        jump = written(jump.join(above, ["session_id", "up"]).select("session_id", "seq", F.col("up2").alias("up")), "jumps")
-        step *= 2
+    with joins_by_rows(entries.sparkSession):
+        while True:
+            more = paths.join(jump, ["session_id", "seq"]).select(*keys, F.col("up").alias("seq"), (F.col("distance") + step).alias("distance"))
+            more = written(more.join(paths, [*keys, "seq"], "left_anti"), "path")
+            if more.isEmpty():
+                return paths
+            paths = written(paths.unionByName(more), "paths")
+            above = jump.select("session_id", F.col("seq").alias("up"), F.col("up").alias("up2"))
+            jump = written(jump.join(above, ["session_id", "up"]).select("session_id", "seq", F.col("up2").alias("up")), "jumps")
+            step *= 2
 
 
 def walk_paths(entries: DataFrame, leaf: DataFrame) -> DataFrame:
