@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import embeddings, merkle, prefix_trie
+from tracelake.llm import common, embeddings, merkle, prefix_trie
 
 EMPTY = hashlib.sha256().hexdigest()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +72,33 @@ def test_vectors(spark, limits):
     assert max(n for _, n, _, _ in want) > 150 and sum(k for _, _, _, k in want) < len(rows) - 200
 
 
+def test_vectors_visit_in_rounds(spark, monkeypatch):
+    """What vectors without clusters visit is made a part at a time: no written table holds all of it, and nothing is lost or counted twice."""
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=5), k % 2) for k in range(400)]
+    rows += [(1000 + k, around(rng, rows[k][1], 0.19), k % 2) for k in range(120)]
+    rows = [(i, [float(x) for x in v], label) for i, v, label in rows]
+    cells = []
+
+    def counted(real):
+        def run(df, name):
+            out = real(df, name)
+            if name == "cells":
+                cells.append(out.count())
+            return out
+
+        return run
+
+    for name in ("written", "written_clean"):
+        monkeypatch.setattr(embeddings, name, counted(getattr(embeddings, name, common.written)), raising=False)
+    monkeypatch.setattr(embeddings, "SHARE", 0.5, raising=False)
+    monkeypatch.setattr(embeddings, "ROUND", 100, raising=False)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in embeddings.near_duplicates(df, aim=16, cells=16, most=300).drop("label").collect())
+    assert got == brute_vectors(rows)
+    assert max(cells) <= len(rows) < sum(cells), cells
+
+
 def test_vector_blocks(spark):
     """Cells of several blocks: compact ones with visitors, and others."""
     rows = cloud(6, 500)
